@@ -5,8 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -63,3 +69,34 @@ def staged(df: DataFrame, label: str = "stage", partition_by: str | None = None)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="foliomark-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
+
+
+def arrow_map(df: DataFrame, fn: Callable[..., Sequence[list]], schema: str | StructType) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch: lists of the input columns in, lists of the output columns out."""
+    ship(df.sparkSession)
+    out_type = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(out_type)
+        for batch in batches:
+            columns = fn(*(c.to_pylist() for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+    return df.mapInArrow(run, out_type)
