@@ -44,17 +44,17 @@ THAI_ON = tuple(_THAI_ON.split())
 
 _TERM = re.compile(r"[.!?…]+|[。！？｡．؟۔।॥]+")
 _CLOSE = re.compile(r"[\"'”’»“「」』)\]）】〉》]*")
-_NEXT = re.compile(r"[\s​‌‍⁠﻿­]*[“„«\"'(\[¿¡‘「『（”–—-]*[\s​⁠﻿­]*")
-_WORD = regex.compile(r"(?:[\p{L}\p{M}­​⁠﻿]+(?:[.]\s?|-))*[\p{L}\p{M}\p{N}­​⁠﻿]+$")
+_NEXT = re.compile("[\\s\u200b\u200c\u200d\u2060\ufeff\u00ad]*[“„«\"'(\\[¿¡‘「『（”–—-]*[\\s\u200b\u2060\ufeff\u00ad]*")
+_WORD = regex.compile("(?:[\\p{L}\\p{M}\u00ad\u200b\u2060\ufeff]+(?:[.]\\s?|-))*[\\p{L}\\p{M}\\p{N}\u00ad\u200b\u2060\ufeff]+$")
 _PLAIN = re.compile("[A-Za-z]{8}$")
-_INVISIBLE = re.compile(r"[­​-‏⁠﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\xad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
-_LEAD = re.compile(r"[\s­​-‏⁠﻿]*")
+_LEAD = re.compile("[\\s\u00ad\u200b-\u200f\u2060\ufeff]*")
 _THAI = re.compile("[\u0e01-\u0e7f]")
 _QUOTE = re.compile("[“”„«»「」『』\"]")
 _VISIBLE = re.compile(r"\w")
 _AFTER_QUOTE = re.compile(r"[)\]）」』»”]*[.。]?")
-_SPACE = regex.compile(r"[   -  　]+")
+_SPACE = re.compile("[ \u00a0\u2000-\u200a\u202f\u3000]+")
 REFERENCE = regex.compile(r"\s*(?:\[\w{1,3}\]\s*|\d+\.\s+)?\p{Lu}[\p{L}\p{M}’'-]+,\s(?:\p{Lu}\.[ -]?)+.{0,160}?\(\w{4}[a-z]?\)[.,:]")
 _OPENERS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "”": "“”"}
 
