@@ -28,8 +28,8 @@ BITS = 256
 #: Pairs of minima that make blocks. At similarity 0.5 a pair of texts shares no block with probability 0.75 ** 32 = 1e-4, at 0.6 6e-7.
 BANDS = 32
 _RANDOM = np.random.default_rng(20240229)
-_MULTIPLIERS = _RANDOM.integers(1, 2**63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDENDS = _RANDOM.integers(0, 2**63, BITS, dtype=np.uint64)
+_MULTIPLIERS = _RANDOM.integers(0, 2**31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADDENDS = _RANDOM.integers(0, 2**32, BITS, dtype=np.uint32)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _token_hashes: dict[str, int] = {}
 
@@ -70,9 +70,11 @@ def runs(tokens: list[str], length: int = RUN) -> np.ndarray:
 def minima(shingles: np.ndarray) -> np.ndarray:
     """The minimum of each of 256 hash functions, as 32-bit numbers."""
     out = np.full(BITS, np.iinfo(np.uint32).max, np.uint32)
-    for i in range(0, len(shingles), 512):
-        part = shingles[i : i + 512, None] * _MULTIPLIERS + _ADDENDS
-        out = np.minimum(out, (part >> np.uint64(32)).min(axis=0).astype(np.uint32))
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), 128):  # parts that stay in the cache
+        part = short[i : i + 128, None] * _MULTIPLIERS
+        part += _ADDENDS
+        np.minimum(out, part.min(axis=0), out=out)
     return out
 
 

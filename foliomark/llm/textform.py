@@ -42,6 +42,7 @@ _DELETE = re.compile(f"(?<![{_JOINING}])[\u200c\u200d]|[\u200c\u200d](?![{_JOINI
 _HIDDEN = re.compile(f"[{_IGNORABLE}\u200c\u200d]+")
 _SPACES = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 _TOKEN = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f])*")
+_CYRILLIC = re.compile("[\u0431\u0432\u0433\u0434\u0436\u0437\u0438\u0439\u043b\u043d\u0442\u0444\u0446-\u044f]")
 _OTHER = re.compile("[\u0370-\u04ff]")
 _BEFORE_SPACE, _AFTER_SPACE = ",;.:)]}”’\"'", "([{“‘\"'"
 
@@ -164,43 +165,67 @@ def _latin_twins(token: str) -> bool:
     return all(c in "aceopxyABCEHKMOPTX" for c in token)
 
 
+def _compatible(text: str) -> str:
+    """Compatibility form without ignorable characters and with plain spaces only."""
+    if _HIDDEN.search(text):
+        text = _DELETE.sub("", text)
+    if not unicodedata.is_normalized("NFKC", text):
+        text = _DELETE.sub("", unicodedata.normalize("NFKC", text))
+    return _SPACES.sub(" ", text) if _SPACES.search(text) else text
+
+
 def normalize(text: str, model: Model | None) -> str:
     """The consistent form of a text. Case is kept; without a model look-alike letters are kept too."""
     if text.isascii():
         return text
-    text = _DELETE.sub("", unicodedata.normalize("NFKC", _DELETE.sub("", text)))
-    text = _SPACES.sub(" ", text)
+    text = _compatible(text)
     if model is None or not _OTHER.search(text):
         return text
     out, at = [], 0
     for begin, end, word in _replacements(text, model):
         out += (text[at:begin], word)
         at = end
+    if not out:
+        return text
     out.append(text[at:])
     return unicodedata.normalize("NFC", "".join(out))
 
 
+def _candidates(text: str) -> Iterable[tuple[int, int]]:
+    """Tokens that hold a Greek or Cyrillic letter; in Cyrillic text all tokens."""
+    if len(_CYRILLIC.findall(text)) > 40:
+        yield from (m.span() for m in _TOKEN.finditer(text))
+        return
+    done = 0
+    for m in _OTHER.finditer(text):
+        i, j = m.span()
+        if i < done:
+            continue
+        while i > 0 and (text[i - 1].isalpha() or "\u0300" <= text[i - 1] <= "\u036f"):
+            i -= 1
+        while j < len(text) and (text[j].isalpha() or "\u0300" <= text[j] <= "\u036f"):
+            j += 1
+        done = j
+        yield i, j
+
+
 def _replacements(text: str, model: Model) -> Iterable[tuple[int, int, str]]:
-    russian = None
-    for m in _TOKEN.finditer(text):
-        token = m[0]
-        if len(token) == 1 and text[m.end() : m.end() + 1] == ".":
-            continue  # an initial
+    """Tokens to be replaced, as (begin, end, replacement)."""
+    for begin, end in _candidates(text):
+        token = text[begin:end]
+        if len(token) == 1 and (script_of(token) == GREEK or text[end : end + 1] == "."):
+            continue  # a symbol, an initial
         if token.isascii():
-            if not _latin_twins(token):
-                continue
-            if russian is None:
-                russian = len(re.findall("[бвгджзийлнптуфцчшщъыьэюя]", text)) > 40
-            if not russian or _around(text, *m.span()) != CYRILLIC:
+            if not _latin_twins(token) or _around(text, begin, end) != CYRILLIC:
                 continue
         elif not _OTHER.search(token) or not _suspicious(token):
             continue
-        around = _around(text, *m.span())
+        around = _around(text, begin, end)
         if around == CYRILLIC and all(script_of(c) == CYRILLIC for c in token):
             continue
         word = model.best(token, around)
         if word != token:
-            yield m.start(), m.end(), word
+            yield begin, end, word
 
 
 FORMS = ("width", "accent", "invisible", "space", "lookalike")
@@ -238,8 +263,7 @@ def forms(text: str, model: Model) -> list[str]:
             out.append("space")
             break
     if _OTHER.search(text):
-        clean = _SPACES.sub(" ", _DELETE.sub("", unicodedata.normalize("NFKC", _DELETE.sub("", text))))
-        if any(True for _ in _replacements(clean, model)):
+        if any(True for _ in _replacements(_compatible(text), model)):
             out.append("lookalike")
     return out
 
