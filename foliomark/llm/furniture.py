@@ -35,6 +35,15 @@ def is_wrapped(text: str) -> bool:
     return len(re.findall(r"[^\n]\n(?=[^\n])", text)) >= 4
 
 
+def is_header(line: str) -> bool:
+    """Whether a line has the form of furniture, seen without its document."""
+    s = line.strip()
+    if PAGE.fullmatch(s) or _AUTHORS.fullmatch(s) or _JOURNAL.fullmatch(s):
+        return True
+    m = _BESIDE.fullmatch(s)
+    return bool(m) and len(m["text"]) <= 70 and not re.search(r"\s{2,}", m["text"]) and not _END.search(m["text"].rstrip("."))
+
+
 def _key(s: str) -> str:
     return regex.sub(r"[^\p{L}]+", "", s).casefold()
 

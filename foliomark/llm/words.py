@@ -38,19 +38,6 @@ def patterns() -> tuple[re.Pattern[str], re.Pattern[str], re.Pattern[str]]:
     return spaced, re.compile("[^\\W_]"), re.compile(f"[{_UNSPACED}]")
 
 
-def is_unspaced(text: str) -> bool:
-    """Whether more than half of the letters are of scripts without spaces between words."""
-    if text.isascii():
-        return False
-    unspaced = len(patterns()[2].findall(text))
-    return unspaced > 0 and 2 * unspaced > len(patterns()[1].findall(text))
-
-
-def words(text: str) -> list[str]:
-    """The words of a text in lower case."""
-    return _pattern(text).findall(text.lower())
-
-
 _ASCII = re.compile("[A-Za-z0-9]+")
 _SIMPLE = re.compile("[^\\W_]+")
 #: Ranges that hold all marks and all letters of unspaced scripts.
@@ -96,12 +83,6 @@ def _pattern(text: str) -> re.Pattern[str]:
     return single if is_unspaced(text) else spaced
 
 
-@functools.cache
-def _plain() -> re.Pattern[str]:
-    """Marks and letters of unspaced scripts: without them a word is a run of letters and digits."""
-    return re.compile(f"[{_ranges(('Mn', 'Mc', 'Me'))}{_UNSPACED}]")
-
-
 def word_spans(text: str) -> list[tuple[int, int]]:
     """Positions of the words."""
     return [m.span() for m in _pattern(text).finditer(text)]
