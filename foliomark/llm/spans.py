@@ -173,6 +173,16 @@ def _repeated(sketch: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return keep
 
 
+def _pack(starts: np.ndarray) -> bytes:
+    """Ascending positions as differences of two bytes where they fit, of four otherwise."""
+    steps = np.diff(starts, prepend=0)
+    return b"2" + steps.astype(np.uint16).tobytes() if int(steps.max(initial=0)) < 65536 else b"4" + steps.astype(np.uint32).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint16 if packed[:1] == b"2" else np.uint32, offset=1).astype(np.int64))
+
+
 def _groups(packed: DataFrame, salted: bool) -> DataFrame:
     """Windows of more than one text: (id, starts) of each bucket, and what stays undecided within a salt."""
 
@@ -183,7 +193,7 @@ def _groups(packed: DataFrame, salted: bool) -> DataFrame:
             wide = np.zeros((len(raw), 8), np.uint8)
             wide[:, :7] = raw
             h.append(wide.view(np.uint64).ravel())
-            at.append(np.frombuffer(starts, np.uint32))
+            at.append(_unpack(starts))
             same.append(np.full(len(raw), own, np.int64))
             doc.append(np.full(len(raw), ident, np.int64))
         h, same, doc, at = (np.concatenate(x) for x in (h, same, doc, at))
@@ -199,14 +209,14 @@ def _groups(packed: DataFrame, salted: bool) -> DataFrame:
             edges = np.flatnonzero(np.diff(doc[chosen])) + 1
             for part in np.split(chosen, edges) if len(chosen) else []:
                 code = h[part].view(np.uint8).reshape(-1, 8)[:, :7].tobytes() if not done else b""
-                rows.append((int(doc[part[0]]), int(same[part[0]]), code, at[part].astype(np.uint32).tobytes(), done))
+                rows.append((int(doc[part[0]]), int(same[part[0]]), code, _pack(at[part]), done))
 
         emit(np.flatnonzero(shared & (doc != -(2**63))), True)
         if salted:
             emit(np.flatnonzero(~shared), False)
             mark = first[shared[first]]  # one entry stands for a window that is decided here
             for part in mark:
-                rows.append((-(2**63), int(same[part]), h[part : part + 1].view(np.uint8)[:7].tobytes(), np.zeros(1, np.uint32).tobytes(), False))
+                rows.append((-(2**63), int(same[part]), h[part : part + 1].view(np.uint8)[:7].tobytes(), _pack(np.zeros(1, np.int64)), False))
         out = pd.DataFrame(rows, columns=["id", "same", "hashes", "starts", "done"])
         out["bucket"] = key[0]
         return out
@@ -271,7 +281,7 @@ def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int =
     wanted = rows.join(groups.select("anchor"), "anchor").groupBy("id").agg(F.collect_list("at").alias("at"))
     half = span - span // 2
 
-    buckets = max(32, math.ceil(total * half / 1_000_000))
+    buckets = max(4, math.ceil(total * half / 500_000))
     salts = max(1, math.ceil(top / hot))
 
     def pack(ids, same, free, at, texts):
@@ -296,7 +306,7 @@ def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int =
             edges = np.flatnonzero(np.diff(bucket[order])) + 1
             for part in np.split(order, edges):
                 code = h[part].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-                for column, value in zip(out, (int(bucket[part[0]]), int(xxhash.xxh32_intdigest(str(key)) % salts), key, own, code, starts[part].astype(np.uint32).tobytes())):
+                for column, value in zip(out, (int(bucket[part[0]]), int(xxhash.xxh32_intdigest(str(key)) % salts), key, own, code, _pack(starts[part]))):
                     column.append(value)
         return out
 
@@ -319,7 +329,7 @@ def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int =
             if more:
                 shared = np.frombuffer(segments, np.int64).reshape(-1, 2).tolist()
             else:
-                shared = stretches(np.sort(np.concatenate([np.frombuffer(s, np.uint32) for s in found])).astype(np.int64), span) if found else []
+                shared = stretches(np.sort(np.concatenate([_unpack(s) for s in found])), span) if found else []
             for a, b in shared:
                 for column, value in zip(out, ("document", key, a, b)):
                     column.append(value)
