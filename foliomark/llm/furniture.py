@@ -15,17 +15,20 @@ BLANK, BODY, HEADING, TABLE, FURNITURE = "blank", "body", "heading", "table", "f
 #: A line that holds nothing but a page number in one of the usual dresses.
 _NUMBER = r"(?:\d{1,4}|[ivxlcdm]{1,7}|[IVXLCDM]{1,7})"
 _DRESSED = rf"(?:[-–—]\s*{_NUMBER}\s*[-–—]|\[\s*{_NUMBER}\s*\]|\(\s*{_NUMBER}\s*\)|\|\s*{_NUMBER}\s*\||{_NUMBER})"
-_WORDED = r"(?:(?:p|pp|pág|s|стр|с|Page|Seite|Pagina|Página|Страница)\.?\s*\d{1,4}(?:\s*(?:of|/|von|de|di|sur|из)\s*\d{1,4})?|第\s*\d{1,4}\s*页|\d{1,4}\s*/\s*\d{1,4})"
-PAGE = regex.compile(rf"(?:{_DRESSED}|{_WORDED})", regex.I)
+_WORDED = r"(?:(?:p|pp|pág|s|стр|с|Page|Seite|Pagina|Página|Страница)\.?\s*\d{1,4}(?:\s*(?:of|/|von|de|di|sur|из)\s*\d{1,4})?|\w{2,7}\s\d{1,4}\s(?:o\w|von|de|di|sur|из)\s\d{1,4}|第\s*\d{1,4}\s*页|\d{1,4}\s*/\s*\d{1,4})"
+PAGE = re.compile(rf"(?:{_DRESSED}|{_WORDED})", re.I)
 #: Header text and page number on one line, parted by a bar or a wide gap.
-_BESIDE = regex.compile(rf"(?P<left>{_DRESSED}|{_WORDED})(?:\s*[|·•]\s*|\s{{2,}})(?P<text>\S.*)|(?P<text>\S.*?)(?:\s*[|·•]\s*|\s{{2,}})(?P<right>{_DRESSED}|{_WORDED})", regex.I)
+_LEFT = re.compile(rf"(?:{_DRESSED}|{_WORDED})(?:\s*[|·•]\s*|\s{{2,}})(?P<text>\S.*)", re.I)
+_RIGHT = re.compile(rf"(?P<text>\S.*?)(?:\s*[|·•]\s*|\s{{2,}})(?:{_DRESSED}|{_WORDED})", re.I)
 #: Rows of a table: a label and two numbers in columns.
-TABLE_ROW = regex.compile(r"\S(?:.{0,40}?\S)?[ \t]{2,}\S?[\d.,%]+\S?(?:[ \t]{1,}\(?[\d.,]+[%)]*)+\s*")
+TABLE_ROW = re.compile(r"\S(?:.{0,40}?\S)?[ \t]{2,}\S?[\d.,%]+\S?(?:[ \t]{1,}\(?[\d.,]+[%)]*)+\s*")
 #: Names as a running header gives them, and volumes of a journal.
 _AUTHORS = regex.compile(r"\p{Lu}[\p{L}'’-]+(?: et \w{2}[.,]?|,? (?:&|and|und|et|y|e|и) \p{Lu}[\p{L}'’-]+)")
 _JOURNAL = regex.compile(r"\p{Lu}\S+(?: \S+){0,6}(?:,? Vol\. ?\w+(?:, ?No\. ?\w+)?| \(\w{4}\)|,? \w{1,3}\(\w{1,2}\))")
-_END = regex.compile(r"[.!?。！？؟۔।…:;][\"'”’»)\]」』“]*\s*$")
-_BREAK = regex.compile(r"[-‐‑¬­]\s*$")
+_NO_LETTER = re.compile(r"[\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
+_END = re.compile(r"[.!?。！？؟۔।…:;][\"'”’»)\]」』“]*\s*$")
+_BREAK = re.compile(r"[-‐‑¬­]\s*$")
 
 
 def is_wrapped(text: str) -> bool:
@@ -35,17 +38,52 @@ def is_wrapped(text: str) -> bool:
     return len(re.findall(r"[^\n]\n(?=[^\n])", text)) >= 4
 
 
+def is_page(s: str) -> bool:
+    return len(s) <= 24 and bool(PAGE.fullmatch(s))
+
+
+def _beside(s: str) -> str | None:
+    """The text of a line that holds text and a page number, parted by a bar or a wide gap."""
+    if "  " not in s and "|" not in s and "·" not in s and "•" not in s and "\t" not in s:
+        return None
+    m = _LEFT.fullmatch(s) or _RIGHT.fullmatch(s)
+    return m["text"] if m else None
+
+
+def _numbered(s: str) -> bool:
+    """Header text and page number on one line, in up to three parts."""
+    text = _beside(s)
+    if text is None and "   " not in s:
+        return False
+    parts = re.split(r"\s{3,}", s)
+    if len(parts) == 2:
+        pages = [is_page(p) or len(_beside(p) or "." * 40) < 40 for p in parts]
+        if any(pages) and all(p or len(t) <= 80 and _LETTER.search(t) and not _END.search(t.rstrip(".")) for p, t in zip(pages, parts)):
+            return True
+    return text is not None and len(text) <= 80 and not re.search(r"\s{2,}", text) and bool(_LETTER.search(text)) and not _END.search(text.rstrip("."))
+
+
 def is_header(line: str) -> bool:
     """Whether a line has the form of furniture, seen without its document."""
     s = line.strip()
-    if PAGE.fullmatch(s) or _AUTHORS.fullmatch(s) or _JOURNAL.fullmatch(s):
+    if is_page(s) or _named(s):
         return True
-    m = _BESIDE.fullmatch(s)
-    return bool(m) and len(m["text"]) <= 70 and not re.search(r"\s{2,}", m["text"]) and not _END.search(m["text"].rstrip("."))
+    return _numbered(s)
+
+
+def _named(s: str) -> bool:
+    """Names of authors, or a journal with its volume or year."""
+    if len(s) > 90:
+        return False
+    return bool(s[-1:] in ".,)" or " " in s) and bool((" et " in s or " & " in s or " and " in s or " und " in s or " y " in s or " e " in s or " и " in s) and _AUTHORS.fullmatch(s) or ("Vol" in s or "V" in s or s[-1:] == ")") and _JOURNAL.fullmatch(s))
+
+
+def _pairs(k: str) -> set[str]:
+    return {k[i : i + 2] for i in range(len(k) - 1)}
 
 
 def _key(s: str) -> str:
-    return regex.sub(r"[^\p{L}]+", "", s).casefold()
+    return _NO_LETTER.sub("", s).casefold()
 
 
 def _within(a: str, b: str, most: int) -> bool:
@@ -86,26 +124,28 @@ def classify(text: str) -> tuple[list[str], list[str]]:
     bare = [line.strip() for line in lines]
     lengths = sorted(len(b) for b, k in zip(bare, kinds) if k == BODY and len(b) > 12)
     width = lengths[int(len(lengths) * 0.9)] if lengths else 80
-    title = next((i for i in range(n) if kinds[i] != BLANK and not PAGE.fullmatch(bare[i])), 0)
+    title = next((i for i in range(n) if kinds[i] != BLANK and not is_page(bare[i])), 0)
     # the title may itself run over several lines
     stop = title
     while stop + 1 < n and kinds[stop + 1] == BODY:
         stop += 1
     title_key = "".join(_key(b) for b in bare[title : stop + 1]) if stop - title < 3 else _key(bare[title])
 
+    title_pairs = _pairs(title_key)
+
     def neighbour(i: int, step: int) -> int:
         i += step
         while 0 <= i < n and kinds[i] in (BLANK, FURNITURE):
             i += step
         return i
 
-    def header_text(s: str) -> bool:
-        return bool(_AUTHORS.fullmatch(s) or _JOURNAL.fullmatch(s))
-
     def of_title(s: str) -> bool:
         k = _key(s)
         if len(k) < 8 or not title_key:
             return False
+        own = _pairs(k)
+        if 2 * len(own & title_pairs) < len(own):
+            return False
         if _alike(k, title_key[: len(k)]):
             return True
         part = s.split(", ", 1)
@@ -114,17 +154,18 @@ def classify(text: str) -> tuple[list[str], list[str]]:
     candidates: dict[int, str] = {}
     for i in range(n):
         s = bare[i]
-        if kinds[i] != BODY or i == title or len(s) > max(70, width):
+        if kinds[i] not in (BODY, TABLE) or i == title or len(s) > max(110, width):
+            continue
+        if kinds[i] == TABLE:
+            kinds[i] = FURNITURE if _numbered(s) else TABLE
             continue
-        if PAGE.fullmatch(s):
+        if is_page(s):
             # alone in the last line of a paragraph it would end with a mark, which the pattern excludes
             kinds[i] = FURNITURE
             continue
-        if m := _BESIDE.fullmatch(s):
-            t = m["text"]
-            if len(t) <= 70 and not regex.search(r"\s{2,}", t) and regex.search(r"\p{L}", t) and not _END.search(t.rstrip(".")):
-                kinds[i] = FURNITURE
-                continue
+        if _numbered(s):
+            kinds[i] = FURNITURE
+            continue
         if len(_key(s)) >= 3:
             candidates[i] = s
     counts: dict[str, int] = {}
@@ -136,10 +177,10 @@ def classify(text: str) -> tuple[list[str], list[str]]:
         before, after = neighbour(i, -1), neighbour(i, 1)
         broken = before >= 0 and kinds[before] == BODY and not _END.search(bare[before]) and (len(bare[before]) > 0.6 * width or bool(_BREAK.search(bare[before])))
         goes_on = after < n and bool(regex.match(r"[\p{Ll}\p{Lo}\d(“«„]", bare[after]))
-        beside_number = any(0 <= j < n and kinds[j] == FURNITURE and PAGE.fullmatch(bare[j]) for j in (i - 1, i + 1))
+        beside_number = any(0 <= j < n and kinds[j] == FURNITURE and is_page(bare[j]) for j in (i - 1, i + 1))
         room = after < n and kinds[after] == BODY and len(s) + 1 + len(bare[after].split(" ")[0]) <= width - 3
         alone = (i == 0 or kinds[i - 1] in (BLANK, FURNITURE)) and (i + 1 == n or kinds[i + 1] in (BLANK, FURNITURE))
-        known = header_text(s) or of_title(s)
+        known = _named(s) or of_title(s)
         interrupts = room and not _END.search(s) and not _BREAK.search(s)
         if known and (broken or goes_on or beside_number or alone or interrupts or i + 1 == n):
             kinds[i] = FURNITURE

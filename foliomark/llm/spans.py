@@ -174,55 +174,66 @@ def _repeated(sketch: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _pack(starts: np.ndarray) -> bytes:
-    """Ascending positions as differences of two bytes where they fit, of four otherwise."""
+    """Ascending positions as differences of the fewest bytes that hold them."""
     steps = np.diff(starts, prepend=0)
-    return b"2" + steps.astype(np.uint16).tobytes() if int(steps.max(initial=0)) < 65536 else b"4" + steps.astype(np.uint32).tobytes()
+    most = int(steps.max(initial=0))
+    size = 1 if most < 256 else 2 if most < 65536 else 4
+    return bytes([size]) + steps.astype(f"<u{size}").tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(packed, np.uint16 if packed[:1] == b"2" else np.uint32, offset=1).astype(np.int64))
+    return np.cumsum(np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64))
+
+
+def _coded(hashes: np.ndarray, starts: np.ndarray) -> bytes:
+    """Windows of one text as (7 bytes of each hash, ascending positions)."""
+    return len(hashes).to_bytes(4, "little") + hashes.view(np.uint8).reshape(-1, 8)[:, :7].tobytes() + _pack(starts)
+
+
+def _decoded(code: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(code[:4], "little")
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :7] = np.frombuffer(code, np.uint8, 7 * n, 4).reshape(-1, 7)
+    return wide.view(np.uint64).ravel(), _unpack(code[4 + 7 * n :])
 
 
 def _groups(packed: DataFrame, salted: bool) -> DataFrame:
-    """Windows of more than one text: (id, starts) of each bucket, and what stays undecided within a salt."""
+    """Windows of more than one text: (same, starts, done) of each bucket, and what stays undecided within a salt.
+
+    ``bucket`` tells windows apart by their hash, ``salt`` texts; a text is named by ``same``, 0 stands for a
+    window that another salt has decided already.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        h, same, doc, at = [], [], [], []
-        for hashes, starts, own, ident in zip(pdf.hashes, pdf.starts, pdf.same, pdf.id):
-            raw = np.frombuffer(hashes, np.uint8).reshape(-1, 7)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :7] = raw
-            h.append(wide.view(np.uint64).ravel())
-            at.append(_unpack(starts))
-            same.append(np.full(len(raw), own, np.int64))
-            doc.append(np.full(len(raw), ident, np.int64))
-        h, same, doc, at = (np.concatenate(x) for x in (h, same, doc, at))
+        found = [_decoded(code) for code in pdf.code]
+        h = np.concatenate([f[0] for f in found])
+        at = np.concatenate([f[1] for f in found])
+        sizes = [len(f[0]) for f in found]
+        same, real = np.repeat(pdf.same.to_numpy(), sizes), np.repeat(~pdf["mark"].to_numpy(), sizes)
         order = np.argsort(h, kind="stable")
-        h, same, doc, at = h[order], same[order], doc[order], at[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))
-        shared = (np.minimum.reduceat(same, first) != np.maximum.reduceat(same, first))[group]
+        h, same, at, real = h[order], same[order], at[order], real[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        first = np.flatnonzero(new)
+        shared = (np.minimum.reduceat(same, first) != np.maximum.reduceat(same, first)) | ~np.logical_and.reduceat(real, first)
+        every = shared[np.cumsum(new) - 1]
         rows: list[tuple] = []
 
         def emit(chosen: np.ndarray, done: bool) -> None:
-            chosen = chosen[np.lexsort((at[chosen], doc[chosen]))]
-            edges = np.flatnonzero(np.diff(doc[chosen])) + 1
+            chosen = chosen[np.lexsort((at[chosen], same[chosen]))]
+            edges = np.flatnonzero(np.diff(same[chosen])) + 1
             for part in np.split(chosen, edges) if len(chosen) else []:
-                code = h[part].view(np.uint8).reshape(-1, 8)[:, :7].tobytes() if not done else b""
-                rows.append((int(doc[part[0]]), int(same[part[0]]), code, _pack(at[part]), done))
+                rows.append((int(same[part[0]]), _pack(at[part]) if done else _coded(h[part], at[part]), done, False))
 
-        emit(np.flatnonzero(shared & (doc != -(2**63))), True)
+        emit(np.flatnonzero(every & real), True)
         if salted:
-            emit(np.flatnonzero(~shared), False)
-            mark = first[shared[first]]  # one entry stands for a window that is decided here
-            for part in mark:
-                rows.append((-(2**63), int(same[part]), h[part : part + 1].view(np.uint8)[:7].tobytes(), _pack(np.zeros(1, np.int64)), False))
-        out = pd.DataFrame(rows, columns=["id", "same", "hashes", "starts", "done"])
+            emit(np.flatnonzero(~every), False)
+            rows.extend((0, _coded(h[k : k + 1], np.zeros(1, np.int64)), False, True) for k in first[shared])
+        out = pd.DataFrame(rows, columns=["same", "code", "done", "mark"])
         out["bucket"] = key[0]
         return out
 
     keys = ["bucket", "salt"] if salted else ["bucket"]
-    return packed.groupBy(*keys).applyInPandas(run, "id bigint, same bigint, hashes binary, starts binary, done boolean, bucket int")
+    return packed.groupBy(*keys).applyInPandas(run, "same bigint, code binary, done boolean, mark boolean, bucket int")
 
 
 def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int = 160, id_col: str = "doc_id", text_col: str = "text", source_text_col: str = "text", hot: int = 200_000, most_bits: int = 27, slice_chars: int = 20_000_000) -> DataFrame:
@@ -281,11 +292,11 @@ def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int =
     wanted = rows.join(groups.select("anchor"), "anchor").groupBy("id").agg(F.collect_list("at").alias("at"))
     half = span - span // 2
 
-    buckets = max(4, math.ceil(total * half / 500_000))
+    buckets = max(4, math.ceil(total * half / 1_000_000))
     salts = max(1, math.ceil(top / hot))
 
     def pack(ids, same, free, at, texts):
-        out = ([], [], [], [], [], [])
+        out = ([], [], [], [], [])
         for key, own, segments, positions, text in zip(ids, same, free, at, texts):
             sums = prefix(text)
             positions = np.sort(np.array(positions, np.int64))
@@ -305,19 +316,18 @@ def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int =
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order])) + 1
             for part in np.split(order, edges):
-                code = h[part].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-                for column, value in zip(out, (int(bucket[part[0]]), int(xxhash.xxh32_intdigest(str(key)) % salts), key, own, code, _pack(starts[part]))):
+                for column, value in zip(out, (int(bucket[part[0]]), xxhash.xxh32_intdigest(str(key)) % salts, own, _coded(h[part], starts[part]), False)):
                     column.append(value)
         return out
 
     chosen = held.join(wanted, "id").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "same", "free", "at", "text")
-    packed = arrow_map(chosen, pack, "bucket int, salt int, id bigint, same bigint, hashes binary, starts binary")
+    packed = arrow_map(chosen, pack, "bucket int, salt int, same bigint, code binary, mark boolean")
     if salts > 1:
         first = staged(_groups(packed, True), "salted")
         decided = first.filter("done").unionByName(_groups(first.filter("not done").drop("done"), False).filter("done"))
     else:
-        decided = _groups(packed, False).filter("done")
-    reps = decided.groupBy("same").agg(F.collect_list("starts").alias("starts"))
+        decided = _groups(packed.drop("salt"), False).filter("done")
+    reps = decided.groupBy("same").agg(F.collect_list("code").alias("starts"))
 
     # of each document: its source stretches, and its share with others
     def report(ids, own, free, starts, copied):
