@@ -1,7 +1,7 @@
 """Long stretches that records share character by character (problem 3).
 
-A shared span of at least 160 characters holds at least one anchor: an 80-character window whose hash is the
-least among 81 successive windows. Every partition counts its anchors in a count-min sketch; the merged sketch
+A shared span of at least 160 characters holds at least one anchor: a 100-character window whose hash is the
+least among 61 successive windows. Every partition counts its anchors in a count-min sketch; the merged sketch
 overestimates and so loses no repeated anchor. A second pass groups exactly the anchors estimated repeated,
 and then the 160-character windows around those that more than one text has.
 """
@@ -63,9 +63,13 @@ def _sliding(a: np.ndarray, w: int, least: bool) -> np.ndarray:
     return op(back[: n - w + 1], ahead[w - 1 : n])
 
 
+def anchor_length(span: int) -> int:
+    return span * 5 // 8
+
+
 def anchors(sums: np.ndarray, begin: int, end: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) of the anchors of [begin, end), a stretch of at least ``span`` characters."""
-    k = span // 2
+    k = anchor_length(span)
     h = windows(sums, k, begin, end)
     w = span - k + 1
     if len(h) < w:
@@ -252,7 +256,7 @@ def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int =
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = int(min(most_bits, max(16, math.ceil(math.log2(max(2, 16 * chars / (span // 4)))))))
+    bits = int(min(most_bits, max(16, math.ceil(math.log2(max(2, 16 * chars / (span // 5)))))))
     sketch = spark.sparkContext.broadcast(_sketch(docs, "id", "text", known, span, bits))
 
     def estimate(ids, texts):
@@ -290,7 +294,7 @@ def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int =
     size = groups.agg(F.sum("c").alias("total"), F.max("c").alias("top")).first()
     total, top = size["total"] or 0, size["top"] or 0
     wanted = rows.join(groups.select("anchor"), "anchor").groupBy("id").agg(F.collect_list("at").alias("at"))
-    half = span - span // 2
+    half = span - anchor_length(span)
 
     buckets = max(4, math.ceil(total * half / 1_000_000))
     salts = max(1, math.ceil(top / hot))
