@@ -1,0 +1,141 @@
+"""Signs that one sentence rewords another."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions.text import tokens
+
+# Groups of words of like meaning, verbs with their nouns, and word classes.
+SYNONYMS = """
+big large huge enormous massive gigantic
+small tiny little minute miniature
+fast quick rapid swift speedy
+slow sluggish gradual leisurely
+good excellent great fine superb wonderful
+bad poor awful terrible dreadful
+important significant crucial vital essential
+improve enhance better upgrade boost
+change alter modify transform adjust
+use utilize employ apply leverage
+make create produce generate build
+show demonstrate display reveal indicate
+help assist aid support facilitate
+begin start commence initiate launch
+end finish conclude complete terminate
+problem issue difficulty challenge obstacle
+answer response reply solution resolution
+method approach technique procedure way
+result outcome consequence effect conclusion
+study research investigation analysis examination
+data information facts figures statistics
+model framework structure system scheme
+cancer carcinoma malignancy tumor
+doctor physician clinician
+disease illness ailment condition disorder
+treatment therapy intervention care remedy
+diagnosis identification detection recognition
+patient sufferer client case
+medicine medication drug pharmaceutical
+health wellness wellbeing fitness
+climate weather atmosphere environment
+increase rise grow expand escalate
+decrease reduce decline diminish lessen
+predict forecast project estimate anticipate
+affect influence impact shape determine
+cause trigger produce
+danger threat risk hazard peril
+"""
+VERB_NOUN = "decide:decision conclude:conclusion analyze:analysis implement:implementation evaluate:evaluation assess:assessment apply:application perform:performance explain:explanation develop:development create:creation define:definition describe:description measure:measurement improve:improvement maintain:maintenance"
+_BE = "is|are|was|were|be|been|being"
+PASSIVE = rf"(?i)\b(?:{_BE})\s+(?:\w+ed|\w+en|written|done|made|seen|taken|given|shown|known|found|used|called|considered|regarded)\b"
+ACTIVE = (r"(?i)\b(?:I|we|they|he|she|it|you)\s+\w+", r"(?i)\b[A-Z][a-z]+\s+(?:conducted|found|showed|identified|demonstrated|reported|investigated|analyzed|examined)\b")
+CLASSES = (
+    ("D", "the a an this that these those"), ("C", "and or but yet so for"), ("P", "in on at by with from to"), ("B", "is are was were be been"),
+)
+
+
+def synonym_map() -> dict[str, list[str]]:
+    found: dict[str, set[str]] = {}
+    for line in SYNONYMS.split("\n"):
+        group = set(line.split())
+        for word in group:
+            found.setdefault(word, set()).update(group - {word})
+    return {w: sorted(s) for w, s in sorted(found.items())}
+
+
+def synonym_density(a: Column, b: Column) -> Column:
+    """Share of the distinct words of ``b`` that have a word of like meaning in ``a``."""
+    lookup = F.create_map(*(x for w, s in synonym_map().items() for x in (F.lit(w), F.array(*(F.lit(y) for y in s)))))
+    left, right = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
+    hits = F.filter(right, lambda w: F.coalesce(F.arrays_overlap(lookup[w], left), F.lit(False)))
+    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(F.size(hits) / F.size(right))
+
+
+def is_passive(c: Column) -> Column:
+    return c.rlike(PASSIVE)
+
+
+def is_active(c: Column) -> Column:
+    return c.rlike(ACTIVE[0]) | c.rlike(ACTIVE[1])
+
+
+def voice_changed(a: Column, b: Column) -> Column:
+    """One side has a passive, the other an active form; a sentence may have both."""
+    return (is_passive(a) & is_active(b)) | (is_active(a) & is_passive(b))
+
+
+def nominalization(a: Column, b: Column) -> Column:
+    """Of the verbs in ``a`` and nouns in ``b`` that are listed together, the share present on both sides."""
+    either, both = F.lit(0), F.lit(0)
+    for pair in VERB_NOUN.split():
+        verb, noun = pair.split(":")
+        has_verb, has_noun = F.lower(a).rlike(rf"\b{verb}").cast("int"), F.lower(b).rlike(rf"\b{noun}").cast("int")
+        either, both = either + F.greatest(has_verb, has_noun), both + has_verb * has_noun
+    return F.when(either == 0, 0.0).otherwise(both / either)
+
+
+def word_order_change(a: Column, b: Column) -> Column:
+    """Mean difference of the relative places of the words both sides have; 0 with fewer than two."""
+    left, right = tokens(a), tokens(b)
+
+    def places(words: Column, other: Column) -> Column:
+        marked = F.transform(words, lambda w, i: F.when(F.array_contains(other, w), i).otherwise(F.lit(-1)))
+        return F.filter(marked, lambda i: i >= 0)
+
+    pa, pb = places(left, right), places(right, left)
+    n = F.least(F.size(pa), F.size(pb))
+    ca, cb = F.slice(pa, 1, F.greatest(n, F.lit(1))), F.slice(pb, 1, F.greatest(n, F.lit(1)))
+
+    def scaled(p: Column) -> Column:
+        top = F.array_max(p)
+        return F.transform(p, lambda x: x / F.when(top == 0, 1).otherwise(top))
+
+    change = F.aggregate(F.zip_with(scaled(ca), scaled(cb), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    return F.when(n < 2, 0.0).otherwise(change / n)
+
+
+def structure_code(c: Column, most: int = 30) -> Column:
+    """One letter for the class of each of the first words."""
+
+    def letter(w: Column) -> Column:
+        out = F
+        for code, words in CLASSES:
+            out = out.when(w.isin(*words.split()), code)
+        out = out.when(w.endswith("ly"), "A").when(w.endswith("ing") | w.endswith("ed"), "V").when(w.endswith("tion") | w.endswith("ment") | w.endswith("ness"), "N")
+        return out.when(F.length(w) > 3, "W").otherwise("S")
+
+    return F.array_join(F.transform(F.slice(tokens(c), 1, most), letter), "")
+
+
+def structure_similarity(a: Column, b: Column) -> Column:
+    """Edit similarity of the two class sequences; 0 if either is empty."""
+    left, right = structure_code(a), structure_code(b)
+    return F.when((left == "") | (right == ""), 0.0).otherwise(1 - F.levenshtein(left, right) / F.greatest(F.length(left), F.length(right)))
+
+
+def paraphrase_score(a: Column, b: Column) -> Column:
+    """Weighted sum of the five signs."""
+    voice = F.when(voice_changed(a, b), 1.0).otherwise(0.0)
+    return 0.35 * synonym_density(a, b) + 0.2 * voice + 0.15 * nominalization(a, b) + 0.15 * structure_similarity(a, b) + 0.15 * word_order_change(a, b)
