@@ -6,6 +6,8 @@ lower-cased. Null texts give null or empty arrays, never an error.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,10 +44,20 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, also where ``fn`` uses it inside a lambda."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def grams(words: Column, n: int) -> Column:
     """Runs of n words, joined by blanks."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    def runs(w: Column) -> Column:
+        m = F.size(w) - (n - 1)
+        shifted = F.arrays_zip(*(F.slice(w, k, m).alias(f"w{k}") for k in range(1, n + 1)))
+        return F.when(m > 0, F.transform(shifted, lambda x: F.concat_ws(" ", *(x[f"w{k}"] for k in range(1, n + 1))))).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, runs)
 
 
 def sentences(c: Column, protect: bool = True) -> Column:
@@ -106,12 +118,15 @@ def is_heading(c: Column, most_words: int = 12) -> Column:
 
 def chunks(c: Column, size: int = 200, overlap: int = 40, least: int = 20) -> Column:
     """Overlapping chunks of ``size`` white-space words; later chunks of fewer than ``least`` words are left out."""
-    words = pieces(c)
-    n = F.size(words)
-    starts = F.when(n > size, F.sequence(F.lit(1), n, F.lit(size - overlap))).otherwise(F.array(F.lit(1)))
-    parts = F.transform(starts, lambda i: F.slice(words, i, size))
-    kept = F.filter(parts, lambda p, i: (i == 0) | (F.size(p) >= least))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(kept, lambda p: F.array_join(p, " ")))
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.when(n > size, F.sequence(F.lit(1), n, F.lit(size - overlap))).otherwise(F.array(F.lit(1)))
+        parts = F.transform(starts, lambda i: F.slice(words, i, size))
+        kept = F.filter(parts, lambda p, i: (i == 0) | (F.size(p) >= least))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(kept, lambda p: F.array_join(p, " ")))
+
+    return bound(pieces(c), cut)
 
 
 def document_key(c: Column) -> Column:

@@ -54,7 +54,11 @@ def references_section(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def inline_citations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kind, raw) of every citation: numeric, author_year in either form, doi. A text may hold one twice."""
     kinds = (("numeric", NUMERIC), ("author_year", AUTHOR_YEAR), ("author_year", AUTHOR_BESIDE_YEAR), ("doi", DOI))
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(text_col, F.lit(p), F.lit(0)), lambda r, k=k: F.struct(F.lit(k).alias("kind"), r.alias("raw"))) for k, p in kinds)))
+
+    def tagged(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0)), lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("raw")))
+
+    found = F.flatten(F.array(*(tagged(k, p) for k, p in kinds)))
     return df.select(id_col, F.explode(found).alias("c")).select(id_col, "c.kind", "c.raw")
 
 

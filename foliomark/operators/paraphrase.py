@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import bound, tokens
 
 # Groups of words of like meaning, verbs with their nouns, and word classes.
 SYNONYMS = """
@@ -68,9 +68,13 @@ def synonym_map() -> dict[str, list[str]]:
 def synonym_density(a: Column, b: Column) -> Column:
     """Share of the distinct words of ``b`` that have a word of like meaning in ``a``."""
     lookup = F.create_map(*(x for w, s in synonym_map().items() for x in (F.lit(w), F.array(*(F.lit(y) for y in s)))))
-    left, right = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
-    hits = F.filter(right, lambda w: F.coalesce(F.arrays_overlap(lookup[w], left), F.lit(False)))
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(F.size(hits) / F.size(right))
+
+    def density(sides: Column) -> Column:
+        left, right = sides["left"], sides["right"]
+        hits = F.filter(right, lambda w: F.coalesce(F.arrays_overlap(lookup[w], left), F.lit(False)))
+        return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(F.size(hits) / F.size(right))
+
+    return bound(F.struct(F.array_distinct(tokens(a)).alias("left"), F.array_distinct(tokens(b)).alias("right")), density)
 
 
 def is_passive(c: Column) -> Column:
@@ -98,22 +102,26 @@ def nominalization(a: Column, b: Column) -> Column:
 
 def word_order_change(a: Column, b: Column) -> Column:
     """Mean difference of the relative places of the words both sides have; 0 with fewer than two."""
-    left, right = tokens(a), tokens(b)
 
     def places(words: Column, other: Column) -> Column:
         marked = F.transform(words, lambda w, i: F.when(F.array_contains(other, w), i).otherwise(F.lit(-1)))
         return F.filter(marked, lambda i: i >= 0)
 
-    pa, pb = places(left, right), places(right, left)
-    n = F.least(F.size(pa), F.size(pb))
-    ca, cb = F.slice(pa, 1, F.greatest(n, F.lit(1))), F.slice(pb, 1, F.greatest(n, F.lit(1)))
+    def scaled(p: Column, n: Column) -> Column:
+        def by_top(cut: Column) -> Column:
+            return bound(F.struct(cut.alias("p"), F.greatest(F.array_max(cut), F.lit(1)).alias("top")), lambda x: F.transform(x["p"], lambda v: v / x["top"]))
+
+        return bound(F.slice(p, 1, F.greatest(n, F.lit(1))), by_top)
+
+    def change(both: Column) -> Column:
+        n = F.least(F.size(both["a"]), F.size(both["b"]))
+        total = F.aggregate(F.zip_with(scaled(both["a"], n), scaled(both["b"], n), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+        return F.when(n < 2, 0.0).otherwise(total / n)
 
-    def scaled(p: Column) -> Column:
-        top = F.array_max(p)
-        return F.transform(p, lambda x: x / F.when(top == 0, 1).otherwise(top))
+    def placed(sides: Column) -> Column:
+        return bound(F.struct(places(sides["left"], sides["right"]).alias("a"), places(sides["right"], sides["left"]).alias("b")), change)
 
-    change = F.aggregate(F.zip_with(scaled(ca), scaled(cb), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    return F.when(n < 2, 0.0).otherwise(change / n)
+    return bound(F.struct(tokens(a).alias("left"), tokens(b).alias("right")), placed)
 
 
 def structure_code(c: Column, most: int = 30) -> Column:

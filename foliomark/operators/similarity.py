@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
@@ -94,6 +94,7 @@ def minhash_constants() -> tuple[np.ndarray, np.ndarray]:
 
 def minhash(words: Column, n: int = 5) -> Column:
     """MinHash signature (128 numbers) of the distinct runs of n words; of texts without a run all largest."""
+    ship(SparkSession.active())
     a, b = minhash_constants()
 
     @F.pandas_udf(ArrayType(LongType()))
@@ -121,7 +122,8 @@ def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     """(id, simhash): 64 votes of the MD5 bits of all runs of n words; 0 without a run. Null texts count as empty."""
     source = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     h = F.conv(F.concat(*(F.substring(F.md5(F.col("_g")), i, 2) for i in range(15, 0, -2))), 16, 10).cast("decimal(20,0)")
-    signed = F.when(h >= F.lit(2**63).cast("decimal(20,0)"), h - F.lit(2**64).cast("decimal(20,0)")).otherwise(h).cast("bigint")
+    half, whole = F.expr("CAST(9223372036854775808 AS DECIMAL(20,0))"), F.expr("CAST(18446744073709551616 AS DECIMAL(20,0))")
+    signed = F.when(h >= half, h - whole).otherwise(h).cast("bigint")
     rows = source.select(id_col, F.explode(grams(tokens(F.col("_t")), n)).alias("_g")).select(id_col, signed.alias("_h"))
     votes = rows.groupBy(id_col).agg(F.count("*").alias("_n"), *(F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1))).alias(f"_v{i}") for i in range(64)))
     value = F.lit(0).cast("bigint")
@@ -180,6 +182,9 @@ def jaro_winkler_value(a: str, b: str, scale: float = 0.1) -> float:
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
+    """Jaro-Winkler of two columns; null where either is null."""
+    ship(SparkSession.active())
+
     @F.pandas_udf(DoubleType())
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else jaro_winkler_value(p, q) for p, q in zip(x, y)], dtype="float64")

@@ -19,6 +19,16 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def whole(pattern: str) -> str:
+    """A pattern whose word boundaries know letters of all alphabets, for tests only (it takes one character more)."""
+    head, flags = (pattern[4:], "(?i)") if pattern.startswith("(?i)") else (pattern, "")
+    if head.startswith(r"\b"):
+        head = r"(?:^|[^\p{L}\p{N}\p{M}_])" + head[2:]
+    if head.endswith(r"\b"):
+        head = head[:-2] + r"(?:$|[^\p{L}\p{N}\p{M}_])"
+    return flags + head
+
+
 def trim(c: str) -> str:
     return f"regexp_replace({c}, '^{W}+|{W}+$', '', 'g')"
 
@@ -120,7 +130,7 @@ FINDINGS = _latest("findings", "finding_id", "created_at DESC NULLS LAST, loaded
 
 
 def _prints() -> str:
-    sub = " + ".join(f"regexp_matches(lower(x), '\\b{w}\\b')::BIGINT" for w in wr.SUBORDINATORS)
+    sub = " + ".join(f"regexp_matches(lower(x), {q(whole(chr(92) + "b" + w + chr(92) + "b"))})::BIGINT" for w in wr.SUBORDINATORS)
     words = ", ".join(q(w) for w in wr.FUNCTION_WORDS)
     syll = "greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN ends_with(x, 'e') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END)"
     mean = "(list_sum(l)::DOUBLE / k)"
@@ -269,12 +279,12 @@ r(node, other) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON
     synd = lambda a, b: f"(CASE WHEN len({toks(a)}) = 0 OR len({toks(b)}) = 0 THEN 0.0 ELSE len(list_filter(list_distinct({toks(b)}), lambda w: len(list_intersect(syn[w], {toks(a)})) > 0))::DOUBLE / len(list_distinct({toks(b)})) END)"
     base = f"e AS (SELECT evidence_id, source_text AS a, submitted_text AS b, {syn} AS syn FROM {PAIRS})"
     out["synonym_density"] = f"WITH {base} SELECT evidence_id, round({synd('a', 'b')}, 6) AS density FROM e"
-    pas, act = lambda c: f"regexp_matches({c}, {q(pa.PASSIVE)})", lambda c: f"(regexp_matches({c}, {q(pa.ACTIVE[0])}) OR regexp_matches({c}, {q(pa.ACTIVE[1])}))"
+    pas, act = lambda c: f"regexp_matches({c}, {q(whole(pa.PASSIVE))})", lambda c: f"(regexp_matches({c}, {q(whole(pa.ACTIVE[0]))}) OR regexp_matches({c}, {q(whole(pa.ACTIVE[1]))}))"
     changed = f"(({pas('a')} AND {act('b')}) OR ({act('a')} AND {pas('b')}))"
     out["voice_change"] = f"WITH {base} SELECT evidence_id, {pas('b')} AS passive, {act('b')} AS active, {changed} AS changed FROM e"
     verbs = [p.split(":") for p in pa.VERB_NOUN.split()]
-    either = " + ".join(f"greatest(regexp_matches(lower(a), '\\b{v}')::INT, regexp_matches(lower(b), '\\b{n}')::INT)" for v, n in verbs)
-    twice = " + ".join(f"regexp_matches(lower(a), '\\b{v}')::INT * regexp_matches(lower(b), '\\b{n}')::INT" for v, n in verbs)
+    either = " + ".join(f"greatest(regexp_matches(lower(a), {q(whole(chr(92) + "b" + v))})::INT, regexp_matches(lower(b), {q(whole(chr(92) + "b" + n))})::INT)" for v, n in verbs)
+    twice = " + ".join(f"regexp_matches(lower(a), {q(whole(chr(92) + "b" + v))})::INT * regexp_matches(lower(b), {q(whole(chr(92) + "b" + n))})::INT" for v, n in verbs)
     nom = f"(CASE WHEN ({either}) = 0 THEN 0.0 ELSE ({twice})::DOUBLE / ({either}) END)"
     out["nominalization"] = f"WITH {base} SELECT evidence_id, round({nom}, 6) AS score FROM e"
     place = lambda x, y: f"list_filter(list_transform(range(1, len({x}) + 1), lambda i: CASE WHEN list_contains({y}, {x}[i]) THEN i - 1 ELSE -1 END), lambda i: i >= 0)"
