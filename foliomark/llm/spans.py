@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import functools
 import math
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,6 +171,21 @@ def _sketch(documents: DataFrame, id_col: str, text_col: str, known: Sources, sp
     return out.reshape(2, -1)
 
 
+class Sketch:
+    """The merged sketch as it is broadcast: compressed, opened once in each worker."""
+
+    _opened: dict[str, np.ndarray] = {}
+
+    def __init__(self, cells: np.ndarray):
+        self.key, self.packed = uuid.uuid4().hex, zlib.compress(cells.tobytes(), 1)
+
+    def cells(self) -> np.ndarray:
+        if self.key not in Sketch._opened:
+            Sketch._opened.clear()
+            Sketch._opened[self.key] = np.frombuffer(zlib.decompress(self.packed), np.uint8).reshape(2, -1)
+        return Sketch._opened[self.key]
+
+
 def _repeated(sketch: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     keep = np.ones(len(h), bool)
     for depth in range(2):
@@ -257,7 +274,7 @@ def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int =
     docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(min(most_bits, max(16, math.ceil(math.log2(max(2, 16 * chars / (span // 5)))))))
-    sketch = spark.sparkContext.broadcast(_sketch(docs, "id", "text", known, span, bits))
+    sketch = spark.sparkContext.broadcast(Sketch(_sketch(docs, "id", "text", known, span, bits)))
 
     def estimate(ids, texts):
         out = ([], [], [], [], [], [])
@@ -268,7 +285,7 @@ def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int =
             found = [anchors(sums, a, b, span) for a, b in free]
             h = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
             at = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-            keep = _repeated(sketch.value, h, bits)
+            keep = _repeated(sketch.value.cells(), h, bits)
             kept = bool(keep.any())
             values = (key, xxhash.xxh3_64_intdigest(text) - 2**63, np.array(own, np.int64).tobytes(), np.array(free, np.int64).tobytes(), h[keep].tobytes() + at[keep].tobytes() if kept else None, text if kept else None)
             for column, value in zip(out, values):
