@@ -50,7 +50,7 @@ def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
 
 
 def grams(words: Column, n: int) -> Column:
-    """Runs of n words, joined by blanks."""
+    """Runs of n words, joined by blanks; empty for null and for fewer than n words."""
 
     def runs(w: Column) -> Column:
         m = F.size(w) - (n - 1)
