@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import pieces
+from .text import bound, pieces
 
 # Scripts by range of code points, with the language each stands for.
 SCRIPTS = {
@@ -35,38 +35,47 @@ def script_counts(c: Column) -> Column:
     """Letters of each script: an array of (script, letters, place of the first); other letters are ``other``."""
     every = "".join(r for r, _ in SCRIPTS.values())
 
-    def entry(name: str, pattern: str) -> Column:
-        return F.struct(F.lit(name).alias("script"), F.regexp_count(c, F.lit(pattern)).alias("letters"), F.regexp_instr(c, F.lit(pattern)).alias("place"))
+    def counted(letters: Column) -> Column:
+        def entry(name: str, ranges: str) -> Column:
+            without = F.regexp_replace(letters, f"[{ranges}]+", "")
+            first = F.length(F.regexp_extract(letters, f"^[^{ranges}]*", 0)) if not ranges.startswith("^") else F.length(F.regexp_extract(letters, f"^[{ranges[1:]}]*", 0))
+            return F.struct(F.lit(name).alias("script"), (F.length(letters) - F.length(without)).alias("letters"), first.alias("place"))
 
-    named = [entry(name, rf"[\p{{L}}&&[{ranges}]]") for name, (ranges, _) in SCRIPTS.items()]
-    return F.array(*named, entry("other", rf"[\p{{L}}&&[^{every}]]"))
+        return F.array(*(entry(name, ranges) for name, (ranges, _) in SCRIPTS.items()), entry("other", f"^{every}"))
+
+    return bound(F.regexp_replace(c, r"[^\p{L}]+", ""), counted)
 
 
 def detect_script(c: Column) -> Column:
     """The script of most letters, of equals the one met first; ``unknown`` without letters."""
-    best = F.array_max(F.transform(script_counts(c), lambda x: F.struct(x["letters"].alias("n"), (-x["place"]).alias("p"), x["script"].alias("s"))))
-    return F.when(c.isNull() | (best["n"] == 0), F.lit("unknown")).otherwise(best["s"])
+    ranked = F.array_max(F.transform(script_counts(c), lambda x: F.struct(x["letters"].alias("n"), (-x["place"]).alias("p"), x["script"].alias("s"))))
+    return F.when(c.isNull(), F.lit("unknown")).otherwise(bound(ranked, lambda best: F.when(best["n"] == 0, F.lit("unknown")).otherwise(best["s"])))
 
 
 def _first_best(scores: dict[str, Column], none: str) -> Column:
-    best = F.array_max(F.array(*(F.struct(score.alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, score) in enumerate(scores.items()))))
-    return F.when(best["n"] > 0, best["lang"]).otherwise(F.lit(none))
+    ranked = F.array_max(F.array(*(F.struct(score.alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, score) in enumerate(scores.items()))))
+    return bound(ranked, lambda best: F.when(best["n"] > 0, best["lang"]).otherwise(F.lit(none)))
 
 
 def detect_language(c: Column) -> Column:
     """Language code: the script's language, refined by marker words in Arabic and Latin script."""
-    script = detect_script(c)
-    words = F.array_distinct(pieces(c))
-    arabic = _first_best({lang: F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in marks.split())))) for lang, marks in ARABIC_SCRIPT.items()}, "ur")
-    padded = F.concat(F.lit(" "), F.lower(c), F.lit(" "))
+    def arabic(words: Column) -> Column:
+        return _first_best({lang: F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in marks.split())))) for lang, marks in ARABIC_SCRIPT.items()}, "ur")
 
-    def hits(word: str) -> Column:
+    def hits(padded: Column, word: str) -> Column:
         mark = f" {word} "
         return ((F.length(padded) - F.length(F.replace(padded, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
 
-    latin = _first_best({lang: sum((hits(w) for w in marks.split()), F.lit(0)) for lang, marks in LATIN_SCRIPT.items()}, "en")
+    def latin(padded: Column) -> Column:
+        return _first_best({lang: sum((hits(padded, w) for w in marks.split()), F.lit(0)) for lang, marks in LATIN_SCRIPT.items()}, "en")
+
     direct = F.create_map(*(F.lit(x) for name, (_, lang) in SCRIPTS.items() for x in (name, lang)))
-    return F.when(script == "arabic", arabic).when(script == "latin", latin).otherwise(F.coalesce(direct[script], F.lit("unknown")))
+
+    def of_script(script: Column) -> Column:
+        refined = F.when(script == "arabic", bound(F.array_distinct(pieces(c)), arabic)).when(script == "latin", bound(F.concat(F.lit(" "), F.lower(c), F.lit(" ")), latin))
+        return refined.otherwise(F.coalesce(direct[script], F.lit("unknown")))
+
+    return bound(detect_script(c), of_script)
 
 
 def language_name(code: Column) -> Column:
