@@ -249,10 +249,24 @@ def source_discovery(inputs: Inputs) -> DataFrame | None:
 
 @register("research_integrity")
 def research_integrity(inputs: Inputs) -> DataFrame | None:
-    """Paragraphs over 80 characters that a document repeats, and repeated headings."""
+    """Paragraphs over 80 characters that a document repeats, repeated headings, and terms used beside their short forms."""
     blocks = repeated_blocks(inputs.submitted)
     rows = best_evidence(blocks.select("doc_id", "kind", F.substring("block", 1, 300).alias("submitted"), F.lit(None).cast("string").alias("source"), F.col("times").cast("double").alias("similarity"), F.lit("repetition").alias("method")), ["doc_id", "kind"], 5, 1)
-    return finding("research_integrity", rows, "Parts of the document are repeated", F.when(F.col("kind") == "paragraph", 0.95).otherwise(0.85), F.when(F.col("kind") == "paragraph", "medium").otherwise("low"))
+    repeated = finding("research_integrity", rows, "Parts of the document are repeated", F.when(F.col("kind") == "paragraph", 0.95).otherwise(0.85), F.when(F.col("kind") == "paragraph", "medium").otherwise("low"))
+    terms = term_variance(inputs.submitted).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("term").alias("submitted"), F.col("short").alias("source"), F.lit(1.0).alias("similarity"), F.lit("term").alias("method")))).alias("evidence"))
+    return repeated.unionByName(finding("research_integrity", terms, "Terms and their short forms are mixed", F.lit(0.55), F.lit("low")))
+
+
+# Terms and their short forms.
+TERMS = {"artificial intelligence": "ai", "machine learning": "ml", "deep learning": "dl", "neural network": "nn", "natural language processing": "nlp"}
+
+
+def term_variance(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 3) -> DataFrame:
+    """(id, term, short, term_count, short_count) where a text uses a term and its short form ``least`` times or more each."""
+    lower = F.lower(text_col)
+    times = lambda w: ((F.length(lower) - F.length(F.replace(lower, F.lit(w), F.lit("")))) / len(w)).cast("bigint")
+    pairs = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(s).alias("short"), times(t).alias("term_count"), times(s).alias("short_count")) for t, s in TERMS.items()))
+    return df.filter(F.col(text_col).isNotNull()).select(id_col, F.explode(pairs).alias("x")).select(id_col, "x.*").filter((F.col("term_count") >= least) & (F.col("short_count") >= least))
 
 
 def repeated_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 80) -> DataFrame:

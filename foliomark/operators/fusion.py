@@ -51,3 +51,8 @@ def summary(report: DataFrame) -> DataFrame:
 def as_json(report: DataFrame) -> DataFrame:
     """(doc_id, report) with the row as JSON."""
     return report.select("doc_id", F.to_json(F.struct("*")).alias("report"))
+
+
+def shown_evidence(evidence: DataFrame) -> DataFrame:
+    """Evidence as reports show it: quotes of 300 characters at most, similarity to four decimals."""
+    return evidence.withColumn("submitted_text", F.substring("submitted_text", 1, 300)).withColumn("source_text", F.substring("source_text", 1, 300)).withColumn("similarity", F.round("similarity", 4))

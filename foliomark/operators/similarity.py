@@ -136,6 +136,22 @@ def simhash_similarity(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64.0
 
 
+def simhash_pairs(signatures: DataFrame, most: int = 9, id_col: str = "doc_id", hash_col: str = "simhash") -> DataFrame:
+    """(a, b, distance) of all pairs of different signatures at most ``most`` bits apart, between class representatives.
+
+    Exact by the pigeonhole principle: of ``most`` + 1 blocks of bits such a pair has one in common. Equal signatures
+    are one class, named by its smallest id.
+    """
+    classes = signatures.groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"))
+    blocks = most + 1
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    parts = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
+    rows = classes.select("id", "h", F.explode(parts).alias("p")).select("id", "h", "p.block", "p.bits")
+    left, right = rows.select(F.col("id").alias("a"), F.col("h").alias("ha"), "block", "bits"), rows.select(F.col("id").alias("b"), F.col("h").alias("hb"), "block", "bits")
+    near = left.join(right, ["block", "bits"]).filter("a < b").withColumn("distance", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))).filter(F.col("distance") <= most)
+    return near.select("a", "b", "distance").distinct()
+
+
 def tfidf_cosine(pairs: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
     """(id, tfidf_cosine) of the two texts of each row: words of two letters or more and pairs of them,
     weighted by frequency times ln(3 / (1 + df)) + 1 over just the two texts."""

@@ -14,6 +14,7 @@ from ..operators import citations as ci
 from ..operators import detectors as de
 from ..operators import fusion, graph, paraphrase, store, writing
 from ..operators import similarity as si
+from ..operators import vector_store as vs
 from . import oracle
 from .entry_support import Query
 from .session import table
@@ -173,6 +174,10 @@ def simhash_similarity(spark, sf):
     return a.join(b, "evidence_id").select("evidence_id", si.simhash_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
+def simhash_pairs(spark, sf):
+    return si.simhash_pairs(si.simhash(docs(spark, sf)))
+
+
 def tfidf_cosine(spark, sf):
     return si.tfidf_cosine(table(spark, sf, "evidence").filter("source_text is not null and submitted_text is not null"), "evidence_id", "submitted_text", "source_text")
 
@@ -229,6 +234,28 @@ def batch_clusters(spark, sf):
     return graph.connected_components(batch_pairs(spark, sf))
 
 
+def compare_documents(spark, sf):
+    v = _vectors(spark, sf).withColumnRenamed("label", "doc_id")
+    labels = v.select(F.col("doc_id").alias("a")).distinct()
+    return vs.best_chunks(v, labels.crossJoin(labels.withColumnRenamed("a", "b")).filter("b = a + 1"), VECTOR_MIN - 0.1)
+
+
+def vector_of_one_document(spark, sf):
+    return _vectors(spark, sf).filter("label = 3").select("vec_id", F.size("embedding").alias("width"))
+
+
+def paragraph_chunks(spark, sf):
+    return vs.paragraph_chunks(docs(spark, sf), table(spark, sf, "paragraphs"))
+
+
+def term_variance(spark, sf):
+    return de.term_variance(docs(spark, sf))
+
+
+def shown_evidence(spark, sf):
+    return fusion.shown_evidence(table(spark, sf, "evidence")).select("evidence_id", "submitted_text", "source_text", "similarity")
+
+
 def synonym_density(spark, sf):
     return _pairs(spark, sf).select("evidence_id", paraphrase.synonym_density(F.col("source_text"), F.col("submitted_text")).alias("density"))
 
@@ -355,8 +382,8 @@ def _detector(name):
 _NAMED = (
     clean_text, word_counts, tokens_topk, ngram_freq, sentences, paragraphs, headings, chunks_200_40, document_keys, references_section, inline_citations, citation_issues, citation_coverage,
     uncited_claims, reference_fields, reference_scores, script_detect, language_detect, lang_agreement, jaccard5_pairs, jaccard5_classes, containment5_sources, exact_spans8, longest_span,
-    minhash_signatures, minhash_similarity, simhash, simhash_similarity, tfidf_cosine, levenshtein_ratio, jaro_winkler, sentence_match, knn_batch, source_discovery, semantic_best_match,
-    batch_pairs, batch_clusters, collusion_edges, synonym_density, voice_change, nominalization, word_order, structure_similarity, paraphrase_score, writing_signals, tool_marks,
+    minhash_signatures, minhash_similarity, simhash, simhash_similarity, simhash_pairs, tfidf_cosine, levenshtein_ratio, jaro_winkler, sentence_match, knn_batch, source_discovery, semantic_best_match,
+    batch_pairs, batch_clusters, collusion_edges, compare_documents, vector_of_one_document, paragraph_chunks, term_variance, shown_evidence, synonym_density, voice_change, nominalization, word_order, structure_similarity, paraphrase_score, writing_signals, tool_marks,
     style_fingerprint, style_deviation, common_phrases, repeated_blocks, web_queries, evidence_domains, html_text, store_upsert_latest, latest_runs, store_stats, store_cascade_delete,
     fusion_report, findings_by_type, top_evidence,
 )

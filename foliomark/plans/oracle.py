@@ -253,6 +253,7 @@ SELECT x.id AS evidence_id, round(len(list_filter(range(1, 129), lambda i: x.sig
 
     out["simhash"] = f"WITH {votes('documents', 'doc_id', 'text', 'x')} SELECT id AS doc_id, h AS simhash FROM x"
     out["simhash_similarity"] = f"WITH {votes(PAIRS, 'evidence_id', 'submitted_text', 'x')}, {votes(PAIRS, 'evidence_id', 'source_text', 'y')} SELECT x.id AS evidence_id, round(1 - bit_count(xor(x.h, y.h)) / 64.0, 6)::DOUBLE AS similarity FROM x JOIN y USING (id)"
+    out["simhash_pairs"] = f"WITH {votes('documents', 'doc_id', 'text', 'x')}, c AS (SELECT h, min(id) AS id FROM x GROUP BY h) SELECT p.id AS a, r.id AS b, bit_count(xor(p.h, r.h))::BIGINT AS distance FROM c p JOIN c r ON p.id < r.id WHERE bit_count(xor(p.h, r.h)) <= 9"
     term = lambda c: f"list_filter({toks(c)}, lambda x: length(x) >= 2)"
     both = lambda c: f"list_concat(w, {grams('w', 2)}) FROM (SELECT evidence_id, {term(c)} AS w FROM {PAIRS})"
     out["tfidf_cosine"] = f"""WITH a AS (SELECT evidence_id, t, count(*) AS n FROM (SELECT evidence_id, unnest(x) AS t FROM (SELECT evidence_id, {both('submitted_text').replace(' FROM', ' AS x FROM', 1)})) GROUP BY ALL),
@@ -275,6 +276,17 @@ SELECT e.evidence_id, round(coalesce(CASE WHEN p > 0 AND r > 0 THEN d / sqrt(p *
 r(node, other) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.other = s.a) SELECT node, min(other) AS component FROM r GROUP BY node"""
     out["collusion_edges"] = f"SELECT least(la, lb)::BIGINT AS a, greatest(la, lb)::BIGINT AS b, count(*) AS shared, round(avg(score), 6) AS mean_score FROM ({pair}) WHERE score >= 0.35 AND la <> lb GROUP BY 1, 2 HAVING count(*) >= 2"
 
+    out["compare_documents"] = f"SELECT q.label::BIGINT AS a, v.label::BIGINT AS b, q.vec_id AS vec_a, v.vec_id AS vec_b, round({score}, 6) AS score FROM embeddings q JOIN embeddings v ON v.label = q.label + 1 QUALIFY row_number() OVER (PARTITION BY q.label, q.vec_id ORDER BY {score} DESC, v.vec_id) = 1 AND {score} >= 0.30"
+    out["vector_of_one_document"] = "SELECT vec_id, len(embedding) AS width FROM embeddings WHERE label = 3"
+    kept = f"kept AS (SELECT doc_id, paragraph_index, any_value(text) AS text FROM paragraphs WHERE NOT coalesce(is_reference, false) AND len({pcs("coalesce(text, '')")}) >= 10 GROUP BY ALL)"
+    out["paragraph_chunks"] = f"""WITH {kept}, t AS (SELECT doc_id, paragraph_index, {pcs('text')} AS w FROM kept UNION ALL SELECT doc_id, -1, {pcs('text')} FROM {DOCS} WHERE doc_id NOT IN (SELECT doc_id FROM kept)),
+c AS (SELECT doc_id, paragraph_index, w, unnest(CASE WHEN len(w) > 200 THEN range(1, len(w) + 1, 160) ELSE [1] END) AS i FROM t WHERE len(w) > 0), p AS (SELECT doc_id, paragraph_index, i, list_slice(w, i, i + 199) AS c FROM c)
+SELECT doc_id, paragraph_index::BIGINT AS paragraph_index, row_number() OVER (PARTITION BY doc_id, paragraph_index ORDER BY i) - 1 AS sub_index, array_to_string(c, ' ') AS chunk FROM p WHERE i = 1 OR len(c) >= 20"""
+    terms = {"artificial intelligence": "ai", "machine learning": "ml", "deep learning": "dl", "neural network": "nn", "natural language processing": "nlp"}
+    times = lambda w: f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}"
+    out["term_variance"] = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS term, '{x}' AS short, {times(t)} AS term_count, {times(x)} AS short_count FROM {DOCS} WHERE {times(t)} >= 3 AND {times(x)} >= 3" for t, x in terms.items())
+    out["shown_evidence"] = "SELECT evidence_id, substring(submitted_text, 1, 300) AS submitted_text, substring(source_text, 1, 300) AS source_text, round(similarity, 4) AS similarity FROM evidence"
+
     syn = "MAP {" + ", ".join(f"{q(w)}: [{', '.join(q(y) for y in s)}]" for w, s in pa.synonym_map().items()) + "}"
     synd = lambda a, b: f"(CASE WHEN len({toks(a)}) = 0 OR len({toks(b)}) = 0 THEN 0.0 ELSE len(list_filter(list_distinct({toks(b)}), lambda w: len(list_intersect(syn[w], {toks(a)})) > 0))::DOUBLE / len(list_distinct({toks(b)})) END)"
     base = f"e AS (SELECT evidence_id, source_text AS a, submitted_text AS b, {syn} AS syn FROM {PAIRS})"

@@ -179,3 +179,38 @@ def test_detectors_run_and_one_failure_is_contained(spark):
     assert status["broken"] == "failed" and status["exact_copy"] == "ok" and status["web_match"] == "skipped"
     kinds = {(r.finding_type, r.source_id) for r in findings.collect()}
     assert ("exact_copy", 11) in kinds and ("self_plagiarism", 11) in kinds and ("exact_copy", 12) not in kinds
+
+
+def test_simhash_pairs_are_exact(spark):
+    random.seed(4)
+    base = [random.getrandbits(63) for _ in range(20)]
+    rows = [(i, h) for i, h in enumerate(base)] + [(100 + i, h ^ sum(1 << b for b in random.sample(range(63), k))) for i, (h, k) in enumerate(zip(base, range(20)))] + [(999, base[0])]
+    got = {(r.a, r.b, r.distance) for r in si.simhash_pairs(spark.createDataFrame(rows, "doc_id bigint, simhash bigint")).collect()}
+    least = {}
+    for i, h in sorted(rows):
+        least.setdefault(h, i)
+    want = {(min(i, j), max(i, j), (g ^ h).bit_count()) for g, i in least.items() for h, j in least.items() if i < j and (g ^ h).bit_count() <= 9}
+    assert got == want
+
+
+def test_vector_index(spark, tmp_path):
+    from foliomark.operators.vector_store import VectorIndex
+
+    words = "the weighted survey confirms the regional trend in the northern districts"
+    docs = spark.createDataFrame([(1, "ignored"), (2, " ".join(["alpha beta gamma"] * 10)), (3, None)], "doc_id bigint, text string")
+    par = spark.createDataFrame([(1, 0, words + " again", False), (1, 0, words + " again", False), (1, 1, "too short", False), (1, 2, words + " in a reference", True)], "doc_id bigint, paragraph_index int, text string, is_reference boolean")
+    index = VectorIndex(spark, store.Store(spark, str(tmp_path / "s")))
+    with pytest.raises(LookupError):
+        index.all()
+    index.index_documents(docs, par)
+    index.index_documents(docs.filter("doc_id = 1"), par)
+    assert {(r.doc_id, r.paragraph_index) for r in index.all().collect()} == {(1, 0), (2, -1)}
+    best = index.search([words, "beta gamma alpha"], 1).orderBy("query_id").collect()
+    assert [r.doc_id for r in best] == [1, 2] and best[0].score > 0.8
+    assert index.search([words], 3, doc_id=2).count() == 1 and index.compare(1, 2, -1.0).count() == 1 and index.get(1).count() == 1
+    index.clear()
+
+
+def test_term_variance(spark):
+    df = spark.createDataFrame([(1, "machine learning ML " * 3), (2, "machine learning"), (3, None)], "doc_id bigint, text string")
+    assert [(r.doc_id, r.term_count, r.short_count) for r in de.term_variance(df).collect()] == [(1, 3, 3)]
