@@ -23,11 +23,11 @@ _RIGHT = re.compile(rf"(?P<text>\S.*?)(?:\s*[|·•]\s*|\s{{2,}})(?:{_DRESSED}|{
 #: Rows of a table: a label and two numbers in columns.
 TABLE_ROW = re.compile(r"\S(?:.{0,40}?\S)?[ \t]{2,}\S?[\d.,%]+\S?(?:[ \t]{1,}\(?[\d.,]+[%)]*)+\s*")
 #: Names as a running header gives them, and volumes of a journal.
-_AUTHORS = regex.compile(r"\p{Lu}[\p{L}'’-]+(?: et \w{2}[.,]?|,? (?:&|and|und|et|y|e|и) \p{Lu}[\p{L}'’-]+)")
+_AUTHORS = regex.compile(r"\p{Lu}[\p{L}'’-]+(?: et \w{2}[.,]?|,? & \p{Lu}[\p{L}'’-]+)")
 _JOURNAL = regex.compile(r"\p{Lu}\S+(?: \S+){0,6}(?:,? Vol\. ?\w+(?:, ?No\. ?\w+)?| \(\w{4}\)|,? \w{1,3}\(\w{1,2}\))")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
-_END = re.compile(r"[.!?。！？؟۔।…:;][\"'”’»)\]」』“]*\s*$")
+_END = re.compile(r"[.!?。！？؟۔।…:;][\s\"'”’»)\]」』“]*$")
 _BREAK = re.compile(r"[-‐‑¬­]\s*$")
 
 
@@ -75,7 +75,7 @@ def _named(s: str) -> bool:
     """Names of authors, or a journal with its volume or year."""
     if len(s) > 90:
         return False
-    return bool(s[-1:] in ".,)" or " " in s) and bool((" et " in s or " & " in s or " and " in s or " und " in s or " y " in s or " e " in s or " и " in s) and _AUTHORS.fullmatch(s) or ("Vol" in s or "V" in s or s[-1:] == ")") and _JOURNAL.fullmatch(s))
+    return bool(s[-1:] in ".,)" or " " in s) and bool((" et " in s or " & " in s) and _AUTHORS.fullmatch(s) or ("Vol" in s or "V" in s or s[-1:] == ")") and _JOURNAL.fullmatch(s))
 
 
 def _pairs(k: str) -> set[str]:
@@ -197,6 +197,7 @@ def classify(text: str) -> tuple[list[str], list[str]]:
                 before, after = neighbour(i, -1), neighbour(i, 1)
                 cut = before >= 0 and kinds[before] == BODY and not _END.search(bare[before]) and regex.match(r"\p{Ll}", bare[i])
                 tail = regex.match(r"\p{Ll}", bare[i]) or (after < n and kinds[after] == BODY and regex.match(r"\p{Ll}", bare[after]))
-                if not cut and not tail:
+                interrupted = len(bare[i]) > 0.75 * width and i != title and any(k == FURNITURE for k in kinds[i + 1 : after])
+                if not cut and not tail and not interrupted:
                     kinds[i] = HEADING
     return lines, kinds
