@@ -140,6 +140,18 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), groups - F.when(word.endswith("e") & (groups > 1), 1).otherwise(0))
 
 
+def syllable_total(words: Column) -> Column:
+    """Sum of ``syllables`` over an array of words, in three passes over the words as one string."""
+
+    def counted(line: Column) -> Column:
+        groups = F.regexp_count(line, F.lit("[aeiouy]+"))
+        silent = F.regexp_count(line, F.lit(" [^ ]*?[aeiouy][^aeiouy ][^ ]*e(?= )"))  # a final e after another group
+        none = F.regexp_count(line, F.lit(" [^aeiouy ]+(?= )"))
+        return (groups - silent + none).cast("bigint")
+
+    return bound(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), counted)
+
+
 def domain(url: Column) -> Column:
     """Host of an address with its port, without user names."""
     return F.regexp_extract(url, r"^(?:web:)?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, grams, pieces, style_sentences, syllables, tokens
+from ..functions.text import grams, pieces, style_sentences, syllable_total, tokens
 
 # Phrases, marks, patterns and word lists.
 PHRASES = (
@@ -56,7 +56,7 @@ def writing_signals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = df.select(F.col(id_col), text.alias("_t")).withColumn("_w", tokens(F.col("_t"))).withColumn("_s", style_sentences(F.col("_t"))).withColumn("words", F.size(pieces(F.col("_t"))))
     base = base.withColumn("_len", F.transform("_s", lambda s: F.size(pieces(s)).cast("bigint"))).withColumn("_n", F.size("_w"))
     # entropy of word pairs: the counts of a text are made beside it, and only its counts move
-    pairs = base.select(id_col, F.explode(grams(F.col("_w"), 2)).alias("g")).groupBy(id_col, "g").agg(F.count("*").alias("c"))
+    pairs = base.select(id_col, F.explode(F.transform(grams(F.col("_w"), 2), lambda g: F.xxhash64(g))).alias("g")).groupBy(id_col, "g").agg(F.count("*").alias("c"))
     entropy = pairs.groupBy(id_col).agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.log2("c")).alias("weighted")).select(id_col, ((F.log2("total") - F.col("weighted") / F.col("total")) / F.log2(F.greatest(F.col("total"), F.lit(2)))).alias("entropy"))
     starts = base.select(id_col, F.explode(F.transform("_s", lambda s: F.lower(F.array_join(F.slice(pieces(s), 1, 2), " ")))).alias("start")).groupBy(id_col, "start").agg(F.count("*").alias("c")).groupBy(id_col).agg((F.max("c") / F.sum("c")).alias("top_start"))
     lower = F.lower("_t")
@@ -106,7 +106,7 @@ def style_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = base.withColumn("_w", tokens(F.col("_t"))).withColumn("_s", style_sentences(F.col("_t"))).withColumn("_ok", F.size(pieces(F.col("_t"))) >= least_words)
     base = base.withColumn("_len", F.transform("_s", lambda s: F.size(pieces(s)).cast("bigint"))).withColumn("_n", F.size("_w")).withColumn("_k", F.size("_s"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    vowels = total(F.transform("_w", lambda w: syllables(w).cast("bigint")))
+    vowels = syllable_total(F.col("_w"))
     function = F.size(F.filter("_w", lambda w: w.isin(*FUNCTION_WORDS)))
     clauses = total(F.transform("_s", lambda s: sum((F.lower(s).rlike(rf"\b{w}\b").cast("bigint") for w in SUBORDINATORS), F.lit(0).cast("bigint"))))
     marks = F.length("_t") - F.length(F.translate("_t", STYLE_MARKS, ""))
@@ -116,7 +116,7 @@ def style_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         id_col,
         zero(has_s, _mean(F.col("_len"))).alias("sentence_length"), zero(has_s, _deviation(F.col("_len"))).alias("sentence_deviation"),
         zero(has_w, F.size(F.array_distinct("_w")) / F.col("_n")).alias("richness"), zero(F.col("_ok"), marks / F.greatest(F.length("_t"), F.lit(1))).alias("punctuation"),
-        zero(has_w, function / F.col("_n")).alias("function_words"), zero(has_w, total(F.transform("_w", lambda w: F.length(w).cast("bigint"))) / F.col("_n")).alias("word_length"),
+        zero(has_w, function / F.col("_n")).alias("function_words"), zero(has_w, F.length(F.array_join("_w", "")) / F.col("_n")).alias("word_length"),
         zero(has_w & has_s, _unit((206.835 - 1.015 * (F.col("_n") / F.col("_k")) - 84.6 * (vowels / F.col("_n"))) / 100)).alias("readability"),
         zero(has_s, clauses / F.col("_k")).alias("complexity"), F.when(F.col("_ok"), F.col("_n")).otherwise(0).alias("word_count"), F.when(F.col("_ok"), F.col("_k")).otherwise(0).alias("sentence_count"),
     )

@@ -66,9 +66,21 @@ def staged(df: DataFrame, label: str = "stage", partition_by: str | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes from which a table of few partitions is spread over the cores.
+SPREAD_FROM = 400_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One Parquet table of a data directory.
+
+    A file of some size that gives fewer partitions than there are cores is spread over all of them; tables with
+    enough partitions are read as they lie.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_FROM and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 _SHIPPED: set[str] = set()
