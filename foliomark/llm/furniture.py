@@ -25,6 +25,7 @@ TABLE_ROW = re.compile(r"\S(?:.{0,40}?\S)?[ \t]{2,}\S?[\d.,%]+\S?(?:[ \t]{1,}\(?
 #: Names as a running header gives them, and volumes of a journal.
 _AUTHORS = regex.compile(r"\p{Lu}[\p{L}'’-]+(?: et \w{2}[.,]?|,? & \p{Lu}[\p{L}'’-]+)")
 _JOURNAL = regex.compile(r"\p{Lu}\S+(?: \S+){0,6}(?:,? Vol\. ?\w+(?:, ?No\. ?\w+)?| \(\w{4}\)|,? \w{1,3}\(\w{1,2}\))")
+_GOES_ON = regex.compile(r"[\p{Ll}\p{Lo}\d(“«„]")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _END = re.compile(r"[.!?。！？؟۔।…:;][\s\"'”’»)\]」』“]*$")
@@ -131,7 +132,7 @@ def classify(text: str) -> tuple[list[str], list[str]]:
         stop += 1
     title_key = "".join(_key(b) for b in bare[title : stop + 1]) if stop - title < 3 else _key(bare[title])
 
-    title_pairs = _pairs(title_key)
+    head = _pairs(title_key[:9])
 
     def neighbour(i: int, step: int) -> int:
         i += step
@@ -139,19 +140,19 @@ def classify(text: str) -> tuple[list[str], list[str]]:
             i += step
         return i
 
-    def of_title(s: str) -> bool:
-        k = _key(s)
-        if len(k) < 8 or not title_key:
-            return False
-        own = _pairs(k)
-        if 2 * len(own & title_pairs) < len(own):
+    def begins(k: str) -> bool:
+        return len(k) >= 8 and len(_pairs(k[:9]) & head) >= 3 and _alike(k, title_key[: len(k)])
+
+    def of_title(s: str, k: str) -> bool:
+        if not title_key:
             return False
-        if _alike(k, title_key[: len(k)]):
+        if begins(k):
             return True
-        part = s.split(", ", 1)
-        return len(part) == 2 and len(_key(part[1])) >= 8 and _alike(_key(part[1]), title_key[: len(_key(part[1]))])
+        first, _, rest = s.partition(", ")
+        return bool(rest) and first.isupper() and begins(_key(rest))
 
     candidates: dict[int, str] = {}
+    keys: dict[int, str] = {}
     for i in range(n):
         s = bare[i]
         if kinds[i] not in (BODY, TABLE) or i == title or len(s) > max(110, width):
@@ -166,27 +167,31 @@ def classify(text: str) -> tuple[list[str], list[str]]:
         if _numbered(s):
             kinds[i] = FURNITURE
             continue
-        if len(_key(s)) >= 3:
+        if s[-1:] in ".!?;:-\u2010\u2011\u00ac\u00ad" and " et " not in s:
+            continue  # ends like running text
+        k = _key(s)
+        if len(k) >= 3:
             candidates[i] = s
+            keys[i] = k
     counts: dict[str, int] = {}
-    for s in candidates.values():
-        counts[_key(s)] = counts.get(_key(s), 0) + 1
+    for k in keys.values():
+        counts[k] = counts.get(k, 0) + 1
     for i, s in candidates.items():
         if i <= stop and stop - title < 3:
             continue
         before, after = neighbour(i, -1), neighbour(i, 1)
         broken = before >= 0 and kinds[before] == BODY and not _END.search(bare[before]) and (len(bare[before]) > 0.6 * width or bool(_BREAK.search(bare[before])))
-        goes_on = after < n and bool(regex.match(r"[\p{Ll}\p{Lo}\d(“«„]", bare[after]))
+        goes_on = after < n and bool(_GOES_ON.match(bare[after]))
         beside_number = any(0 <= j < n and kinds[j] == FURNITURE and is_page(bare[j]) for j in (i - 1, i + 1))
         room = after < n and kinds[after] == BODY and len(s) + 1 + len(bare[after].split(" ")[0]) <= width - 3
         alone = (i == 0 or kinds[i - 1] in (BLANK, FURNITURE)) and (i + 1 == n or kinds[i + 1] in (BLANK, FURNITURE))
-        known = _named(s) or of_title(s)
+        known = _named(s) or of_title(s, keys[i])
         interrupts = room and not _END.search(s) and not _BREAK.search(s)
         if known and (broken or goes_on or beside_number or alone or interrupts or i + 1 == n):
             kinds[i] = FURNITURE
-        elif counts[_key(s)] >= 2 and not _END.search(s) and len(s) < 0.8 * width and broken and (interrupts or goes_on):
+        elif counts[keys[i]] >= 2 and not _END.search(s) and len(s) < 0.8 * width and broken and (interrupts or goes_on):
             kinds[i] = FURNITURE
-        elif beside_number and broken and (goes_on or room) and not _END.search(s) and not _BREAK.search(s) and len(s) < 0.75 * width and regex.match(r"\p{Lu}", s):
+        elif beside_number and broken and (goes_on or room) and not _END.search(s) and not _BREAK.search(s) and len(s) < 0.75 * width and s[0].isupper():
             kinds[i] = FURNITURE
     # a heading stands alone between blank lines, is short and has no end mark
     for i in range(n):
@@ -195,8 +200,8 @@ def classify(text: str) -> tuple[list[str], list[str]]:
             below = i + 1 == n or kinds[i + 1] == BLANK
             if above and below:
                 before, after = neighbour(i, -1), neighbour(i, 1)
-                cut = before >= 0 and kinds[before] == BODY and not _END.search(bare[before]) and regex.match(r"\p{Ll}", bare[i])
-                tail = regex.match(r"\p{Ll}", bare[i]) or (after < n and kinds[after] == BODY and regex.match(r"\p{Ll}", bare[after]))
+                cut = before >= 0 and kinds[before] == BODY and not _END.search(bare[before]) and bare[i][0].islower()
+                tail = bare[i][0].islower() or (after < n and kinds[after] == BODY and bare[after][0].islower())
                 interrupted = len(bare[i]) > 0.75 * width and i != title and any(k == FURNITURE for k in kinds[i + 1 : after])
                 if not cut and not tail and not interrupted:
                     kinds[i] = HEADING
