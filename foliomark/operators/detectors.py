@@ -105,7 +105,7 @@ def exact_copy(inputs: Inputs) -> DataFrame | None:
 def semantic_matches(left: DataFrame, right: DataFrame, least: float, words: int) -> DataFrame:
     """For each sentence of the left the right one of the nearest vector, if near enough."""
     a, b = encode_sentences(sentence_rows(left, words)), encode_sentences(sentence_rows(right, words))
-    found = nearest(a.select(F.col("id").alias("vec_id"), "embedding"), b.select(F.col("id").alias("vec_id"), "embedding"), 1, least)
+    found = nearest(a.select(F.col("id").alias("vec_id"), "embedding"), b.select(F.col("id").alias("vec_id"), "embedding"), 1, least, send="vectors")
     return (
         found.join(a.select(F.col("id").alias("query_id"), "doc_id", F.col("sentence").alias("submitted")), "query_id")
         .join(b.select("id", F.col("doc_id").alias("source_id"), F.col("sentence").alias("source")), "id")

@@ -242,51 +242,49 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, id_col: str = "vec_id", vec_col: str = "embedding", keep_self: bool = False, query_block: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, id_col: str = "vec_id", vec_col: str = "embedding", keep_self: bool = False, block_rows: int = 4096, send: str = "queries") -> DataFrame:
     """(query_id, id, score, rank): for each query the k vectors of the largest inner product, of at least ``least``.
 
-    Exact. ``queries`` is a stated set and is sent to the executors in blocks of ``query_block`` vectors; every
-    partition of ``vectors`` is multiplied with a block in one product and keeps its own k best, so that a
-    final ranking sees k rows of each partition. Ties go to the smaller id. Vectors that are null or of another
-    dimension match nothing.
+    Exact. One side (``send``: queries or vectors, the smaller) goes to the executors in blocks of ``block_rows``
+    vectors; every batch of the other side is multiplied with a block in one product and keeps its own k best for
+    each query, so that a final ranking sees few rows. Ties go to the smaller id. Vectors that are null or of
+    another dimension match nothing.
     """
     ship(vectors.sparkSession)
-    rows = queries.select(F.col(id_col).alias("q"), F.col(vec_col).alias("v")).filter("q is not null and v is not null")
-    out: DataFrame | None = None
-    block: list = []
+    kind = vectors.schema[id_col].dataType.simpleString()
+    schema = f"query_id {kind}, id {kind}, score double"
+    pick = lambda df: df.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v")).filter("i is not null and v is not null")
+    sent, kept = (pick(queries), pick(vectors)) if send == "queries" else (pick(vectors), pick(queries))
 
     def partial(part: list) -> DataFrame:
         width = len(part[0]["v"])
-        ids, matrix = np.array([r["q"] for r in part]), np.array([r["v"] for r in part], np.float64)
+        ids, matrix = np.array([r["i"] for r in part]), np.array([r["v"] for r in part], np.float64)
 
         def run(batches):
             for pdf in batches:
-                pdf = pdf[[v is not None and len(v) == width for v in pdf["v"]]]
+                pdf = pdf[[len(v) == width for v in pdf["v"]]]
                 if not len(pdf):
                     continue
-                own = pdf["q"].to_numpy()
-                scores = matrix @ np.stack(pdf["v"].to_numpy()).astype(np.float64).T
+                own, other = pdf["i"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(np.float64)
+                q_ids, v_ids, scores = (ids, own, matrix @ other.T) if send == "queries" else (own, ids, other @ matrix.T)
                 if not keep_self:
-                    scores[ids[:, None] == own[None, :]] = -np.inf
-                found = []
-                for i in range(len(ids)):
-                    order = np.lexsort((own, -scores[i]))[:k]
-                    order = order[scores[i][order] >= least]
-                    found.append(pd.DataFrame({"query_id": ids[i], "id": own[order], "score": scores[i][order]}))
-                yield pd.concat(found)
-
-        kind = vectors.schema[id_col].dataType.simpleString()
-        return vectors.select(F.col(id_col).alias("q"), F.col(vec_col).alias("v")).filter("q is not null").mapInPandas(run, f"query_id {kind}, id {kind}, score double")
-
-    for row in rows.toLocalIterator():
+                    scores[q_ids[:, None] == v_ids[None, :]] = -np.inf
+                if k < len(v_ids):  # all that reach the k-th score, so that ties are settled by the ranking
+                    floor = np.partition(scores, len(v_ids) - k, axis=1)[:, len(v_ids) - k]
+                else:
+                    floor = np.full(len(q_ids), -np.inf)
+                x, y = np.nonzero((scores >= np.maximum(floor, least)[:, None]) & (scores > -np.inf))
+                yield pd.DataFrame({"query_id": q_ids[x], "id": v_ids[y], "score": scores[x, y]})
+
+        return kept.mapInPandas(run, schema)
+
+    out, block = vectors.sparkSession.createDataFrame([], schema), []
+    for row in sent.toLocalIterator():
         block.append(row)
-        if len(block) == query_block:
-            out, block = partial(block) if out is None else out.unionByName(partial(block)), []
+        if len(block) == block_rows:
+            out, block = out.unionByName(partial(block)), []
     if block:
-        out = partial(block) if out is None else out.unionByName(partial(block))
-    if out is None:
-        kind = vectors.schema[id_col].dataType.simpleString()
-        out = vectors.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, score double")
+        out = out.unionByName(partial(block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -90,7 +90,8 @@ def test_nearest_and_pairs(spark):
     v = random_.normal(size=(80, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, [float(x) for x in row], i % 4) for i, row in enumerate(v)] + [(900, None, 1)], "vec_id bigint, embedding array<double>, label int")
-    got = {(r.query_id, r["rank"]): r.id for r in si.nearest(df.filter("vec_id % 10 = 0"), df, 3, query_block=3).collect()}
+    got = {(r.query_id, r["rank"]): r.id for r in si.nearest(df.filter("vec_id % 10 = 0"), df, 3, block_rows=3).collect()}
+    assert got == {(r.query_id, r["rank"]): r.id for r in si.nearest(df.filter("vec_id % 10 = 0"), df, 3, block_rows=17, send="vectors").collect()}
     s = v @ v.T
     for i in range(0, 80, 10):
         order = [j for j in np.lexsort((np.arange(80), -s[i])) if j != i][:3]
