@@ -31,7 +31,19 @@ _RANDOM = np.random.default_rng(20240229)
 _MULTIPLIERS = _RANDOM.integers(0, 2**31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADDENDS = _RANDOM.integers(0, 2**32, BITS, dtype=np.uint32)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_token_hashes: dict[str, int] = {}
+
+
+class _Hashes(dict):
+    """Hashes of words met so far."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hash_of = _Hashes()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -44,15 +56,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def hashed(tokens: list[str]) -> np.ndarray:
     """64-bit hashes of words."""
-    if len(_token_hashes) > 400_000:
-        _token_hashes.clear()
-    out = np.empty(len(tokens), np.uint64)
-    for i, w in enumerate(tokens):
-        h = _token_hashes.get(w)
-        if h is None:
-            h = _token_hashes[w] = xxhash.xxh3_64_intdigest(w)
-        out[i] = h
-    return out
+    return np.fromiter(map(_hash_of.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def runs(tokens: list[str], length: int = RUN) -> np.ndarray:
