@@ -1,7 +1,7 @@
 """Detectors: documents and their comparison sets in, findings out.
 
 Every detector is a function of DataFrames and returns rows of one schema: finding_type, doc_id, source_id,
-title, confidence, severity, evidence (array of submitted, source, similarity, method). ``register`` adds
+title, confidence, severity, evidence (array of submitted, source, similarity, method), metadata (JSON). ``register`` adds
 one; ``run_all`` runs them apart, so that the failure of one leaves the others' findings.
 """
 
@@ -20,7 +20,7 @@ from .encoder import encode_sentences
 from .graph import connected_components
 from .similarity import best_sentence_match, containment_join, jaccard_join, levenshtein_ratio, nearest, pairs_above, token_runs
 
-FINDING = "finding_type string, doc_id bigint, source_id bigint, title string, confidence double, severity string, evidence array<struct<submitted:string,source:string,similarity:double,method:string>>"
+FINDING = "finding_type string, doc_id bigint, source_id bigint, title string, confidence double, severity string, evidence array<struct<submitted:string,source:string,similarity:double,method:string>>, metadata string"
 
 
 @dataclass
@@ -64,10 +64,10 @@ def best_evidence(rows: DataFrame, keys: list[str], k: int, top: int) -> DataFra
     return ranked.groupBy(*keys).agg(F.transform(kept, lambda x: x["e"]).alias("evidence"), F.avg(F.when(F.col("_r") <= top, F.col("similarity"))).alias("strength"), F.count("*").alias("matches"))
 
 
-def finding(kind: str, rows: DataFrame, title: str, confidence: Column, severity: Column, source: str | None = None) -> DataFrame:
+def finding(kind: str, rows: DataFrame, title: str, confidence: Column, severity: Column, source: str | None = None, metadata: Column | None = None) -> DataFrame:
     return rows.select(
         F.lit(kind).alias("finding_type"), F.col("doc_id").cast("bigint").alias("doc_id"), (F.col(source) if source else F.lit(None)).cast("bigint").alias("source_id"),
-        F.lit(title).alias("title"), confidence.cast("double").alias("confidence"), severity.alias("severity"), F.col("evidence"),
+        F.lit(title).alias("title"), confidence.cast("double").alias("confidence"), severity.alias("severity"), F.col("evidence"), (F.to_json(F.struct(metadata)) if metadata is not None else F.lit("{}")).alias("metadata"),
     )
 
 
@@ -118,7 +118,7 @@ def semantic(inputs: Inputs) -> DataFrame | None:
     if inputs.sources is None:
         return None
     rows = best_evidence(semantic_matches(inputs.submitted, inputs.sources, inputs.options.get("semantic_min", 0.60), 6), ["doc_id", "source_id"], 8, 5)
-    return finding("semantic", rows, "Sentences of the same meaning as a source", F.col("strength"), graded(F.col("strength"), (0.9, "critical"), (0.8, "high"), (0.7, "medium")), "source_id")
+    return finding("semantic_similarity", rows, "Sentences of the same meaning as a source", F.col("strength"), graded(F.col("strength"), (0.9, "critical"), (0.8, "high"), (0.7, "medium")), "source_id")
 
 
 @register("paraphrase")
@@ -166,9 +166,9 @@ def citation_integrity(inputs: Inputs) -> DataFrame | None:
     rows = issues.withColumn("evidence", F.transform("numbers", lambda x: F.struct(F.concat(F.lit("["), x.cast("string"), F.lit("]")).alias("submitted"), F.lit(None).cast("string").alias("source"), F.lit(1.0).alias("similarity"), F.lit("citation").alias("method"))))
     level = F.when(F.col("issue") == "missing_reference", 0.95).when(F.col("issue") == "unused_reference", 0.9).otherwise(0.55)
     severity = F.when(F.col("issue") == "missing_reference", "high").when(F.col("issue") == "unused_reference", "low").otherwise("info")
-    a = finding("citation", rows, "", level, severity).withColumn("title", F.lit("Citations and references disagree"))
+    a = finding("citation_issue", rows, "", level, severity).withColumn("title", F.when(F.col("severity") == "high", "Citations with missing references").when(F.col("severity") == "low", "References never cited").otherwise("References cited very often"))
     claims = citations.uncited_claims(inputs.submitted).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list("sentence")), 1, 5).alias("s"))
-    b = finding("citation", claims.withColumn("evidence", F.transform("s", lambda x: F.struct(x.alias("submitted"), F.lit(None).cast("string").alias("source"), F.lit(1.0).alias("similarity"), F.lit("claim").alias("method")))), "Claims without a citation", F.lit(0.65), F.lit("medium"))
+    b = finding("citation_issue", claims.withColumn("evidence", F.transform("s", lambda x: F.struct(x.alias("submitted"), F.lit(None).cast("string").alias("source"), F.lit(1.0).alias("similarity"), F.lit("claim").alias("method")))), "Claims without a citation", F.lit(0.65), F.lit("medium"))
     return a.unionByName(b)
 
 
@@ -177,20 +177,20 @@ def fake_reference(inputs: Inputs) -> DataFrame | None:
     entries = citations.references_section(inputs.submitted)
     scored = citations.reference_scores(entries, inputs.as_of_year, ("doc_id", "entry_index"), "entry").filter("risk <> 'low'").join(entries, ["doc_id", "entry_index"])
     rows = best_evidence(scored.select("doc_id", F.substring("entry", 1, 300).alias("submitted"), F.lit(None).cast("string").alias("source"), F.col("probability").alias("similarity"), F.lit("reference").alias("method")), ["doc_id"], 8, 1_000_000)
-    return finding("fake_reference", rows, "References that may be made up", F.least(F.lit(0.9), F.col("strength") + 0.2), graded(F.col("strength"), (0.6, "high"), (0.4, "medium")))
+    return finding("fake_citation", rows, "References that may be made up", F.least(F.lit(0.9), F.col("strength") + 0.2), graded(F.col("strength"), (0.6, "high"), (0.4, "medium")))
 
 
 @register("ai_writing")
 def ai_writing(inputs: Inputs) -> DataFrame | None:
     rows = writing.writing_signals(inputs.submitted).filter("words >= 50").withColumn("evidence", no_evidence())
-    return finding("ai_writing", rows, "Signals of generated writing", F.when(F.col("level") == "HIGH", 0.75).when(F.col("level") == "MEDIUM", 0.55).otherwise(0.5), F.when(F.col("level") == "HIGH", "high").when(F.col("level") == "MEDIUM", "medium").otherwise("info"))
+    return finding("ai_writing", rows, "Signals of generated writing", F.when(F.col("level") == "HIGH", 0.75).when(F.col("level") == "MEDIUM", 0.55).otherwise(0.5), F.when(F.col("level") == "HIGH", "high").when(F.col("level") == "MEDIUM", "medium").otherwise("info"), metadata=F.col("level").alias("overall_level"))
 
 
 @register("ai_tool")
 def ai_tool(inputs: Inputs) -> DataFrame | None:
     top = writing.tool_marks(inputs.submitted).groupBy("doc_id").agg(F.max_by(F.struct("tool", "score"), F.struct("score", F.negative(F.ascii("tool")))).alias("t")).filter("t.score >= 0.3")
     rows = top.withColumn("evidence", F.array(F.struct(F.col("t.tool").alias("submitted"), F.lit(None).cast("string").alias("source"), F.col("t.score").alias("similarity"), F.lit("marks").alias("method"))))
-    return finding("ai_tool", rows, "Marks of a writing tool", F.col("t.score"), graded(F.col("t.score"), (0.7, "high"), (0.4, "medium")))
+    return finding("ai_writing", rows, "Marks of a writing tool", F.col("t.score"), graded(F.col("t.score"), (0.7, "high"), (0.4, "medium")))
 
 
 @register("style_deviation")
@@ -213,7 +213,7 @@ def batch(inputs: Inputs) -> DataFrame | None:
         return None
     vectors = encode_sentences(inputs.classroom.select(F.col("doc_id").alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("sentence")))
     pairs = pairs_above(vectors.select(F.col("id").alias("vec_id"), "embedding"), inputs.options.get("batch_min", 0.72))
-    return _clusters("batch", pairs.select("a", "b", F.col("score").alias("similarity")), "Documents of the class resemble one another", 0.02, 0.5, 0.9)
+    return _clusters(pairs.select("a", "b", F.col("score").alias("similarity")), "Documents of the class resemble one another", 0.02, 0.5, 0.9)
 
 
 @register("collusion")
@@ -226,14 +226,17 @@ def collusion(inputs: Inputs) -> DataFrame | None:
     owner = s.select("id", F.col("doc_id").alias("owner"))
     joined = pairs.join(owner.withColumnRenamed("id", "class_a").withColumnRenamed("owner", "oa"), "class_a").join(owner.withColumnRenamed("id", "class_b").withColumnRenamed("owner", "ob"), "class_b").filter("oa <> ob")
     edges = joined.groupBy(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b")).agg(F.count("*").alias("n"), F.avg("jaccard").alias("similarity")).filter("n >= 2")
-    return _clusters("collusion", edges.select("a", "b", "similarity"), "Class documents share sentences", 0.05, 0.6, 0.92)
+    return _clusters(edges.select("a", "b", "similarity"), "Class documents share sentences", 0.05, 0.6, 0.92)
 
 
-def _clusters(kind: str, edges: DataFrame, title: str, step: float, base: float, most: float) -> DataFrame:
+def _clusters(edges: DataFrame, title: str, step: float, base: float, most: float) -> DataFrame:
+    """One finding for each cluster, under its smallest document, with its members."""
     nodes = connected_components(edges)
+    members = nodes.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
     sized = edges.join(nodes.select(F.col("node").alias("a"), "component"), "a")
-    rows = best_evidence(sized.select(F.col("component").alias("doc_id"), F.col("a").cast("string").alias("submitted"), F.col("b").cast("string").alias("source"), "similarity", F.lit(kind).alias("method")), ["doc_id"], 10, 1)
-    return finding(kind, rows, title, F.least(F.lit(most), base + step * F.col("matches")), graded(F.col("strength"), (0.85, "high"), otherwise="medium"))
+    rows = best_evidence(sized.select(F.col("component").alias("doc_id"), F.col("a").cast("string").alias("submitted"), F.col("b").cast("string").alias("source"), "similarity", F.lit("cluster").alias("method")), ["doc_id"], 10, 1)
+    rows = rows.join(members.withColumnRenamed("component", "doc_id"), "doc_id")
+    return finding("collusion", rows, title, F.least(F.lit(most), base + step * F.col("matches")), graded(F.col("strength"), (0.85, "high"), otherwise="medium"), metadata=F.array("members").alias("clusters"))
 
 
 @register("source_discovery")
@@ -244,7 +247,7 @@ def source_discovery(inputs: Inputs) -> DataFrame | None:
     whole = lambda df: encode_sentences(df.select(F.col("doc_id").alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("sentence"))).select(F.col("id").alias("vec_id"), "embedding")
     found = nearest(whole(inputs.submitted), whole(inputs.corpus), 10, inputs.options.get("discovery_min", 0.60))
     rows = best_evidence(found.select(F.col("query_id").alias("doc_id"), F.col("id").cast("string").alias("submitted"), F.col("id").cast("string").alias("source"), F.col("score").alias("similarity"), F.lit("vector").alias("method")), ["doc_id"], 5, 1)
-    return finding("source_discovery", rows, "Likely sources in the corpus", F.least(F.lit(0.9), F.col("strength")), graded(F.col("strength"), (0.85, "high"), otherwise="medium"))
+    return finding("source_match", rows, "Likely sources in the corpus", F.least(F.lit(0.9), F.col("strength")), graded(F.col("strength"), (0.85, "high"), otherwise="medium"))
 
 
 @register("research_integrity")
@@ -286,7 +289,7 @@ def web_match(inputs: Inputs) -> DataFrame | None:
         return None
     pages = inputs.pages.select(F.col("page_id").alias("doc_id"), "text")
     rows = best_evidence(semantic_matches(inputs.submitted, pages, inputs.options.get("web_min", 0.78), 8), ["doc_id", "source_id"], 8, 5)
-    return finding("web_match", rows, "Sentences found on a web page", F.least(F.lit(0.95), F.col("strength")), graded(F.col("strength"), (0.88, "high"), (0.82, "medium")), "source_id")
+    return finding("source_match", rows, "Sentences found on a web page", F.least(F.lit(0.95), F.col("strength")), graded(F.col("strength"), (0.88, "high"), (0.82, "medium")), "source_id")
 
 
 def web_queries(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

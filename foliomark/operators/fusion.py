@@ -6,23 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Finding types and the report column each fills with its strongest confidence.
-OVERLAPS = {"exact_copy": "exact_overlap", "semantic": "semantic_overlap", "paraphrase": "paraphrase_overlap", "cross_language": "cross_language_overlap", "self_plagiarism": "self_overlap"}
+OVERLAPS = {
+    "exact_copy": "exact_overlap", "semantic_similarity": "semantic_overlap", "paraphrase": "paraphrase_overlap", "cross_language": "cross_language_overlap",
+    "self_plagiarism": "self_overlap", "style_deviation": "style_deviation",
+}
 
 
-def fuse(findings: DataFrame, evidence: DataFrame, type_col: str = "finding_type") -> DataFrame:
-    """One row per doc_id: strongest confidence of each overlap, source_matches, style_deviation, counts,
-    overall_confidence and human_review.
+def fuse(findings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row per doc_id: the strongest confidence of each overlap, source_matches, citation_issues,
+    reference_issues, ai_writing_signal, collusion_clusters, counts, overall_confidence and human_review.
 
-    ``findings`` has finding_id, doc_id, a type, severity and confidence, one row per finding; ``evidence`` has
-    finding_id. Confidences that are null count as 0.
+    ``findings`` has finding_id, doc_id, finding_type, title, severity, confidence and metadata (JSON), one row per
+    finding; ``evidence`` has finding_id. Confidences that are null count as 0, metadata that is null as empty.
     """
-    kind = F.regexp_replace(F.lower(type_col), "[^a-z]+", "_")
     pieces = evidence.groupBy("finding_id").agg(F.count("*").alias("pieces"))
-    rows = findings.join(pieces, "finding_id", "left").withColumn("_k", kind).withColumn("_c", F.coalesce("confidence", F.lit(0.0)))
-    best = [F.coalesce(F.max(F.when(F.col("_k") == k, F.col("_c"))), F.lit(0.0)).alias(name) for k, name in {**OVERLAPS, "style_deviation": "style_deviation"}.items()]
+    rows = findings.join(pieces, "finding_id", "left").withColumn("_n", F.coalesce("pieces", F.lit(0))).withColumn("_c", F.coalesce("confidence", F.lit(0.0)))
+    of = lambda kind: F.col("finding_type") == kind
+    best = [F.coalesce(F.max(F.when(of(k), F.col("_c"))), F.lit(0.0)).alias(name) for k, name in OVERLAPS.items()]
+    most = lambda kind: F.coalesce(F.max(F.when(of(kind), F.col("_n"))), F.lit(0))
+    missing = of("citation_issue") & F.lower("title").contains("missing")
+    level = F.get_json_object("metadata", "$.overall_level")
     report = rows.groupBy("doc_id").agg(
-        *best, F.coalesce(F.max("pieces"), F.lit(0)).alias("source_matches"), F.count("*").alias("findings"),
-        F.count_if(F.col("severity").isin("high", "critical")).alias("high_findings"),
+        *best, most("source_match").alias("source_matches"),
+        (F.coalesce(F.max(F.when(missing, F.greatest("_n", F.lit(1)))), F.lit(0)) + F.count_if(of("citation_issue") & ~missing)).alias("citation_issues"),
+        most("fake_citation").alias("reference_issues"),
+        F.coalesce(F.max_by(level, F.when(of("ai_writing") & level.isin("HIGH", "MEDIUM", "LOW"), F.col("finding_id"))), F.lit("INCONCLUSIVE")).alias("ai_writing_signal"),
+        F.coalesce(F.max(F.when(of("collusion"), F.json_array_length(F.get_json_object("metadata", "$.clusters")))), F.lit(0)).alias("collusion_clusters"),
+        F.count("*").alias("findings"), F.count_if(F.col("severity").isin("high", "critical")).alias("high_findings"),
     )
     mean = (F.col("exact_overlap") + F.col("semantic_overlap") + F.col("paraphrase_overlap") + F.col("self_overlap")) / 4
     return report.withColumn("overall_confidence", F.when(mean >= 0.6, "HIGH").when(mean >= 0.3, "MEDIUM").otherwise("LOW")).withColumn("human_review", (F.col("high_findings") > 0) | (F.col("overall_confidence") == "HIGH"))

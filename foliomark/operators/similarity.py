@@ -168,6 +168,15 @@ def tfidf_cosine(pairs: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
     return pairs.select(id_col).join(scored, id_col, "left").fillna(0.0, ["tfidf_cosine"])
 
 
+def overlap_scores(pairs: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
+    """(id, minhash, simhash, tfidf, jaccard, overall): four similarities of the two texts of each row and the largest."""
+    x, y = tokens(F.col(a)), tokens(F.col(b))
+    direct = pairs.select(id_col, minhash_similarity(minhash(x), minhash(y)).alias("minhash"), jaccard(F.array_distinct(grams(x, 5)), F.array_distinct(grams(y, 5))).alias("jaccard"))
+    hashes = simhash(pairs, id_col, a).withColumnRenamed("simhash", "_a").join(simhash(pairs, id_col, b).withColumnRenamed("simhash", "_b"), id_col)
+    joined = direct.join(hashes.select(id_col, simhash_similarity(F.col("_a"), F.col("_b")).alias("simhash")), id_col).join(tfidf_cosine(pairs, id_col, a, b).withColumnRenamed("tfidf_cosine", "tfidf"), id_col)
+    return joined.select(id_col, "minhash", "simhash", "tfidf", "jaccard", F.greatest("minhash", "simhash", "tfidf", "jaccard").alias("overall"))
+
+
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)

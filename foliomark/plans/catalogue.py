@@ -182,6 +182,10 @@ def tfidf_cosine(spark, sf):
     return si.tfidf_cosine(table(spark, sf, "evidence").filter("source_text is not null and submitted_text is not null"), "evidence_id", "submitted_text", "source_text")
 
 
+def overlap_scores(spark, sf):
+    return si.overlap_scores(_pairs(spark, sf), "evidence_id", "submitted_text", "source_text")
+
+
 def levenshtein_ratio(spark, sf):
     return table(spark, sf, "part").select("p_partkey", si.levenshtein_ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
 
@@ -382,7 +386,7 @@ def _detector(name):
 _NAMED = (
     clean_text, word_counts, tokens_topk, ngram_freq, sentences, paragraphs, headings, chunks_200_40, document_keys, references_section, inline_citations, citation_issues, citation_coverage,
     uncited_claims, reference_fields, reference_scores, script_detect, language_detect, lang_agreement, jaccard5_pairs, jaccard5_classes, containment5_sources, exact_spans8, longest_span,
-    minhash_signatures, minhash_similarity, simhash, simhash_similarity, simhash_pairs, tfidf_cosine, levenshtein_ratio, jaro_winkler, sentence_match, knn_batch, source_discovery, semantic_best_match,
+    minhash_signatures, minhash_similarity, simhash, simhash_similarity, simhash_pairs, tfidf_cosine, overlap_scores, levenshtein_ratio, jaro_winkler, sentence_match, knn_batch, source_discovery, semantic_best_match,
     batch_pairs, batch_clusters, collusion_edges, compare_documents, vector_of_one_document, paragraph_chunks, term_variance, shown_evidence, synonym_density, voice_change, nominalization, word_order, structure_similarity, paraphrase_score, writing_signals, tool_marks,
     style_fingerprint, style_deviation, common_phrases, repeated_blocks, web_queries, evidence_domains, html_text, store_upsert_latest, latest_runs, store_stats, store_cascade_delete,
     fusion_report, findings_by_type, top_evidence,

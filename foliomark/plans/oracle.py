@@ -287,6 +287,8 @@ SELECT doc_id, paragraph_index::BIGINT AS paragraph_index, row_number() OVER (PA
     out["term_variance"] = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS term, '{x}' AS short, {times(t)} AS term_count, {times(x)} AS short_count FROM {DOCS} WHERE {times(t)} >= 3 AND {times(x)} >= 3" for t, x in terms.items())
     out["shown_evidence"] = "SELECT evidence_id, substring(submitted_text, 1, 300) AS submitted_text, substring(source_text, 1, 300) AS source_text, round(similarity, 4) AS similarity FROM evidence"
 
+    out["overlap_scores"] = f"""SELECT evidence_id, m.similarity AS minhash, s.similarity AS simhash, t.tfidf_cosine AS tfidf, j.jaccard, round(greatest(m.similarity, s.similarity, t.tfidf_cosine, j.jaccard), 6) AS overall FROM ({out['minhash_similarity']}) m JOIN ({out['simhash_similarity']}) s USING (evidence_id) JOIN ({out['tfidf_cosine']}) t USING (evidence_id)
+JOIN (SELECT evidence_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) END, 6) AS jaccard FROM (SELECT evidence_id, list_distinct({grams('a', 5)}) AS x, list_distinct({grams('b', 5)}) AS y FROM (SELECT evidence_id, {toks('submitted_text')} AS a, {toks('source_text')} AS b FROM {PAIRS}))) j USING (evidence_id)"""
     syn = "MAP {" + ", ".join(f"{q(w)}: [{', '.join(q(y) for y in s)}]" for w, s in pa.synonym_map().items()) + "}"
     synd = lambda a, b: f"(CASE WHEN len({toks(a)}) = 0 OR len({toks(b)}) = 0 THEN 0.0 ELSE len(list_filter(list_distinct({toks(b)}), lambda w: len(list_intersect(syn[w], {toks(a)})) > 0))::DOUBLE / len(list_distinct({toks(b)})) END)"
     base = f"e AS (SELECT evidence_id, source_text AS a, submitted_text AS b, {syn} AS syn FROM {PAIRS})"
@@ -352,11 +354,16 @@ SELECT doc_id, rank, substring(qq, 1, 150) AS query FROM r WHERE rank <= 3"""
     out["latest_runs"] = f"SELECT agent, status, count(*) AS runs, sum(findings_count)::BIGINT AS findings, round(avg(duration_seconds), 6) AS mean_seconds FROM {_latest('agent_runs', 'run_id', 'created_at DESC NULLS LAST, loaded_at DESC NULLS LAST')} GROUP BY agent, status"
     out["store_stats"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("documents", "findings", "agent_runs"))
     out["store_cascade_delete"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t} WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM documents WHERE text IS NULL)" for t in ("documents", "findings", "agent_runs", "evidence"))
-    over = {"exact_copy": "exact_overlap", "semantic": "semantic_overlap", "paraphrase": "paraphrase_overlap", "cross_language": "cross_language_overlap", "self_plagiarism": "self_overlap", "style_deviation": "style_deviation"}
+    over = {"exact_copy": "exact_overlap", "semantic_similarity": "semantic_overlap", "paraphrase": "paraphrase_overlap", "cross_language": "cross_language_overlap", "self_plagiarism": "self_overlap", "style_deviation": "style_deviation"}
     best = ", ".join(f"round(coalesce(max(c) FILTER (WHERE k = '{k}'), 0), 6)::DOUBLE AS {n}" for k, n in over.items())
-    out["fusion_report"] = f"""WITH p AS (SELECT finding_id, count(*) AS pieces FROM evidence GROUP BY finding_id), r AS (SELECT f.*, p.pieces, regexp_replace(lower(finding_type), '[^a-z]+', '_', 'g') AS k, coalesce(confidence, 0) AS c FROM {FINDINGS} f LEFT JOIN p USING (finding_id)),
-g AS (SELECT doc_id, {best}, coalesce(max(pieces), 0) AS source_matches, count(*) AS findings, count(*) FILTER (WHERE severity IN ('high', 'critical')) AS high_findings,
- (coalesce(max(c) FILTER (WHERE k = 'exact_copy'), 0) + coalesce(max(c) FILTER (WHERE k = 'semantic'), 0) + coalesce(max(c) FILTER (WHERE k = 'paraphrase'), 0) + coalesce(max(c) FILTER (WHERE k = 'self_plagiarism'), 0)) / 4 AS mean FROM r GROUP BY doc_id)
+    mean = " + ".join(f"coalesce(max(c) FILTER (WHERE k = '{k}'), 0)" for k in ("exact_copy", "semantic_similarity", "paraphrase", "self_plagiarism"))
+    out["fusion_report"] = f"""WITH p AS (SELECT finding_id, count(*) AS pieces FROM evidence GROUP BY finding_id),
+r AS (SELECT f.*, coalesce(p.pieces, 0) AS n, finding_type AS k, coalesce(confidence, 0) AS c, json_extract_string(metadata, '$.overall_level') AS lvl, contains(lower(title), 'missing') AS miss FROM {FINDINGS} f LEFT JOIN p USING (finding_id)),
+g AS (SELECT doc_id, {best}, coalesce(max(n) FILTER (WHERE k = 'source_match'), 0) AS source_matches,
+ coalesce(max(greatest(n, 1)) FILTER (WHERE k = 'citation_issue' AND miss), 0) + count(*) FILTER (WHERE k = 'citation_issue' AND NOT miss) AS citation_issues,
+ coalesce(max(n) FILTER (WHERE k = 'fake_citation'), 0) AS reference_issues, coalesce(arg_max(lvl, finding_id) FILTER (WHERE k = 'ai_writing' AND lvl IN ('HIGH', 'MEDIUM', 'LOW')), 'INCONCLUSIVE') AS ai_writing_signal,
+ coalesce(max(json_array_length(metadata, '$.clusters')) FILTER (WHERE k = 'collusion'), 0)::BIGINT AS collusion_clusters,
+ count(*) AS findings, count(*) FILTER (WHERE severity IN ('high', 'critical')) AS high_findings, ({mean}) / 4 AS mean FROM r GROUP BY doc_id)
 SELECT * EXCLUDE (mean), CASE WHEN mean >= 0.6 THEN 'HIGH' WHEN mean >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS overall_confidence, (high_findings > 0 OR mean >= 0.6) AS human_review FROM g"""
     out["findings_by_type"] = f"SELECT finding_type, severity, count(*) AS findings, count(DISTINCT doc_id) AS documents, round(avg(confidence), 6) AS mean_confidence FROM {FINDINGS} GROUP BY ALL"
     out["top_evidence"] = "SELECT finding_id, row_number() OVER (PARTITION BY finding_id ORDER BY similarity DESC NULLS LAST, evidence_id) AS rank, evidence_id, round(similarity, 6) AS similarity FROM evidence QUALIFY rank <= 3"

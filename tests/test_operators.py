@@ -159,10 +159,11 @@ def test_store(spark, tmp_path):
 
 
 def test_fusion(spark):
-    findings = spark.createDataFrame([("f1", 1, "exact_copy", "high", 0.9), ("f2", 1, "semantic", "low", None), ("f3", 2, "style_deviation", "low", 0.4)], "finding_id string, doc_id bigint, finding_type string, severity string, confidence double")
-    evidence = spark.createDataFrame([("f1",), ("f1",)], "finding_id string")
+    rows = [("f1", 1, "exact_copy", "high", 0.9, "", None), ("f2", 1, "semantic_similarity", "low", None, "", "{}"), ("f3", 2, "style_deviation", "low", 0.4, "", "{}"), ("f4", 2, "citation_issue", "low", 0.4, "Missing entries", "{}"), ("f5", 2, "citation_issue", "low", 0.4, "Unused", "{}"), ("f6", 2, "ai_writing", "low", 0.4, "", '{"overall_level": "HIGH"}'), ("f7", 2, "collusion", "low", 0.4, "", '{"clusters": [[1, 2], [3]]}'), ("f8", 1, "source_match", "low", 0.5, "", "{}")]
+    findings = spark.createDataFrame(rows, "finding_id string, doc_id bigint, finding_type string, severity string, confidence double, title string, metadata string")
+    evidence = spark.createDataFrame([("f1",), ("f8",), ("f8",)], "finding_id string")
     r = {x.doc_id: x for x in fusion.fuse(findings, evidence).collect()}
-    assert r[1].exact_overlap == 0.9 and r[1].source_matches == 2 and r[1].human_review and not r[2].human_review and r[2].style_deviation == 0.4
+    assert r[1].exact_overlap == 0.9 and r[1].source_matches == 2 and r[1].human_review and not r[2].human_review and r[2].style_deviation == 0.4 and r[2].citation_issues == 2 and r[2].ai_writing_signal == "HIGH" and r[2].collusion_clusters == 2 and r[1].ai_writing_signal == "INCONCLUSIVE"
     assert "Human review: true" in fusion.summary(fusion.fuse(findings, evidence)).filter("doc_id = 1").first().summary
     assert '"doc_id":1' in fusion.as_json(fusion.fuse(findings, evidence)).filter("doc_id = 1").first().report
 
