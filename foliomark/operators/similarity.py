@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from ..functions.text import grams, tokens
-from ..plans.session import ship
+from ..plans.session import ship, staged
 
 # Modulus, width and seed of the MinHash family.
 MINHASH_MODULUS, MINHASH_WIDTH, MINHASH_SEED = 2**31 - 1, 128, 42
@@ -31,7 +31,8 @@ def containment(a: Column, b: Column) -> Column:
 
 def hashed_grams(df: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFrame:
     """(id, grams): distinct 64-bit hashes of the runs of n words of every text that has one."""
-    return df.select(F.col(id_col).alias("id"), F.array_distinct(F.transform(grams(tokens(F.col(text_col)), n), lambda g: F.xxhash64(g))).alias("grams")).filter(F.size("grams") > 0)
+    long = df.filter(F.size(tokens(F.col(text_col))) >= n)  # a filter on the grams would make Spark compute them twice
+    return long.select(F.col(id_col).alias("id"), F.array_distinct(F.transform(grams(tokens(F.col(text_col)), n), lambda g: F.xxhash64(g))).alias("grams"))
 
 
 def jaccard_join(df: DataFrame, least: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,11 +43,13 @@ def jaccard_join(df: DataFrame, least: float = 0.8, n: int = 5, id_col: str = "d
     share one of the first size - ceil(least * size) + 1, so that frequent grams are hardly ever joined on.
     Texts with equal gram sets are one class, named by its smallest id.
     """
-    classes = gram_classes(df, n, id_col, text_col).groupBy("key").agg(F.min("id").alias("id"), F.first("grams").alias("grams"))
+    classes = staged(gram_classes(df, n, id_col, text_col).groupBy("key").agg(F.min("id").alias("id"), F.first("grams").alias("grams")).select("id", "grams"), "classes")
     exploded = classes.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     frequency = exploded.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = exploded.join(frequency, "gram").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "gram")))
-    prefix = ranked.filter((F.col("df") > 1) & (F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least) + 1)).select("id", "size", "gram")
+    # grams of one text alone come first in the order and never match, so only their number counts
+    own = Window.partitionBy("id")
+    shared = exploded.join(frequency.filter("df > 1"), "gram").withColumn("n_shared", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "gram")))
+    prefix = shared.filter(F.col("rank") + F.col("size") - F.col("n_shared") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("id", "size", "gram")
     a, b = prefix.select(F.col("id").alias("class_a"), F.col("size").alias("size_a"), "gram"), prefix.select(F.col("id").alias("class_b"), F.col("size").alias("size_b"), "gram")
     candidates = a.join(b, "gram").filter((F.col("class_a") < F.col("class_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least)).select("class_a", "class_b").distinct()
     full = classes.select("id", "grams")
@@ -57,7 +60,7 @@ def jaccard_join(df: DataFrame, least: float = 0.8, n: int = 5, id_col: str = "d
 
 def gram_classes(df: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, grams): texts with equal gram sets have equal keys."""
-    return hashed_grams(df, id_col, text_col, n).withColumn("key", F.sha2(F.array_join(F.transform(F.array_sort("grams"), lambda x: x.cast("string")), ","), 256))
+    return hashed_grams(df, id_col, text_col, n).withColumn("grams", F.array_sort("grams")).withColumn("key", F.struct(F.xxhash64("grams").alias("a"), F.xxhash64(F.lit(1), "grams").alias("b")))
 
 
 def containment_join(left: DataFrame, right: DataFrame, n: int, left_id: str, right_id: str, left_text: str = "text", right_text: str = "text") -> DataFrame:
