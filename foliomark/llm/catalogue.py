@@ -22,19 +22,15 @@ def p1_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return scans.repair(documents, _model(spark, sf))[1].unionByName(scans.unwrapped_paragraphs(documents))
 
 
-def _groups(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf, "documents"), 0.5, _model(spark, sf))[0]
-
-
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    groups = staged(_groups(spark, sf), "groups")
+    groups = staged(neardup.near_duplicates(table(spark, sf, "documents"), 0.5, _model(spark, sf), tree=True)[0], "groups")
     left = groups.select(F.col("doc_id").alias("doc_id_a"), "group_id")
     right = groups.select(F.col("doc_id").alias("doc_id_b"), "group_id")
     return left.join(right, "group_id").filter("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
 
 
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return _groups(spark, sf)
+    return neardup.near_duplicates(table(spark, sf, "documents"), 0.5, _model(spark, sf))[0]
 
 
 def p2_links(spark: SparkSession, sf: str) -> DataFrame:

@@ -129,14 +129,13 @@ def _blocks(classes: DataFrame) -> DataFrame:
     return arrow_map(classes.filter("n > 0").select("rep", "n", "bands", "bits"), run, "block bigint, id bigint, n int, bits binary")
 
 
-def compare(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, other: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, tile: int = 256) -> list[tuple[int, int]]:
-    """Pairs of a block to be checked: tiled exclusive-or and bit counts.
+def near(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, other: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, tile: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of a block to be checked, as (smaller ids, larger ids, distances) of each tile pair.
 
     Rows are ordered by population count; of a tile pair nothing is computed when even the nearest counts make
-    the similarity impossible. Pairs so near that they surely are alike are linked by a spanning tree only;
-    doubtful pairs are all returned unless such links join them already.
+    the similarity impossible.
     """
-    outer, inner = radius(similarity, 4.5), min(radius(similarity, 0) - 1, max(0, 2 * radius(similarity, 0) - radius(similarity, 4.5)))
+    outer = radius(similarity, 4.5)
     order = np.argsort(sizes, kind="stable")
     ids, sizes, bits = ids[order], sizes[order], bits[order]
     if other is None:
@@ -144,15 +143,6 @@ def compare(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: fl
     else:
         order = np.argsort(other[1], kind="stable")
         ids2, sizes2, bits2 = (x[order] for x in other)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
-        return x
-
-    out, doubtful = [], []
     for i in range(0, len(ids), tile):
         low, high = sizes[i], sizes[min(i + tile, len(ids)) - 1]
         for j in range(i if other is None else 0, len(ids2), tile):
@@ -162,27 +152,49 @@ def compare(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: fl
             distance = np.zeros((len(ids[i : i + tile]), len(ids2[j : j + tile])), np.uint16)
             for w in range(bits.shape[1]):
                 distance += np.bitwise_count(bits[i : i + tile, w, None] ^ bits2[None, j : j + tile, w])
-            near = distance <= outer
+            within = distance <= outer
             if other is None and i == j:
-                near = np.triu(near, 1)
-            for x, y in zip(*(k.tolist() for k in np.nonzero(near))):
-                if min(sizes[i + x], sizes2[j + y]) < similarity * max(sizes[i + x], sizes2[j + y]):
-                    continue
-                a, b = int(ids[i + x]), int(ids2[j + y])
-                if a == b:
-                    continue
-                if distance[x, y] <= inner:
-                    ra, rb = root(a), root(b)
-                    if ra != rb:
-                        parent[max(ra, rb)] = min(ra, rb)
-                        out.append((min(a, b), max(a, b)))
-                else:
-                    doubtful.append((min(a, b), max(a, b)))
+                within = np.triu(within, 1)
+            x, y = np.nonzero(within)
+            m, n, a, b = sizes[i + x], sizes2[j + y], ids[i + x], ids2[j + y]
+            keep = (np.minimum(m, n) >= similarity * np.maximum(m, n)) & (a != b)
+            if keep.any():
+                a, b = a[keep], b[keep]
+                yield np.minimum(a, b), np.maximum(a, b), distance[x, y][keep]
+
+
+def compare(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, other: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, tile: int = 256, tree: bool = False) -> list[tuple[int, int]]:
+    """Pairs of a block to be checked: tiled exclusive-or and bit counts.
+
+    With ``tree``, for groups only, pairs so near that they surely are alike are linked by a spanning tree, and
+    doubtful pairs are returned unless such links join them already.
+    """
+    found = ((a, b, d) for part in near(ids, sizes, bits, similarity, other, tile) for a, b, d in zip(*(x.tolist() for x in part)))
+    if not tree:
+        return [(a, b) for a, b, _ in found]
+    inner = min(radius(similarity, 0) - 1, max(0, 2 * radius(similarity, 0) - radius(similarity, 4.5)))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    out, doubtful = [], []
+    for a, b, d in found:
+        if d <= inner:
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+                out.append((a, b))
+        else:
+            doubtful.append((a, b))
     return out + [(a, b) for a, b in doubtful if root(a) != root(b)]
 
 
-def candidates(classes: DataFrame, similarity: float, hot: int = 2048) -> DataFrame:
-    """Distinct pairs (a, b) whose sketches lie within the radius.
+def candidates(classes: DataFrame, similarity: float, hot: int = 2048, tree: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) whose sketches lie within the radius; with ``tree`` only as many as groups need.
 
     Blocks above ``hot`` rows are cut into parts by population count and hash; each pair of parts within the
     radius of population counts is a task of its own, so no block has to fit into one.
@@ -208,17 +220,34 @@ def candidates(classes: DataFrame, similarity: float, hot: int = 2048) -> DataFr
             keys, ids, sizes, side = (t.column(c).to_numpy() for c in ("block", "id", "n", "side"))
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
             edges = np.flatnonzero(np.diff(keys)) + 1
-            found: list[tuple[int, int]] = []
+            parts: list[tuple[np.ndarray, np.ndarray]] = []
+            waiting = 0
+
+            def sent() -> pa.RecordBatch:
+                found = np.unique(np.stack([np.concatenate(x) for x in zip(*parts)], axis=1), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)]):
                 if b - a < 2:
                     continue
-                one, two = np.flatnonzero(side[a:b] < 2) + a, np.flatnonzero(side[a:b] == 2) + a
-                if side[a] == 0:
-                    found += compare(ids[a:b], sizes[a:b], bits[a:b], similarity)
-                elif len(one) and len(two):
-                    found += compare(ids[one], sizes[one], bits[one], similarity, (ids[two], sizes[two], bits[two]))
-            found = sorted(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+                one, two, other = np.arange(a, b), np.flatnonzero(side[a:b] == 2) + a, None
+                if side[a] != 0:
+                    one, other = np.flatnonzero(side[a:b] < 2) + a, (ids[two], sizes[two], bits[two])
+                    if not (len(one) and len(two)):
+                        continue
+                if tree:
+                    joined = np.array(compare(ids[one], sizes[one], bits[one], similarity, other, tree=True), np.int64).reshape(-1, 2)
+                    found = iter([(joined[:, 0], joined[:, 1])] if len(joined) else [])
+                else:
+                    found = ((x, y) for x, y, _ in near(ids[one], sizes[one], bits[one], similarity, other))
+                for part in found:
+                    parts.append(part)
+                    waiting += len(part[0])
+                    if waiting >= 200_000:
+                        yield sent()
+                        parts, waiting = [], 0
+            if parts:
+                yield sent()
 
         held: list[pa.RecordBatch] = []  # whole blocks and the beginning of the next
         rows_held = 0
@@ -270,19 +299,21 @@ def verified(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame, simila
     return arrow_map(joined.select("a", "b", "ra", "rb"), check, "a bigint, b bigint, similarity double")
 
 
-def near_duplicates(df: DataFrame, similarity: float = 0.8, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = 2048) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, similarity: float = 0.8, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = 2048, tree: bool = False) -> tuple[DataFrame, DataFrame]:
     """Groups of alike texts and the links behind them.
 
-    Returns groups (id, class_id, group_id), one row per text, and links (a, b, similarity) between class
+    Returns groups (id, class_id, group_id, n_links), one row per text, and links (a, b, similarity) between class
     representatives. A class is texts with the same words, its id the smallest id; a group is all that is
-    linked, its id the smallest class. Texts of under five words are alike only if their form is equal. Null
-    texts and null ids give no rows; a repeated id keeps its rows; an empty table gives empty results. Links are
-    complete between spanning trees of surely alike texts; a missed link of similarity s has probability
-    (1 - s * s) ** 32, on top of what the sketch radius of 4.5 standard deviations loses.
+    linked, its id the smallest class; ``n_links`` is the number of other classes its class is linked to, copies
+    not counted. Texts of under five words are alike only if their form is equal. Null
+    texts and null ids give no rows; a repeated id keeps its rows; an empty table gives empty results. All pairs
+    within the sketch radius are checked; a missed link of similarity s has probability (1 - s * s) ** 32, on top of
+    what the sketch radius of 4.5 standard deviations loses. With ``tree`` the groups are the same, but links hold
+    spanning trees of surely alike texts only, and groups have no ``n_links``.
     """
     features = staged(_features(df, id_col, text_col, model), "features")
     classes = staged(features.groupBy("same").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")), "classes")
-    pairs = staged(candidates(classes, similarity, hot), "pairs")
+    pairs = staged(candidates(classes, similarity, hot, tree), "pairs")
     links = staged(verified(df, id_col, text_col, pairs, similarity, model), "links")
     components = connected_components(links)
     groups = (
@@ -290,4 +321,7 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, model: Model | None
         .join(components.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
         .select(F.col("id").alias(id_col), "class_id", F.coalesce("component", "class_id").alias("group_id"))
     )
+    if not tree:
+        ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+        groups = groups.join(ends, "class_id", "left").select(id_col, "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return groups, links

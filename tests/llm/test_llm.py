@@ -153,6 +153,27 @@ def test_tiles_skip_by_population_count():
     assert got == whole
 
 
+@pytest.mark.parametrize("hot", [2048, 4])
+def test_every_link_of_a_family(spark, model, hot):
+    rng = random.Random(17)
+    base = prose(rng, 150).split()
+    texts = []
+    for k in range(9):
+        t = list(base)
+        t[k * 15] = "changed"
+        texts.append(" ".join(t))
+    texts += [texts[0].upper(), prose(rng, 120)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for t in texts[:9])]
+    want = {(a + 1, b + 1): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(9) for b in range(a + 1, 9)}
+    assert min(want.values()) > 0.85  # nearer than what a spanning tree would join
+    df = documents(spark, texts)
+    groups, links = neardup.near_duplicates(df, 0.5, model, hot=hot)
+    assert {(r.a, r.b): round(r.similarity, 9) for r in links.collect()} == {k: round(v, 9) for k, v in want.items()} and links.count() == 36
+    assert {r.doc_id: r.n_links for r in groups.collect()} == {**{i: 8 for i in range(1, 11)}, 11: 0}
+    only, joined = neardup.near_duplicates(df, 0.5, model, hot=hot, tree=True)
+    assert {tuple(r) for r in only.collect()} == {tuple(r)[:3] for r in groups.collect()} and joined.count() >= 8
+
+
 # --- problem 3
 
 
