@@ -1,8 +1,8 @@
 """Filling fixed-capacity containers with whole texts of related content (problem 8).
 
 Texts are spread over shards by a hash; each shard builds a BM25 inverted index, and each container starts
-from the longest unused text of its shard, takes the unused neighbours the index returns while they fit, and
-closes the last gap with the longest text that still fits.
+from the longest unused text of its shard, takes the unused neighbours the index returns, best first, until none
+of them fits, and closes what is then left with the longest text that still fits.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ class Index:
         return out
 
 
-def fill(sizes: list[int], index: Index, capacity: int, close_at: float = 0.5) -> list[list[int]]:
+def fill(sizes: list[int], index: Index, capacity: int) -> list[list[int]]:
     """Containers as lists of positions; every size must be within the capacity."""
     order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
     keys = [(sizes[i], i) for i in order]  # unused texts by size
@@ -94,7 +94,7 @@ def fill(sizes: list[int], index: Index, capacity: int, close_at: float = 0.5) -
             score[used] = -1
             near = np.flatnonzero(score > 0)
             for i in near[np.lexsort((near, -score[near]))].tolist():
-                if left < close_at * capacity:
+                if not keys or left < keys[0][0]:
                     break
                 if sizes[i] <= left:
                     take(i)

@@ -384,6 +384,13 @@ def test_bm25_prefers_related():
     assert index.scores(0)[1] > index.scores(0)[2] == 0
 
 
+def test_neighbours_fill_the_window():
+    bags = [np.array(x, np.uint32) for x in ([1, 2, 3], [1, 2, 4], [1, 5, 6], [7, 8, 9], [7, 8, 10])]
+    index = packing.Index(bags, [np.ones(3, np.uint16)] * 5, np.full(5, 3.0))
+    # the unrelated text would fill the seed's container to the last token, but the neighbours still fit
+    assert packing.fill([60, 20, 15, 40, 5], index, 100) == [[0, 1, 2, 4], [3]]
+
+
 def test_mixing(spark):
     rng = random.Random(10)
     rows = [(i, prose(rng, rng.randrange(10, 60)), "a" if i % 10 else "b") for i in range(400)] + [(900, None, "a"), (901, "text", None), (902, "text", "unknown")]
