@@ -117,7 +117,7 @@ def sentence_ends(s: str) -> list[int]:
     if "(" in s and ". " in s and REFERENCE.match(s):
         return [stop]
     quotes = quotations(s)
-    thai = bool(_THAI.search(s)) and len(_THAI.findall(s[:400])) * 4 > min(stop, 400)
+    thai = bool(_THAI.search(s)) and len(_THAI.findall(s)) * 4 > stop
     ends: list[int] = []
     inner: list[int] = []
     start, q = 0, 0

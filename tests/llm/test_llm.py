@@ -257,6 +257,12 @@ def test_sentences(text):
     assert got == CASES[text]
 
 
+def test_thai_rules_by_the_whole_block():
+    thai, latin = "การวิจัยนี้ศึกษาผลของสภาพอากาศต่อผลผลิตข้าว " * 12, "a quotation in another script " * 15
+    alone, opened = sentences.sentence_ends(thai), sentences.sentence_ends(latin + thai)
+    assert len(alone) > 1 and [e - len(latin) for e in opened][-len(alone) :] == alone
+
+
 def test_sentences_across_furniture():
     text = "A Long Title Of The Paper\n\n" + "\n".join(["the weighted survey confirms the regional trend in the north", "and the interval of the sample narrows over the whole decade", "- 7 -", "", "while the cost stays constant. Here the second sentence begins", "and it ends on this line of the page after some more words.", "Name   12   4.5", "Other   3   9.1"])
     got, before = [], 0
