@@ -1,17 +1,16 @@
 """Long stretches that records share character by character (problem 3).
 
 A shared span of at least 160 characters holds at least one anchor: a 100-character window whose hash is the
-least among 61 successive windows. Every partition counts its anchors in a count-min sketch; the merged sketch
-overestimates and so loses no repeated anchor. A second pass groups exactly the anchors estimated repeated,
-and then the 160-character windows around those that more than one text has.
+least among 61 successive windows. Every partition counts its anchors in a count-min sketch, which is cut into
+slices of the hash range whose number follows the number of anchors; the merged sketch overestimates and so
+loses no repeated anchor. A second pass sends the anchors to their slices, groups exactly those estimated
+repeated, and then the 160-character windows around those that more than one text has.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import arrow_map, ship, staged
+from ..plans.session import arrow_map, staged
 
-SLICES = 256
+#: Cells in each row of a slice of the sketch.
+CELLS = 1 << 22
+_CELL = np.uint64(CELLS - 1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _SECOND = np.uint64(0xD1B54A32D192ED03)
@@ -91,7 +92,7 @@ def stretches(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
 
 
 class Sources:
-    """All windows of known sources; of bounded size, as the caller passes them in slices."""
+    """All windows of known sources of bounded size."""
 
     def __init__(self, texts: list[str], span: int):
         found = [windows(prefix(t), span) for t in texts if t]
@@ -105,93 +106,142 @@ class Sources:
         return maybe[(at < len(self.hashes)) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == h[maybe])] if len(self.hashes) else maybe[:0]
 
 
-def _analyse(text: str, sources: Sources, span: int) -> tuple[np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
-    """(prefix sums, stretches shared with a source, stretches of at least ``span`` free of those)."""
-    sums = prefix(text)
-    known = stretches(sources.hits(windows(sums, span)), span)
+def _free(size: int, known: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
+    """Stretches of at least ``span`` characters outside the known ones."""
     free, at = [], 0
-    for a, b in [*known, (len(text), len(text))]:
+    for a, b in [*known, (size, size)]:
         if a - at >= span:
             free.append((at, a))
         at = b
-    return sums, known, free
+    return free
 
 
-def _sketch(documents: DataFrame, id_col: str, text_col: str, known: Sources, span: int, bits: int) -> np.ndarray:
-    """The merged count-min sketch as two bit maps of cells that at least two texts have: 2 x 2^(bits - 3) bytes."""
-    ship(documents.sparkSession)
-    per_slice = 1 << (bits - 8)
+def _by_slice(h: np.ndarray, slices: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the hashes by slice, and (slice, begin, end) of each slice in it."""
+    slice_ = ((h >> np.uint64(40)) % np.uint64(slices)).astype(np.int64)
+    order = np.argsort(slice_, kind="stable")
+    found = slice_[order]
+    edges = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), len(h)]
+    return order, [(int(found[a]), a, b) for a, b in zip(edges, edges[1:]) if a < b]
+
+
+def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each hash in both rows of its slice."""
+    return (h & _CELL).astype(np.uint32), (_mix(h * _SECOND) & _CELL).astype(np.uint32)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, texts, positions) of the anchors of about ``size`` anchors at a time, ordered by hash and text; batches hold (same, anchors)."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def sent() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, same, at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((same, h))
+        return h[order], same[order], at[order]
+
+    for batch in batches:
+        for same, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            k = len(packed) // 12
+            if k:
+                held.append((np.frombuffer(packed, np.uint64, k), np.full(k, same, np.int64), np.frombuffer(packed, np.uint32, k, 8 * k)))
+                n += k
+            if n >= size:
+                yield sent()
+                held, n = [], 0
+    if held:
+        yield sent()
+
+
+def _twice(h: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Which anchors of a chunk ordered by hash and text are in two of its texts."""
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    last = np.append(first[1:], len(h)) - 1
+    return np.repeat(same[first] != same[last], last - first + 1)
+
+
+def _sketch(anchored: DataFrame, slices: int) -> DataFrame:
+    """The merged count-min sketch as (slice, bits): in both rows the cells that at least two texts may have.
+
+    Every partition counts its anchors slice by slice; the slices of all partitions are added up where they meet.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-            h = np.concatenate(held)
-            rows: tuple[list, ...] = ([], [], [], [])
-            for depth in range(2):
-                cells, n = np.unique((h if depth == 0 else _mix(h * _SECOND)) >> np.uint64(64 - bits), return_counts=True)
-                cells = cells.astype(np.int64)
-                edges = np.searchsorted(cells, np.arange(SLICES + 1) * per_slice)
-                for s in range(SLICES):
-                    a, b = edges[s], edges[s + 1]
-                    if a < b:
-                        own, many = (cells[a:b] - s * per_slice).astype(np.uint32), n[a:b] > 1
-                        for column, value in zip(rows, (depth, s, own[~many].tobytes(), own[many].tobytes())):
-                            column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["depth", "slice", "once", "more"])
-
-        held, size = [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text is None or len(text) < span:
-                    continue
-                sums, _, free = _analyse(text, known, span)
-                own = [anchors(sums, a, b, span)[0] for a, b in free]
-                if own:
-                    own = np.unique(np.concatenate(own))
-                    held.append(own)
-                    size += len(own)
-            if size > 1_000_000:
-                yield flush(held)
-                held, size = [], 0
-        if held:
-            yield flush(held)
+        for h, same, _ in _chunks(batches):
+            twice = _twice(h, same)
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            h, twice = h[new], twice[new]
+            order, found = _by_slice(h, slices)
+            h, twice = h[order], twice[order]
+            rows: tuple[list, ...] = ([], [], [])
+            for number, a, b in found:
+                once, more = [], []
+                for cells in _cells(h[a:b]):
+                    cells = np.concatenate([cells, cells[twice[a:b]]])
+                    cells, n = np.unique(cells, return_counts=True)
+                    once.append(cells[n == 1].tobytes())
+                    more.append(cells[n > 1].tobytes())
+                for column, value in zip(rows, (number, once, more)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.binary())), pa.array(rows[2], pa.list_(pa.binary()))], names=["slice", "once", "more"])
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = np.zeros(per_slice, np.uint8)
+        seen = np.zeros((2, CELLS), np.uint8)
         for once, more in zip(pdf.once, pdf.more):
-            cells = np.frombuffer(once, np.uint32)
-            seen[cells] = np.minimum(seen[cells] + 1, 2)
-            seen[np.frombuffer(more, np.uint32)] = 2
-        return pd.DataFrame({"depth": [key[0]], "slice": [key[1]], "bits": [np.packbits(seen > 1).tobytes()]})
+            for row in range(2):
+                cells = np.frombuffer(once[row], np.uint32)
+                seen[row][cells] = np.minimum(seen[row][cells] + 1, 2)
+                seen[row][np.frombuffer(more[row], np.uint32)] = 2
+        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(seen > 1).tobytes()]})
 
-    partial = documents.select(text_col).mapInArrow(count, "depth int, slice int, once binary, more binary")
-    merged = partial.groupBy("depth", "slice").applyInPandas(merge, "depth int, slice int, bits binary")
-    out = np.zeros((2, SLICES, per_slice // 8), np.uint8)
-    for row in merged.toLocalIterator():
-        out[row["depth"], row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(2, -1)
+    partial = anchored.mapInArrow(count, "slice bigint, once array<binary>, more array<binary>")
+    return partial.groupBy("slice").applyInPandas(merge, "slice bigint, bits binary")
 
 
-class Sketch:
-    """The merged sketch as it is broadcast: compressed, opened once in each worker."""
+def _estimated_repeated(anchored: DataFrame, slices: int) -> DataFrame:
+    """(anchor, same, at) of all anchors that the sketch takes for repeated, of (same, anchors) rows.
 
-    _opened: dict[str, np.ndarray] = {}
-
-    def __init__(self, cells: np.ndarray):
-        self.key, self.packed = uuid.uuid4().hex, zlib.compress(cells.tobytes(), 1)
+    Anchors meet the slice of the sketch they fall into, so that neither is ever in one place as a whole. An anchor
+    that a chunk has in two of its texts is repeated for certain and asks no slice: a hot one sends one row a chunk.
+    """
 
-    def cells(self) -> np.ndarray:
-        if self.key not in Sketch._opened:
-            Sketch._opened.clear()
-            Sketch._opened[self.key] = np.frombuffer(zlib.decompress(self.packed), np.uint8).reshape(2, -1)
-        return Sketch._opened[self.key]
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, same, at in _chunks(batches):
+            twice = _twice(h, same)
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            sure = np.flatnonzero(twice)
+            for begin in range(0, len(sure), 100_000):
+                part = sure[begin : begin + 100_000]
+                for column, value in zip(rows, (-1 - int(h[part[0]] >> np.uint64(2)), None, h[part].tobytes(), same[part].tobytes(), at[part].tobytes())):
+                    column.append(value)
+            h, same, at = h[~twice], same[~twice], at[~twice]
+            order, found = _by_slice(h, slices)
+            for number, a, b in found:
+                part = order[a:b]
+                for column, value in zip(rows, (number, None, h[part].tobytes(), same[part].tobytes(), at[part].tobytes())):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), *[pa.binary()] * 4))], names=["slice", "bits", "anchor", "same", "at"])
 
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, seen = None, None
+        for batch in batches:
+            for s, bits, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if bits is not None:
+                    number, seen = s, np.frombuffer(bits, np.uint8).reshape(2, -1)
+                    continue
+                h, same, at = (np.frombuffer(x, t) for x, t in zip(packed, (np.uint64, np.int64, np.uint32)))
+                if s >= 0:
+                    keep = np.ones(len(h), bool)
+                    for row, cells in enumerate(_cells(h)):
+                        keep &= number == s and (seen[row][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
+                    h, same, at = h[keep], same[keep], at[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(same), pa.array(at.astype(np.int64))], names=["anchor", "same", "at"])
 
-def _repeated(sketch: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    keep = np.ones(len(h), bool)
-    for depth in range(2):
-        cell = ((h if depth == 0 else _mix(h * _SECOND)) >> np.uint64(64 - bits)).astype(np.int64)
-        keep &= (sketch[depth][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
-    return keep
+    nothing = F.lit(None).cast("binary")
+    asking = anchored.mapInArrow(ask, "slice bigint, bits binary, anchor binary, same binary, at binary")
+    sketch = _sketch(anchored, slices).select("slice", "bits", nothing.alias("anchor"), nothing.alias("same"), nothing.alias("at"))
+    together = sketch.unionByName(asking).repartition(math.ceil(slices / 2) + 2, "slice").sortWithinPartitions("slice", F.col("bits").isNull())
+    return together.mapInArrow(answer, "anchor bigint, same bigint, at bigint")
 
 
 def _pack(starts: np.ndarray) -> bytes:
@@ -257,78 +307,103 @@ def _groups(packed: DataFrame, salted: bool) -> DataFrame:
     return packed.groupBy(*keys).applyInPandas(run, "same bigint, code binary, done boolean, mark boolean, bucket int")
 
 
-def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int = 160, id_col: str = "doc_id", text_col: str = "text", source_text_col: str = "text", hot: int = 200_000, most_bits: int = 27, slice_chars: int = 20_000_000) -> DataFrame:
+def _source_starts(docs: DataFrame, sources: DataFrame, span: int) -> DataFrame:
+    """(same, starts) of the texts with windows that a source has: anchors are joined first, then the windows around them."""
+
+    def anchored(same, texts):
+        out = ([], [], [])
+        for key, text in zip(same, texts):
+            if len(text) >= span:
+                h, at = anchors(prefix(text), 0, len(text), span)
+                out[0].append(h.view(np.int64))
+                out[1].append(np.full(len(h), key, np.int64))
+                out[2].append(at)
+        return [pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in out]
+
+    def near(same, texts, positions):
+        out = ([], [])
+        for key, text, at in zip(same, texts, positions):
+            starts = _starts(np.array(at, np.int64), 0, len(text), span)
+            out[0].append(windows(prefix(text), span)[starts].view(np.int64))
+            out[1].append(np.stack([np.full(len(starts), key, np.int64), starts]))
+        places = np.concatenate([np.zeros((2, 0), np.int64), *out[1]], axis=1)
+        return [pa.array(np.concatenate([np.zeros(0, np.int64), *out[0]])), pa.array(places[0]), pa.array(places[1])]
+
+    def hashed(texts):
+        return [pa.array(np.concatenate([np.zeros(0, np.uint64), *(windows(prefix(t), span) for t in texts)]).view(np.int64))]
+
+    known = sources.select(F.xxhash64("t").alias("same"), "t")
+    of_sources = arrow_map(known, anchored, "anchor bigint, same bigint, at bigint").select("anchor").distinct()
+    places = arrow_map(docs.select("same", "text"), anchored, "anchor bigint, same bigint, at bigint").join(of_sources, "anchor", "left_semi").groupBy("same").agg(F.collect_set("at").alias("at"))
+    found = arrow_map(docs.join(places, "same").select("same", "text", "at"), near, "w bigint, same bigint, start bigint")
+    return found.join(arrow_map(sources.select("t"), hashed, "w bigint").distinct(), "w", "left_semi").groupBy("same").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+
+
+def _starts(at: np.ndarray, a: int, b: int, span: int) -> np.ndarray:
+    """Starts of the spans within [a, b) that hold an anchor at one of the positions."""
+    half = span - anchor_length(span)
+    inside = at[(at >= a) & (at + anchor_length(span) <= b)]
+    if not len(inside) or b - a < span:
+        return np.zeros(0, np.int64)
+    flags = np.zeros(b - a - span + 2, np.int32)
+    np.add.at(flags, np.clip(inside - half - a, 0, b - a - span + 1), 1)
+    np.add.at(flags, np.clip(inside + 1 - a, 0, b - a - span + 1), -1)
+    return np.flatnonzero(np.cumsum(flags)[:-1] > 0) + a
+
+
+def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int = 160, id_col: str = "doc_id", text_col: str = "text", source_text_col: str = "text", hot: int = 200_000, broadcast_chars: int = 5_000_000) -> DataFrame:
     """(record_kind, record_id, span_start, span_end) of the kinds source and document.
 
     ``source``: stretches of characters each in a span of at least ``span`` characters that a source has too.
     ``document``: the same for spans of another document, where spans that touch a source stretch do not count.
-    Null texts, null ids and shorter texts give no rows; equal texts share all of it. Sources are broadcast as
-    window hashes and may hold ``slice_chars`` characters (8 bytes each); more are refused. The sketch takes
-    at most 2 x 2^(most_bits - 3) bytes; where it is full it only lets more anchors through to the exact grouping.
+    Null texts, null ids and shorter texts give no rows; equal texts share all of it. The windows of the sources
+    are broadcast (8 bytes each) where the sources have at most ``broadcast_chars`` characters, which is counted
+    first; beyond that they are joined by hash, with the same result. The sketch has 16 cells for each anchor, so
+    that it lets equally few single anchors through at every size.
     """
     source_texts = sources.select(F.col(source_text_col).alias("t")).filter("t is not null").distinct()
-    if (source_texts.agg(F.sum(F.length("t"))).first()[0] or 0) > slice_chars:
-        raise ValueError("more source text than slice_chars; pass the sources in parts")
-    known = Sources([r["t"] for r in source_texts.collect()], span)
-    spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = int(min(most_bits, max(16, math.ceil(math.log2(max(2, 16 * chars / (span // 5)))))))
-    sketch = spark.sparkContext.broadcast(Sketch(_sketch(docs, "id", "text", known, span, bits)))
-
-    def estimate(ids, texts):
+    docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    known = None
+    if (source_texts.agg(F.sum(F.length("t"))).first()[0] or 0) <= broadcast_chars:
+        known = documents.sparkSession.sparkContext.broadcast(Sources([r["t"] for r in source_texts.collect()], span))
+
+    def analyse(ids, same, texts, starts):
         out = ([], [], [], [], [], [])
-        for key, text in zip(ids, texts):
+        for key, text_key, text, at in zip(ids, same, texts, starts):
             if len(text) < span:
-                continue
-            sums, own, free = _analyse(text, known, span)
-            found = [anchors(sums, a, b, span) for a, b in free]
-            h = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
-            at = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-            keep = _repeated(sketch.value.cells(), h, bits)
-            kept = bool(keep.any())
-            values = (key, xxhash.xxh3_64_intdigest(text) - 2**63, np.array(own, np.int64).tobytes(), np.array(free, np.int64).tobytes(), h[keep].tobytes() + at[keep].tobytes() if kept else None, text if kept else None)
+                values = (key, text_key, b"", b"", b"", 0)
+            else:
+                sums = prefix(text)
+                own = stretches(known.value.hits(windows(sums, span)) if known else np.array(at or [], np.int64), span)
+                free = _free(len(text), own, span)
+                found = [anchors(sums, a, b, span) for a, b in free]
+                h = np.concatenate([np.zeros(0, np.uint64), *(f[0] for f in found)])
+                places = np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)])
+                values = (key, text_key, np.array(own, np.int64).tobytes(), np.array(free, np.int64).tobytes(), h.tobytes() + places.astype(np.uint32).tobytes(), len(h))
             for column, value in zip(out, values):
                 column.append(value)
         return out
 
-    records = staged(arrow_map(docs, estimate, "id bigint, same bigint, own binary, free binary, anchors binary, text string"), "spans")
+    given = docs.withColumn("starts", F.lit(None).cast("array<bigint>")) if known else docs.join(_source_starts(docs, source_texts, span), "same", "left").select("id", "same", "text", "starts")
+    records = staged(arrow_map(given, analyse, "id bigint, same bigint, own binary, free binary, anchors binary, n int"), "spans")
     # one document stands for all with its text; the others get their stretches from it
-    classes = records.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    copies = classes.filter("copies > 1")
-
-    def explode_anchors(ids, same, packed):
-        if not ids:
-            return [], [], [], []
-        sizes = [len(p) // 16 for p in packed]
-        h = b"".join(p[: len(p) // 2] for p in packed)
-        at = b"".join(p[len(p) // 2 :] for p in packed)
-        return pa.array(np.frombuffer(h, np.int64)), pa.array(np.repeat(np.array(same, np.int64), sizes)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.frombuffer(at, np.int64))
-
-    held = records.filter("anchors is not null")
-    rows = arrow_map(held.select("id", "same", "anchors"), explode_anchors, "anchor bigint, same bigint, id bigint, at bigint")
-    groups = staged(rows.groupBy("anchor").agg(F.min("same").alias("low"), F.max("same").alias("high"), F.count("*").alias("c")).filter("low <> high").select("anchor", "c"), "anchors")
+    copies = records.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
+    reps = records.join(copies, "same", "left").filter("n > 0 and (rep is null or rep = id)").select("id", "same", "free", "anchors")
+    slices = max(1, math.ceil(16 * (records.agg(F.sum("n")).first()[0] or 0) / CELLS))
+    rows = staged(_estimated_repeated(reps.select("same", "anchors"), slices), "anchors")
+    groups = staged(rows.groupBy("anchor").agg(F.min("same").alias("low"), F.max("same").alias("high"), F.count("*").alias("c")).filter("low <> high").select("anchor", "c"), "repeated")
     size = groups.agg(F.sum("c").alias("total"), F.max("c").alias("top")).first()
     total, top = size["total"] or 0, size["top"] or 0
-    wanted = rows.join(groups.select("anchor"), "anchor").groupBy("id").agg(F.collect_list("at").alias("at"))
-    half = span - anchor_length(span)
-
-    buckets = max(4, math.ceil(total * half / 1_000_000))
+    wanted = rows.join(groups.select("anchor"), "anchor").groupBy("same").agg(F.collect_list("at").alias("at"))
+    buckets = max(4, math.ceil(total * (span - anchor_length(span)) / 250_000))
     salts = max(1, math.ceil(top / hot))
 
     def pack(ids, same, free, at, texts):
         out = ([], [], [], [], [])
         for key, own, segments, positions, text in zip(ids, same, free, at, texts):
             sums = prefix(text)
-            positions = np.sort(np.array(positions, np.int64))
-            starts = []
-            for a, b in np.frombuffer(segments, np.int64).reshape(-1, 2).tolist():
-                inside = positions[(positions >= a) & (positions < b)]
-                if len(inside) and b - a >= span:
-                    flags = np.zeros(b - a - span + 2, np.int32)
-                    np.add.at(flags, np.clip(inside - half - a, 0, b - a - span + 1), 1)
-                    np.add.at(flags, np.clip(inside + 1 - a, 0, b - a - span + 1), -1)
-                    starts.append(np.flatnonzero(np.cumsum(flags)[:-1] > 0) + a)
+            positions = np.array(positions, np.int64)
+            starts = [x for a, b in np.frombuffer(segments, np.int64).reshape(-1, 2).tolist() if len(x := _starts(positions, a, b, span))]
             if not starts:
                 continue
             starts = np.concatenate(starts)
@@ -341,8 +416,11 @@ def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int =
                     column.append(value)
         return out
 
-    chosen = held.join(wanted, "id").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "same", "free", "at", "text")
+    chosen = reps.select("id", "same", "free").join(wanted, "same").join(docs, ["id", "same"]).select("id", "same", "free", "at", "text")
     packed = arrow_map(chosen, pack, "bucket int, salt int, same bigint, code binary, mark boolean")
+    # four buckets of about a quarter of a million windows to a task, at every size
+    keys = ["bucket", "salt"] if salts > 1 else ["bucket"]
+    packed = packed.repartition(math.ceil(buckets * salts / 4), *keys)
     if salts > 1:
         first = staged(_groups(packed, True), "salted")
         decided = first.filter("done").unionByName(_groups(first.filter("not done").drop("done"), False).filter("done"))

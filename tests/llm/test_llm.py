@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliomark.llm import language, mixing, neardup, packing, pieces, repetition, scans, sentences, spans, textform, tokens
 from foliomark.llm.furniture import FURNITURE, classify
@@ -201,8 +202,8 @@ def brute_spans(docs, sources, span):
     return result
 
 
-@pytest.mark.parametrize("hot", [200_000, 2])
-def test_shared_spans_match_brute_force(spark, hot):
+@pytest.mark.parametrize("hot, broadcast_chars", [(200_000, 5_000_000), (2, 5_000_000), (200_000, 0)])
+def test_shared_spans_match_brute_force(spark, hot, broadcast_chars):
     rng = random.Random(3)
     source = prose(rng, 80)
     shared = [prose(rng, 40) for _ in range(3)]
@@ -215,13 +216,34 @@ def test_shared_spans_match_brute_force(spark, hot):
     texts += [texts[2], texts[5][:170], "ab" * 300, *ODD]
     df = documents(spark, texts)
     src = spark.createDataFrame([(source,), (None,), ("short",)], "text string")
-    got = {tuple(r) for r in spans.shared_with_documents(df, src, 60, hot=hot).collect()}
+    got = {tuple(r) for r in spans.shared_with_documents(df, src, 60, hot=hot, broadcast_chars=broadcast_chars).collect()}
     assert got == brute_spans([(i + 1, t) for i, t in enumerate(texts) if t is not None], [source], 60)
     assert spans.shared_with_documents(df.limit(0), src, 60).count() == 0
     share = spans.shared_share(df, spans.shared_with_documents(df, src, 60)).filter("doc_id = 17").first()
     assert share.shared_share == pytest.approx(1.0) or share.shared_chars <= share.n_chars
 
 
+@pytest.mark.parametrize("texts", [400, 2400])
+def test_sketch_keeps_repeated_anchors_and_few_others_at_any_size(spark, texts):
+    """Of anchors that one text has at most one in 20 passes; of repeated ones, hot ones too, none is lost."""
+    random_ = np.random.default_rng(texts)
+    hot = random_.integers(0, 2**63, 3, dtype=np.uint64)
+    rows, single, twice = [], 0, {int(x) for x in hot.view(np.int64)}
+    pair = random_.integers(0, 2**63, 40, dtype=np.uint64)
+    twice |= {int(x) for x in pair.view(np.int64)}
+    for k in range(texts):
+        own = random_.integers(0, 2**63, 500, dtype=np.uint64)
+        single += len(own)
+        h = np.concatenate([own, hot, pair if k in (0, texts - 1) else hot[:0]])
+        rows.append((k, bytearray(h.tobytes() + np.arange(len(h), dtype=np.uint32).tobytes())))
+    df = spark.createDataFrame(rows, "same bigint, anchors binary").repartition(4)
+    total = single + 3 * texts + 80
+    kept = spans._estimated_repeated(df, max(1, -(-16 * total // spans.CELLS))).groupBy("anchor").agg(F.count("*").alias("n")).collect()
+    counts = {r["anchor"]: r["n"] for r in kept}
+    assert all(counts[int(x)] == texts for x in hot.view(np.int64)) and all(counts[int(x)] == 2 for x in pair.view(np.int64))
+    assert len(counts.keys() - twice) <= 0.05 * single
+
+
 def test_shared_in_evidence(spark):
     rng = random.Random(4)
     a = prose(rng, 40)
