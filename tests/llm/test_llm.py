@@ -213,8 +213,9 @@ def test_shared_spans_match_brute_force(spark, hot, broadcast_chars):
         if k % 4 == 0:
             parts.insert(1, source[30 : 30 + 60 * (k % 5 + 1)])
         texts.append(" ".join(parts))
-    texts += [texts[2], texts[5][:170], "ab" * 300, *ODD]
-    df = documents(spark, texts)
+    again = prose(rng, 30)
+    texts += [texts[2], texts[5][:170], "ab" * 300, *ODD, again + " x " + again, prose(rng, 9) + again]
+    df = documents(spark, texts).repartition(7, "doc_id")
     src = spark.createDataFrame([(source,), (None,), ("short",)], "text string")
     got = {tuple(r) for r in spans.shared_with_documents(df, src, 60, hot=hot, broadcast_chars=broadcast_chars).collect()}
     assert got == brute_spans([(i + 1, t) for i, t in enumerate(texts) if t is not None], [source], 60)
@@ -235,7 +236,7 @@ def test_sketch_keeps_repeated_anchors_and_few_others_at_any_size(spark, texts):
         own = random_.integers(0, 2**63, 500, dtype=np.uint64)
         single += len(own)
         h = np.concatenate([own, hot, pair if k in (0, texts - 1) else hot[:0]])
-        rows.append((k, bytearray(h.tobytes() + np.arange(len(h), dtype=np.uint32).tobytes())))
+        rows.append((k, bytearray(h.tobytes())))
     df = spark.createDataFrame(rows, "same bigint, anchors binary").repartition(4)
     total = single + 3 * texts + 80
     kept = spans._estimated_repeated(df, max(1, -(-16 * total // spans.CELLS))).groupBy("anchor").agg(F.count("*").alias("n")).collect()
@@ -372,9 +373,15 @@ def test_binomial_bound():
 def test_cutoffs_control_false_rejections():
     rng = np.random.default_rng(6)
     rows = [("a", float(s), False) for s in rng.beta(1, 12, 3000)] + [("a", 0.9, True)] * 50 + [("b", 0.1, False)] * 5
-    found = repetition.choose_cutoffs(rows, [0.2, 0.25, 0.3, 0.35, 0.4], 0.05, 0.05, 0.4)
+    grid = [k / 100 for k in range(1, 101)]
+    found = repetition.choose_cutoffs(rows, grid, 0.05, 0.05, ("a", "b"))
     cutoff, failures, good, bound = found["a"]
-    assert good == 3000 and bound <= 0.05 and failures <= 150 and found["b"][0] == 0.4
+    assert good == 3000 and bound <= 0.05 and failures <= 150
+    lower = cutoff - 0.01
+    assert repetition.binomial_upper(sum(s >= lower for t, s, bad in rows if t == "a" and not bad), 3000, 0.025) > 0.05  # no lower one is certain
+    assert found["b"][0] is None and found["b"][3] < 1
+    # on fresh rows of the same kind the rate holds
+    assert (rng.beta(1, 12, 100_000) >= cutoff).mean() <= 0.05
 
 
 def test_repetitive(spark, model):
@@ -383,9 +390,26 @@ def test_repetitive(spark, model):
     df = documents(spark, [*ODD, prose(rng, 200), " ".join([block] * 9), prose(rng, 60) + " " + block + " " + block])
     rejected, cutoffs = repetition.repetitive(df, model)
     assert {r.doc_id for r in rejected.filter("certain").collect()} == {11}
+    assert {r.stratum for r in cutoffs.collect()} == set(repetition.STRATA)
     assert repetition.repetitive(df.limit(0), model)[0].count() == 0
 
 
+def test_cutoffs_decide_what_is_rejected(spark, model):
+    rng = random.Random(18)
+    texts = [prose(rng, 60) for _ in range(400)]
+    for k in range(40):
+        block = prose(rng, 20)
+        texts.append(" ".join([block] * (2 + k % 4)) + " " + prose(rng, 15))
+    df = documents(spark, texts)
+    rejected, cutoffs = repetition.repetitive(df, model)
+    latin = cutoffs.filter("stratum = 'latin'").first()
+    assert 0 < latin.cutoff < 0.4 and latin.bound <= 0.02 and latin.acceptable >= 400
+    bad = repetition.repetition(df, model).filter("repeated_share >= 0.4").count()
+    assert bad >= 20 and rejected.filter("certain").count() == bad
+    strict, _ = repetition.repetitive(df, model, cutoffs={"latin": 0.6})
+    assert 0 < strict.filter("certain").count() < bad
+
+
 # --- problems 8, 9, 10
 
 
