@@ -1,10 +1,10 @@
 """Long stretches that records share character by character (problem 3).
 
-A shared span of at least 160 characters holds at least one anchor: a 100-character window whose hash is the
-least among 61 successive windows. Every partition counts its anchors in a count-min sketch, which is cut into
-slices of the hash range whose number follows the number of anchors; the merged sketch overestimates and so
-loses no repeated anchor. A second pass sends the anchors to their slices, groups exactly those estimated
-repeated, and then the 160-character windows around those that more than one text has.
+The anchor of a span of 160 characters is the least hash among its 61 windows of 100 characters; equal spans have
+equal anchors, and neighbouring spans mostly share theirs. Every partition counts its anchors in a count-min
+sketch, which is cut into slices of the hash range whose number follows the number of anchors; the merged sketch
+overestimates and so loses no repeated anchor. A second pass sends the anchors to their slices, groups exactly
+those estimated repeated, and then the spans of those anchors that more than one text has.
 """
 
 from __future__ import annotations
@@ -70,25 +70,25 @@ def anchor_length(span: int) -> int:
     return span * 5 // 8
 
 
-def anchors(sums: np.ndarray, begin: int, end: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the anchors of [begin, end), a stretch of at least ``span`` characters."""
+def anchors(sums: np.ndarray, begin: int, end: int, span: int) -> np.ndarray:
+    """For every span (by its start) within [begin, end) the hash of its anchor, the least of its windows of anchor length; equal spans have equal anchors."""
     k = anchor_length(span)
-    h = windows(sums, k, begin, end)
-    w = span - k + 1
-    if len(h) < w:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low = _sliding(h, w, True)
-    top = _sliding(np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)]), w, False)
-    at = np.flatnonzero(top == h)
-    return h[at], at + begin
+    return _sliding(windows(sums, k, begin, end), span - k + 1, True) if end - begin >= span else np.zeros(0, np.uint64)
 
 
 def stretches(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
     """The union of [s, s + span) over sorted starts, as maximal stretches of characters each in a span."""
-    if not len(starts):
+    return _united(starts, starts + span)
+
+
+def _united(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """The union of stretches in any order; such as touch become one."""
+    if not len(begins):
         return []
-    cut = np.flatnonzero(np.diff(starts) > span)
-    return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + span).tolist()))
+    order = np.argsort(begins, kind="stable")
+    begins, ends = begins[order], np.maximum.accumulate(ends[order])
+    cut = np.flatnonzero(begins[1:] > ends[:-1])
+    return list(zip(begins[np.concatenate([[0], cut + 1])].tolist(), ends[np.concatenate([cut, [len(ends) - 1]])].tolist()))
 
 
 class Sources:
@@ -130,22 +130,21 @@ def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & _CELL).astype(np.uint32), (_mix(h * _SECOND) & _CELL).astype(np.uint32)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hashes, texts, positions) of the anchors of about ``size`` anchors at a time, ordered by hash and text; batches hold (same, anchors)."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, texts) of about ``size`` anchors at a time, ordered by hash and text; batches hold (same, anchors)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
 
-    def sent() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, same, at = (np.concatenate(x) for x in zip(*held))
+    def sent() -> tuple[np.ndarray, np.ndarray]:
+        h, same = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((same, h))
-        return h[order], same[order], at[order]
+        return h[order], same[order]
 
     for batch in batches:
         for same, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            k = len(packed) // 12
-            if k:
-                held.append((np.frombuffer(packed, np.uint64, k), np.full(k, same, np.int64), np.frombuffer(packed, np.uint32, k, 8 * k)))
-                n += k
+            if packed:
+                held.append((np.frombuffer(packed, np.uint64), np.full(len(packed) // 8, same, np.int64)))
+                n += len(packed) // 8
             if n >= size:
                 yield sent()
                 held, n = [], 0
@@ -167,7 +166,7 @@ def _sketch(anchored: DataFrame, slices: int) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, same, _ in _chunks(batches):
+        for h, same in _chunks(batches):
             twice = _twice(h, same)
             new = np.concatenate([[True], h[1:] != h[:-1]])
             h, twice = h[new], twice[new]
@@ -199,28 +198,28 @@ def _sketch(anchored: DataFrame, slices: int) -> DataFrame:
 
 
 def _estimated_repeated(anchored: DataFrame, slices: int) -> DataFrame:
-    """(anchor, same, at) of all anchors that the sketch takes for repeated, of (same, anchors) rows.
+    """(anchor, same) of all anchors that the sketch takes for repeated, of (same, anchors) rows.
 
     Anchors meet the slice of the sketch they fall into, so that neither is ever in one place as a whole. An anchor
     that a chunk has in two of its texts is repeated for certain and asks no slice: a hot one sends one row a chunk.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, same, at in _chunks(batches):
+        for h, same in _chunks(batches):
             twice = _twice(h, same)
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [])
             sure = np.flatnonzero(twice)
             for begin in range(0, len(sure), 100_000):
                 part = sure[begin : begin + 100_000]
-                for column, value in zip(rows, (-1 - int(h[part[0]] >> np.uint64(2)), None, h[part].tobytes(), same[part].tobytes(), at[part].tobytes())):
+                for column, value in zip(rows, (-1 - int(h[part[0]] >> np.uint64(2)), None, h[part].tobytes(), same[part].tobytes())):
                     column.append(value)
-            h, same, at = h[~twice], same[~twice], at[~twice]
+            h, same = h[~twice], same[~twice]
             order, found = _by_slice(h, slices)
             for number, a, b in found:
                 part = order[a:b]
-                for column, value in zip(rows, (number, None, h[part].tobytes(), same[part].tobytes(), at[part].tobytes())):
+                for column, value in zip(rows, (number, None, h[part].tobytes(), same[part].tobytes())):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), *[pa.binary()] * 4))], names=["slice", "bits", "anchor", "same", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), *[pa.binary()] * 3))], names=["slice", "bits", "anchor", "same"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, seen = None, None
@@ -229,128 +228,113 @@ def _estimated_repeated(anchored: DataFrame, slices: int) -> DataFrame:
                 if bits is not None:
                     number, seen = s, np.frombuffer(bits, np.uint8).reshape(2, -1)
                     continue
-                h, same, at = (np.frombuffer(x, t) for x, t in zip(packed, (np.uint64, np.int64, np.uint32)))
+                h, same = (np.frombuffer(x, t) for x, t in zip(packed, (np.uint64, np.int64)))
                 if s >= 0:
                     keep = np.ones(len(h), bool)
                     for row, cells in enumerate(_cells(h)):
                         keep &= number == s and (seen[row][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
-                    h, same, at = h[keep], same[keep], at[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(same), pa.array(at.astype(np.int64))], names=["anchor", "same", "at"])
+                    h, same = h[keep], same[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(same)], names=["anchor", "same"])
 
     nothing = F.lit(None).cast("binary")
-    asking = anchored.mapInArrow(ask, "slice bigint, bits binary, anchor binary, same binary, at binary")
-    sketch = _sketch(anchored, slices).select("slice", "bits", nothing.alias("anchor"), nothing.alias("same"), nothing.alias("at"))
+    asking = anchored.mapInArrow(ask, "slice bigint, bits binary, anchor binary, same binary")
+    sketch = _sketch(anchored, slices).select("slice", "bits", nothing.alias("anchor"), nothing.alias("same"))
     together = sketch.unionByName(asking).repartition(math.ceil(slices / 2) + 2, "slice").sortWithinPartitions("slice", F.col("bits").isNull())
-    return together.mapInArrow(answer, "anchor bigint, same bigint, at bigint")
+    return together.mapInArrow(answer, "anchor bigint, same bigint")
 
 
-def _pack(starts: np.ndarray) -> bytes:
-    """Ascending positions as differences of the fewest bytes that hold them."""
-    steps = np.diff(starts, prepend=0)
-    most = int(steps.max(initial=0))
-    size = 1 if most < 256 else 2 if most < 65536 else 4
-    return bytes([size]) + steps.astype(f"<u{size}").tobytes()
+_RUN = np.dtype([("same", "<i8"), ("start", "<u4"), ("size", "<u4")])
+_PACKED = "bucket bigint, salt int, hashes binary, runs binary, marks binary"
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64))
+def _as_runs(same: np.ndarray, start: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as (runs of successive starts of one text, index of the first window of each)."""
+    new = (np.diff(same) != 0) | (np.diff(start) != 1)
+    if group is not None:
+        new |= np.diff(group) != 0
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(same)), bool), new]))
+    runs = np.zeros(len(first), _RUN)
+    runs["same"], runs["start"], runs["size"] = same[first], start[first], np.diff(np.append(first, len(same)))
+    return runs, first
 
 
-def _coded(hashes: np.ndarray, starts: np.ndarray) -> bytes:
-    """Windows of one text as (7 bytes of each hash, ascending positions)."""
-    return len(hashes).to_bytes(4, "little") + hashes.view(np.uint8).reshape(-1, 8)[:, :7].tobytes() + _pack(starts)
+def _of_runs(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, starts) of the windows of runs."""
+    size = runs["size"].astype(np.int64)
+    before = np.cumsum(size) - size
+    return np.repeat(runs["same"], size), np.arange(int(size.sum())) - np.repeat(before - runs["start"].astype(np.int64), size)
 
 
-def _decoded(code: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(code[:4], "little")
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :7] = np.frombuffer(code, np.uint8, 7 * n, 4).reshape(-1, 7)
-    return wide.view(np.uint64).ravel(), _unpack(code[4 + 7 * n :])
+def _settled(h: np.ndarray, same: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which windows more than one text has, hashes of those): ``marks`` are hashes known to be shared."""
+    order = np.argsort(h, kind="stable")
+    found = h[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), found[1:] != found[:-1]]))
+    if not len(first):
+        return np.zeros(0, bool), np.unique(marks)
+    shared = np.minimum.reduceat(same[order], first) != np.maximum.reduceat(same[order], first)
+    shared |= np.isin(found[first], marks)
+    out = np.zeros(len(h), bool)
+    out[order] = np.repeat(shared, np.diff(np.append(first, len(h))))
+    return out, np.union1d(found[first][shared], marks)
 
 
-def _groups(packed: DataFrame, salted: bool) -> DataFrame:
-    """Windows of more than one text: (same, starts, done) of each bucket, and what stays undecided within a salt.
+def _groups(packed: DataFrame, final: bool) -> DataFrame:
+    """Exact groups of the windows of each bucket: rows without hashes are runs of shared windows.
 
-    ``bucket`` tells windows apart by their hash, ``salt`` texts; a text is named by ``same``, 0 stands for a
-    window that another salt has decided already.
+    Before the ``final`` level, which has one salt, rows with the windows undecided so far and marks of those decided go on.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [_decoded(code) for code in pdf.code]
-        h = np.concatenate([f[0] for f in found])
-        at = np.concatenate([f[1] for f in found])
-        sizes = [len(f[0]) for f in found]
-        same, real = np.repeat(pdf.same.to_numpy(), sizes), np.repeat(~pdf["mark"].to_numpy(), sizes)
-        order = np.argsort(h, kind="stable")
-        h, same, at, real = h[order], same[order], at[order], real[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        first = np.flatnonzero(new)
-        shared = (np.minimum.reduceat(same, first) != np.maximum.reduceat(same, first)) | ~np.logical_and.reduceat(real, first)
-        every = shared[np.cumsum(new) - 1]
+        done = [np.frombuffer(r, _RUN) for h, r in zip(pdf.hashes, pdf.runs) if h is None]
+        held = [(np.frombuffer(h, np.uint64), np.frombuffer(r, _RUN)) for h, r in zip(pdf.hashes, pdf.runs) if h is not None]
         rows: list[tuple] = []
-
-        def emit(chosen: np.ndarray, done: bool) -> None:
-            chosen = chosen[np.lexsort((at[chosen], same[chosen]))]
-            edges = np.flatnonzero(np.diff(same[chosen])) + 1
-            for part in np.split(chosen, edges) if len(chosen) else []:
-                rows.append((int(same[part[0]]), _pack(at[part]) if done else _coded(h[part], at[part]), done, False))
-
-        emit(np.flatnonzero(every & real), True)
-        if salted:
-            emit(np.flatnonzero(~every), False)
-            rows.extend((0, _coded(h[k : k + 1], np.zeros(1, np.int64)), False, True) for k in first[shared])
-        out = pd.DataFrame(rows, columns=["same", "code", "done", "mark"])
-        out["bucket"] = key[0]
-        return out
-
-    keys = ["bucket", "salt"] if salted else ["bucket"]
-    return packed.groupBy(*keys).applyInPandas(run, "same bigint, code binary, done boolean, mark boolean, bucket int")
+        if held:
+            h = np.concatenate([x[0] for x in held])
+            same, start = _of_runs(np.concatenate([x[1] for x in held]))
+            marks = np.concatenate([np.frombuffer(m, np.uint64) for m in pdf.marks if m is not None] or [np.zeros(0, np.uint64)])
+            shared, marks = _settled(h, same, marks)
+            done.append(_as_runs(same[shared], start[shared])[0])
+            if not final:
+                rest = ~shared
+                rows.append((key[0], 0, h[rest].tobytes(), _as_runs(same[rest], start[rest])[0].tobytes(), marks.tobytes()))
+        runs = np.concatenate(done) if done else np.zeros(0, _RUN)
+        if final:
+            return pd.DataFrame({"same": runs["same"], "start": runs["start"].astype(np.int64), "size": runs["size"].astype(np.int64)})
+        if len(runs):
+            rows.append((-1 - int(runs["same"][0]) % 1_000_003, 0, None, runs.tobytes(), None))
+        return pd.DataFrame(rows, columns=["bucket", "salt", "hashes", "runs", "marks"])
+
+    return packed.groupBy(*(["bucket"] if final else ["bucket", "salt"])).applyInPandas(run, "same bigint, start bigint, size bigint" if final else _PACKED)
 
 
 def _source_starts(docs: DataFrame, sources: DataFrame, span: int) -> DataFrame:
     """(same, starts) of the texts with windows that a source has: anchors are joined first, then the windows around them."""
 
     def anchored(same, texts):
-        out = ([], [], [])
-        for key, text in zip(same, texts):
-            if len(text) >= span:
-                h, at = anchors(prefix(text), 0, len(text), span)
-                out[0].append(h.view(np.int64))
-                out[1].append(np.full(len(h), key, np.int64))
-                out[2].append(at)
-        return [pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in out]
-
-    def near(same, texts, positions):
-        out = ([], [])
-        for key, text, at in zip(same, texts, positions):
-            starts = _starts(np.array(at, np.int64), 0, len(text), span)
-            out[0].append(windows(prefix(text), span)[starts].view(np.int64))
-            out[1].append(np.stack([np.full(len(starts), key, np.int64), starts]))
-        places = np.concatenate([np.zeros((2, 0), np.int64), *out[1]], axis=1)
-        return [pa.array(np.concatenate([np.zeros(0, np.int64), *out[0]])), pa.array(places[0]), pa.array(places[1])]
+        found = [np.unique(anchors(prefix(text), 0, len(text), span)) for text in texts]
+        flat = np.concatenate([np.zeros(0, np.uint64), *found])
+        return [pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(same, np.int64), [len(f) for f in found]))]
+
+    def near(same, texts, wanted):
+        hashes, places = [np.zeros(0, np.uint64)], [np.zeros((2, 0), np.int64)]
+        for key, text, some in zip(same, texts, wanted):
+            sums = prefix(text)
+            starts = np.flatnonzero(np.isin(anchors(sums, 0, len(text), span), np.array(some, np.int64).view(np.uint64)))
+            hashes.append(windows(sums, span)[starts])
+            places.append(np.stack([np.full(len(starts), key, np.int64), starts]))
+        at = np.concatenate(places, axis=1)
+        return [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(at[0]), pa.array(at[1])]
 
     def hashed(texts):
         return [pa.array(np.concatenate([np.zeros(0, np.uint64), *(windows(prefix(t), span) for t in texts)]).view(np.int64))]
 
-    known = sources.select(F.xxhash64("t").alias("same"), "t")
-    of_sources = arrow_map(known, anchored, "anchor bigint, same bigint, at bigint").select("anchor").distinct()
-    places = arrow_map(docs.select("same", "text"), anchored, "anchor bigint, same bigint, at bigint").join(of_sources, "anchor", "left_semi").groupBy("same").agg(F.collect_set("at").alias("at"))
-    found = arrow_map(docs.join(places, "same").select("same", "text", "at"), near, "w bigint, same bigint, start bigint")
+    of_sources = arrow_map(sources.select(F.xxhash64("t").alias("same"), "t"), anchored, "anchor bigint, same bigint").select("anchor").distinct()
+    wanted = arrow_map(docs.select("same", "text"), anchored, "anchor bigint, same bigint").join(of_sources, "anchor", "left_semi").groupBy("same").agg(F.collect_set("anchor").alias("wanted"))
+    found = arrow_map(docs.join(wanted, "same").select("same", "text", "wanted"), near, "w bigint, same bigint, start bigint")
     return found.join(arrow_map(sources.select("t"), hashed, "w bigint").distinct(), "w", "left_semi").groupBy("same").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
-def _starts(at: np.ndarray, a: int, b: int, span: int) -> np.ndarray:
-    """Starts of the spans within [a, b) that hold an anchor at one of the positions."""
-    half = span - anchor_length(span)
-    inside = at[(at >= a) & (at + anchor_length(span) <= b)]
-    if not len(inside) or b - a < span:
-        return np.zeros(0, np.int64)
-    flags = np.zeros(b - a - span + 2, np.int32)
-    np.add.at(flags, np.clip(inside - half - a, 0, b - a - span + 1), 1)
-    np.add.at(flags, np.clip(inside + 1 - a, 0, b - a - span + 1), -1)
-    return np.flatnonzero(np.cumsum(flags)[:-1] > 0) + a
-
-
 def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int = 160, id_col: str = "doc_id", text_col: str = "text", source_text_col: str = "text", hot: int = 200_000, broadcast_chars: int = 5_000_000) -> DataFrame:
     """(record_kind, record_id, span_start, span_end) of the kinds source and document.
 
@@ -376,10 +360,9 @@ def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int =
                 sums = prefix(text)
                 own = stretches(known.value.hits(windows(sums, span)) if known else np.array(at or [], np.int64), span)
                 free = _free(len(text), own, span)
-                found = [anchors(sums, a, b, span) for a, b in free]
-                h = np.concatenate([np.zeros(0, np.uint64), *(f[0] for f in found)])
-                places = np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)])
-                values = (key, text_key, np.array(own, np.int64).tobytes(), np.array(free, np.int64).tobytes(), h.tobytes() + places.astype(np.uint32).tobytes(), len(h))
+                found = [low[np.concatenate([[True], low[1:] != low[:-1]])] for a, b in free for low in [anchors(sums, a, b, span)]]
+                h = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
+                values = (key, text_key, np.array(own, np.int64).tobytes(), np.array(free, np.int64).tobytes(), h.tobytes(), len(h))
             for column, value in zip(out, values):
                 column.append(value)
         return out
@@ -394,58 +377,86 @@ def shared_with_documents(documents: DataFrame, sources: DataFrame, span: int =
     groups = staged(rows.groupBy("anchor").agg(F.min("same").alias("low"), F.max("same").alias("high"), F.count("*").alias("c")).filter("low <> high").select("anchor", "c"), "repeated")
     size = groups.agg(F.sum("c").alias("total"), F.max("c").alias("top")).first()
     total, top = size["total"] or 0, size["top"] or 0
-    wanted = rows.join(groups.select("anchor"), "anchor").groupBy("same").agg(F.collect_list("at").alias("at"))
-    buckets = max(4, math.ceil(total * (span - anchor_length(span)) / 250_000))
+    wanted = rows.join(groups.select("anchor"), "anchor").groupBy("same").agg(F.collect_set("anchor").alias("wanted"))
+    buckets = max(4, math.ceil(total * (span - anchor_length(span)) / 500_000))
     salts = max(1, math.ceil(top / hot))
 
-    def pack(ids, same, free, at, texts):
-        out = ([], [], [], [], [])
-        for key, own, segments, positions, text in zip(ids, same, free, at, texts):
-            sums = prefix(text)
-            positions = np.array(positions, np.int64)
-            starts = [x for a, b in np.frombuffer(segments, np.int64).reshape(-1, 2).tolist() if len(x := _starts(positions, a, b, span))]
-            if not starts:
-                continue
-            starts = np.concatenate(starts)
-            h = windows(sums, span)[starts]
-            bucket = (h >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[order])) + 1
-            for part in np.split(order, edges):
-                for column, value in zip(out, (int(bucket[part[0]]), xxhash.xxh32_intdigest(str(key)) % salts, own, _coded(h[part], starts[part]), False)):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # window hashes, anchors, texts, starts
+        n = chunk = 0
+
+        def sent() -> pa.RecordBatch:
+            h, low, same, start = (np.concatenate(x) for x in zip(*held))
+            shared, _ = _settled(h, same, np.zeros(0, np.uint64))
+            rows: tuple[list, ...] = ([], [], [], [], [])
+
+            def put(*row) -> None:
+                for column, value in zip(rows, row):
                     column.append(value)
-        return out
 
-    chosen = reps.select("id", "same", "free").join(wanted, "same").join(docs, ["id", "same"]).select("id", "same", "free", "at", "text")
-    packed = arrow_map(chosen, pack, "bucket int, salt int, same bigint, code binary, mark boolean")
-    # four buckets of about a quarter of a million windows to a task, at every size
-    keys = ["bucket", "salt"] if salts > 1 else ["bucket"]
-    packed = packed.repartition(math.ceil(buckets * salts / 4), *keys)
+            if shared.any():
+                runs = _as_runs(same[shared], start[shared])[0]
+                put(-1 - int(h[0] >> np.uint64(2)), 0, None, runs.tobytes(), None)
+            # of a window that the chunk has in two texts, a mark goes on for all
+            decided = np.zeros(len(h), bool)
+            decided[np.unique(h, return_index=True)[1]] = True
+            decided &= shared
+            go = ~shared
+            bucket = ((low >> np.uint64(36)) % np.uint64(buckets)).astype(np.int64)
+            order = np.flatnonzero(go)[np.argsort(bucket[go], kind="stable")]
+            runs, first = _as_runs(same[order], start[order], bucket[order])
+            marked = np.flatnonzero(decided)[np.argsort(bucket[decided], kind="stable")]
+            of_runs, of_marks = bucket[order][first], bucket[marked]
+            salt = xxhash.xxh32_intdigest(h[:1].tobytes()) % salts
+            for k in np.union1d(of_runs, of_marks).tolist():
+                a, b = np.searchsorted(of_runs, [k, k + 1])
+                x, y = (first[a], first[b] if b < len(first) else len(order)) if a < b else (0, 0)
+                c, d = np.searchsorted(of_marks, [k, k + 1])
+                put(k, salt, h[order[x:y]].tobytes(), runs[a:b].tobytes(), h[marked[c:d]].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), *[pa.binary()] * 3))], names=["bucket", "salt", "hashes", "runs", "marks"])
+
+        for batch in batches:
+            for same, segments, some, text in zip(*(c.to_pylist() for c in batch.columns)):
+                sums, some = prefix(text), np.sort(np.array(some, np.int64).view(np.uint64))
+                for a, b in np.frombuffer(segments, np.int64).reshape(-1, 2).tolist():
+                    low = anchors(sums, a, b, span)
+                    at = np.flatnonzero(some[np.minimum(np.searchsorted(some, low), len(some) - 1)] == low)
+                    if len(at):
+                        held.append((windows(sums, span, a, b)[at], low[at], np.full(len(at), same, np.int64), at + a))
+                        n += len(at)
+                if n >= 1_000_000:
+                    yield sent()
+                    held, n = [], 0
+        if held:
+            yield sent()
+
+    chosen = reps.select("id", "same", "free").join(wanted, "same").join(docs, ["id", "same"]).select("same", "free", "wanted", "text")
+    packed = chosen.mapInArrow(pack, _PACKED)
     if salts > 1:
-        first = staged(_groups(packed, True), "salted")
-        decided = first.filter("done").unionByName(_groups(first.filter("not done").drop("done"), False).filter("done"))
-    else:
-        decided = _groups(packed.drop("salt"), False).filter("done")
-    reps = decided.groupBy("same").agg(F.collect_list("code").alias("starts"))
+        packed = _groups(packed.repartition(math.ceil(buckets * salts / 2), "bucket", "salt"), False)
+    # about two buckets of half a million windows to a task, at every size
+    decided = _groups(packed.repartition(math.ceil(buckets / 2), "bucket"), True)
+    reps = decided.groupBy("same").agg(F.collect_list(F.struct("start", "size")).alias("found"))
 
     # of each document: its source stretches, and its share with others
-    def report(ids, own, free, starts, copied):
+    def report(ids, own, free, runs_, copied):
         out = ([], [], [], [])
-        for key, spans_, segments, found, more in zip(ids, own, free, starts, copied):
+        for key, spans_, segments, found, more in zip(ids, own, free, runs_, copied):
             for a, b in np.frombuffer(spans_, np.int64).reshape(-1, 2).tolist():
                 for column, value in zip(out, ("source", key, a, b)):
                     column.append(value)
             if more:
                 shared = np.frombuffer(segments, np.int64).reshape(-1, 2).tolist()
             else:
-                shared = stretches(np.sort(np.concatenate([_unpack(s) for s in found])), span) if found else []
+                runs = np.array([(r["start"], r["size"]) for r in found or []], np.int64).reshape(-1, 2)
+                shared = _united(runs[:, 0], runs[:, 0] + runs[:, 1] - 1 + span)
             for a, b in shared:
                 for column, value in zip(out, ("document", key, a, b)):
                     column.append(value)
         return out
 
     joined = records.select("id", "same", "own", "free").join(reps, "same", "left").join(copies.select("same", F.lit(True).alias("copied")), "same", "left")
-    return arrow_map(joined.select("id", "own", "free", "starts", "copied"), report, "record_kind string, record_id bigint, span_start bigint, span_end bigint").distinct()
+    return arrow_map(joined.select("id", "own", "free", "found", "copied"), report, "record_kind string, record_id bigint, span_start bigint, span_end bigint").distinct()
 
 
 def shared_pair_spans(a: str | None, b: str | None, span: int) -> list[tuple[int, int]]:
