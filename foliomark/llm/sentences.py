@@ -1,15 +1,19 @@
 """Sentence units of a text in any script (problem 4).
 
-The rules are those of the standard sentence-break property: terminators of all scripts, closing
-punctuation that stays with the sentence, and no break before a lower-case letter. They are tailored by
-abbreviations of each language, by quotations, by ordinals before a month, and for Thai by the space that
-parts sentences. Page furniture is taken out before and sentences are followed across it.
+The rules are those of the standard sentence-break property: the terminators of all scripts (classes STerm and
+ATerm), closing punctuation that stays with the sentence, and no break before a lower-case letter. They are
+tailored by the abbreviations of the language of the paragraph, by quotations, by ordinals before a month, by the
+Tibetan shad, and for Thai by the space that parts sentences. Page furniture is taken out before and sentences
+are followed across it.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable
 
 import regex
 from pyspark.sql import DataFrame
@@ -30,6 +34,19 @@ _NEVER = {
     "hi": "डॉ श्री पृ",
     "other": "dr",
 }
+# Abbreviations that are words too and shorten only before a number.
+_BEFORE_NUMBER = "no nos art cap sec secs ch fig figs"
+# Abbreviations of one language that are words of another.
+_ALSO_WORDS = "art cap es ex sig ref refs m mm st ed no nos sec ch pag"
+# The most common words of the languages whose abbreviations differ.
+_COMMON = {
+    "en": "the of and to in is that was with are this from by which on as he she then",
+    "de": "der die das und ist nicht den mit von ein eine werden im des zu auf als",
+    "fr": "le la les des et est dans une un que pour sur ne pas du au de en qui",
+    "es": "el la los las del de que en y es una un por con se su como más al",
+    "pt": "o a os as do da de que e em dos das um uma não com ao mais por se",
+    "it": "il lo la gli di che e un una della del per non nel sono dei è con le i a",
+}
 # Abbreviations that may also close a sentence.
 _MAYBE = "etc usw ecc al т.д т.п др г гг inc ltd co a.m p.m"
 # Month names after which German ordinals have no break before.
@@ -37,13 +54,33 @@ _MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Okt
 # Thai words that carry a sentence on after a space, and words before a quoted or listed part.
 _THAI_ON = "แล้ว และ หรือ แต่ ซึ่ง เพราะ เนื่องจาก ขณะที่ ทั้งที่ ดังที่ จน จึง กรณี เปอร์เซ็นต์ ว่า"
 
-NEVER = frozenset(w for words in _NEVER.values() for w in words.split())
+#: Abbreviation -> the languages that have it.
+NEVER = {w: frozenset(lang for lang, words in _NEVER.items() if w in words.split()) for words in _NEVER.values() for w in words.split()}
+BEFORE_NUMBER = frozenset(_BEFORE_NUMBER.split())
+ALSO_WORDS = frozenset(_ALSO_WORDS.split())
+_NUMBER_NEXT = re.compile(r"[A-Z]?\d|[IVXLC]+\b|\(\d")
+_LATIN_WORD = re.compile(r"[^\W\d_]+")
+_LANGUAGES_OF: dict[str, list[str]] = {}
+for _lang, _words in _COMMON.items():
+    for _w in _words.split():
+        _LANGUAGES_OF.setdefault(_w, []).append(_lang)
 MAYBE = frozenset(_MAYBE.split())
 MONTHS = frozenset(_MONTHS.split())
 THAI_ON = tuple(_THAI_ON.split())
 
-_TERM = re.compile(r"[.!?…]+|[。！？｡．؟۔।॥]+")
-_CLOSE = re.compile(r"[\"'”’»“「」』)\]）】〉》]*")
+
+
+def _class_of(pattern: str) -> str:
+    """A character class of all characters that a property pattern matches."""
+    return "".join(map(re.escape, regex.findall(pattern, "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)])))))
+
+
+#: Terminators that need a space after them, as they also stand inside numbers, names and addresses.
+_SPACED = ".!?…‼⁇⁈⁉‽․"
+TERMINATORS = "…།༎" + _class_of(r"[\p{SB=STerm}\p{SB=ATerm}]")
+_TERM = re.compile(f"[{_SPACED}]+|[{''.join(c for c in TERMINATORS if c not in _SPACED)}]+")
+_CLOSE = re.compile("[\"'“«「" + _class_of(r"[\p{Pe}\p{Pf}]") + "]*")
+_OPEN_END = re.compile(f"[{TERMINATORS}][\"'”’»)\\]」“]*$")
 _NEXT = re.compile("[\\s\u200b\u200c\u200d\u2060\ufeff\u00ad]*[“„«\"'(\\[¿¡‘「『（”–—-]*[\\s\u200b\u2060\ufeff\u00ad]*")
 _WORD = regex.compile("(?:[\\p{L}\\p{M}\u00ad\u200b\u2060\ufeff]+(?:[.]\\s?|-))*[\\p{L}\\p{M}\\p{N}\u00ad\u200b\u2060\ufeff]+$")
 _PLAIN = re.compile("[A-Za-z]{8}$")
@@ -85,7 +122,42 @@ def _lower(s: str, j: int) -> bool:
     return s[j].islower() and not (j + 1 < len(s) and s[j + 1].isupper())
 
 
-def _full_stop_ends(s: str, i: int, j: int) -> bool:
+def common_language(text: str) -> str | None:
+    """Of the languages with abbreviations in Latin letters the one whose common words the text has most of.
+
+    None unless they are three at least and twice as many as those of any other.
+    """
+    counts: Counter[str] = Counter()
+    for w in _LATIN_WORD.findall(text.lower()):
+        for lang in _LANGUAGES_OF.get(w, ()):
+            counts[lang] += 1
+    best = counts.most_common(2)
+    return best[0][0] if best and best[0][1] >= 3 and (len(best) == 1 or best[0][1] >= 2 * best[1][1]) else None
+
+
+class _Language:
+    """The language of a paragraph, else of its document, found when an abbreviation asks for it."""
+
+    def __init__(self, text: str, wider: Callable[[], str | None] = lambda: None):
+        self.text, self.wider, self.known, self.found = text, wider, False, None
+
+    def __call__(self) -> str | None:
+        if not self.known:
+            self.known, self.found = True, common_language(self.text) or self.wider()
+        return self.found
+
+
+def _never(word: str, language: _Language, s: str, j: int) -> bool:
+    """Whether a word before a full stop is an abbreviation, in this language, that its sentence follows."""
+    langs = NEVER.get(word)
+    if langs is None:
+        return False
+    if word in BEFORE_NUMBER and not _NUMBER_NEXT.match(s, j):
+        return False
+    return word not in ALSO_WORDS or (lang := language()) is None or lang in langs
+
+
+def _full_stop_ends(s: str, i: int, j: int, language: _Language) -> bool:
     """Whether the single full stop at i, with the next letter or digit at j, ends a sentence."""
     if _PLAIN.search(s, i - 8 if i > 8 else 0, i):
         return True
@@ -94,13 +166,13 @@ def _full_stop_ends(s: str, i: int, j: int) -> bool:
     if m:
         word = _INVISIBLE.sub("", m[0]).replace(" ", "").replace(" ", "").casefold()
         last = word.rsplit(".", 1)[-1]
-        if word in NEVER or last in NEVER and last != word and len(word) <= 8:
+        if _never(word, language, s, j) or last != word and len(word) <= 8 and _never(last, language, s, j):
             return False
         if word in MAYBE or last in MAYBE:
             return nxt.isupper() or nxt.islower() and not _lower(s, j) or not nxt.isdigit() and not nxt.islower() and last == "etc"
         if len(last) == 1 and last.isalpha() and (m.start() == 0 or not s[m.start() - 1].isalnum()):
             return False
-        if last in NEVER:
+        if _never(last, language, s, j):
             return False
         if word.isdigit() and len(word) <= 2:
             following = regex.match(r"\p{L}+", s[j : j + 12])
@@ -109,8 +181,12 @@ def _full_stop_ends(s: str, i: int, j: int) -> bool:
     return True
 
 
-def sentence_ends(s: str) -> list[int]:
-    """Ends of the sentences of one paragraph, each just after its last visible character."""
+def sentence_ends(s: str, wider: Callable[[], str | None] = lambda: None) -> list[int]:
+    """Ends of the sentences of one paragraph, each just after its last visible character.
+
+    ``wider`` tells the language of the document where the paragraph does not show its own.
+    """
+    language = _Language(s, wider)
     stop = len(s.rstrip(_BLANKS))
     if stop == 0:
         return []
@@ -129,14 +205,14 @@ def sentence_ends(s: str) -> list[int]:
             q += 1
             inner = []
         marks = m[0]
-        spaced = marks[0] in ".!?…"
+        spaced = marks[0] in _SPACED
         if q < len(quotes) and quotes[q][0] < i < quotes[q][1]:
             o, c = quotes[q]
             own = _NEXT.match(s, start).end() >= o  # the quotation opens the sentence
             if s[e:c].strip(_BLANKS + ")]"):
                 if own and (not spaced or s[e : e + 1].isspace()):
                     first, j = _starts(s, e)
-                    if first and not _lower(s, j) and (marks != "." or _full_stop_ends(s, i, j)) and "…" not in marks and ".." not in marks:
+                    if first and not _lower(s, j) and (marks != "." or _full_stop_ends(s, i, j, language)) and "…" not in marks and ".." not in marks:
                         inner.append(_CLOSE.match(s, e, c).end())
                 continue
             e = c + 1
@@ -180,11 +256,11 @@ def sentence_ends(s: str) -> list[int]:
                 if not first.isupper():
                     continue
             elif marks == ".":
-                if not _full_stop_ends(s, i, j):
+                if not _full_stop_ends(s, i, j, language):
                     continue
             if not first.isalnum() and first in ",;:)–—-":
                 continue
-        elif marks[0] == "．" and not s[e2].isspace():
+        elif marks[0] in "．﹒" and not s[e2].isspace():
             continue
         elif _lower(s, j):
             continue
@@ -226,6 +302,7 @@ def units(text: str) -> list[int]:
     Empty and blank texts have none. Page furniture belongs to no unit.
     """
     lines, kinds = classify(text)
+    language = _Language(text)
     at, starts = 0, []
     for line in lines:
         starts.append(at)
@@ -236,7 +313,7 @@ def units(text: str) -> list[int]:
             if kind == TABLE:
                 out.append(begin + len(line.rstrip()))
             elif kind != BLANK:
-                out += [begin + e for e in sentence_ends(line)]
+                out += [begin + e for e in sentence_ends(line, language)]
         return out
     block: list[int] = []
 
@@ -248,7 +325,7 @@ def units(text: str) -> list[int]:
             offsets.append(n)
             joined.append(lines[k])
             n += len(lines[k]) + 1
-        for e in sentence_ends("\n".join(joined)):
+        for e in sentence_ends("\n".join(joined), language):
             r = bisect_right(offsets, e - 1) - 1
             out.append(starts[block[r]] + e - offsets[r])
         block.clear()
@@ -270,7 +347,7 @@ def units(text: str) -> list[int]:
             continue
         if block and k > block[-1] + 1:
             last = lines[block[-1]].rstrip()
-            open_end = not regex.search(r"[.!?。！？؟۔।][\"'”’»)\]」“]*$", last)
+            open_end = not _OPEN_END.search(last)
             if not (furniture_since and (open_end or all(kinds[x] == FURNITURE for x in range(block[-1] + 1, k)))):
                 flush()
         block.append(k)
@@ -279,7 +356,6 @@ def units(text: str) -> list[int]:
     return sorted(out)
 
 
-
 def sentence_units(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per sentence unit: (id, sentence_index, sentence_start, sentence_end).
 

@@ -295,6 +295,16 @@ def test_sentences_across_furniture():
     assert len(got) == 5 and got[1].endswith("constant.") and got[3] == "Name   12   4.5"
 
 
+@pytest.mark.parametrize("text", ["Բարեւ աշխարհ։ Ինչպես ես։", "ሰላም ነው። እንዴት ነህ።", "សួស្តី។ អ្នកសុខសប្បាយ។", "မင်္ဂလာပါ။ နေကောင်းလား။", "བཀྲ་ཤིས། བདེ་ལེགས།", "Really‼ He said so.", "So what⁇ Nothing.", "他来了。她走了。", "وصل اليوم؟ نعم۔", "वह आया। वह गया॥"])
+def test_terminators_of_all_scripts(text):
+    assert len(sentences.units(text)) == 2
+
+
+@pytest.mark.parametrize("text, n", [("He said no. Then he left.", 2), ("I studied art. Then I left.", 2), ("She reached the cap. Then she stopped.", 2), ("He ate a fig. Then he left.", 2), ("See No. 5 and Fig. 3 in vol. II of the set.", 1), ("El art. 5 de la ley y el cap. IV de la norma dicen eso. Es así.", 2), ("Dr. Smith met Prof. Lee. They spoke.", 2), ("Das gilt vgl. Abb. 3 und z.B. Berlin.", 1), ("Il sig. Rossi non è qui per la riunione di oggi. Torna domani.", 2), ("The sig. Rossi noted it in the book and that was it.", 2)])
+def test_abbreviations_follow_the_language(text, n):
+    assert len(sentences.units(text)) == n
+
+
 def test_sentence_units_frame(spark):
     df = documents(spark, [*ODD, "One. Two."])
     rows = sentences.sentence_units(df).collect()
