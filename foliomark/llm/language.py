@@ -146,8 +146,12 @@ class Identifier:
 
 
 def learn(samples: DataFrame, bound: int = 20_000) -> Identifier:
-    """Train on at most ``bound`` labelled sentences of (lang, text)."""
-    rows = samples.select("lang", "text").filter("lang is not null and text is not null").orderBy("lang", "text").limit(bound).collect()
+    """Train on labelled sentences of (lang, text): all, or about ``bound``, as many of each language, chosen by a hash of the text."""
+    labelled = samples.select("lang", "text").filter("lang is not null and text is not null")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
+    share = F.lit(float(bound)) / F.greatest(F.lit(1), F.lit(sizes.count())) / F.col("size")
+    chosen = labelled.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1_000_000)) < F.ceil(share * 1_000_000))
+    rows = sorted(chosen.select("lang", "text").collect())
     return Identifier([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

@@ -20,15 +20,19 @@ from pyspark.sql import functions as F
 from ..plans.session import arrow_map
 
 LATIN, CYRILLIC, GREEK = "latin", "cyrillic", "greek"
+ARMENIAN, CHEROKEE, COPTIC = "armenian", "cherokee", "coptic"
 # Letters and the Latin letter each looks like.
 _TWINS = {
     CYRILLIC: "аa вb еe ёë іi їï јj оo рp сc уy хx ѕs һh ԁd ԛq ԝw пn кk ӏl мm тt гr АA ВB ЕE ЁË ІI ЇÏ ЈJ КK МM НH ОO РP СC ЅS ТT УY ХX ҮY ӓä ӧö ӱü ӒÄ ӦÖ",
+    ARMENIAN: "օo ոn սu հh ցg զq յj ԼL ՍU ՏS ՕO",
+    CHEROKEE: "ᎪA ᎬE ᎻH ᎫJ ᏦK ᎷM ᏢP ᎡR ᎢT ᎳW ᏃZ ᏟC ᏚS ᏴB ᏀG ᏞL ᏙV ᎠD",
+    COPTIC: "ⲟo ⲣp ⲥc ⲩy ⲭx ⲓi ⲞO ⲢP ⲤC ⲨY ⲬX ⲎH ⲔK ⲘM ⲚN ⲦT ⲒI",
     GREEK: "αa νv οo υu ρp ιi κk ηn τt ωw γy χx ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX άá έé όó ύú ίí ϋü ϊï",
 }
 #: Twins that are alike in shape only roughly; they never make a token suspicious by themselves.
 _ROUGH = frozenset("вмтгкηκτωγχιρ")
 _TO_LATIN = {pair[0]: pair[1] for words in _TWINS.values() for pair in words.split()}
-_FROM_LATIN: dict[str, dict[str, list[str]]] = {CYRILLIC: {}, GREEK: {}}
+_FROM_LATIN: dict[str, dict[str, list[str]]] = {script: {} for script in _TWINS}
 for _script, _words in _TWINS.items():
     for _pair in _words.split():
         _FROM_LATIN[_script].setdefault(_pair[1], []).append(_pair[0])
@@ -43,7 +47,7 @@ _HIDDEN = re.compile(f"[{_IGNORABLE}\u200c\u200d]+")
 _SPACES = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 _TOKEN = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f])*")
 _CYRILLIC = re.compile("[\u0431\u0432\u0433\u0434\u0436\u0437\u0438\u0439\u043b\u043d\u0442\u0444\u0446-\u044f]")
-_OTHER = re.compile("[\u0370-\u04ff]")
+_OTHER = re.compile("[\u0370-\u058f\u13a0-\u13fd\u2c80-\u2cee]")
 _BEFORE_SPACE, _AFTER_SPACE = ",;.:)]}”’\"'", "([{“‘\"'"
 
 
@@ -55,20 +59,20 @@ def script_of(c: str) -> str | None:
         return GREEK
     if c < "\u0530":
         return CYRILLIC
+    if c < "\u0590":
+        return ARMENIAN
+    if "\u13a0" <= c <= "\u13fd":
+        return CHEROKEE
+    if "\u2c80" <= c <= "\u2cee":
+        return COPTIC
     return LATIN if "\u1e00" <= c <= "\u1eff" else None
 
 
 class Model:
     """Character bigrams of each alphabet, from clean samples."""
 
-    def __init__(self, texts: Iterable[str]):
-        pairs: dict[str, Counter[str]] = {s: Counter() for s in (LATIN, CYRILLIC, GREEK)}
-        for text in texts:
-            for m in _TOKEN.finditer(unicodedata.normalize("NFKC", text).lower()):
-                kinds = {script_of(c) for c in m[0]}
-                if len(kinds) == 1 and (kind := kinds.pop()):
-                    w = f"^{m[0]}$"
-                    pairs[kind].update(w[i : i + 2] for i in range(len(w) - 1))
+    def __init__(self, texts: Iterable[str] = (), pairs: dict[str, Counter[str]] | None = None):
+        pairs = pairs or self.pairs(texts)
         self.logs: dict[str, dict[str, float]] = {}
         self.unseen: dict[str, float] = {}
         for kind, counts in pairs.items():
@@ -77,6 +81,18 @@ class Model:
             self.unseen[kind] = math.log(0.5 / total) if counts else -9.0
         self.cache: dict[tuple[str, str], str] = {}
 
+    @staticmethod
+    def pairs(texts: Iterable[str]) -> dict[str, Counter[str]]:
+        """Character bigrams of the words of one alphabet, by alphabet."""
+        out: dict[str, Counter[str]] = {s: Counter() for s in (LATIN, CYRILLIC, GREEK)}
+        for text in texts:
+            for m in _TOKEN.finditer(unicodedata.normalize("NFKC", text).lower()):
+                kinds = {script_of(c) for c in m[0]}
+                if len(kinds) == 1 and (kind := kinds.pop()) in out:
+                    w = f"^{m[0]}$"
+                    out[kind].update(w[i : i + 2] for i in range(len(w) - 1))
+        return out
+
     def best(self, token: str, around: str) -> str:
         """The token in the alphabet that fits best; ``around`` is the alphabet of the text near it."""
         key = (token, around)
@@ -137,7 +153,7 @@ def _suspicious(token: str) -> bool:
     if token[0] == "\u03bc" and len(token) <= 3 and token[1:].isascii():
         return False
     kinds = {script_of(c) for c in token if not unicodedata.combining(c)}
-    if len(kinds & {LATIN, CYRILLIC, GREEK}) > 1:
+    if len(kinds - {None}) > 1:
         return True
     if kinds == {GREEK}:
         return len(token) > 1 and all(c in _TO_LATIN for c in token if not unicodedata.combining(c))
@@ -192,8 +208,8 @@ def normalize(text: str, model: Model | None) -> str:
 
 
 def _candidates(text: str) -> Iterable[tuple[int, int]]:
-    """Tokens that hold a Greek or Cyrillic letter; in Cyrillic text all tokens."""
-    if len(_CYRILLIC.findall(text)) > 40:
+    """Tokens that hold a letter of another alphabet than Latin; where there is Cyrillic that has no twin all tokens."""
+    if _CYRILLIC.search(text):
         yield from (m.span() for m in _TOKEN.finditer(text))
         return
     done = 0
@@ -268,12 +284,23 @@ def forms(text: str, model: Model) -> list[str]:
     return out
 
 
-def learn(samples: DataFrame, *more: DataFrame, bound: int = 20_000) -> Model:
-    """The bigram model of the texts of clean sample tables, of each at most ``bound`` rows."""
-    texts: list[str] = []
-    for df in (samples, *more):
-        texts += [r[0] for r in df.select("text").filter(F.col("text").isNotNull()).limit(bound).collect()]
-    return Model(texts)
+def learn(samples: DataFrame, *more: DataFrame) -> Model:
+    """The bigram model of all texts of clean sample tables, counted where they lie.
+
+    What comes to the driver are counts of pairs of letters of one alphabet, whose number the alphabets bound.
+    """
+    texts = samples.select("text")
+    for df in more:
+        texts = texts.union(df.select("text"))
+
+    def run(found):
+        rows = [(kind, pair, n) for kind, counts in Model.pairs(t for t in found if t).items() for pair, n in counts.items()]
+        return tuple(map(list, zip(*rows))) if rows else ([], [], [])
+
+    pairs: dict[str, Counter[str]] = {s: Counter() for s in (LATIN, CYRILLIC, GREEK)}
+    for r in arrow_map(texts, run, "kind string, pair string, n bigint").groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r["kind"]][r["pair"]] = r["n"]
+    return Model(pairs=pairs)
 
 
 def found_forms(df: DataFrame, model: Model, kind: str, id_col: str, text_col: str) -> DataFrame:

@@ -380,6 +380,31 @@ def test_binomial_bound():
     assert repetition.binomial_upper(5, 5, 0.05) == 1.0 and 0.1 < repetition.binomial_upper(10, 100, 0.05) < 0.2
 
 
+@pytest.mark.parametrize("text, form", [("mo\u0501el of use", "model of use"), ("m\u0585del of use", "model of use"), ("m\u2c9fdel of use", "model of use"), ("Он cop ушёл", "Он сор ушёл"), ("Հայաստան", "Հայաստան")])
+def test_lookalikes_of_short_texts_and_further_alphabets(model, text, form):
+    assert textform.normalize(text, model) == form
+
+
+def test_letter_pairs_are_counted_over_all_rows(spark):
+    rows = [("алфавит",)] * 3 + [("letters",), (None,)]
+    df = spark.createDataFrame(rows, "text string").repartition(3)
+    learnt, given = textform.learn(df, df), textform.Model([r[0] for r in rows if r[0]] * 2)
+    assert learnt.logs == given.logs and learnt.unseen == given.unseen
+
+
+def test_the_sample_of_labelled_sentences_holds_every_language(spark):
+    langs = ["ar", "de", "en", "fr", "zh", "ur"]
+    df = spark.createDataFrame([(lang, f"{lang} text {k}") for lang in langs for k in range(200)], "lang string, text string")
+    seen = {}
+    original = language.Identifier
+    language.Identifier = lambda texts, found: seen.update({lang: found.count(lang) for lang in langs})
+    try:
+        language.learn(df, 300)
+    finally:
+        language.Identifier = original
+    assert all(25 <= n <= 80 for n in seen.values()) and sum(seen.values()) <= 400
+
+
 def test_cutoffs_control_false_rejections():
     rng = np.random.default_rng(6)
     rows = [("a", float(s), False) for s in rng.beta(1, 12, 3000)] + [("a", 0.9, True)] * 50 + [("b", 0.1, False)] * 5
