@@ -1,8 +1,9 @@
 """Repair of text that was read from scanned pages (problem 1).
 
 One pass over all texts counts words and trains skip-gram vectors, part by part, into hashed tables of fixed
-size. Rare words of line-by-line texts are linked to frequent words that plausible glyph edits turn them into;
-where they occur the candidate that the skip-gram vectors favour between its neighbours is taken.
+size. Rare words of line-by-line texts are linked to frequent words that plausible glyph edits turn them into and
+that are their neighbours by the skip-gram vectors: the words around an occurrence of the rare word must predict
+the frequent one better than they predict other words. Among the linked the best in context is taken.
 Furniture is removed, broken words are joined, and lines are put together into paragraphs.
 """
 
@@ -16,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,37 +91,48 @@ class Page:
                 yield left + right, [(i, len(left)), (j, len(right))]
 
 
-def train(ids: list[np.ndarray], seed: int, v: np.ndarray, u: np.ndarray, rate: float = 0.3) -> None:
-    """Skip-gram with negative sampling on runs of hashed words; changes ``v`` (words) and ``u`` (contexts)."""
+def _add(table: np.ndarray, rows: np.ndarray, steps: np.ndarray, rate: float) -> None:
+    """Add to each row of the table the sum of its steps over the root of their number; values stay within ten."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    n = np.diff(np.append(first, len(rows))).astype(np.float32)
+    moved = table[ordered[first]] + np.float32(rate) * np.add.reduceat(steps[order], first, axis=0) / np.sqrt(n)[:, None]
+    table[ordered[first]] = np.clip(moved, -10, 10)
+
+
+def train(ids: list[np.ndarray], seed: int, v: np.ndarray, u: np.ndarray, rate: float = 0.3, window: int = 2, sub: float = 2e-4) -> None:
+    """Skip-gram with negative sampling on runs of hashed words; changes ``v`` (words) and ``u`` (contexts).
+
+    Frequent words are thinned out (``sub``); of what is left every pair within the window is trained on.
+    """
     random = np.random.default_rng(seed)
-    flat = np.concatenate(ids)
-    owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    flat = np.concatenate(ids).astype(np.int32)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
     share = np.bincount(flat, minlength=ROWS) / max(1, len(flat))
-    keep = random.random(len(flat)) < np.sqrt(1e-4 / np.maximum(share[flat], 1e-4))
+    keep = random.random(len(flat), np.float32) < np.sqrt(sub / np.maximum(share, sub)).astype(np.float32)[flat]
     flat, owner = flat[keep], owner[keep]
     if len(flat) < 4:
         return
-    step = random.integers(1, 3, len(flat)) * random.choice([-1, 1], len(flat))
-    other = np.arange(len(flat)) + step
-    good = (other >= 0) & (other < len(flat))
-    good[good] &= owner[good] == owner[other[good]]
-    a, b = flat[good], flat[other[good]]
+    left, right = [], []
+    for step in range(1, window + 1):
+        together = owner[step:] == owner[:-step]
+        left.append(flat[:-step][together])
+        right.append(flat[step:][together])
+    a, b = np.concatenate([*left, *right]), np.concatenate([*right, *left])
     order = random.permutation(len(a))
     a, b = a[order], b[order]
-    noise = np.bincount(flat, minlength=ROWS).astype(np.float64) ** 0.75
-    noise /= noise.sum()
-    for i in range(0, len(a), 8192):
-        x, y = a[i : i + 8192], b[i : i + 8192]
-        negative = random.choice(ROWS, 64, p=noise)
+    noise = np.cumsum(np.bincount(flat, minlength=ROWS).astype(np.float64) ** 0.75)
+    size = min(8192, max(256, len(a) // 64))  # steps of one row that are taken together stay few
+    for i in range(0, len(a), size):
+        x, y = a[i : i + size], b[i : i + size]
+        negative = np.searchsorted(noise, random.random(64) * noise[-1], side="right")
         vx, uy, un = v[x], u[y], u[negative]
-        pull = 1 / (1 + np.exp((vx * uy).sum(axis=1)))  # 1 - sigmoid
-        push = 1 / (1 + np.exp(-(vx @ un.T))) * (4 / 64)
-        gv = pull[:, None] * uy - push @ un
-        gy = pull[:, None] * vx
-        for w in range(WIDTH):
-            v[:, w] += rate * np.bincount(x, gv[:, w], ROWS) / np.maximum(1, np.sqrt(np.bincount(x, minlength=ROWS)))
-            u[:, w] += rate * np.bincount(y, gy[:, w], ROWS) / np.maximum(1, np.sqrt(np.bincount(y, minlength=ROWS)))
-        u[negative] -= rate * (push.T @ vx) / np.sqrt(len(x))
+        pull = 1 / (1 + np.exp(np.minimum((vx * uy).sum(axis=1), 30)))  # 1 - sigmoid
+        push = 1 / (1 + np.exp(np.minimum(-(vx @ un.T), 30))) * np.float32(4 / 64)
+        _add(v, x, pull[:, None] * uy - push @ un, rate)
+        _add(u, y, pull[:, None] * vx, rate)
+        u[negative] = np.clip(u[negative] - np.float32(rate) * (push.T @ vx) / np.float32(np.sqrt(len(x))), -10, 10)
 
 
 def start() -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +152,7 @@ def survey(documents: DataFrame, model: Model | None, id_col: str, text_col: str
         outside: Counter[str] = Counter()
         inside: Counter[str] = Counter()
         v, u = start()
+        seen = np.zeros(ROWS, np.float32)
         rows: dict[str, int] = {}
         trained = 0
         schema = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
@@ -175,6 +189,7 @@ def survey(documents: DataFrame, model: Model | None, id_col: str, text_col: str
                             r = rows[w] = row_of(w)
                         sequence[i] = r
                     sequences.append(sequence)
+                    seen += np.bincount(sequence, minlength=ROWS)
             if sequences:
                 train(sequences, trained, v, u)
                 trained += 1
@@ -187,33 +202,53 @@ def survey(documents: DataFrame, model: Model | None, id_col: str, text_col: str
                 rows.clear()
         yield counted()
         if trained:
-            size = ROWS // PARTS
-            parts = [(p, np.concatenate([v[p * size : (p + 1) * size], u[p * size : (p + 1) * size]]).astype(np.float16).tobytes()) for p in range(PARTS)]
-            yield batch_of((["part"] * PARTS, [None] * PARTS, [p for p, _ in parts], [trained] * PARTS, [x for _, x in parts]))
+            task = TaskContext.get().partitionId()
+            tables = np.concatenate([v, u, seen[:, None]], axis=1).reshape(PARTS, -1)
+            yield batch_of((["part"] * PARTS, [None] * PARTS, list(range(PARTS)), [task] * PARTS, [_weighted(t, trained) for t in tables]))
 
     return documents.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, "kind string, word string, a bigint, b bigint, payload binary")
 
 
-def vectors(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The mean of the parts, weighted by how much each was trained: two tables of fixed size (2 x 1 MB)."""
+def _weighted(table: np.ndarray, weight: float) -> bytes:
+    """A part of the tables of a task with its weight: columns of v, u and the counts of the rows."""
+    return np.float32(weight).tobytes() + table.astype(np.float32).tobytes()
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total, weight = 0.0, 0
-        for n, x in zip(pdf.b, pdf.payload):
-            total = total + n * np.frombuffer(x, np.float16).astype(np.float32)
-            weight += n
-        return pd.DataFrame({"a": [key[0]], "payload": [(total / weight).astype(np.float32).tobytes()]})
 
+def vectors(surveyed: DataFrame, fan: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables of fixed size (2 x 1 MB) and the counts of their rows: the mean of the tables of all tasks, weighted by how much each was trained.
+
+    They are added up in a tree of at most ``fan`` (64 KB each) in a group, however many tasks there were.
+    """
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total, counts, weight = 0.0, 0.0, 0.0
+        for payload in pdf.payload:
+            numbers = np.frombuffer(payload, np.float32)
+            table = numbers[1:].reshape(-1, 2 * WIDTH + 1)
+            total, counts, weight = total + numbers[0] * table[:, :-1], counts + table[:, -1], weight + numbers[0]
+        mean = np.concatenate([total / weight, counts[:, None]], axis=1)
+        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "payload": [_weighted(mean, weight)]})
+
+    parts = surveyed.filter("kind = 'part'").select("a", "b", "payload")
+    tasks = (parts.agg(F.max("b")).first()[0] or 0) + 1
+    while tasks > 1:
+        parts = parts.withColumn("b", F.floor(F.col("b") / fan)).groupBy("a", "b").applyInPandas(merge, "a bigint, b bigint, payload binary")
+        tasks = -(-tasks // fan)
     v, u = start()
+    counts = np.zeros(ROWS, np.float32)
     size = ROWS // PARTS
-    for row in surveyed.filter("kind = 'part'").groupBy("a").applyInPandas(merge, "a bigint, payload binary").collect():
-        part = np.frombuffer(row["payload"], np.float32).reshape(2, size, WIDTH)
-        v[row["a"] * size : (row["a"] + 1) * size], u[row["a"] * size : (row["a"] + 1) * size] = part
-    return v, u
+    for row in parts.collect():
+        part, at = np.frombuffer(row["payload"], np.float32)[1:].reshape(size, -1), row["a"] * size
+        v[at : at + size], u[at : at + size], counts[at : at + size] = part[:, :WIDTH], part[:, WIDTH:-1], part[:, -1]
+    return v, u, counts
 
 
 def repairs(word: str) -> dict[str, int]:
-    """Words that glyph edits lead to, with the number of edits (1, or 2 in long words)."""
+    """Words that glyph edits lead to, with the number of edits.
+
+    Two edits are plausible in words of nine characters or more, or of seven with a digit or mark inside; in shorter
+    ones two edits lead from too many words to others.
+    """
     found: dict[str, int] = {}
     layer = {word}
     for edits in range(1, 3 if len(word) >= 7 else 2):
@@ -258,20 +293,36 @@ def link(words: DataFrame, least: int = 3, ratio: float = 12.0) -> DataFrame:
 class Reader:
     """Reads one page with the links and counts of its words."""
 
-    def __init__(self, v: np.ndarray, u: np.ndarray):
+    def __init__(self, v: np.ndarray, u: np.ndarray, counts: np.ndarray | None = None):
         self.v, self.u = v, u
+        known = v if counts is None or not (counts >= 5).any() else v[counts >= 5]
+        self.mean, self.trained = known.mean(axis=0), bool(known.any())
+
+    def nearness(self, word: str, context: np.ndarray) -> float:
+        """How much more the context predicts the word than the mean of all words, as a logarithm; no vectors predict nothing."""
+        return float((self.v[row_of(word)] - self.mean) @ context) if self.trained and context.any() else -np.inf
 
     def correct(self, word: str, around: list[str], outside: int, fixes: list[tuple[str, int, int]]) -> str | None:
-        """The best reading in context, or None where the word had better stay."""
-        context = self.u[[row_of(w) for w in around]].mean(axis=0) if around else np.zeros(WIDTH, np.float32)
+        """The best reading in context, or None where the word had better stay.
+
+        Fixes are neighbours of the context; the less frequent a fix is beside the word, the more the context has to
+        speak for it: more than 0.25 for a word as frequent, 0.25 less for each factor of ten, -0.5 at least.
+        """
+        if not around:
+            return None
+        context = self.u[[row_of(w) for w in around]].mean(axis=0)
+        near = [(self.nearness(w, context), w, n, edits) for w, n, edits in fixes]
+        near = [(z, w, n, edits) for z, w, n, edits in near if z > max(-0.5, 0.25 - 0.25 * np.log10(n / (1 + outside)))]
+        if not near:
+            return None
 
-        def score(w: str, n: int, edits: int) -> float:
-            return float(self.v[row_of(w)] @ context) + 0.5 * float(np.log(n)) - 1.0 * edits
+        def score(z: float, n: int, edits: int) -> float:
+            return z + 0.5 * float(np.log(n)) - edits
 
-        best = max(fixes, key=lambda f: (score(*f), f[0]))
-        if outside and score(*best) <= score(word, outside, 0) + 1.0:
+        best = max(near, key=lambda f: (score(f[0], f[2], f[3]), f[1]))
+        if outside and score(best[0], best[2], best[3]) <= score(self.nearness(word, context), outside, 0) + 1.0:
             return None
-        return best[0]
+        return best[1]
 
     def read(self, page: Page, fixes: dict[str, tuple[int, list[tuple[str, int, int]]]], counts: dict[str, int]) -> tuple[set[int], set[int], dict[tuple[int, str], str]]:
         """(broken lines, misread lines, corrections by (line, word))."""
@@ -376,13 +427,13 @@ def repair(documents: DataFrame, model: Model | None = None, id_col: str = "doc_
     surveyed = staged(survey(documents.filter(F.col(id_col).isNotNull()), model, id_col, text_col), "survey")
     words = staged(surveyed.filter("kind = 'word'").groupBy("word").agg(F.sum("a").alias("inside"), F.sum("b").alias("outside")), "words")
     links = staged(link(words), "links")
-    v, u = vectors(surveyed)
+    v, u, seen = vectors(surveyed)
     pages = surveyed.filter("kind = 'page'").select(F.col("a").alias("id"), F.col("word").alias("text"), F.col("payload").alias("kinds"))
     needed = surveyed.filter("kind = 'use'").select(F.col("a").alias("id"), "word", (F.col("b") == 1).alias("broken")).distinct()
     fixes = needed.filter("not broken").join(links, "word").select("id", F.struct("word", "outside", "fixes").alias("fix"), F.lit(None).cast("struct<word:string,n:bigint>").alias("count"))
     counts = needed.filter("broken").join(words, "word").select("id", F.lit(None).cast(fixes.schema["fix"].dataType).alias("fix"), F.struct("word", (F.col("inside") + F.col("outside")).alias("n")).alias("count"))
     known = fixes.unionByName(counts).groupBy("id").agg(F.collect_list("fix").alias("fix"), F.collect_list("count").alias("count"))
-    reader = Reader(v, u)
+    reader = Reader(v, u, seen)
 
     def run(ids, texts, kinds, fixing, counting):
         out: tuple[list, ...] = ([], [], [], [], [])

@@ -81,6 +81,48 @@ def test_scans_find_and_repair(spark, model):
     assert scans.repair(df.limit(0), model)[0].count() == 0
 
 
+def test_without_vectors_misread_words_are_lost(spark, model, monkeypatch):
+    """Two topics, each with its own words: a misread word is linked as its neighbours predict, by no spelling alone."""
+    rng = random.Random(21)
+    topics = [[w for w in VOCAB if w[0] in "bdfgl"], [w for w in VOCAB if w[0] in "mprstv"]]
+    clean = [" ".join(rng.choice(topics[k % 2]) for _ in range(150)) + "." for k in range(120)]
+    topics[0][0], topics[1][0] = "lanterhip", "lanterlip"  # glyphs apart: h and li
+    clean += [" ".join(rng.choice([topics[k % 2][0], *topics[k % 2][1:6]]) for _ in range(120)) + "." for k in range(60)]
+    lines = [" ".join(rng.choice(topics[0][1:6]) for _ in range(9)) for _ in range(14)]
+    lines[6] = lines[6].replace(lines[6].split()[4], "lanterbip", 1)  # b is read for h
+    df = documents(spark, [*clean, "A Title\n\n" + "\n".join(lines)])
+    defects, repaired = scans.repair(df, model)
+    assert {(r.line_no, r.defect) for r in defects.collect()} == {(8, "misread")}
+    assert any("lanterhip" in r.text for r in repaired.collect())
+    learnt = scans.vectors
+    monkeypatch.setattr(scans, "vectors", lambda surveyed: tuple(np.zeros_like(x) for x in learnt(surveyed)))
+    assert scans.repair(df, model)[0].count() == 0
+
+
+def test_context_chooses_between_readings():
+    rng = np.random.default_rng(2)
+    words_ = [[f"left{k}" for k in range(12)] + ["hat"], [f"right{k}" for k in range(12)] + ["bat"]]
+    v, u = scans.start()
+    for epoch in range(6):
+        scans.train([np.array([scans.row_of(w) for w in rng.choice(words_[k % 2], 60)]) for k in range(600)], epoch, v, u, rate=0.03, sub=1.0)
+    counts = np.zeros(scans.ROWS, np.float32)
+    counts[[scans.row_of(w) for side in words_ for w in side]] = 100
+    reader, fixes = scans.Reader(v, u, counts), [("hat", 500, 1), ("bat", 500, 1)]
+    assert reader.correct("6at", ["left1", "left5"], 0, fixes) == "hat" and reader.correct("6at", ["right1", "right5"], 0, fixes) == "bat"
+    assert scans.Reader(v * 0, u * 0, counts).correct("6at", ["left1", "left5"], 0, fixes) is None
+
+
+def test_vectors_are_merged_in_a_tree(spark):
+    rng = np.random.default_rng(3)
+    rows, tables = [], rng.random((9, scans.ROWS, 2 * scans.WIDTH + 1)).astype(np.float32)
+    for task, table in enumerate(tables):
+        rows += [("part", None, part, task, bytearray(scans._weighted(x, task + 1))) for part, x in enumerate(table.reshape(scans.PARTS, -1))]
+    v, u, counts = scans.vectors(spark.createDataFrame(rows, "kind string, word string, a bigint, b bigint, payload binary"), fan=2)
+    weights = np.arange(1, 10, dtype=np.float32)
+    mean = (tables * weights[:, None, None]).sum(axis=0) / weights.sum()
+    assert np.allclose(v, mean[:, : scans.WIDTH], atol=1e-4) and np.allclose(u, mean[:, scans.WIDTH : -1], atol=1e-4) and np.allclose(counts, tables[:, :, -1].sum(axis=0), atol=1e-3)
+
+
 def test_skip_gram_neighbours():
     rng = np.random.default_rng(1)
     left, right = np.arange(10, 20), np.arange(30, 40)
