@@ -79,6 +79,9 @@ def _class_of(pattern: str) -> str:
 _SPACED = ".!?…‼⁇⁈⁉‽․"
 TERMINATORS = "…།༎" + _class_of(r"[\p{SB=STerm}\p{SB=ATerm}]")
 _TERM = re.compile(f"[{_SPACED}]+|[{''.join(c for c in TERMINATORS if c not in _SPACED)}]+")
+#: The same for texts within the basic plane, which a table of characters decides.
+_BASIC_TERM = re.compile(f"[{_SPACED}]+|[{''.join(c for c in TERMINATORS if c not in _SPACED and c <= '\uffff')}]+")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 _CLOSE = re.compile("[\"'“«「" + _class_of(r"[\p{Pe}\p{Pf}]") + "]*")
 _OPEN_END = re.compile(f"[{TERMINATORS}][\"'”’»)\\]」“]*$")
 _NEXT = re.compile("[\\s\u200b\u200c\u200d\u2060\ufeff\u00ad]*[“„«\"'(\\[¿¡‘「『（”–—-]*[\\s\u200b\u2060\ufeff\u00ad]*")
@@ -197,7 +200,7 @@ def sentence_ends(s: str, wider: Callable[[], str | None] = lambda: None) -> lis
     ends: list[int] = []
     inner: list[int] = []
     start, q = 0, 0
-    for m in _TERM.finditer(s, 0, stop):
+    for m in (_TERM if _BEYOND.search(s) else _BASIC_TERM).finditer(s, 0, stop):
         i, e = m.start(), m.end()
         if e <= start:
             continue
