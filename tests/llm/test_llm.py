@@ -535,6 +535,31 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0), targets)[0].count() == 0
 
 
+def test_a_source_far_above_its_share_fills_no_bucket(spark, monkeypatch):
+    """Equal shares of a source of 40 texts and one of 4,000: no bucket of the second running sum holds much more than its part."""
+    rng = random.Random(31)
+    rows = [(k, prose(rng, 12), "big" if k % 101 else "small") for k in range(4040)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("big", 0.5, 2), ("small", 0.5, 1)], "source string, target_share double, max_repeats int")
+    largest, running = [], mixing._running
+
+    def watched(df, groups, bucket, order, value, out):
+        if bucket == "_time":
+            largest.append((df.groupBy(bucket).count().agg(F.max("count")).first()[0], df.count()))
+        return running(df, groups, bucket, order, value, out)
+
+    monkeypatch.setattr(mixing, "_running", watched)
+    uses, shares = mixing.mix(df, targets, bucket_rows=100)
+    got = {r.source: r.actual_share for r in shares.collect()}
+    assert abs(got["big"] - 0.5) < 0.05 and abs(got["small"] - 0.5) < 0.05
+    (most, total), = largest
+    assert total <= 110 and most <= total
+
+    uses, shares = mixing.mix(df, targets, budget=40_000, bucket_rows=100)  # the small source is used up
+    most, total = largest[-1]
+    assert most <= 400 < total and {r.source: r.most_uses for r in shares.collect()}["small"] == 1
+
+
 @pytest.mark.parametrize("limit,overlap", [(64, 16), (256, 0), (30, 8)])
 def test_pieces(limit, overlap):
     rng = random.Random(11)
