@@ -3,8 +3,9 @@
 Texts are brought to one form and become sets of five-word runs. Each set gets a sketch of 256 bits (one
 bit of each of 256 minima), whose Hamming distance follows the similarity. Sketches are compared tile by tile
 with exclusive-or and bit counts inside blocks of texts that share a pair of minima; tile pairs whose
-population counts (sizes of the run sets) differ beyond the radius are skipped. Pairs within the radius
-are then checked exactly on their run sets, and groups are the connected components of the links.
+population counts differ beyond the radius are skipped, and so are those whose run sets differ in size beyond
+the similarity. Pairs within the radius are then checked exactly on their run sets, and groups are the connected
+components of the links.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -95,9 +96,9 @@ def radius(similarity: float, deviations: float) -> int:
 
 
 def _features(df: DataFrame, id_col: str, text_col: str, model: Model | None) -> DataFrame:
-    def run(ids, texts):
-        out = ([], [], [], [], [])
-        for key, text in zip(ids, texts):
+    def run(ids, uids, texts):
+        out = ([], [], [], [], [], [])
+        for key, uid, text in zip(ids, uids, texts):
             if text is None or key is None:
                 continue
             form = normalize(text, model)
@@ -108,11 +109,16 @@ def _features(df: DataFrame, id_col: str, text_col: str, model: Model | None) ->
                 same, bands, bits = xxhash.xxh3_128_digest(" ".join(tokens)), mins[: 2 * BANDS].tobytes(), sketch(mins).tobytes()
             else:
                 same, bands, bits = xxhash.xxh3_128_digest("\0" + form), b"", b""
-            for column, value in zip(out, (key, same, len(found), bands, bits)):
+            for column, value in zip(out, (key, uid, same, len(found), bands, bits)):
                 column.append(value)
         return out
 
-    return arrow_map(df.select(F.col(id_col).cast("bigint"), text_col), run, "id bigint, same binary, n int, bands binary, bits binary")
+    return arrow_map(df.select(F.col(id_col).cast("bigint"), _uid(id_col, text_col), text_col), run, "id bigint, uid bigint, same binary, n int, bands binary, bits binary")
+
+
+def _uid(id_col: str, text_col: str) -> Column:
+    """A key of each different pair of id and text, as an id may come again with another text."""
+    return F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col))
 
 
 def _blocks(classes: DataFrame) -> DataFrame:
@@ -132,8 +138,9 @@ def _blocks(classes: DataFrame) -> DataFrame:
 def near(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, other: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, tile: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """All pairs of a block to be checked, as (smaller ids, larger ids, distances) of each tile pair.
 
-    Rows are ordered by population count; of a tile pair nothing is computed when even the nearest counts make
-    the similarity impossible.
+    Rows are ordered by the size of their run sets. Of a tile pair nothing is computed when its population counts
+    differ by more than the radius, which bounds the distance from below, or when even the nearest sizes make the
+    similarity impossible.
     """
     outer = radius(similarity, 4.5)
     order = np.argsort(sizes, kind="stable")
@@ -143,11 +150,14 @@ def near(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float
     else:
         order = np.argsort(other[1], kind="stable")
         ids2, sizes2, bits2 = (x[order] for x in other)
+    ones, ones2 = (np.bitwise_count(x).sum(axis=1).astype(np.int64) for x in (bits, bits2))
     for i in range(0, len(ids), tile):
         low, high = sizes[i], sizes[min(i + tile, len(ids)) - 1]
         for j in range(i if other is None else 0, len(ids2), tile):
             low2, high2 = sizes2[j], sizes2[min(j + tile, len(ids2)) - 1]
             if high < similarity * low2 or high2 < similarity * low:
+                continue
+            if max(ones2[j : j + tile].min() - ones[i : i + tile].max(), ones[i : i + tile].min() - ones2[j : j + tile].max()) > outer:
                 continue  # beyond the radius whatever the bits
             distance = np.zeros((len(ids[i : i + tile]), len(ids2[j : j + tile])), np.uint16)
             for w in range(bits.shape[1]):
@@ -196,8 +206,9 @@ def compare(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: fl
 def candidates(classes: DataFrame, similarity: float, hot: int = 2048, tree: bool = False) -> DataFrame:
     """Distinct pairs (a, b) whose sketches lie within the radius; with ``tree`` only as many as groups need.
 
-    Blocks above ``hot`` rows are cut into parts by population count and hash; each pair of parts within the
-    radius of population counts is a task of its own, so no block has to fit into one.
+    Blocks above ``hot`` rows are cut into levels of set size and by hash into parts of about ``hot`` rows; every two
+    parts of levels within the similarity are a group of their own, so no block has to fit into one task. Rows are
+    sent to parts that exist only.
     """
     rows = staged(_blocks(classes), "blocks")
     counts = rows.groupBy("block").agg(F.count("*").alias("c")).filter("c > 1")
@@ -206,9 +217,12 @@ def candidates(classes: DataFrame, similarity: float, hot: int = 2048, tree: boo
     kept = rows.join(counts, "block")
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
     small = kept.filter(F.col("c") <= hot).select("block", "id", "n", "bits", F.lit(0).alias("side"))
-    large = kept.filter(F.col("c") > hot).withColumn("level", part).withColumn("parts", F.ceil(F.col("c") / F.lit(hot)).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    large = kept.filter(F.col("c") > hot).withColumn("level", part).drop("c")
+    levels = large.groupBy("block", "level").agg(F.ceil(F.count("*") / F.lit(hot)).cast("int").alias("parts"))
+    large = large.join(levels, ["block", "level"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # a part meets the parts of its level and of the levels within reach, each pair once: the lower is side 0, the higher side 1
-    meets = large.withColumn("other", F.explode(F.sequence(F.col("level") - reach, F.col("level") + reach))).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    near_levels = levels.select("block", F.col("level").alias("other"), F.col("parts").alias("other_parts"))
+    meets = large.join(near_levels, "block").filter(F.abs(F.col("level") - F.col("other")) <= reach).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
     first = (F.col("level") < F.col("other")) | ((F.col("level") == F.col("other")) & (F.col("part") <= F.col("other_part")))
     own, that = F.struct("level", "part"), F.struct(F.col("other").alias("level"), F.col("other_part").alias("part"))
     meets = meets.select(F.xxhash64("block", F.when(first, own).otherwise(that), F.when(first, that).otherwise(own)).alias("block"), "id", "n", "bits", F.when(own == that, 0).when(first, 1).otherwise(2).alias("side"))
@@ -275,9 +289,9 @@ def candidates(classes: DataFrame, similarity: float, hot: int = 2048, tree: boo
 
 
 def verified(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame, similarity: float, model: Model | None) -> DataFrame:
-    """The pairs whose run sets reach the similarity, with it: (a, b, similarity)."""
+    """The pairs of row keys whose run sets reach the similarity, with it: (a, b, similarity)."""
     needed = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
-    chosen = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).join(needed, "_id", "left_semi").filter("_text is not null").dropDuplicates(["_id"])
+    chosen = df.filter(F.col(id_col).isNotNull()).select(_uid(id_col, text_col).alias("_id"), F.col(text_col).alias("_text")).join(needed, "_id", "left_semi").filter("_text is not null").dropDuplicates(["_id"])
 
     def shingled(ids, texts):
         return ids, [runs(words(normalize(t, model))).tobytes() for t in texts]
@@ -306,22 +320,29 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, model: Model | None
     representatives. A class is texts with the same words, its id the smallest id; a group is all that is
     linked, its id the smallest class; ``n_links`` is the number of other classes its class is linked to, copies
     not counted. Texts of under five words are alike only if their form is equal. Null
-    texts and null ids give no rows; a repeated id keeps its rows; an empty table gives empty results. All pairs
+    texts and null ids give no rows; a repeated id keeps its rows, each in the class of its own text; an empty table
+    gives empty results. All pairs
     within the sketch radius are checked; a missed link of similarity s has probability (1 - s * s) ** 32, on top of
     what the sketch radius of 4.5 standard deviations loses. With ``tree`` the groups are the same, but links hold
     spanning trees of surely alike texts only, and groups have no ``n_links``.
     """
     features = staged(_features(df, id_col, text_col, model), "features")
-    classes = staged(features.groupBy("same").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")), "classes")
+    classes = staged(
+        features.groupBy("same").agg(F.min("id").alias("class_id"), F.min("uid").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")), "classes"
+    )
     pairs = staged(candidates(classes, similarity, hot, tree), "pairs")
     links = staged(verified(df, id_col, text_col, pairs, similarity, model), "links")
-    components = connected_components(links)
+    names = classes.select("rep", "class_id")
+    nodes = connected_components(links).join(names.withColumnRenamed("rep", "node"), "node")
+    heads = nodes.groupBy("component").agg(F.min("class_id").alias("head"))
     groups = (
-        features.select("id", "same").join(classes.select("same", F.col("rep").alias("class_id")), "same")
-        .join(components.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-        .select(F.col("id").alias(id_col), "class_id", F.coalesce("component", "class_id").alias("group_id"))
+        features.select("id", "same").join(classes.select("same", "class_id", "rep"), "same")
+        .join(nodes.join(heads, "component").select(F.col("node").alias("rep"), "head"), "rep", "left")
+        .select(F.col("id").alias(id_col), "rep", "class_id", F.coalesce("head", "class_id").alias("group_id"))
     )
-    if not tree:
-        ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-        groups = groups.join(ends, "class_id", "left").select(id_col, "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return groups, links
+    named = links.join(names.select(F.col("rep").alias("a"), F.col("class_id").alias("x")), "a").join(names.select(F.col("rep").alias("b"), F.col("class_id").alias("y")), "b")
+    named = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    if tree:
+        return groups.drop("rep"), named
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    return groups.join(ends, "rep", "left").select(id_col, "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), named

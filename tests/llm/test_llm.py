@@ -535,6 +535,30 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0), targets)[0].count() == 0
 
 
+def test_a_repeated_id_keeps_the_links_of_each_of_its_texts(spark, model):
+    rng = random.Random(41)
+    first, second = prose(rng, 60), prose(rng, 60)
+    rows = [(5, first), (5, second), (5, second), (7, first + " end"), (9, second + " end"), (9, None)]
+    groups, links = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 0.5, model)
+    assert {(r.a, r.b) for r in links.collect()} == {(5, 7), (5, 9)} and links.count() == 2
+    assert sorted((r.doc_id, r.class_id, r.group_id, r.n_links) for r in groups.collect()) == [(5, 5, 5, 1)] * 3 + [(7, 7, 5, 1), (9, 9, 5, 1)]
+
+
+def test_hot_blocks_are_sent_to_parts_that_exist(spark):
+    """One block of 600 texts of three sizes, cut at 50: every pair within reach of sizes is compared once."""
+    rng = np.random.default_rng(4)
+    sizes = np.repeat([40, 100, 900], 200)
+    bits = rng.integers(0, 2**63, (600, 4), dtype=np.uint64)
+    bits[1::2] = bits[::2]
+    bands = np.zeros((600, 2 * neardup.BANDS), np.uint32)
+    bands[:, 2:] = rng.integers(0, 2**32, (600, 2 * neardup.BANDS - 2), dtype=np.uint32)
+    rows = [(k, int(sizes[k]), bytearray(bands[k].tobytes()), bytearray(bits[k].tobytes())) for k in range(600)]
+    found = neardup.candidates(spark.createDataFrame(rows, "rep bigint, n int, bands binary, bits binary"), 0.5, hot=50)
+    got = {(r.a, r.b) for r in found.collect()}
+    assert {(k, k + 1) for k in range(0, 600, 2)} <= got
+    assert got == set(neardup.compare(np.arange(600), sizes, bits, 0.5))
+
+
 def test_a_source_far_above_its_share_fills_no_bucket(spark, monkeypatch):
     """Equal shares of a source of 40 texts and one of 4,000: no bucket of the second running sum holds much more than its part."""
     rng = random.Random(31)
