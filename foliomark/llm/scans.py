@@ -25,7 +25,7 @@ from ..plans.session import arrow_map, ship, staged
 from .furniture import BLANK, BODY, FURNITURE, HEADING, TABLE, classify, is_wrapped
 from .textform import Model, normalize
 
-ROWS, WIDTH, PARTS = 1 << 14, 16, 16
+ROWS, WIDTH, PARTS, NEGATIVE, WEIGHT = 1 << 14, 16, 16, 48, 2
 # Glyphs as they are misread, and what stands there in truth.
 _GLYPHS = "c:e @:a !:i ri:n f:t 0:o 5:s 1:l 1:i ii:u cl:d 9:g rn:m b:h h:li vv:w 6:é 6:b 8:b $:s |:l |:i l:i i:l h:b e:c o:c c:o t:f m:rn d:cl w:vv u:ii n:ri li:h nn:m in:m q:g q:9 j:i ni:m ll:u ii:ü b:ß 6:ó 6:ö c:é 0:ö 0:ó a:á 4:a"
 EDITS = tuple(tuple(pair.split(":")) for pair in _GLYPHS.split())
@@ -92,24 +92,28 @@ class Page:
 
 
 def _add(table: np.ndarray, rows: np.ndarray, steps: np.ndarray, rate: float) -> None:
-    """Add to each row of the table the sum of its steps over the root of their number; values stay within ten."""
+    """Add to each row of the table the sum of its steps over their number to the power of three quarters; values stay within ten."""
     order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
+    ordered = rows.take(order)
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     n = np.diff(np.append(first, len(rows))).astype(np.float32)
-    moved = table[ordered[first]] + np.float32(rate) * np.add.reduceat(steps[order], first, axis=0) / np.sqrt(n)[:, None]
-    table[ordered[first]] = np.clip(moved, -10, 10)
+    changed = ordered.take(first)
+    moved = np.add.reduceat(steps.take(order, axis=0), first, axis=0)
+    moved *= (np.float32(rate) / n ** np.float32(0.75))[:, None]
+    moved += table.take(changed, axis=0)
+    table[changed] = np.clip(moved, -10, 10, out=moved)
 
 
-def train(ids: list[np.ndarray], seed: int, v: np.ndarray, u: np.ndarray, rate: float = 0.3, window: int = 2, sub: float = 2e-4) -> None:
+def train(ids: list[np.ndarray], seed: int, v: np.ndarray, u: np.ndarray, rate: float = 0.3, window: int = 2, sub: float = 1e-4) -> None:
     """Skip-gram with negative sampling on runs of hashed words; changes ``v`` (words) and ``u`` (contexts).
 
     Frequent words are thinned out (``sub``); of what is left every pair within the window is trained on.
     """
     random = np.random.default_rng(seed)
-    flat = np.concatenate(ids).astype(np.int32)
+    flat = np.concatenate(ids).astype(np.int16)  # two bytes are sorted by counting
     owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
     share = np.bincount(flat, minlength=ROWS) / max(1, len(flat))
+    sub = max(sub, 0.01 / max(1, np.count_nonzero(share)))  # of few words none is frequent beside the others
     keep = random.random(len(flat), np.float32) < np.sqrt(sub / np.maximum(share, sub)).astype(np.float32)[flat]
     flat, owner = flat[keep], owner[keep]
     if len(flat) < 4:
@@ -126,11 +130,16 @@ def train(ids: list[np.ndarray], seed: int, v: np.ndarray, u: np.ndarray, rate:
     size = min(8192, max(256, len(a) // 64))  # steps of one row that are taken together stay few
     for i in range(0, len(a), size):
         x, y = a[i : i + size], b[i : i + size]
-        negative = np.searchsorted(noise, random.random(64) * noise[-1], side="right")
-        vx, uy, un = v[x], u[y], u[negative]
-        pull = 1 / (1 + np.exp(np.minimum((vx * uy).sum(axis=1), 30)))  # 1 - sigmoid
-        push = 1 / (1 + np.exp(np.minimum(-(vx @ un.T), 30))) * np.float32(4 / 64)
-        _add(v, x, pull[:, None] * uy - push @ un, rate)
+        negative = np.searchsorted(noise, random.random(NEGATIVE) * noise[-1], side="right")
+        vx, uy, un = v.take(x, axis=0), u.take(y, axis=0), u[negative]
+        pull = 1 / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", vx, uy), 30)))  # 1 - sigmoid
+        push = vx @ -un.T
+        np.exp(np.minimum(push, 30, out=push), out=push)
+        push += 1
+        np.divide(np.float32(WEIGHT / NEGATIVE), push, out=push)
+        uy *= pull[:, None]
+        uy -= push @ un
+        _add(v, x, uy, rate)
         _add(u, y, pull[:, None] * vx, rate)
         u[negative] = np.clip(u[negative] - np.float32(rate) * (push.T @ vx) / np.float32(np.sqrt(len(x))), -10, 10)
 
@@ -144,6 +153,14 @@ def row_of(word: str) -> int:
     return xxhash.xxh32_intdigest(word) % ROWS
 
 
+class _Rows(dict):
+    """Rows of the words met so far."""
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = row_of(word)
+        return row
+
+
 def survey(documents: DataFrame, model: Model | None, id_col: str, text_col: str) -> DataFrame:
     """One pass over all texts: counted words, parts of the vector tables, and the line-by-line texts."""
     ship(documents.sparkSession)
@@ -153,8 +170,7 @@ def survey(documents: DataFrame, model: Model | None, id_col: str, text_col: str
         inside: Counter[str] = Counter()
         v, u = start()
         seen = np.zeros(ROWS, np.float32)
-        rows: dict[str, int] = {}
-        trained = 0
+        rows, trained = _Rows(), 0
         schema = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         names = ["kind", "word", "a", "b", "payload"]
 
@@ -182,15 +198,9 @@ def survey(documents: DataFrame, model: Model | None, id_col: str, text_col: str
                     found = _PLAIN.findall(normalize(text, model).lower())
                     outside.update(found)
                 if len(found) > 1:
-                    sequence = np.empty(len(found), np.int64)
-                    for i, w in enumerate(found):
-                        r = rows.get(w)
-                        if r is None:
-                            r = rows[w] = row_of(w)
-                        sequence[i] = r
-                    sequences.append(sequence)
-                    seen += np.bincount(sequence, minlength=ROWS)
+                    sequences.append(np.fromiter(map(rows.__getitem__, found), np.int64, len(found)))
             if sequences:
+                seen += np.bincount(np.concatenate(sequences), minlength=ROWS)
                 train(sequences, trained, v, u)
                 trained += 1
             if kept:
