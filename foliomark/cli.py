@@ -8,7 +8,7 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.language import detect_language
@@ -26,7 +26,9 @@ def load(spark: SparkSession, paths: list[str], role: str) -> DataFrame | None:
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         return None
-    return found.filter("text is not null").select(F.abs(F.xxhash64("path") % 1_000_000_000).alias("doc_id"), "path", "text", F.lit("author").alias("author_key"), detect_language(F.col("text")).alias("lang"))
+    # numbers of the paths in order; only paths go through the one task of this window
+    numbers = found.select("path").distinct().withColumn("doc_id", F.row_number().over(Window.orderBy("path")).cast("bigint"))
+    return found.filter("text is not null").join(numbers, "path").select("doc_id", "path", "text", F.lit("author").alias("author_key"), detect_language(F.col("text")).alias("lang"))
 
 
 def analyze(spark: SparkSession, submitted: list[str], sources: list[str] = (), history: list[str] = (), corpus: list[str] = (), classroom: list[str] = ()) -> tuple[DataFrame, DataFrame, list[dict]]:

@@ -11,6 +11,8 @@ from ..functions.text import REFERENCE_TITLES, WS, pieces, sentences, trimmed
 NUMERIC = r"\[[0-9]+(?:\s*[,\-–]\s*[0-9]+)*\]"
 AUTHOR_YEAR = r"\([A-Z][a-zA-Z\-]+(?:\s+(?:and|&|et\s+al\.?))?(?:\s+[A-Z][a-zA-Z\-]+)?(?:\s*,\s*[A-Z][a-zA-Z\-]+)*,?\s+[0-9]{4}[a-z]?\)"
 AUTHOR_BESIDE_YEAR = r"[A-Z][a-zA-Z\-]+\s+\([0-9]{4}[a-z]?\)"
+NUMERIC_INLINE = r"\[[0-9]+(?:[,\-\s]+[0-9]+)*\]"
+AUTHOR_YEAR_INLINE = r"\([A-Z][a-zA-Z\-]+(?:\s+et\s+al\.?)?,?\s+[0-9]{4}[a-z]?\)"
 DOI = r"\b10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+\b"
 CLAIM = r"(?i)\b(?:studies\s+show|research\s+shows|it\s+has\s+been\s+(?:shown|proven|demonstrated|found)|according\s+to|researchers?\s+(?:found|reported|discovered)|evidence\s+suggests|data\s+(?:shows|indicates)|reported\s+that|found\s+that|[0-9]+(?:\.[0-9]+)?%)\b"
 NEW_ENTRY = r"^\s*(?:\[[0-9]+\]|[0-9]+\.|[A-Z][a-zA-Z\-]+,\s+[A-Z]\.)"
@@ -52,8 +54,11 @@ def references_section(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def inline_citations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kind, raw) of every citation: numeric, author_year in either form, doi. A text may hold one twice."""
-    kinds = (("numeric", NUMERIC), ("author_year", AUTHOR_YEAR), ("author_year", AUTHOR_BESIDE_YEAR), ("doi", DOI))
+    """(id, kind, raw) of every citation: numeric, author_year in either form, doi. A text may hold one twice.
+
+    These are the plain forms of running text; ``placed_citations`` takes the wider ones, with several authors.
+    """
+    kinds = (("numeric", NUMERIC_INLINE), ("author_year", AUTHOR_YEAR_INLINE), ("author_year", AUTHOR_BESIDE_YEAR), ("doi", DOI))
 
     def tagged(kind: str, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0)), lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("raw")))

@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, clean_text, pieces, sentences, tokens
+from ..plans.session import staged
 from . import citations, paraphrase, writing
 from .encoder import encode_sentences
 from .graph import connected_components
-from .similarity import best_sentence_match, containment_join, jaccard_join, levenshtein_ratio, nearest, pairs_above, token_runs
+from .similarity import best_sentence_match, containment_join, gram_classes, jaccard_join, levenshtein_ratio, nearest, pairs_above, token_runs
 
 FINDING = "finding_type string, doc_id bigint, source_id bigint, title string, confidence double, severity string, evidence array<struct<submitted:string,source:string,similarity:double,method:string>>, metadata string"
 
@@ -76,9 +77,9 @@ def no_evidence() -> Column:
 
 
 def sentence_rows(df: DataFrame, least_words: int) -> DataFrame:
-    """(id, doc_id, sentence) with an id made of document and place."""
+    """(id, doc_id, sentence) with an id made of document and place: 2^24 sentences of each of 2^39 documents."""
     rows = df.select("doc_id", F.posexplode(sentences(clean_text(F.coalesce("text", F.lit(""))))).alias("n", "sentence"))
-    return rows.filter(F.size(pieces(F.col("sentence"))) >= least_words).select((F.col("doc_id") * 100_000 + F.col("n")).alias("id"), "doc_id", "sentence")
+    return rows.filter(F.size(pieces(F.col("sentence"))) >= least_words).select((F.shiftleft(F.col("doc_id").cast("bigint"), 24) + F.col("n")).alias("id"), "doc_id", "sentence")
 
 
 @register("exact_copy")
@@ -87,7 +88,7 @@ def exact_copy(inputs: Inputs) -> DataFrame | None:
     if inputs.sources is None:
         return None
     sources = inputs.sources.select(F.col("doc_id").alias("source_id"), "text")
-    runs = token_runs(inputs.submitted, sources, 8, "doc_id", "source_id").filter(F.col("doc_id") != F.col("source_id"))
+    runs = token_runs(inputs.submitted, sources, 8, "doc_id", "source_id")
     words = inputs.submitted.select("doc_id", tokens(F.col("text")).alias("w"))
     cut = runs.join(words, "doc_id").select("doc_id", "source_id", F.array_join(F.slice("w", F.col("start_a") + 1, F.col("length")), " ").alias("submitted"), F.col("length").cast("double").alias("similarity"), F.lit("token_run").alias("method"))
     by_length = best_evidence(cut.withColumn("source", F.col("submitted")), ["doc_id", "source_id"], 5, 1)
@@ -95,7 +96,7 @@ def exact_copy(inputs: Inputs) -> DataFrame | None:
     left = sentence_rows(inputs.submitted, 6)
     right = sentence_rows(inputs.sources, 6)
     match = best_sentence_match(left.select("id", "sentence"), right.select("id", "sentence"))
-    joined = match.join(left.select(F.col("id").alias("left_id"), "doc_id", F.col("sentence").alias("submitted")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("doc_id").alias("source_id"), F.col("sentence").alias("source")), "right_id").filter("doc_id <> source_id")
+    joined = match.join(left.select(F.col("id").alias("left_id"), "doc_id", F.col("sentence").alias("submitted")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("doc_id").alias("source_id"), F.col("sentence").alias("source")), "right_id")
     scored = joined.select("doc_id", "source_id", "submitted", "source", F.greatest("score", levenshtein_ratio(F.col("submitted"), F.col("source"))).alias("similarity"), F.lit("sentence_match").alias("method"))
     by_score = best_evidence(scored, ["doc_id", "source_id"], 8, 5)
     b = finding("exact_copy", by_score, "Sentences nearly equal to a source", F.least(F.lit(0.95), F.col("strength")), graded(F.col("strength"), (0.9, "high"), (0.75, "medium")), "source_id")
@@ -109,7 +110,7 @@ def semantic_matches(left: DataFrame, right: DataFrame, least: float, words: int
     return (
         found.join(a.select(F.col("id").alias("query_id"), "doc_id", F.col("sentence").alias("submitted")), "query_id")
         .join(b.select("id", F.col("doc_id").alias("source_id"), F.col("sentence").alias("source")), "id")
-        .filter("doc_id <> source_id").select("doc_id", "source_id", "submitted", "source", F.col("score").alias("similarity"), F.lit("vector").alias("method"))
+        .select("doc_id", "source_id", "submitted", "source", F.col("score").alias("similarity"), F.lit("vector").alias("method"))
     )
 
 
@@ -221,14 +222,48 @@ def collusion(inputs: Inputs) -> DataFrame | None:
     """Pairs of class documents that share two or more near-equal sentences, grouped into clusters."""
     if inputs.classroom is None:
         return None
-    s = sentence_rows(inputs.classroom, 8)
-    pairs = jaccard_join(s.select(F.col("id").alias("doc_id"), F.col("sentence").alias("text")), inputs.options.get("collusion_min", 0.8), 3)
-    owner = s.select("id", F.col("doc_id").alias("owner"))
-    joined = pairs.join(owner.withColumnRenamed("id", "class_a").withColumnRenamed("owner", "oa"), "class_a").join(owner.withColumnRenamed("id", "class_b").withColumnRenamed("owner", "ob"), "class_b").filter("oa <> ob")
-    edges = joined.groupBy(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b")).agg(F.count("*").alias("n"), F.avg("jaccard").alias("similarity")).filter("n >= 2")
+    edges = shared_sentences(inputs.classroom, inputs.options.get("collusion_min", 0.8))
     return _clusters(edges.select("a", "b", "similarity"), "Class documents share sentences", 0.05, 0.6, 0.92)
 
 
+def shared_sentences(documents: DataFrame, least: float = 0.8, times: int = 2, words: int = 8) -> DataFrame:
+    """(a, b, shared, similarity) of documents with at least ``times`` (2 or more) pairs of like sentences, equal ones included.
+
+    Sentences with the same runs of three words are one class. A document whose classes are all those of another is
+    a copy: it is compared with the first such document only. Of the others those are compared that share a class
+    other than the most frequent one of either, as two shared sentences demand, or whose classes are near each
+    other; so a sentence that everyone has, a header say, makes no pairs.
+    """
+    s = sentence_rows(documents, words).select("doc_id", F.col("id").alias("sid"), "sentence")
+    grams = staged(gram_classes(s, 3, "sid", "sentence").select(F.col("id").alias("sid"), "key"), "sentences")
+    names = grams.groupBy("key").agg(F.min("sid").alias("cls"))
+    held = s.select("sid", "doc_id").join(grams, "sid").join(names, "key").groupBy("doc_id", "cls").agg(F.count("*").alias("n"))
+    signed = held.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("items"))
+    signed = staged(signed.select("doc_id", "items", F.min("doc_id").over(Window.partitionBy(F.xxhash64("items"), "items")).alias("rep")), "holders")
+    square = F.aggregate("items", F.lit(0).cast("bigint"), lambda t, x: t + x["n"] * x["n"])
+    copies = signed.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), square.alias("shared"), F.lit(1.0).alias("similarity"))
+    rows = signed.filter("doc_id = rep").select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.cls", "x.n")
+    frequency = rows.groupBy("cls").agg(F.count("*").alias("df"))
+    last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("df"), F.desc("cls")))
+    rows = staged(rows.join(frequency, "cls").withColumn("last", last == 1), "classes")
+    side = lambda df, i: df.select(F.col("doc_id").alias(f"d{i}"), F.col("cls").alias(f"c{i}"), F.col("n").alias(f"n{i}"))
+    many = rows.filter("df > 1")
+    alike = staged(jaccard_join(s.select(F.col("sid").alias("doc_id"), F.col("sentence").alias("text")), least, 3).select(F.col("class_a").alias("ca"), F.col("class_b").alias("cb"), F.col("jaccard").alias("sim")), "alike")
+    near = alike.unionByName(alike.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "sim"))
+    ordered = F.col("d1") != F.col("d2")
+    pair = [F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")]
+    prefix = many.filter("not last")
+    found = side(prefix, 1).join(side(prefix, 2), F.col("c1") == F.col("c2")).filter(ordered).select(*pair)
+    several = side(many.filter("n > 1"), 1).join(side(many, 2), F.col("c1") == F.col("c2")).filter(ordered).select(*pair)
+    through = side(rows, 1).join(near, F.col("c1") == F.col("ca")).join(side(rows, 2), F.col("cb") == F.col("c2")).filter(ordered).select(*pair)
+    candidates = staged(found.unionByName(several).unionByName(through).distinct(), "candidates")
+    one = candidates.join(side(rows, 1), F.col("a") == F.col("d1"))
+    equal = one.join(side(rows, 2), (F.col("b") == F.col("d2")) & (F.col("c1") == F.col("c2"))).select("a", "b", (F.col("n1") * F.col("n2")).alias("n"), F.lit(1.0).alias("sim"))
+    other = one.join(near, F.col("c1") == F.col("ca")).join(side(rows, 2), (F.col("b") == F.col("d2")) & (F.col("cb") == F.col("c2"))).select("a", "b", (F.col("n1") * F.col("n2")).alias("n"), "sim")
+    counted = equal.unionByName(other).groupBy("a", "b").agg(F.sum("n").alias("shared"), (F.sum(F.col("n") * F.col("sim")) / F.sum("n")).alias("similarity"))
+    return counted.unionByName(copies).filter(F.col("shared") >= times)
+
+
 def _clusters(edges: DataFrame, title: str, step: float, base: float, most: float) -> DataFrame:
     """One finding for each cluster, under its smallest document, with its members."""
     nodes = connected_components(edges)
@@ -252,12 +287,19 @@ def source_discovery(inputs: Inputs) -> DataFrame | None:
 
 @register("research_integrity")
 def research_integrity(inputs: Inputs) -> DataFrame | None:
-    """Paragraphs over 80 characters that a document repeats, repeated headings, and terms used beside their short forms."""
+    """Paragraphs over 80 characters that a document repeats, repeated headings, terms used beside their short forms,
+    and citations without a reference or references without a citation."""
     blocks = repeated_blocks(inputs.submitted)
     rows = best_evidence(blocks.select("doc_id", "kind", F.substring("block", 1, 300).alias("submitted"), F.lit(None).cast("string").alias("source"), F.col("times").cast("double").alias("similarity"), F.lit("repetition").alias("method")), ["doc_id", "kind"], 5, 1)
     repeated = finding("research_integrity", rows, "Parts of the document are repeated", F.when(F.col("kind") == "paragraph", 0.95).otherwise(0.85), F.when(F.col("kind") == "paragraph", "medium").otherwise("low"))
     terms = term_variance(inputs.submitted).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("term").alias("submitted"), F.col("short").alias("source"), F.lit(1.0).alias("similarity"), F.lit("term").alias("method")))).alias("evidence"))
-    return repeated.unionByName(finding("research_integrity", terms, "Terms and their short forms are mixed", F.lit(0.55), F.lit("low")))
+    mixed = finding("research_integrity", terms, "Terms and their short forms are mixed", F.lit(0.55), F.lit("low"))
+    listed = citations.references_section(inputs.submitted).select("doc_id", citations.parsed_reference(F.col("entry"))["index"].alias("number"))
+    issues = citations.citation_issues(citations.citation_numbers(inputs.submitted), listed).groupBy("doc_id")
+    numbers = lambda kind: F.slice(F.array_sort(F.collect_list(F.when(F.col("issue") == kind, F.col("number")))), 1, 10)
+    rows = issues.agg(numbers("missing_reference").alias("missing"), numbers("unused_reference").alias("unused")).filter("size(missing) + size(unused) > 0").withColumn("evidence", no_evidence())
+    unmatched = finding("research_integrity", rows, "Citations and references do not match", F.lit(0.9), F.lit("medium"), metadata=F.struct("missing", "unused").alias("numbers"))
+    return repeated.unionByName(mixed).unionByName(unmatched)
 
 
 # Terms and their short forms.

@@ -17,7 +17,8 @@ def fuse(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     reference_issues, ai_writing_signal, collusion_clusters, counts, overall_confidence and human_review.
 
     ``findings`` has finding_id, doc_id, finding_type, title, severity, confidence and metadata (JSON), one row per
-    finding; ``evidence`` has finding_id. Confidences that are null count as 0, metadata that is null as empty.
+    finding; ``evidence`` has finding_id. The signal of the last finding counts, by created_at where there is one
+    and by finding_id among equals. Confidences that are null count as 0, metadata that is null as empty.
     """
     pieces = evidence.groupBy("finding_id").agg(F.count("*").alias("pieces"))
     rows = findings.join(pieces, "finding_id", "left").withColumn("_n", F.coalesce("pieces", F.lit(0))).withColumn("_c", F.coalesce("confidence", F.lit(0.0)))
@@ -26,11 +27,12 @@ def fuse(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     most = lambda kind: F.coalesce(F.max(F.when(of(kind), F.col("_n"))), F.lit(0))
     missing = of("citation_issue") & F.lower("title").contains("missing")
     level = F.get_json_object("metadata", "$.overall_level")
+    made = F.col("created_at") if "created_at" in findings.columns else F.lit(0)
     report = rows.groupBy("doc_id").agg(
         *best, most("source_match").alias("source_matches"),
         (F.coalesce(F.max(F.when(missing, F.greatest("_n", F.lit(1)))), F.lit(0)) + F.count_if(of("citation_issue") & ~missing)).alias("citation_issues"),
         most("fake_citation").alias("reference_issues"),
-        F.coalesce(F.max_by(level, F.when(of("ai_writing") & level.isin("HIGH", "MEDIUM", "LOW"), F.col("finding_id"))), F.lit("INCONCLUSIVE")).alias("ai_writing_signal"),
+        F.coalesce(F.max_by(level, F.when(of("ai_writing") & level.isin("HIGH", "MEDIUM", "LOW"), F.struct(made, "finding_id"))), F.lit("INCONCLUSIVE")).alias("ai_writing_signal"),
         F.coalesce(F.max(F.when(of("collusion"), F.json_array_length(F.get_json_object("metadata", "$.clusters")))), F.lit(0)).alias("collusion_clusters"),
         F.count("*").alias("findings"), F.count_if(F.col("severity").isin("high", "critical")).alias("high_findings"),
     )
@@ -39,8 +41,9 @@ def fuse(findings: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def by_type(findings: DataFrame, type_col: str = "finding_type") -> DataFrame:
-    """(finding_type, severity, findings, documents, mean_confidence)."""
-    return findings.groupBy(F.col(type_col).alias("finding_type"), "severity").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents"), F.avg("confidence").alias("mean_confidence"))
+    """(finding_type, severity, findings, documents, mean_confidence); the mean does not depend on the order of the rows."""
+    mean = F.sum(F.col("confidence").cast("decimal(18,9)")).cast("double") / F.count("confidence")
+    return findings.groupBy(F.col(type_col).alias("finding_type"), "severity").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents"), mean.alias("mean_confidence"))
 
 
 def top_evidence(evidence: DataFrame, k: int = 3) -> DataFrame:

@@ -239,13 +239,15 @@ def batch_clusters(spark, sf):
 
 
 def compare_documents(spark, sf):
+    """Documents (labels) divisible by 100 as the stated queries, against all others."""
     v = _vectors(spark, sf).withColumnRenamed("label", "doc_id")
-    labels = v.select(F.col("doc_id").alias("a")).distinct()
-    return vs.best_chunks(v, labels.crossJoin(labels.withColumnRenamed("a", "b")).filter("b = a + 1"), VECTOR_MIN - 0.1)
+    labels = v.select(F.col("doc_id").alias("b")).distinct()
+    asked = labels.filter("b % 100 = 0").select(F.col("b").alias("a"))
+    return vs.best_chunks(v, labels.join(F.broadcast(asked), F.col("a") != F.col("b")), VECTOR_MIN - 0.1)
 
 
-def vector_of_one_document(spark, sf):
-    return _vectors(spark, sf).filter("label = 3").select("vec_id", F.size("embedding").alias("width"))
+def vectors_of_documents(spark, sf):
+    return _vectors(spark, sf).groupBy(F.col("label").alias("doc_id")).agg(F.count("*").alias("vectors"), F.min("vec_id").alias("first_id"), F.min(F.size("embedding")).alias("width"))
 
 
 def paragraph_chunks(spark, sf):
@@ -387,7 +389,7 @@ _NAMED = (
     clean_text, word_counts, tokens_topk, ngram_freq, sentences, paragraphs, headings, chunks_200_40, document_keys, references_section, inline_citations, citation_issues, citation_coverage,
     uncited_claims, reference_fields, reference_scores, script_detect, language_detect, lang_agreement, jaccard5_pairs, jaccard5_classes, containment5_sources, exact_spans8, longest_span,
     minhash_signatures, minhash_similarity, simhash, simhash_similarity, simhash_pairs, tfidf_cosine, overlap_scores, levenshtein_ratio, jaro_winkler, sentence_match, knn_batch, source_discovery, semantic_best_match,
-    batch_pairs, batch_clusters, collusion_edges, compare_documents, vector_of_one_document, paragraph_chunks, term_variance, shown_evidence, synonym_density, voice_change, nominalization, word_order, structure_similarity, paraphrase_score, writing_signals, tool_marks,
+    batch_pairs, batch_clusters, collusion_edges, compare_documents, vectors_of_documents, paragraph_chunks, term_variance, shown_evidence, synonym_density, voice_change, nominalization, word_order, structure_similarity, paraphrase_score, writing_signals, tool_marks,
     style_fingerprint, style_deviation, common_phrases, repeated_blocks, web_queries, evidence_domains, html_text, store_upsert_latest, latest_runs, store_stats, store_cascade_delete,
     fusion_report, findings_by_type, top_evidence,
 )

@@ -171,7 +171,9 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS paragra
 p AS (SELECT doc_id, i, list_slice(w, i, i + 199) AS c FROM c) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, array_to_string(c, ' ') AS chunk FROM p WHERE i = 1 OR len(c) >= 20"""
     out["document_keys"] = f"SELECT doc_id, substring(sha256(text), 1, 16) AS key FROM {DOCS}"
     out["references_section"] = f"WITH {_references()} SELECT doc_id, entry_index, entry FROM entries"
-    kinds = (("numeric", ci.NUMERIC), ("author_year", ci.AUTHOR_YEAR), ("author_year", ci.AUTHOR_BESIDE_YEAR), ("doi", ci.DOI))
+    # written apart from the operator's patterns: numbers in brackets, one name and a year, an identifier
+    name = r"[A-Z][a-zA-Z-]+"
+    kinds = (("numeric", r"\[\d+(?:[-,\s]+\d+)*\]"), ("author_year", rf"\({name}(?:\s+et\s+al\.?)?,?\s+\d{{4}}[a-z]?\)"), ("author_year", rf"{name}\s+\(\d{{4}}[a-z]?\)"), ("doi", r"\b10\.\d{4,9}/[A-Za-z0-9._;()/:-]+\b"))
     union = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {q(p)})) AS raw FROM {DOCS}" for k, p in kinds)
     out["inline_citations"] = f"SELECT doc_id, kind, raw, count(*) AS times FROM ({union}) GROUP BY doc_id, kind, raw"
     listed = f"listed AS (SELECT DISTINCT doc_id, ref_number AS number FROM (SELECT doc_id, {_fields('entry')} FROM entries) WHERE ref_number IS NOT NULL)"
@@ -276,8 +278,8 @@ SELECT e.evidence_id, round(coalesce(CASE WHEN p > 0 AND r > 0 THEN d / sqrt(p *
 r(node, other) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.other = s.a) SELECT node, min(other) AS component FROM r GROUP BY node"""
     out["collusion_edges"] = f"SELECT least(la, lb)::BIGINT AS a, greatest(la, lb)::BIGINT AS b, count(*) AS shared, round(avg(score), 6) AS mean_score FROM ({pair}) WHERE score >= 0.35 AND la <> lb GROUP BY 1, 2 HAVING count(*) >= 2"
 
-    out["compare_documents"] = f"SELECT q.label::BIGINT AS a, v.label::BIGINT AS b, q.vec_id AS vec_a, v.vec_id AS vec_b, round({score}, 6) AS score FROM embeddings q JOIN embeddings v ON v.label = q.label + 1 QUALIFY row_number() OVER (PARTITION BY q.label, q.vec_id ORDER BY {score} DESC, v.vec_id) = 1 AND {score} >= 0.30"
-    out["vector_of_one_document"] = "SELECT vec_id, len(embedding) AS width FROM embeddings WHERE label = 3"
+    out["compare_documents"] = f"SELECT q.label::BIGINT AS a, v.label::BIGINT AS b, q.vec_id AS vec_a, v.vec_id AS vec_b, round({score}, 6) AS score FROM embeddings q JOIN embeddings v ON q.label % 100 = 0 AND v.label <> q.label QUALIFY row_number() OVER (PARTITION BY q.label, v.label, q.vec_id ORDER BY {score} DESC, v.vec_id) = 1 AND {score} >= 0.30"
+    out["vectors_of_documents"] = "SELECT label::BIGINT AS doc_id, count(*) AS vectors, min(vec_id) AS first_id, min(len(embedding)) AS width FROM embeddings GROUP BY label"
     kept = f"kept AS (SELECT doc_id, paragraph_index, any_value(text) AS text FROM paragraphs WHERE NOT coalesce(is_reference, false) AND len({pcs("coalesce(text, '')")}) >= 10 GROUP BY ALL)"
     out["paragraph_chunks"] = f"""WITH {kept}, t AS (SELECT doc_id, paragraph_index, {pcs('text')} AS w FROM kept UNION ALL SELECT doc_id, -1, {pcs('text')} FROM {DOCS} WHERE doc_id NOT IN (SELECT doc_id FROM kept)),
 c AS (SELECT doc_id, paragraph_index, w, unnest(CASE WHEN len(w) > 200 THEN range(1, len(w) + 1, 160) ELSE [1] END) AS i FROM t WHERE len(w) > 0), p AS (SELECT doc_id, paragraph_index, i, list_slice(w, i, i + 199) AS c FROM c)
@@ -361,10 +363,10 @@ SELECT doc_id, rank, substring(qq, 1, 150) AS query FROM r WHERE rank <= 3"""
 r AS (SELECT f.*, coalesce(p.pieces, 0) AS n, finding_type AS k, coalesce(confidence, 0) AS c, json_extract_string(metadata, '$.overall_level') AS lvl, contains(lower(title), 'missing') AS miss FROM {FINDINGS} f LEFT JOIN p USING (finding_id)),
 g AS (SELECT doc_id, {best}, coalesce(max(n) FILTER (WHERE k = 'source_match'), 0) AS source_matches,
  coalesce(max(greatest(n, 1)) FILTER (WHERE k = 'citation_issue' AND miss), 0) + count(*) FILTER (WHERE k = 'citation_issue' AND NOT miss) AS citation_issues,
- coalesce(max(n) FILTER (WHERE k = 'fake_citation'), 0) AS reference_issues, coalesce(arg_max(lvl, finding_id) FILTER (WHERE k = 'ai_writing' AND lvl IN ('HIGH', 'MEDIUM', 'LOW')), 'INCONCLUSIVE') AS ai_writing_signal,
+ coalesce(max(n) FILTER (WHERE k = 'fake_citation'), 0) AS reference_issues, coalesce(arg_max(lvl, (created_at, finding_id)) FILTER (WHERE k = 'ai_writing' AND lvl IN ('HIGH', 'MEDIUM', 'LOW')), 'INCONCLUSIVE') AS ai_writing_signal,
  coalesce(max(json_array_length(metadata, '$.clusters')) FILTER (WHERE k = 'collusion'), 0)::BIGINT AS collusion_clusters,
  count(*) AS findings, count(*) FILTER (WHERE severity IN ('high', 'critical')) AS high_findings, ({mean}) / 4 AS mean FROM r GROUP BY doc_id)
 SELECT * EXCLUDE (mean), CASE WHEN mean >= 0.6 THEN 'HIGH' WHEN mean >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS overall_confidence, (high_findings > 0 OR mean >= 0.6) AS human_review FROM g"""
-    out["findings_by_type"] = f"SELECT finding_type, severity, count(*) AS findings, count(DISTINCT doc_id) AS documents, round(avg(confidence), 6) AS mean_confidence FROM {FINDINGS} GROUP BY ALL"
+    out["findings_by_type"] = f"SELECT finding_type, severity, count(*) AS findings, count(DISTINCT doc_id) AS documents, round(sum(confidence::DECIMAL(18, 9))::DOUBLE / count(confidence), 6) AS mean_confidence FROM {FINDINGS} GROUP BY ALL"
     out["top_evidence"] = "SELECT finding_id, row_number() OVER (PARTITION BY finding_id ORDER BY similarity DESC NULLS LAST, evidence_id) AS rank, evidence_id, round(similarity, 6) AS similarity FROM evidence QUALIFY rank <= 3"
     return out

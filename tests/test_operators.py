@@ -216,3 +216,42 @@ def test_vector_index(spark, tmp_path):
 def test_term_variance(spark):
     df = spark.createDataFrame([(1, "machine learning ML " * 3), (2, "machine learning"), (3, None)], "doc_id bigint, text string")
     assert [(r.doc_id, r.term_count, r.short_count) for r in de.term_variance(df).collect()] == [(1, 3, 3)]
+
+
+def test_shared_sentences_match_brute_force(spark):
+    """Equal sentences count, those within classes of copies too; a sentence of all documents makes no pair alone."""
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "ba de fi go lu ma".split() for b in "lan mer nos pik rat".split()]
+    say = lambda: " ".join(rng.choice(words) for _ in range(12)).capitalize() + "."
+    header, pool = say(), [say() for _ in range(12)]
+    near = lambda s: s[:-1] + " end."
+    texts = {}
+    for k in range(24):
+        own = [header, say(), *rng.sample(pool, rng.randrange(3))]
+        own += [near(s) for s in rng.sample(pool, rng.randrange(2))]
+        if k % 5 == 0:
+            own.append(own[1])
+        texts[k] = " ".join(own)
+    texts[24], texts[25], texts[26] = texts[3], texts[3], header
+    texts[27], texts[28], texts[29] = pool[0] + " " + pool[0], pool[0] + " " + say(), None
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    sentences = [(k, t.split(". ")) for k, t in texts.items() if t]
+    sets = {k: [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (s.strip(".").lower().split() for s in found)] for k, found in sentences}
+    want = {}
+    for a in sets:
+        for b in sets:
+            if a < b:
+                scores = [j for x in sets[a] for y in sets[b] if (j := len(x & y) / len(x | y)) >= 0.8]
+                if len(scores) >= 2:
+                    want[a, b] = (len(scores), pytest.approx(sum(scores) / len(scores)))
+    copies = {24: 3, 25: 3}
+    got = {(r.a, r.b): (r.shared, r.similarity) for r in de.shared_sentences(df).collect()}
+    assert got == {p: v for p, v in want.items() if not copies.keys() & set(p) or p in ((3, 24), (3, 25))}
+    assert de.shared_sentences(df.limit(0)).count() == 0
+
+
+def test_collusion_finds_identical_sentences(spark):
+    same = "The measured interval of the northern sample narrows over the decade. Every rater of the second panel agreed on the outcome of it. The cost of the whole survey stays constant in the region."
+    df = spark.createDataFrame([(1, same, "a", "en"), (2, same, "b", "en"), (3, "Nothing of this is in any of the other texts of the class here.", "c", "en")], "doc_id bigint, text string, author_key string, lang string")
+    found = de.REGISTRY["collusion"](de.Inputs(df, classroom=df)).collect()
+    assert [r.doc_id for r in found] == [1] and found[0].metadata == '{"clusters":[[1,2]]}'
