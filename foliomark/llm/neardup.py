@@ -211,21 +211,22 @@ def candidates(classes: DataFrame, similarity: float, hot: int = 2048, tree: boo
     sent to parts that exist only.
     """
     rows = staged(_blocks(classes), "blocks")
-    counts = rows.groupBy("block").agg(F.count("*").alias("c")).filter("c > 1")
+    counts = staged(rows.groupBy("block").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
     step = math.log(1.25)
     reach = math.ceil(-math.log(similarity) / step)
-    kept = rows.join(counts, "block")
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
-    small = kept.filter(F.col("c") <= hot).select("block", "id", "n", "bits", F.lit(0).alias("side"))
-    large = kept.filter(F.col("c") > hot).withColumn("level", part).drop("c")
-    levels = large.groupBy("block", "level").agg(F.ceil(F.count("*") / F.lit(hot)).cast("int").alias("parts"))
-    large = large.join(levels, ["block", "level"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # a part meets the parts of its level and of the levels within reach, each pair once: the lower is side 0, the higher side 1
-    near_levels = levels.select("block", F.col("level").alias("other"), F.col("parts").alias("other_parts"))
-    meets = large.join(near_levels, "block").filter(F.abs(F.col("level") - F.col("other")) <= reach).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
-    first = (F.col("level") < F.col("other")) | ((F.col("level") == F.col("other")) & (F.col("part") <= F.col("other_part")))
-    own, that = F.struct("level", "part"), F.struct(F.col("other").alias("level"), F.col("other_part").alias("part"))
-    meets = meets.select(F.xxhash64("block", F.when(first, own).otherwise(that), F.when(first, that).otherwise(own)).alias("block"), "id", "n", "bits", F.when(own == that, 0).when(first, 1).otherwise(2).alias("side"))
+    together = rows.join(counts.filter(F.col("c") <= hot), "block").select("block", "id", "n", "bits", F.lit(0).alias("side"))
+    if not counts.filter(F.col("c") > hot).isEmpty():
+        large = rows.join(counts.filter(F.col("c") > hot).select("block"), "block").withColumn("level", part)
+        levels = large.groupBy("block", "level").agg(F.ceil(F.count("*") / F.lit(hot)).cast("int").alias("parts"))
+        large = large.join(levels, ["block", "level"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        # a part meets the parts of its level and of the levels within reach, each pair once: the lower is side 0, the higher side 1
+        near_levels = levels.select("block", F.col("level").alias("other"), F.col("parts").alias("other_parts"))
+        meets = large.join(near_levels, "block").filter(F.abs(F.col("level") - F.col("other")) <= reach).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
+        first = (F.col("level") < F.col("other")) | ((F.col("level") == F.col("other")) & (F.col("part") <= F.col("other_part")))
+        own, that = F.struct("level", "part"), F.struct(F.col("other").alias("level"), F.col("other_part").alias("part"))
+        meets = meets.select(F.xxhash64("block", F.when(first, own).otherwise(that), F.when(first, that).otherwise(own)).alias("block"), "id", "n", "bits", F.when(own == that, 0).when(first, 1).otherwise(2).alias("side"))
+        together = together.unionByName(meets)
     ship(classes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,8 +285,7 @@ def candidates(classes: DataFrame, similarity: float, hot: int = 2048, tree: boo
         if held:
             yield from pairs(held)
 
-    together = small.unionByName(meets).repartition("block").sortWithinPartitions("block", "side")
-    return together.mapInArrow(run, "a bigint, b bigint").distinct()
+    return together.repartition("block").sortWithinPartitions("block", "side").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame, similarity: float, model: Model | None) -> DataFrame:
