@@ -19,7 +19,7 @@ from ..plans.session import staged
 from . import citations, paraphrase, writing
 from .encoder import encode_sentences
 from .graph import connected_components
-from .similarity import best_sentence_match, containment_join, gram_classes, jaccard_join, levenshtein_ratio, nearest, pairs_above, token_runs
+from .similarity import best_sentence_match, gram_classes, jaccard_join, jaro_winkler, levenshtein_ratio, nearest, nearest_in_groups, overlap_scores, pairs_above, token_runs
 
 FINDING = "finding_type string, doc_id bigint, source_id bigint, title string, confidence double, severity string, evidence array<struct<submitted:string,source:string,similarity:double,method:string>>, metadata string"
 
@@ -90,23 +90,44 @@ def exact_copy(inputs: Inputs) -> DataFrame | None:
     sources = inputs.sources.select(F.col("doc_id").alias("source_id"), "text")
     runs = token_runs(inputs.submitted, sources, 8, "doc_id", "source_id")
     words = inputs.submitted.select("doc_id", tokens(F.col("text")).alias("w"))
-    cut = runs.join(words, "doc_id").select("doc_id", "source_id", F.array_join(F.slice("w", F.col("start_a") + 1, F.col("length")), " ").alias("submitted"), F.col("length").cast("double").alias("similarity"), F.lit("token_run").alias("method"))
-    by_length = best_evidence(cut.withColumn("source", F.col("submitted")), ["doc_id", "source_id"], 5, 1)
-    a = finding("exact_copy", by_length, "Passages copied word for word", F.least(F.lit(0.99), 0.7 + 0.03 * F.col("matches")), graded(F.col("strength"), (25, "critical"), (15, "high"), (10, "medium")), "source_id")
+    by_length = copied_runs(runs, words, 5)
+    scores = whole_scores(by_length.select("doc_id", "source_id"), inputs.submitted, sources)
+    a = finding(
+        "exact_copy", by_length.join(scores, ["doc_id", "source_id"]), "Passages copied word for word", F.least(F.lit(0.99), 0.7 + 0.03 * F.least(F.col("matches"), F.lit(5))),
+        graded(F.col("strength"), (25, "critical"), (15, "high"), (10, "medium")), "source_id", F.struct(F.col("matches").alias("spans"), "minhash", "simhash", "jaccard", "tfidf", "overall").alias("scores"),
+    )
     left = sentence_rows(inputs.submitted, 6)
     right = sentence_rows(inputs.sources, 6)
-    match = best_sentence_match(left.select("id", "sentence"), right.select("id", "sentence"))
+    match = best_sentence_match(left.select("id", "sentence"), right.select("id", "doc_id", "sentence"), 0.75, of_each="doc_id")
     joined = match.join(left.select(F.col("id").alias("left_id"), "doc_id", F.col("sentence").alias("submitted")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("doc_id").alias("source_id"), F.col("sentence").alias("source")), "right_id")
-    scored = joined.select("doc_id", "source_id", "submitted", "source", F.greatest("score", levenshtein_ratio(F.col("submitted"), F.col("source"))).alias("similarity"), F.lit("sentence_match").alias("method"))
-    by_score = best_evidence(scored, ["doc_id", "source_id"], 8, 5)
+    # a sentence of a source is taken by the first sentence of a document that it is best for
+    first = F.row_number().over(Window.partitionBy("doc_id", "right_id").orderBy("left_id")) == 1
+    joined = joined.withColumn("first", first).filter("first")
+    both = F.col("submitted"), F.col("source")
+    scored = joined.select("doc_id", "source_id", "submitted", "source", F.greatest("score", levenshtein_ratio(*both), jaro_winkler(*both)).alias("similarity"), F.lit("sentence_match").alias("method"))
+    by_score = best_evidence(scored, ["doc_id", "source_id"], 5, 5)
     b = finding("exact_copy", by_score, "Sentences nearly equal to a source", F.least(F.lit(0.95), F.col("strength")), graded(F.col("strength"), (0.9, "high"), (0.75, "medium")), "source_id")
     return a.unionByName(b)
 
 
+def copied_runs(runs: DataFrame, words: DataFrame, k: int, method: str = "token_run") -> DataFrame:
+    """(doc_id, source_id, evidence, strength, matches) of runs of equal words: the k longest as evidence, the length of the longest, how many."""
+    cut = runs.join(words, "doc_id").select("doc_id", "source_id", F.array_join(F.slice("w", F.col("start_a") + 1, F.col("length")), " ").alias("submitted"), F.col("length").cast("double").alias("similarity"), F.lit(method).alias("method"))
+    found = best_evidence(cut.withColumn("source", F.col("submitted")), ["doc_id", "source_id"], k, 1)
+    return found.withColumn("evidence", F.transform("evidence", lambda x: x.withField("similarity", F.lit(1.0))))
+
+
+def whole_scores(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(doc_id, source_id, minhash, simhash, jaccard, tfidf, overall) of whole texts, to four decimals."""
+    texts = pairs.distinct().join(left.select("doc_id", F.col("text").alias("a")), "doc_id").join(right.select("source_id", F.col("text").alias("b")), "source_id").withColumn("pair", F.struct("doc_id", "source_id"))
+    names = ("minhash", "simhash", "jaccard", "tfidf", "overall")
+    return overlap_scores(texts, "pair", "a", "b").select("pair.doc_id", "pair.source_id", *(F.round(n, 4).alias(n) for n in names))
+
+
 def semantic_matches(left: DataFrame, right: DataFrame, least: float, words: int) -> DataFrame:
     """For each sentence of the left the right one of the nearest vector, if near enough."""
     a, b = encode_sentences(sentence_rows(left, words)), encode_sentences(sentence_rows(right, words))
-    found = nearest(a.select(F.col("id").alias("vec_id"), "embedding"), b.select(F.col("id").alias("vec_id"), "embedding"), 1, least, send="vectors")
+    found = nearest(a.select(F.col("id").alias("vec_id"), "embedding"), b.select(F.col("id").alias("vec_id"), "embedding"), 1, least, keep_self=True)
     return (
         found.join(a.select(F.col("id").alias("query_id"), "doc_id", F.col("sentence").alias("submitted")), "query_id")
         .join(b.select("id", F.col("doc_id").alias("source_id"), F.col("sentence").alias("source")), "id")
@@ -149,14 +170,28 @@ def cross_language(inputs: Inputs) -> DataFrame | None:
 
 @register("self_plagiarism")
 def self_plagiarism(inputs: Inputs) -> DataFrame | None:
-    """Overlap with earlier work of the same author: shared five-word runs, by their Jaccard similarity and containment."""
+    """Overlap with earlier work of the same author: runs of ten equal words or more, and sentences near in meaning.
+
+    Evidence are the three longest runs and the first five sentences; the mean of the five strongest pieces is the
+    confidence. Whole-text scores of each pair are in the metadata. Only documents of one author are ever paired.
+    """
     if inputs.history is None:
         return None
-    past = inputs.history.select(F.col("doc_id").alias("source_id"), "text", F.col("author_key").alias("past_author"))
-    pairs = containment_join(inputs.submitted, past, 5, "doc_id", "source_id").filter("doc_id <> source_id")
-    own = pairs.join(inputs.submitted.select("doc_id", "author_key"), "doc_id").join(past.select("source_id", "past_author"), "source_id").filter("author_key = past_author").withColumn("overlap", F.greatest("jaccard", "containment"))
-    rows = own.filter(F.col("overlap") >= inputs.options.get("self_plagiarism_min", 0.5)).withColumn("evidence", no_evidence())
-    return finding("self_plagiarism", rows, "Text of the author's earlier work", F.col("overlap"), graded(F.col("overlap"), (0.85, "high"), (0.72, "medium")), "source_id")
+    least = inputs.options.get("self_plagiarism_min", 0.5)
+    past = inputs.history.select(F.col("doc_id").alias("source_id"), "text", "author_key")
+    runs = token_runs(inputs.submitted, past, 10, "doc_id", "source_id", within="author_key").filter("doc_id <> source_id")
+    spans = copied_runs(runs, inputs.submitted.select("doc_id", tokens(F.col("text")).alias("w")), 3, "exact_self_copy").select("doc_id", "source_id", F.col("evidence").alias("spans"))
+    a, b = (encode_sentences(sentence_rows(df, 8)).join(df.select("doc_id", "author_key"), "doc_id") for df in (inputs.submitted, inputs.history))
+    best = nearest_in_groups(a.withColumnRenamed("id", "vec_id"), b.withColumnRenamed("id", "vec_id"), "author_key", "doc_id", least)
+    near = best.join(a.select(F.col("id").alias("query_id"), "doc_id", F.col("sentence").alias("submitted")), "query_id").join(b.select("id", F.col("doc_id").alias("source_id"), F.col("sentence").alias("source")), "id").filter("doc_id <> source_id")
+    ordered = near.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "source_id").orderBy("query_id"))).filter("n <= 5")
+    piece = F.struct("submitted", "source", F.col("score").alias("similarity"), F.lit("self_plagiarism").alias("method"))
+    alike = ordered.groupBy("doc_id", "source_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", piece.alias("e")))), lambda x: x["e"]).alias("alike"))
+    both = spans.join(alike, ["doc_id", "source_id"], "full").withColumn("evidence", F.concat(F.coalesce("spans", no_evidence()), F.coalesce("alike", no_evidence())))
+    strongest = F.slice(F.reverse(F.array_sort(F.transform("evidence", lambda x: x["similarity"]))), 1, 5)
+    rows = both.withColumn("strength", F.aggregate(strongest, F.lit(0.0), lambda s, x: s + x) / F.size(strongest))
+    rows = rows.join(whole_scores(rows.select("doc_id", "source_id"), inputs.submitted, past), ["doc_id", "source_id"])
+    return finding("self_plagiarism", rows, "Text of the author's earlier work", F.col("strength"), graded(F.col("strength"), (0.85, "high"), (0.72, "medium")), "source_id", F.struct("minhash", "simhash", "jaccard", "tfidf", "overall").alias("scores"))
 
 
 @register("citation_integrity")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -63,28 +64,36 @@ def gram_classes(df: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: st
     return hashed_grams(df, id_col, text_col, n).withColumn("grams", F.array_sort("grams")).withColumn("key", F.struct(F.xxhash64("grams").alias("a"), F.xxhash64(F.lit(1), "grams").alias("b")))
 
 
-def containment_join(left: DataFrame, right: DataFrame, n: int, left_id: str, right_id: str, left_text: str = "text", right_text: str = "text") -> DataFrame:
+def containment_join(left: DataFrame, right: DataFrame, n: int, left_id: str, right_id: str, left_text: str = "text", right_text: str = "text", within: str | None = None) -> DataFrame:
     """(left id, right id, shared, jaccard, containment) of all pairs that share a gram of n words.
 
-    ``right`` is the smaller side; Spark broadcasts its grams where they are small.
+    With ``within``, a column of both sides, only rows that agree in it are paired: the join is on both, so a frequent
+    gram meets the rows of its own group only. Spark broadcasts the grams of a small side and splits skewed keys.
     """
-    a = hashed_grams(left, left_id, left_text, n).select(F.col("id").alias(left_id), F.size("grams").alias("size_a"), F.explode("grams").alias("gram"))
-    b = hashed_grams(right, right_id, right_text, n).select(F.col("id").alias(right_id), F.size("grams").alias("size_b"), F.explode("grams").alias("gram"))
-    shared = a.join(b, "gram").groupBy(left_id, right_id, "size_a", "size_b").agg(F.count("*").alias("shared"))
+
+    def side(df: DataFrame, id_col: str, text_col: str, size: str) -> DataFrame:
+        rows = hashed_grams(df, id_col, text_col, n).select(F.col("id").alias(id_col), F.size("grams").alias(size), F.explode("grams").alias("gram"))
+        return rows.join(df.select(id_col, F.col(within).alias("_within")), id_col) if within else rows
+
+    a, b = side(left, left_id, left_text, "size_a"), side(right, right_id, right_text, "size_b")
+    shared = a.join(b, ["gram", "_within"] if within else "gram").groupBy(left_id, right_id, "size_a", "size_b").agg(F.count("*").alias("shared"))
     return shared.select(left_id, right_id, "shared", (F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.col("size_a")).alias("containment"))
 
 
-def token_runs(left: DataFrame, right: DataFrame, least: int, left_id: str, right_id: str, left_text: str = "text", right_text: str = "text") -> DataFrame:
+def token_runs(left: DataFrame, right: DataFrame, least: int, left_id: str, right_id: str, left_text: str = "text", right_text: str = "text", within: str | None = None) -> DataFrame:
     """(left id, right id, start_a, start_b, length): maximal runs of at least ``least`` equal words, from 0.
 
+    With ``within``, a column of both sides, only rows that agree in it are compared.
+
     Grams of ``least`` words are joined; successive matches of one diagonal are one run. No table of all
     positions by all positions is made.
     """
 
     def placed(df: DataFrame, id_col: str, text_col: str, side: str) -> DataFrame:
-        return df.select(F.col(id_col), F.posexplode(F.transform(grams(tokens(F.col(text_col)), least), lambda g: F.xxhash64(g))).alias(f"at_{side}", "gram"))
+        group = [F.col(within).alias("_within")] if within else []
+        return df.select(F.col(id_col), *group, F.posexplode(F.transform(grams(tokens(F.col(text_col)), least), lambda g: F.xxhash64(g))).alias(f"at_{side}", "gram"))
 
-    matches = placed(left, left_id, left_text, "a").join(placed(right, right_id, right_text, "b"), "gram").select(left_id, right_id, "at_a", "at_b").withColumn("diagonal", F.col("at_b") - F.col("at_a"))
+    matches = placed(left, left_id, left_text, "a").join(placed(right, right_id, right_text, "b"), ["gram", "_within"] if within else "gram").select(left_id, right_id, "at_a", "at_b").withColumn("diagonal", F.col("at_b") - F.col("at_a"))
     keys = [left_id, right_id, "diagonal"]
     island = matches.withColumn("island", F.col("at_a") - F.row_number().over(Window.partitionBy(*keys).orderBy("at_a")))
     return island.groupBy(*keys, "island").agg(F.min("at_a").alias("start_a"), F.min("at_b").alias("start_b"), (F.count("*") + F.lit(least - 1)).alias("length")).drop("diagonal", "island")
@@ -139,19 +148,26 @@ def simhash_similarity(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64.0
 
 
-def simhash_pairs(signatures: DataFrame, most: int = 9, id_col: str = "doc_id", hash_col: str = "simhash") -> DataFrame:
+def simhash_pairs(signatures: DataFrame, most: int = 9, id_col: str = "doc_id", hash_col: str = "simhash", together: int = 3) -> DataFrame:
     """(a, b, distance) of all pairs of different signatures at most ``most`` bits apart, between class representatives.
 
-    Exact by the pigeonhole principle: of ``most`` + 1 blocks of bits such a pair has one in common. Equal signatures
-    are one class, named by its smallest id.
+    Exact by the pigeonhole principle: of ``most`` + ``together`` pieces of the bits such a pair has ``together`` in
+    common, so signatures meet on every choice of so many pieces (220 keys of 15 to 18 bits for nine bits and three
+    pieces; more pieces together give more and longer keys). Equal signatures are one class, named by its smallest id.
     """
     classes = signatures.groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"))
-    blocks = most + 1
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    parts = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
-    rows = classes.select("id", "h", F.explode(parts).alias("p")).select("id", "h", "p.block", "p.bits")
-    left, right = rows.select(F.col("id").alias("a"), F.col("h").alias("ha"), "block", "bits"), rows.select(F.col("id").alias("b"), F.col("h").alias("hb"), "block", "bits")
-    near = left.join(right, ["block", "bits"]).filter("a < b").withColumn("distance", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))).filter(F.col("distance") <= most)
+    n = min(64, most + together)
+    edges = [round(64 * i / n) for i in range(n + 1)]
+    piece = [F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+    keys = []
+    for number, chosen in enumerate(itertools.combinations(range(n), min(together, n - most) if n > most else 1)):
+        key = F.lit(number).cast("bigint")
+        for i in chosen:
+            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(piece[i])
+        keys.append(key)
+    rows = classes.select("id", "h", F.explode(F.array(*keys)).alias("key"))
+    left, right = rows.select(F.col("id").alias("a"), F.col("h").alias("ha"), "key"), rows.select(F.col("id").alias("b"), F.col("h").alias("hb"), "key")
+    near = left.join(right, "key").filter("a < b").withColumn("distance", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))).filter(F.col("distance") <= most)
     return near.select("a", "b", "distance").distinct()
 
 
@@ -220,10 +236,10 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return score(a, b)
 
 
-def best_sentence_match(left: DataFrame, right: DataFrame, least: float = 0.75, share: float = 0.6) -> DataFrame:
+def best_sentence_match(left: DataFrame, right: DataFrame, least: float = 0.6, share: float = 0.6, of_each: str | None = None) -> DataFrame:
     """For each sentence of ``left`` the best of ``right``, if it scores ``least``: (left_id, right_id, score).
 
-    Both have id and sentence. The score is ``share`` times the Jaccard similarity of the words plus the rest times
+    Both have id and sentence. With ``of_each``, a column of ``right``, the best of each of its values. The score is ``share`` times the Jaccard similarity of the words plus the rest times
     Jaro-Winkler of the first 200 characters, so the Jaccard part alone bounds it: only pairs that reach the bound
     (found on a prefix of rare words) are scored. Ties go to the smaller id.
     """
@@ -245,7 +261,10 @@ def best_sentence_match(left: DataFrame, right: DataFrame, least: float = 0.75,
     candidates = prefix(a, "left").join(prefix(b, "right"), "word").select("left_id", "right_id").distinct()
     pairs = candidates.join(a, "left_id").join(b, "right_id").withColumn("j", jaccard(F.col("left_w"), F.col("right_w"))).filter(F.col("j") >= bound)
     scored = pairs.withColumn("score", share * F.col("j") + (1 - share) * jaro_winkler(F.substring("left_s", 1, 200), F.substring("right_s", 1, 200))).filter(F.col("score") >= least)
-    order = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
+    group = ["left_id"]
+    if of_each:
+        scored, group = scored.join(right.select(F.col("id").alias("right_id"), F.col(of_each).alias("_each")), "right_id"), ["left_id", "_each"]
+    order = Window.partitionBy(*group).orderBy(F.desc("score"), "right_id")
     return scored.withColumn("r", F.row_number().over(order)).filter("r = 1").select("left_id", "right_id", "score")
 
 
@@ -254,53 +273,86 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, id_col: str = "vec_id", vec_col: str = "embedding", keep_self: bool = False, block_rows: int = 4096, send: str = "queries") -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, id_col: str = "vec_id", vec_col: str = "embedding", keep_self: bool = False, block_rows: int = 4096) -> DataFrame:
     """(query_id, id, score, rank): for each query the k vectors of the largest inner product, of at least ``least``.
 
-    Exact. One side (``send``: queries or vectors, the smaller) goes to the executors in blocks of ``block_rows``
-    vectors; every batch of the other side is multiplied with a block in one product and keeps its own k best for
-    each query, so that a final ranking sees few rows. Ties go to the smaller id. Vectors that are null or of
-    another dimension match nothing.
+    Exact. Queries and vectors are cut by a hash of their ids into tiles of about ``block_rows`` rows; every tile of
+    queries meets every tile of vectors in a group of its own, one product of two bounded matrices, which keeps its
+    own k best of each query, so that a final ranking sees few rows. Nothing passes through the driver, and either
+    side may be the larger. Ties go to the smaller id. Vectors that are null or of another dimension match nothing.
     """
     ship(vectors.sparkSession)
     kind = vectors.schema[id_col].dataType.simpleString()
-    schema = f"query_id {kind}, id {kind}, score double"
-    pick = lambda df: df.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v")).filter("i is not null and v is not null")
-    sent, kept = (pick(queries), pick(vectors)) if send == "queries" else (pick(vectors), pick(queries))
-
-    def partial(part: list) -> DataFrame:
-        width = len(part[0]["v"])
-        ids, matrix = np.array([r["i"] for r in part]), np.array([r["v"] for r in part], np.float64)
-
-        def run(batches):
-            for pdf in batches:
-                pdf = pdf[[len(v) == width for v in pdf["v"]]]
-                if not len(pdf):
-                    continue
-                own, other = pdf["i"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                q_ids, v_ids, scores = (ids, own, matrix @ other.T) if send == "queries" else (own, ids, other @ matrix.T)
+    pick = lambda df: df.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v")).filter("i is not null")
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    asked, there = queries.select(id_col).count(), vectors.select(id_col).count()
+    rows_ = max(1, math.ceil(asked / block_rows))
+    columns = max(1, math.ceil(there / block_rows), min(math.ceil(cores / rows_), math.ceil(there / 256)))
+
+    def tiled(df: DataFrame, own: str, n: int, other: str, times: int) -> DataFrame:
+        # the vectors are made before a row is sent to several tiles
+        return pick(df).withColumn(own, F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+
+    def product(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        one, two = one[one["v"].notna()], two[two["v"].notna()]
+        found = []
+        for width in sorted({len(v) for v in one["v"]} & {len(v) for v in two["v"]}):
+            q, v = one[[len(x) == width for x in one["v"]]], two[[len(x) == width for x in two["v"]]]
+            q_ids, v_ids = q["i"].to_numpy(), v["i"].to_numpy()
+            matrix = np.stack(v["v"].to_numpy()).astype(np.float64).T
+            for begin in range(0, len(q), 1024):
+                ids = q_ids[begin : begin + 1024]
+                scores = np.stack(q["v"].to_numpy()[begin : begin + 1024]).astype(np.float64) @ matrix
                 if not keep_self:
-                    scores[q_ids[:, None] == v_ids[None, :]] = -np.inf
-                if k < len(v_ids):  # all that reach the k-th score, so that ties are settled by the ranking
-                    floor = np.partition(scores, len(v_ids) - k, axis=1)[:, len(v_ids) - k]
-                else:
-                    floor = np.full(len(q_ids), -np.inf)
+                    scores[ids[:, None] == v_ids[None, :]] = -np.inf
+                # all that reach the k-th score, so that ties are settled by the ranking
+                floor = np.partition(scores, len(v_ids) - k, axis=1)[:, len(v_ids) - k] if k < len(v_ids) else np.full(len(ids), -np.inf)
                 x, y = np.nonzero((scores >= np.maximum(floor, least)[:, None]) & (scores > -np.inf))
-                yield pd.DataFrame({"query_id": q_ids[x], "id": v_ids[y], "score": scores[x, y]})
+                found.append(pd.DataFrame({"query_id": ids[x], "id": v_ids[y], "score": scores[x, y]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": one["i"][:0], "id": two["i"][:0], "score": np.zeros(0)})
 
-        return kept.mapInPandas(run, schema)
-
-    out, block = vectors.sparkSession.createDataFrame([], schema), []
-    for row in sent.toLocalIterator():
-        block.append(row)
-        if len(block) == block_rows:
-            out, block = out.unionByName(partial(block)), []
-    if block:
-        out = out.unionByName(partial(block))
+    out = tiled(queries, "r", rows_, "c", columns).groupBy("r", "c").cogroup(tiled(vectors, "c", columns, "r", rows_).groupBy("r", "c")).applyInPandas(product, f"query_id {kind}, id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def nearest_in_groups(queries: DataFrame, vectors: DataFrame, within: str, of_each: str, least: float, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
+    """(query_id, id, score): for each query the nearest vector of each value of ``of_each`` among those of its own group ``within``.
+
+    Exact. A group is cut into tiles of about ``block_rows`` rows of either side, and each tile of its queries meets
+    each tile of its vectors in a task's group of its own, so that a group may hold any part of all rows. Ties go to
+    the smaller id; rows without a group or a vector match nothing.
+    """
+    ship(vectors.sparkSession)
+    kind = vectors.schema[id_col].dataType.simpleString()
+    sizes = [df.filter(F.col(within).isNotNull()).groupBy(F.col(within).alias("g")).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias(n)) for df, n in ((queries, "nq"), (vectors, "nv"))]
+    tiles = sizes[0].join(sizes[1], "g")
+
+    def tiled(df: DataFrame, own: str, n: str, other: str, times: str, *more: str) -> DataFrame:
+        rows = df.select(F.col(within).alias("g"), F.col(id_col).alias("i"), F.col(vec_col).alias("v"), *more).filter("i is not null").join(tiles, "g")
+        return rows.withColumn(own, F.pmod(F.xxhash64("i"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(times) - 1))).drop("nq", "nv")
+
+    def product(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        one, two = one[one["v"].notna()], two[two["v"].notna()]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"query_id": one["i"][:0], "id": two["i"][:0], "score": np.zeros(0)})
+        two = two.sort_values(["e", "i"])
+        first = np.flatnonzero(np.concatenate([[True], two["e"].to_numpy()[1:] != two["e"].to_numpy()[:-1]]))
+        matrix, ids, found = np.stack(two["v"].to_numpy()).astype(np.float64).T, two["i"].to_numpy(), []
+        for begin in range(0, len(one), 1024):
+            scores = np.stack(one["v"].to_numpy()[begin : begin + 1024]).astype(np.float64) @ matrix
+            best = np.maximum.reduceat(scores, first, axis=1)
+            for q, e in zip(*np.nonzero(best >= least)):
+                a, b = first[e], first[e + 1] if e + 1 < len(first) else len(ids)
+                found.append((one["i"].to_numpy()[begin + q], ids[a + int(np.argmax(scores[q, a:b]))], best[q, e]))
+        return pd.DataFrame(found, columns=["query_id", "id", "score"])
+
+    out = tiled(queries, "r", "nq", "c", "nv").groupBy("g", "r", "c").cogroup(tiled(vectors.withColumn("e", F.col(of_each)), "c", "nv", "r", "nq", "e").groupBy("g", "r", "c")).applyInPandas(product, f"query_id {kind}, id {kind}, score double")
+    labelled = out.join(vectors.select(F.col(id_col).alias("id"), F.col(of_each).alias("_e")), "id")
+    best = F.row_number().over(Window.partitionBy("query_id", "_e").orderBy(F.desc("score"), "id"))
+    return labelled.withColumn("_r", best).filter("_r = 1").select("query_id", "id", "score")
+
+
 def pairs_above(vectors: DataFrame, least: float, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = None, rows_per_tile: int = 2048) -> DataFrame:
     """(a, b, score) of all pairs a < b whose inner product is at least ``least``; with a label only across labels.
 

@@ -1,7 +1,6 @@
 """Keeping documents, findings and runs: latest-wins upserts, cascading deletes, statistics, staged writes.
 
-Tables are Parquet folders. A write goes to a new version folder first and is then renamed into place by a pointer
-file, so a lost executor or a failed write leaves the version before intact.
+Tables are lists of Parquet folders that a pointer file names; the pointer is replaced in one rename.
 """
 
 from __future__ import annotations
@@ -43,43 +42,82 @@ def statistics(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 class Store:
-    """Versioned Parquet tables under one folder (local, or any file system of Spark)."""
+    """Versioned Parquet tables under one folder (local, or any file system of Spark).
+
+    A table is a list of parts, which a pointer file names. Writing adds a part under a name of its own and then
+    puts a new pointer in the place of the old one in one rename, so that a reader sees the version before or the new
+    one and a lost executor leaves the version before. Appending adds a part and rewrites nothing; where parts
+    become many they are put together. Of a replaced version the parts stay until the write after, for its readers.
+    """
+
+    MOST_PARTS = 64
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
 
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/_current"
 
-    def version(self, name: str) -> str | None:
+    def _known(self, name: str) -> dict:
         pointer = self._path(self._pointer(name))
         if not self._fs.exists(pointer):
-            return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(self._pointer(name)).collect()))["version"]
+            return {"version": None, "parts": [], "before": []}
+        stream = self._fs.open(pointer)
+        try:
+            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text)
+
+    def version(self, name: str) -> str | None:
+        return self._known(name)["version"]
 
     def read(self, name: str) -> DataFrame | None:
-        version = self.version(name)
-        return None if version is None else self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        parts = self._known(name)["parts"]
+        return self.spark.read.option("mergeSchema", len(parts) > 1).parquet(*(f"{self.root}/{name}/{p}" for p in parts)) if parts else None
+
+    def _point(self, name: str, parts: list[str], before: list[str]) -> None:
+        """Let the pointer name the parts, in one rename over the old pointer; ``before`` are parts of the version before."""
+        text = json.dumps({"version": f"v-{uuid.uuid4().hex}", "parts": parts, "before": before})
+        fresh = self._path(f"{self.root}/{name}/_next-{uuid.uuid4().hex}")
+        stream = self._fs.create(fresh, True)
+        try:
+            stream.write(bytearray(text, "utf-8"))
+        finally:
+            stream.close()
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        self._files.rename(fresh, self._path(self._pointer(name)), options)
+
+    def _part(self, name: str, df: DataFrame) -> str:
+        part = f"p-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{part}")
+        return part
 
     def write(self, name: str, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        fresh = f"{self.root}/{name}/_next-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(json.dumps({"version": version}),)], "value string").coalesce(1).write.text(fresh)
-        pointer = self._path(self._pointer(name))
-        self._fs.delete(pointer, True)
-        self._fs.rename(self._path(fresh), pointer)
+        """Replace the table by ``df``, which may read the table itself."""
+        part, known = self._part(name, df), self._known(name)
+        self._point(name, [part], known["parts"])
+        for old in set(known["before"]) - {part, *known["parts"]}:
+            self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
 
     def merge(self, name: str, incoming: DataFrame, keys: list[str], order: list[Column]) -> None:
+        """Upsert: one row for each key, the first in ``order``. Keys may be anywhere, so the table is written anew."""
         current = self.read(name)
         self.write(name, latest(incoming, keys, order) if current is None else upsert(current, incoming, keys, order))
 
     def append(self, name: str, incoming: DataFrame) -> None:
-        current = self.read(name)
-        self.write(name, incoming if current is None else current.unionByName(incoming, allowMissingColumns=True))
+        """Add rows as a part of their own; columns that either side lacks are null."""
+        part, known = self._part(name, incoming), self._known(name)
+        self._point(name, [*known["parts"], part], known["before"])
+        if len(known["parts"]) + 1 > self.MOST_PARTS:
+            self.write(name, self.read(name))
 
     def reset(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)

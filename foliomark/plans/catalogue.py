@@ -197,7 +197,7 @@ def jaro_winkler(spark, sf):
 def sentence_match(spark, sf):
     e = table(spark, sf, "evidence")
     left = e.filter("submitted_text is not null").select(F.col("evidence_id").alias("id"), F.col("submitted_text").alias("sentence"))
-    right = sources(spark, sf).select(F.col("source_key"), F.posexplode(tx.sentences(F.col("text"))).alias("n", "sentence")).select((F.substring("source_key", 5, 9).cast("bigint") * 1000 + F.col("n")).alias("id"), "sentence")
+    right = sources(spark, sf).select(F.col("source_key"), F.posexplode(tx.sentences(F.col("text"))).alias("n", "sentence")).select(F.format_string("%s/%06d", "source_key", "n").alias("id"), "sentence")
     return si.best_sentence_match(left, right)
 
 
@@ -374,7 +374,8 @@ def _inputs(spark, sf):
     d = with_text(spark, sf).select("doc_id", "text", "author_key", lang.detect_language(F.col("text")).alias("lang"), "doc_role")
     s = sources(spark, sf).select(F.substring("source_key", 5, 9).cast("bigint").alias("doc_id"), "text", F.lit(None).cast("string").alias("author_key"), "lang")
     part = lambda role: d.filter(F.col("doc_role") == role).drop("doc_role")
-    return de.Inputs(part("submitted"), s, part("history"), s, part("classroom"), as_of_year=AS_OF_YEAR)
+    pages = html_text(spark, sf).select(F.substring("source_key", 5, 9).cast("bigint").alias("page_id"), "text")
+    return de.Inputs(part("submitted"), s, part("history"), s, part("classroom"), pages, as_of_year=AS_OF_YEAR)
 
 
 def _detector(name):
@@ -403,5 +404,5 @@ def _finished(fn) -> Query:
     return query
 
 
-QUERIES: dict[str, Query] = {fn.__name__: _finished(fn) for fn in (*_NAMED, *(_detector(n) for n in de.REGISTRY if n != "web_match"))}
+QUERIES: dict[str, Query] = {fn.__name__: _finished(fn) for fn in (*_NAMED, *(_detector(n) for n in de.REGISTRY))}
 ORACLE: dict[str, str] = oracle.statements()

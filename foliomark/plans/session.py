@@ -52,13 +52,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_OWNED: set[str] = set()
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """The folder of this application within the shared one; its removal is left to the driver's file system at the end."""
+    own = os.path.join(shared_dir(spark), "foliomark", spark.sparkContext.applicationId)
+    if own not in _OWNED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWNED.add(own)
+    return own
+
+
 def staged(df: DataFrame, label: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: computed once, lineage cut.
 
-    The files outlive any executor. They are removed with the folder, by whoever owns it.
+    The files outlive any executor. All of an application lie in one folder, which is removed when its driver ends.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "foliomark", f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(_own_dir(spark), f"{label}-{uuid.uuid4().hex}")
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)

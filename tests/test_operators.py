@@ -66,19 +66,20 @@ def test_jaro_winkler_values():
     assert si.jaro_winkler_value("", "a") == 0 and si.jaro_winkler_value("", "") == 1
 
 
-def test_sentence_match_loses_nothing(spark):
+@pytest.mark.parametrize("least", [0.75, 0.6])
+def test_sentence_match_loses_nothing(spark, least):
     random.seed(5)
     left = [(i, " ".join(random.choice(WORDS) for _ in range(8))) for i in range(40)]
     right = [(i, " ".join(random.sample(t.split(), 8)) if i % 2 else t.replace("alpha", "omega")) for i, t in left]
     a, b = (spark.createDataFrame(x, "id bigint, sentence string") for x in (left, right))
-    got = {r.left_id: (r.right_id, round(r.score, 9)) for r in si.best_sentence_match(a, b).collect()}
+    got = {r.left_id: (r.right_id, round(r.score, 9)) for r in si.best_sentence_match(a, b, least).collect()}
     want = {}
     for i, s in left:
         best = None
         for j, t in right:
             x, y = set(s.split()), set(t.split())
             score = 0.6 * len(x & y) / len(x | y) + 0.4 * si.jaro_winkler_value(s, t)
-            if score >= 0.75 and (best is None or score > best[1] + 1e-12):
+            if score >= least and (best is None or score > best[1] + 1e-12):
                 best = (j, score)
         if best:
             want[i] = (best[0], round(best[1], 9))
@@ -91,7 +92,7 @@ def test_nearest_and_pairs(spark):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, [float(x) for x in row], i % 4) for i, row in enumerate(v)] + [(900, None, 1)], "vec_id bigint, embedding array<double>, label int")
     got = {(r.query_id, r["rank"]): r.id for r in si.nearest(df.filter("vec_id % 10 = 0"), df, 3, block_rows=3).collect()}
-    assert got == {(r.query_id, r["rank"]): r.id for r in si.nearest(df.filter("vec_id % 10 = 0"), df, 3, block_rows=17, send="vectors").collect()}
+    assert got == {(r.query_id, r["rank"]): r.id for r in si.nearest(df.filter("vec_id % 10 = 0"), df, 3, block_rows=17).collect()}
     s = v @ v.T
     for i in range(0, 80, 10):
         order = [j for j in np.lexsort((np.arange(80), -s[i])) if j != i][:3]
@@ -255,3 +256,67 @@ def test_collusion_finds_identical_sentences(spark):
     df = spark.createDataFrame([(1, same, "a", "en"), (2, same, "b", "en"), (3, "Nothing of this is in any of the other texts of the class here.", "c", "en")], "doc_id bigint, text string, author_key string, lang string")
     found = de.REGISTRY["collusion"](de.Inputs(df, classroom=df)).collect()
     assert [r.doc_id for r in found] == [1] and found[0].metadata == '{"clusters":[[1,2]]}'
+
+
+def test_nearest_in_groups_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vector = lambda: [float(x) for x in rng.normal(size=4)]
+    asked = [(k, "hot" if k % 3 else f"g{k % 4}", vector()) for k in range(60)] + [(90, None, vector()), (91, "hot", None), (92, "alone", vector())]
+    there = [(100 + k, "hot" if k % 2 else f"g{k % 4}", k % 5, vector()) for k in range(70)] + [(300, "hot", 1, None), (301, None, 1, vector())]
+    q = spark.createDataFrame(asked, "vec_id bigint, g string, embedding array<float>")
+    v = spark.createDataFrame(there, "vec_id bigint, g string, d int, embedding array<float>")
+    want = {}
+    for i, g, x in asked:
+        for j, h, d, y in there:
+            if g and g == h and x and y and (s := float(np.float32(x).astype(float) @ np.float32(y).astype(float))) >= 0.5 and s > want.get((i, d), (0, 0.0))[1]:
+                want[i, d] = (j, s)
+    label = {j: d for j, _, d, _ in there}
+    for rows in (7, 1000):
+        got = {(r.query_id, label[r.id]): (r.id, pytest.approx(r.score)) for r in si.nearest_in_groups(q, v, "g", "d", 0.5, block_rows=rows).collect()}
+        assert want == got
+    assert si.nearest_in_groups(q.limit(0), v, "g", "d", 0.5).count() == 0
+
+
+def test_exact_copy_and_own_earlier_work(spark):
+    run = "every rater of the second panel agreed on the measured interval of the northern sample"
+    old = f"First of all {run} in the end. The cost of the whole survey stays constant in the region over time."
+    new = f"As before {run} again. The cost of the whole survey stays constant in the region over all time. Something new comes last in this text of ours."
+    columns = "doc_id bigint, text string, author_key string, lang string"
+    mine = spark.createDataFrame([(7, new, "a", "en"), (8, None, "a", "en"), (9, "Short.", None, "en")], columns)
+    past = spark.createDataFrame([(7, old, "a", "en"), (21, old, "a", "en"), (22, old, "b", "en")], columns)
+    copied = {(r.source_id, r.title): r for r in de.REGISTRY["exact_copy"](de.Inputs(mine, sources=past)).collect()}
+    assert {k[0] for k in copied} == {7, 21, 22} and len(copied) == 6  # a source may have the number of a document
+    runs = copied[21, "Passages copied word for word"]
+    assert runs.confidence == pytest.approx(0.7 + 0.03 * 2) and runs.severity == "high" and runs.evidence[0].similarity == 1.0 and run in runs.evidence[0].submitted and '"jaccard"' in runs.metadata
+    assert copied[22, "Sentences nearly equal to a source"].confidence <= 0.95
+    own = de.REGISTRY["self_plagiarism"](de.Inputs(mine, history=past)).collect()
+    assert [(r.doc_id, r.source_id) for r in own] == [(7, 21)]  # neither another author's nor the document itself
+    assert own[0].severity == "high" and {e.method for e in own[0].evidence} == {"exact_self_copy", "self_plagiarism"} and own[0].evidence[0].similarity == 1.0
+
+
+def test_store_appends_without_rewriting_and_never_lacks_a_pointer(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    rows = lambda *ks: spark.createDataFrame([(k, 1) for k in ks], "k string, v int")
+    s.write("t", rows("a"))
+    first = s._known("t")["parts"]
+    s.append("t", rows("b"))
+    s.append("t", rows("c"))
+    assert s._known("t")["parts"][0] == first[0] and len(s._known("t")["parts"]) == 3
+    reader = s.read("t")
+    s.merge("t", rows("c", "d"), ["k"], [F.desc("v")])
+    assert reader.count() == 3 and sorted(r.k for r in s.read("t").collect()) == ["a", "b", "c", "d"]
+    s.write("t", rows("z"))
+    kept = [p.name for p in (tmp_path / "store" / "t").iterdir() if p.name.startswith("p-")]
+    assert len(kept) == 2 and not [p for p in (tmp_path / "store" / "t").iterdir() if p.name.startswith("_next")]
+    s.MOST_PARTS = 2
+    for k in "xyw":
+        s.append("t", rows(k))
+    assert len(s._known("t")["parts"]) <= 2 and s.read("t").count() == 4
+
+
+def test_containment_within_groups(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e g", "y"), (3, "a b c d e h", None)], "doc_id bigint, text string, author string")
+    other = df.withColumnRenamed("doc_id", "source_id")
+    assert {(r.doc_id, r.source_id) for r in si.containment_join(df, other, 5, "doc_id", "source_id", within="author").collect()} == {(1, 1), (2, 2)}
+    assert si.containment_join(df, other, 5, "doc_id", "source_id").count() == 9
+    assert {(r.doc_id, r.source_id, r.length) for r in si.token_runs(df, other, 5, "doc_id", "source_id", within="author").collect()} == {(1, 1, 6), (2, 2, 6)}
