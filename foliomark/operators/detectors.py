@@ -224,7 +224,8 @@ def ai_writing(inputs: Inputs) -> DataFrame | None:
 
 @register("ai_tool")
 def ai_tool(inputs: Inputs) -> DataFrame | None:
-    top = writing.tool_marks(inputs.submitted).groupBy("doc_id").agg(F.max_by(F.struct("tool", "score"), F.struct("score", F.negative(F.ascii("tool")))).alias("t")).filter("t.score >= 0.3")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("least"), "tool", "score")))
+    top = writing.tool_marks(inputs.submitted).groupBy("doc_id").agg(order[0].alias("t")).filter("t.score >= 0.3")
     rows = top.withColumn("evidence", F.array(F.struct(F.col("t.tool").alias("submitted"), F.lit(None).cast("string").alias("source"), F.col("t.score").alias("similarity"), F.lit("marks").alias("method"))))
     return finding("ai_writing", rows, "Marks of a writing tool", F.col("t.score"), graded(F.col("t.score"), (0.7, "high"), (0.4, "medium")))
 
@@ -295,7 +296,7 @@ def shared_sentences(documents: DataFrame, least: float = 0.8, times: int = 2, w
     one = candidates.join(side(rows, 1), F.col("a") == F.col("d1"))
     equal = one.join(side(rows, 2), (F.col("b") == F.col("d2")) & (F.col("c1") == F.col("c2"))).select("a", "b", (F.col("n1") * F.col("n2")).alias("n"), F.lit(1.0).alias("sim"))
     other = one.join(near, F.col("c1") == F.col("ca")).join(side(rows, 2), (F.col("b") == F.col("d2")) & (F.col("cb") == F.col("c2"))).select("a", "b", (F.col("n1") * F.col("n2")).alias("n"), "sim")
-    counted = equal.unionByName(other).groupBy("a", "b").agg(F.sum("n").alias("shared"), (F.sum(F.col("n") * F.col("sim")) / F.sum("n")).alias("similarity"))
+    counted = equal.unionByName(other).groupBy("a", "b").agg(F.sum("n").alias("shared"), F.round(F.sum(F.col("n") * F.col("sim")) / F.sum("n"), 9).alias("similarity"))
     return counted.unionByName(copies).filter(F.col("shared") >= times)
 
 

@@ -15,7 +15,7 @@ from ..operators import detectors as de
 from ..operators import fusion, graph, paraphrase, store, writing
 from ..operators import similarity as si
 from ..operators import vector_store as vs
-from . import oracle
+from . import fixtures, oracle
 from .entry_support import Query
 from .session import table
 
@@ -254,8 +254,12 @@ def paragraph_chunks(spark, sf):
     return vs.paragraph_chunks(docs(spark, sf), table(spark, sf, "paragraphs"))
 
 
+def with_fixtures(spark, sf):
+    return with_text(spark, sf).select("doc_id", "text").unionByName(spark.createDataFrame(fixtures.TEXTS, "doc_id bigint, text string"))
+
+
 def term_variance(spark, sf):
-    return de.term_variance(docs(spark, sf))
+    return de.term_variance(with_fixtures(spark, sf))
 
 
 def shown_evidence(spark, sf):
@@ -297,7 +301,7 @@ def writing_signals(spark, sf):
 
 
 def tool_marks(spark, sf):
-    return writing.tool_marks(with_text(spark, sf))
+    return writing.tool_marks(with_fixtures(spark, sf))
 
 
 def style_fingerprint(spark, sf):
@@ -375,12 +379,15 @@ def _inputs(spark, sf):
     s = sources(spark, sf).select(F.substring("source_key", 5, 9).cast("bigint").alias("doc_id"), "text", F.lit(None).cast("string").alias("author_key"), "lang")
     part = lambda role: d.filter(F.col("doc_role") == role).drop("doc_role")
     pages = html_text(spark, sf).select(F.substring("source_key", 5, 9).cast("bigint").alias("page_id"), "text")
-    return de.Inputs(part("submitted"), s, part("history"), s, part("classroom"), pages, as_of_year=AS_OF_YEAR)
+    more = spark.createDataFrame(fixtures.TEXTS, "doc_id bigint, text string").select("doc_id", "text", F.lit(None).cast("string").alias("author_key"), F.lit("en").alias("lang"))
+    return de.Inputs(part("submitted").unionByName(more), s, part("history"), s, part("classroom"), pages, as_of_year=AS_OF_YEAR)
 
 
 def _detector(name):
     def query(spark, sf):
-        return de.REGISTRY[name](_inputs(spark, sf)).withColumn("evidence", F.to_json("evidence"))
+        found = de.REGISTRY[name](_inputs(spark, sf))
+        shown = F.array_join(F.transform("evidence", lambda x: x["submitted"]), " | ")
+        return found.withColumn("pieces", F.size("evidence")).withColumn("evidence", shown)
 
     query.__name__ = f"detect_{name}"
     return query

@@ -8,6 +8,7 @@ from ..operators import citations as ci
 from ..operators import paraphrase as pa
 from ..operators import writing as wr
 from ..operators.similarity import minhash_constants
+from .fixtures import values_sql
 
 W = r"[\s\x0B\x{1C}-\x{1F}\x{85}\p{Z}]"
 DOCS = "(SELECT * FROM documents WHERE text IS NOT NULL)"
@@ -286,7 +287,7 @@ c AS (SELECT doc_id, paragraph_index, w, unnest(CASE WHEN len(w) > 200 THEN rang
 SELECT doc_id, paragraph_index::BIGINT AS paragraph_index, row_number() OVER (PARTITION BY doc_id, paragraph_index ORDER BY i) - 1 AS sub_index, array_to_string(c, ' ') AS chunk FROM p WHERE i = 1 OR len(c) >= 20"""
     terms = {"artificial intelligence": "ai", "machine learning": "ml", "deep learning": "dl", "neural network": "nn", "natural language processing": "nlp"}
     times = lambda w: f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}"
-    out["term_variance"] = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS term, '{x}' AS short, {times(t)} AS term_count, {times(x)} AS short_count FROM {DOCS} WHERE {times(t)} >= 3 AND {times(x)} >= 3" for t, x in terms.items())
+    out["term_variance"] = f"WITH added AS (SELECT doc_id, text FROM {DOCS} UNION ALL SELECT * FROM (VALUES {values_sql()}) v(doc_id, text) WHERE doc_id NOT IN (SELECT doc_id FROM documents)) " + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS term, '{x}' AS short, {times(t)} AS term_count, {times(x)} AS short_count FROM added WHERE {times(t)} >= 3 AND {times(x)} >= 3" for t, x in terms.items())
     out["shown_evidence"] = "SELECT evidence_id, substring(submitted_text, 1, 300) AS submitted_text, substring(source_text, 1, 300) AS source_text, round(similarity, 4) AS similarity FROM evidence"
 
     out["overlap_scores"] = f"""SELECT evidence_id, m.similarity AS minhash, s.similarity AS simhash, t.tfidf_cosine AS tfidf, j.jaccard, round(greatest(m.similarity, s.similarity, t.tfidf_cosine, j.jaccard), 6) AS overall FROM ({out['minhash_similarity']}) m JOIN ({out['simhash_similarity']}) s USING (evidence_id) JOIN ({out['tfidf_cosine']}) t USING (evidence_id)
@@ -335,7 +336,7 @@ SELECT doc_id, words, phrases::BIGINT AS phrases, marks::BIGINT AS marks, {_roun
 CASE WHEN words < 30 OR (hi >= 2 AND lo >= 2) THEN 'INCONCLUSIVE' WHEN overall >= 0.65 AND hi >= 4 THEN 'HIGH' WHEN overall >= 0.5 AND hi >= 3 THEN 'MEDIUM' WHEN overall >= 0.35 THEN 'LOW' ELSE 'INCONCLUSIVE' END AS level FROM i"""
     tool = ", ".join(f"struct_pack(tool := '{t}', hits := {' + '.join(f'len(regexp_extract_all(t, {q(p)}))' for p in ps)})" for t, ps in wr.TOOLS.items())
     generic = " + ".join(f"regexp_matches(t, {q(p)})::INT" for p in wr.STYLE_PATTERNS)
-    out["tool_marks"] = f"""WITH l AS (SELECT doc_id, lower(text) AS t FROM {DOCS} WHERE len({pcs('text')}) >= 30), r AS (SELECT doc_id, unnest([{tool}, struct_pack(tool := 'generic_style', hits := ({generic})::BIGINT)]) AS x FROM l), h AS (SELECT doc_id, x.tool AS tool, x.hits AS hits FROM r WHERE x.hits > 0)
+    out["tool_marks"] = f"""WITH added AS (SELECT doc_id, text FROM {DOCS} UNION ALL SELECT * FROM (VALUES {values_sql()}) v(doc_id, text) WHERE doc_id NOT IN (SELECT doc_id FROM documents)), l AS (SELECT doc_id, lower(text) AS t FROM added WHERE len({pcs('text')}) >= 30), r AS (SELECT doc_id, unnest([{tool}, struct_pack(tool := 'generic_style', hits := ({generic})::BIGINT)]) AS x FROM l), h AS (SELECT doc_id, x.tool AS tool, x.hits AS hits FROM r WHERE x.hits > 0)
 SELECT doc_id, tool, hits, round(least(1.0, hits / CASE WHEN tool = 'generic_style' THEN 4.0 ELSE 5.0 END), 6)::DOUBLE AS score, CASE WHEN tool = 'generic_style' THEN CASE WHEN hits >= 2 THEN 'medium' ELSE 'weak' END WHEN hits >= 4 THEN 'strong' WHEN hits >= 2 THEN 'medium' ELSE 'weak' END AS strength FROM h"""
     out["style_fingerprint"] = f"WITH {_prints()} SELECT doc_id, {_round('sentence_length sentence_deviation richness punctuation function_words word_length readability complexity')}, word_count, sentence_count FROM prints"
     diff = " + ".join(f"abs(p.{n} - m.{n}) * {s!r}::DOUBLE" for n, s in wr.SCALES.items())
@@ -369,4 +370,66 @@ g AS (SELECT doc_id, {best}, coalesce(max(n) FILTER (WHERE k = 'source_match'),
 SELECT * EXCLUDE (mean), CASE WHEN mean >= 0.6 THEN 'HIGH' WHEN mean >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS overall_confidence, (high_findings > 0 OR mean >= 0.6) AS human_review FROM g"""
     out["findings_by_type"] = f"SELECT finding_type, severity, count(*) AS findings, count(DISTINCT doc_id) AS documents, round(sum(confidence::DECIMAL(18, 9))::DOUBLE / count(confidence), 6) AS mean_confidence FROM {FINDINGS} GROUP BY ALL"
     out["top_evidence"] = "SELECT finding_id, row_number() OVER (PARTITION BY finding_id ORDER BY similarity DESC NULLS LAST, evidence_id) AS rank, evidence_id, round(similarity, 6) AS similarity FROM evidence QUALIFY rank <= 3"
+    out |= _detectors(out)
     return out
+
+
+def _detectors(out: dict[str, str]) -> dict[str, str]:
+    """Findings of the detectors that SQL can express, from the submitted documents and the added texts."""
+    first = "WITH original AS (SELECT doc_id, text, doc_role, author_key FROM documents WHERE text IS NOT NULL), "
+    submitted = f"SELECT doc_id, text, author_key FROM original WHERE doc_role = 'submitted' UNION ALL SELECT *, NULL FROM (VALUES {values_sql()}) v(doc_id, text)"
+    long = f"len({pcs('text')}) >= 100"
+
+    def of(name: str, sql: str, alias: str = "x") -> str:
+        return f"{alias} AS (WITH documents AS ({submitted}) {'' if not sql.lstrip().startswith('WITH') else ', '}{sql.lstrip()[4:] if sql.lstrip().startswith('WITH') else sql})"
+
+    def rows(kind: str, title: str, confidence: str, severity: str, evidence: str, pieces: str, metadata: str, rest: str) -> str:
+        return f"SELECT '{kind}' AS finding_type, doc_id::BIGINT AS doc_id, NULL::BIGINT AS source_id, {title} AS title, round({confidence}, 6)::DOUBLE AS confidence, {severity} AS severity, {evidence} AS evidence, ({pieces})::BIGINT AS pieces, {metadata} AS metadata FROM {rest}"
+
+    found = {}
+    level = "CASE level WHEN 'HIGH' THEN {} WHEN 'MEDIUM' THEN {} ELSE {} END"
+    found["detect_ai_writing"] = f"{first}{of('writing_signals', out['writing_signals'])} " + rows("ai_writing", "'Signals of generated writing'", level.format(0.75, 0.55, 0.5), level.format("'high'", "'medium'", "'info'"), "''", "0", """'{"overall_level":"' || level || '"}'""", "x WHERE words >= 50")
+    tools = f"(SELECT DISTINCT ON (doc_id) doc_id, tool, score FROM x ORDER BY doc_id, score DESC, tool) WHERE score >= 0.3"
+    found["detect_ai_tool"] = f"{first}{of('tool_marks', out['tool_marks'])} " + rows("ai_writing", "'Marks of a writing tool'", "score", "CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END", "tool", "1", "'{}'", tools)
+    scored = "(SELECT doc_id, string_agg(left(entry, 300), ' | ' ORDER BY probability DESC, left(entry, 300)) FILTER (WHERE r <= 8) AS shown, least(8, count(*)) AS n, avg(probability) AS mean FROM (SELECT x.*, entry, row_number() OVER (PARTITION BY doc_id ORDER BY probability DESC, left(entry, 300)) AS r FROM x JOIN y USING (doc_id, entry_index) WHERE risk <> 'low') GROUP BY doc_id)"
+    found["detect_fake_reference"] = f"{first}{of('reference_scores', out['reference_scores'])}, {of('references_section', out['references_section'], 'y')} " + rows("fake_citation", "'References that may be made up'", "least(0.9, mean + 0.2)", "CASE WHEN mean >= 0.6 THEN 'high' WHEN mean >= 0.4 THEN 'medium' ELSE 'low' END", "shown", "n", "'{}'", scored)
+    issues = "(SELECT doc_id, issue, array_to_string(list_transform(list_slice(list_sort(list(number)), 1, 8), lambda v: '[' || v || ']'), ' | ') AS shown, least(8, count(*)) AS n FROM x GROUP BY doc_id, issue)"
+    by = lambda a, b, c: f"CASE issue WHEN 'missing_reference' THEN {a} WHEN 'unused_reference' THEN {b} ELSE {c} END"
+    claims = "(SELECT doc_id, array_to_string(list_slice(list_sort(list(sentence)), 1, 5), ' | ') AS shown, least(5, count(*)) AS n FROM y GROUP BY doc_id)"
+    found["detect_citation_integrity"] = (
+        f"{first}{of('citation_issues', out['citation_issues'])}, {of('uncited_claims', out['uncited_claims'], 'y')} "
+        + rows("citation_issue", by("'Citations with missing references'", "'References never cited'", "'References cited very often'"), by(0.95, 0.9, 0.55), by("'high'", "'low'", "'info'"), "shown", "n", "'{}'", issues)
+        + " UNION ALL " + rows("citation_issue", "'Claims without a citation'", "0.65", "'medium'", "shown", "n", "'{}'", claims)
+    )
+    blocks = "(SELECT doc_id, kind, string_agg(b, ' | ' ORDER BY times DESC, b) FILTER (WHERE r <= 5) AS shown, least(5, count(*)) AS n FROM (SELECT doc_id, kind, left(block, 300) AS b, times, row_number() OVER (PARTITION BY doc_id, kind ORDER BY times DESC, left(block, 300)) AS r FROM x) GROUP BY doc_id, kind)"
+    terms = "(SELECT doc_id, string_agg(term, ' | ' ORDER BY term, short) AS shown, count(*) AS n FROM z GROUP BY doc_id)"
+    some = lambda kind: f"list_slice(list_sort(coalesce(list(number) FILTER (WHERE issue = '{kind}'), [])), 1, 10)"
+    unmatched = f"(SELECT doc_id, {some('missing_reference')} AS a, {some('unused_reference')} AS b FROM y GROUP BY doc_id) WHERE len(a) + len(b) > 0"
+    numbers = lambda c: f"'[' || array_to_string({c}, ',') || ']'"
+    found["detect_research_integrity"] = (
+        f"{first}{of('repeated_blocks', out['repeated_blocks'])}, {of('citation_issues', out['citation_issues'], 'y')}, {of('term_variance', out['term_variance'], 'z')} "
+        + rows("research_integrity", "'Parts of the document are repeated'", "CASE kind WHEN 'paragraph' THEN 0.95 ELSE 0.85 END", "CASE kind WHEN 'paragraph' THEN 'medium' ELSE 'low' END", "shown", "n", "'{}'", blocks)
+        + " UNION ALL " + rows("research_integrity", "'Terms and their short forms are mixed'", "0.55", "'low'", "shown", "n", "'{}'", terms)
+        + " UNION ALL " + rows("research_integrity", "'Citations and references do not match'", "0.9", "'medium'", "''", "0", f"""'{{"numbers":{{"missing":' || {numbers('a')} || ',"unused":' || {numbers('b')} || '}}}}'""", unmatched)
+    )
+    diff = " + ".join(f"abs(x.{n} - m.{n}) * {s!r}::DOUBLE" for n, s in wr.SCALES.items())
+    means = ", ".join(f"avg({n}) AS {n}" for n in wr.SCALES)
+    prints = lambda docs: f"(WITH documents AS (SELECT * FROM ({docs}) WHERE {long}), {_prints()} SELECT prints.*, author_key FROM prints JOIN documents USING (doc_id))"
+    deviating = f"(SELECT doc_id, ({diff}) / 8 AS d FROM x JOIN m USING (author_key)) WHERE d >= 0.15"
+    found["detect_style_deviation"] = (
+        f"{first}x AS {prints(submitted)}, y AS {prints("SELECT doc_id, text, author_key FROM original WHERE doc_role = 'history'")}, m AS (SELECT author_key, {means} FROM y GROUP BY author_key) "
+        + rows("style_deviation", "'Style unlike the author''s earlier work'", "least(0.8, 2 * d)", "CASE WHEN d >= 0.3 THEN 'high' ELSE 'medium' END", "''", "0", "'{}'", deviating)
+    )
+    clusters = """(SELECT component AS doc_id, string_agg(a::VARCHAR, ' | ' ORDER BY r) FILTER (WHERE r <= 10) AS shown, least(10, count(*)) AS n, count(*) AS matches, max(sim) AS strength, any_value(members) AS members
+ FROM (SELECT edges.*, component, members, row_number() OVER (PARTITION BY component ORDER BY sim DESC, a::VARCHAR, b::VARCHAR) AS r FROM edges JOIN nodes ON nodes.node = edges.a JOIN clustered USING (component)) GROUP BY component)"""
+    found["detect_collusion"] = f"""WITH RECURSIVE s AS (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS s FROM (SELECT doc_id, {sents(clean('text'))} AS l FROM documents WHERE text IS NOT NULL AND doc_role = 'classroom')),
+g AS (SELECT doc_id, n, list_sort(list_distinct({grams('w', 3)})) AS g FROM (SELECT doc_id, n, {toks('s')} AS w FROM s WHERE len({pcs('s')}) >= 8) WHERE len(w) >= 3),
+d AS (SELECT doc_id, list_sort(list(g)) AS items FROM g GROUP BY doc_id), reps AS (SELECT doc_id, items, min(doc_id) OVER (PARTITION BY items) AS rep FROM d),
+u AS (SELECT doc_id, n, len(g) AS size, unnest(g) AS gram FROM g WHERE doc_id IN (SELECT rep FROM reps)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*)::DOUBLE / (any_value(a.size) + any_value(b.size) - count(*)) AS j FROM u a JOIN u b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+same AS (SELECT doc_id, sum(c * c) AS shared FROM (SELECT doc_id, g, count(*) AS c FROM g GROUP BY ALL) GROUP BY doc_id),
+edges AS (SELECT a, b, round(avg(j), 9) AS sim FROM p WHERE j >= 0.8 GROUP BY a, b HAVING count(*) >= 2 UNION ALL SELECT rep, doc_id, 1.0 FROM reps JOIN same USING (doc_id) WHERE doc_id <> rep AND shared >= 2),
+ends AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), r(node, other) AS (SELECT a, a FROM ends UNION SELECT r.node, ends.b FROM r JOIN ends ON r.other = ends.a),
+nodes AS (SELECT node, min(other) AS component FROM r GROUP BY node), clustered AS (SELECT component, list_sort(list(node)) AS members FROM nodes GROUP BY component)
+""" + rows("collusion", "'Class documents share sentences'", "least(0.92, 0.6 + 0.05 * matches)", "CASE WHEN strength >= 0.85 THEN 'high' ELSE 'medium' END", "shown", "n", """'{"clusters":[[' || array_to_string(members, ',') || ']]}'""", clusters)
+    return found
