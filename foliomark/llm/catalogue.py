@@ -160,5 +160,20 @@ x AS ({windows('evidence', 'evidence_id', 'submitted_text')}), y AS ({windows('e
 SELECT 'source' AS record_kind, id AS record_id, a::BIGINT AS span_start, b::BIGINT AS span_end FROM own UNION ALL SELECT 'document', id, a::BIGINT, b::BIGINT FROM other UNION ALL SELECT 'evidence', id, a::BIGINT, b::BIGINT FROM quoted"""
 
 
+def _p7_sql() -> str:
+    """Words of every text and the runs met before, without hashing, scores or cutoffs; of the one form only what changes words here."""
+    unspaced = r"\x{0E00}-\x{0E7F}\x{3005}-\x{3007}\x{3041}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3134F}"
+    return rf"""WITH t AS (SELECT doc_id, lower(regexp_replace(text, '[\x{{00AD}}\x{{200B}}\x{{200E}}\x{{200F}}\x{{2060}}\x{{FEFF}}]', '', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, t, regexp_extract_all(regexp_replace(t, '([{unspaced}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}\p{{M}}]+') AS w, len(regexp_extract_all(t, '[{unspaced}]')) AS n FROM t),
+w AS (SELECT doc_id, CASE WHEN 2 * n > len(w) THEN 12 ELSE 6 END AS run, CASE WHEN 2 * n > len(w) THEN regexp_extract_all(t, '[\p{{L}}\p{{N}}]') ELSE w END AS w FROM u),
+g AS (SELECT doc_id, run, i, list_slice(w, i, i + run - 1) AS g FROM (SELECT *, unnest(range(1, len(w) - run + 2)) AS i FROM w)),
+again AS (SELECT doc_id, run, i FROM g QUALIFY i > min(i) OVER (PARTITION BY doc_id, g)),
+inside AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(run)) AS k FROM again) GROUP BY doc_id)
+SELECT doc_id FROM inside JOIN w USING (doc_id) WHERE n >= 0.4 * len(w)"""
+
+
+#: A document above the limit has far more than four bytes for each token allowed, all others far fewer, so that bytes tell them apart.
+_P10_SQL = "SELECT doc_id FROM documents, size_limits WHERE limit_name = 'piece_limit' AND strlen(text) > 4 * max_tokens"
+
 #: SQL can express these; the rest is tested against brute force, round trips or held-out accuracy.
-ORACLE: dict[str, str] = {"p3_found": _p3_sql()}
+ORACLE: dict[str, str] = {"p3_found": _p3_sql(), "p7_found": _p7_sql(), "p10_found": _P10_SQL}

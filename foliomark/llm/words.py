@@ -55,11 +55,11 @@ def _pattern(text: str) -> re.Pattern[str]:
 
 
 def is_unspaced(text: str) -> bool:
-    """Whether more than half of the letters are of scripts without spaces between words."""
+    """Whether more than half of the words are single letters of scripts without spaces between words."""
     if text.isascii():
         return False
     unspaced = len(patterns()[2].findall(text))
-    return unspaced > 0 and 2 * unspaced > len(patterns()[1].findall(text))
+    return unspaced > 0 and 2 * unspaced > len(patterns()[0].findall(text))
 
 
 def words(text: str) -> list[str]:
@@ -67,22 +67,6 @@ def words(text: str) -> list[str]:
     return _pattern(text).findall(text.lower())
 
 
-_ASCII = re.compile("[A-Za-z0-9]+")
-_SIMPLE = re.compile("[^\\W_]+")
-#: Ranges that hold all marks and all letters of unspaced scripts.
-_SPECIAL = re.compile("[\u0300-\u036f\u0483-\u1fff\u20d0-\u20ff\u2c00-\U0010ffff]")
-
-
-def _pattern(text: str) -> re.Pattern[str]:
-    """The cheapest pattern that finds the words of this text."""
-    if text.isascii():
-        return _ASCII
-    spaced, single, _ = patterns()
-    if not _SPECIAL.search(text):
-        return _SIMPLE
-    return single if is_unspaced(text) else spaced
-
-
 def word_spans(text: str) -> list[tuple[int, int]]:
     """Positions of the words."""
     return [m.span() for m in _pattern(text).finditer(text)]

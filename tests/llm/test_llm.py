@@ -422,6 +422,12 @@ def test_binomial_bound():
     assert repetition.binomial_upper(5, 5, 0.05) == 1.0 and 0.1 < repetition.binomial_upper(10, 100, 0.05) < 0.2
 
 
+def test_latin_names_do_not_make_a_chinese_text_spaced():
+    text = "微弱的模型解释了新的趋势。Weisaedraeth Vaqualiask Koutreix " * 3
+    assert words("他来了")[0] == "他" and words(text)[:2] == ["微", "弱"] and "w" in words(text) and "weisaedraeth" not in words(text)
+    assert "趋" in words("One English text with a word 趋势 in it") and "english" in words("One English text with a word 趋势 in it")
+
+
 @pytest.mark.parametrize("text, form", [("mo\u0501el of use", "model of use"), ("m\u0585del of use", "model of use"), ("m\u2c9fdel of use", "model of use"), ("Он cop ушёл", "Он сор ушёл"), ("Հայաստան", "Հայաստան")])
 def test_lookalikes_of_short_texts_and_further_alphabets(model, text, form):
     assert textform.normalize(text, model) == form
