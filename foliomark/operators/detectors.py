@@ -19,7 +19,7 @@ from ..plans.session import staged
 from . import citations, paraphrase, writing
 from .encoder import encode_sentences
 from .graph import connected_components
-from .similarity import best_sentence_match, gram_classes, jaccard_join, jaro_winkler, levenshtein_ratio, nearest, nearest_in_groups, overlap_scores, pairs_above, token_runs
+from .similarity import best_sentence_match, gram_classes, jaccard_join, jaro_winkler, levenshtein_ratio, nearest, nearest_in_groups, pair_scores, pairs_above, token_runs
 
 FINDING = "finding_type string, doc_id bigint, source_id bigint, title string, confidence double, severity string, evidence array<struct<submitted:string,source:string,similarity:double,method:string>>, metadata string"
 
@@ -88,10 +88,10 @@ def exact_copy(inputs: Inputs) -> DataFrame | None:
     if inputs.sources is None:
         return None
     sources = inputs.sources.select(F.col("doc_id").alias("source_id"), "text")
-    runs = token_runs(inputs.submitted, sources, 8, "doc_id", "source_id")
+    runs = staged(token_runs(inputs.submitted, sources, 8, "doc_id", "source_id"), "copied")
     words = inputs.submitted.select("doc_id", tokens(F.col("text")).alias("w"))
     by_length = copied_runs(runs, words, 5)
-    scores = whole_scores(by_length.select("doc_id", "source_id"), inputs.submitted, sources)
+    scores = whole_scores(runs, inputs.submitted, sources)
     a = finding(
         "exact_copy", by_length.join(scores, ["doc_id", "source_id"]), "Passages copied word for word", F.least(F.lit(0.99), 0.7 + 0.03 * F.least(F.col("matches"), F.lit(5))),
         graded(F.col("strength"), (25, "critical"), (15, "high"), (10, "medium")), "source_id", F.struct(F.col("matches").alias("spans"), "minhash", "simhash", "jaccard", "tfidf", "overall").alias("scores"),
@@ -119,9 +119,8 @@ def copied_runs(runs: DataFrame, words: DataFrame, k: int, method: str = "token_
 
 def whole_scores(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(doc_id, source_id, minhash, simhash, jaccard, tfidf, overall) of whole texts, to four decimals."""
-    texts = pairs.distinct().join(left.select("doc_id", F.col("text").alias("a")), "doc_id").join(right.select("source_id", F.col("text").alias("b")), "source_id").withColumn("pair", F.struct("doc_id", "source_id"))
     names = ("minhash", "simhash", "jaccard", "tfidf", "overall")
-    return overlap_scores(texts, "pair", "a", "b").select("pair.doc_id", "pair.source_id", *(F.round(n, 4).alias(n) for n in names))
+    return pair_scores(pairs, left, right, "doc_id", "source_id").select("doc_id", "source_id", *(F.round(n, 4).alias(n) for n in names))
 
 
 def semantic_matches(left: DataFrame, right: DataFrame, least: float, words: int) -> DataFrame:
@@ -189,8 +188,8 @@ def self_plagiarism(inputs: Inputs) -> DataFrame | None:
     alike = ordered.groupBy("doc_id", "source_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", piece.alias("e")))), lambda x: x["e"]).alias("alike"))
     both = spans.join(alike, ["doc_id", "source_id"], "full").withColumn("evidence", F.concat(F.coalesce("spans", no_evidence()), F.coalesce("alike", no_evidence())))
     strongest = F.slice(F.reverse(F.array_sort(F.transform("evidence", lambda x: x["similarity"]))), 1, 5)
-    rows = both.withColumn("strength", F.aggregate(strongest, F.lit(0.0), lambda s, x: s + x) / F.size(strongest))
-    rows = rows.join(whole_scores(rows.select("doc_id", "source_id"), inputs.submitted, past), ["doc_id", "source_id"])
+    rows = staged(both.withColumn("strength", F.aggregate(strongest, F.lit(0.0), lambda s, x: s + x) / F.size(strongest)), "earlier")
+    rows = rows.join(whole_scores(rows, inputs.submitted, past), ["doc_id", "source_id"])
     return finding("self_plagiarism", rows, "Text of the author's earlier work", F.col("strength"), graded(F.col("strength"), (0.85, "high"), (0.72, "medium")), "source_id", F.struct("minhash", "simhash", "jaccard", "tfidf", "overall").alias("scores"))
 
 

@@ -196,6 +196,34 @@ def overlap_scores(pairs: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
     return joined.select(id_col, "minhash", "simhash", "tfidf", "jaccard", F.greatest("minhash", "simhash", "tfidf", "jaccard").alias("overall"))
 
 
+def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, text_col: str = "text") -> DataFrame:
+    """(left id, right id, minhash, simhash, tfidf, jaccard, overall) as ``overlap_scores``, for pairs of ids of two tables.
+
+    What belongs to one text (signatures, runs, terms) is made once for each text of a pair, not for each pair.
+    """
+    pairs = staged(pairs.select(left_id, right_id).distinct(), "pairs")
+    alone = (math.log(1.5) + 1) ** 2
+
+    def features(df: DataFrame, key: str, side: str) -> tuple[DataFrame, DataFrame]:
+        used = staged(df.select(key, F.col(text_col).alias("_text")).join(pairs.select(key).distinct(), key, "left_semi").dropDuplicates([key]), f"texts_{side}")
+        words = tokens(F.col("_text"))
+        whole = used.select(key, minhash(words).alias(f"_m{side}"), F.array_distinct(F.transform(grams(words, 5), lambda g: F.xxhash64(g))).alias(f"_g{side}"))
+        whole = whole.join(simhash(used, key, "_text").withColumnRenamed("simhash", f"_s{side}"), key)
+        long = F.filter(words, lambda w: F.length(w) >= 2)
+        terms = used.select(key, F.explode(F.concat(long, grams(long, 2))).alias("_term")).groupBy(key, "_term").agg(F.count("*").alias(f"_t{side}"))
+        return staged(whole, f"whole_{side}"), staged(terms, f"terms_{side}")
+
+    (a, ta), (b, tb) = features(left, left_id, "a"), features(right, right_id, "b")
+    norms = [t.groupBy(key).agg(F.sum(F.col(c) * F.col(c)).alias(n)) for t, key, c, n in ((ta, left_id, "_ta", "_na"), (tb, right_id, "_tb", "_nb"))]
+    common = pairs.join(ta, left_id).join(tb, [right_id, "_term"]).groupBy(left_id, right_id).agg(F.sum(F.col("_ta") * F.col("_tb")).alias("_dot"), F.sum(F.col("_ta") * F.col("_ta")).alias("_ca"), F.sum(F.col("_tb") * F.col("_tb")).alias("_cb"))
+    rows = pairs.join(a, left_id).join(b, right_id).join(norms[0], left_id, "left").join(norms[1], right_id, "left").join(common, [left_id, right_id], "left")
+    # terms of both texts weigh 1, others more
+    size = lambda n, c: F.sqrt(alone * (F.col(n) - F.col(c)) + F.col(c))
+    tfidf = F.coalesce(F.col("_dot") / (size("_na", "_ca") * size("_nb", "_cb")), F.lit(0.0))
+    scored = rows.select(left_id, right_id, minhash_similarity(F.col("_ma"), F.col("_mb")).alias("minhash"), simhash_similarity(F.col("_sa"), F.col("_sb")).alias("simhash"), tfidf.alias("tfidf"), jaccard(F.col("_ga"), F.col("_gb")).alias("jaccard"))
+    return scored.withColumn("overall", F.greatest("minhash", "simhash", "tfidf", "jaccard"))
+
+
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)

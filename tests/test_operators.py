@@ -320,3 +320,15 @@ def test_containment_within_groups(spark):
     assert {(r.doc_id, r.source_id) for r in si.containment_join(df, other, 5, "doc_id", "source_id", within="author").collect()} == {(1, 1), (2, 2)}
     assert si.containment_join(df, other, 5, "doc_id", "source_id").count() == 9
     assert {(r.doc_id, r.source_id, r.length) for r in si.token_runs(df, other, 5, "doc_id", "source_id", within="author").collect()} == {(1, 1, 6), (2, 2, 6)}
+
+
+def test_pair_scores_equal_overlap_scores(spark):
+    rows = [(i, t) for i, t in texts(9) if t is not None]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    other = df.withColumnRenamed("doc_id", "source_id")
+    both = df.withColumnRenamed("text", "a").join(other.withColumnRenamed("text", "b").filter("source_id % 4 = 0"))
+    want = {r.k: r for r in si.overlap_scores(both.withColumn("k", F.format_string("%d/%d", "doc_id", "source_id")), "k", "a", "b").collect()}
+    got = {f"{r.doc_id}/{r.source_id}": r for r in si.pair_scores(both, df, other, "doc_id", "source_id").collect()}
+    assert want.keys() == got.keys() and len(got) > 40
+    for k, r in got.items():
+        assert [getattr(r, n) for n in ("minhash", "simhash", "tfidf", "jaccard", "overall")] == pytest.approx([getattr(want[k], n) for n in ("minhash", "simhash", "tfidf", "jaccard", "overall")])
