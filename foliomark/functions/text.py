@@ -71,6 +71,12 @@ def sentences(c: Column, protect: bool = True) -> Column:
     return F.filter(F.transform(parts, trimmed), lambda x: x != "")
 
 
+def document_sentences(c: Column, least: int = 20) -> Column:
+    """Sentences of a whole document on collapsed white space, of more than ``least`` characters, without care for abbreviations."""
+    parts = F.split(F.regexp_replace(c, f"{WS}+", " "), "(?<=[.!?]) +(?=[A-Z])")
+    return F.filter(F.transform(parts, trimmed), lambda x: F.length(x) > least)
+
+
 def style_sentences(c: Column) -> Column:
     """Sentences without care for abbreviations, of more than five characters, on collapsed white space."""
     return F.filter(sentences(F.regexp_replace(c, f"{WS}+", " "), protect=False), lambda x: F.length(x) > 5)

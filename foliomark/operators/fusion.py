@@ -46,6 +46,19 @@ def by_type(findings: DataFrame, type_col: str = "finding_type") -> DataFrame:
     return findings.groupBy(F.col(type_col).alias("finding_type"), "severity").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents"), mean.alias("mean_confidence"))
 
 
+# Severities from the gravest on, and those shown unless others are asked for.
+SEVERITIES = ("critical", "high", "medium", "low", "info")
+SHOWN = ("critical", "high", "medium")
+
+
+def shown_findings(findings: DataFrame, severities: tuple[str, ...] = SHOWN) -> DataFrame:
+    """Findings of the given severities with their rank within the document: gravest first, then most certain, then by finding_id. A null severity counts as info."""
+    severity = F.coalesce("severity", F.lit("info"))
+    grave = F.coalesce(F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), severity), F.lit(0))
+    order = Window.partitionBy("doc_id").orderBy(grave, F.desc_nulls_last("confidence"), "finding_id")
+    return findings.filter(severity.isin(*severities)).withColumn("rank", F.row_number().over(order))
+
+
 def top_evidence(evidence: DataFrame, k: int = 3) -> DataFrame:
     """(finding_id, rank, evidence_id, similarity) of the k strongest pieces of each finding; quotes cut to 300 characters elsewhere."""
     rank = F.row_number().over(Window.partitionBy("finding_id").orderBy(F.desc("similarity"), "evidence_id"))

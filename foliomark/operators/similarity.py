@@ -187,6 +187,36 @@ def tfidf_cosine(pairs: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
     return pairs.select(id_col).join(scored, id_col, "left").fillna(0.0, ["tfidf_cosine"])
 
 
+def tfidf_vocabulary(df: DataFrame, text_col: str = "text", most: int = 10_000) -> DataFrame:
+    """(term, idf) of the ``most`` most frequent words of two letters or more and pairs of them, counted over all texts.
+
+    idf is ln((1 + texts) / (1 + texts with the term)) + 1. Terms as frequent are taken in their order; null texts do not count.
+    """
+    texts = df.select(F.monotonically_increasing_id().alias("_i"), F.col(text_col).alias("_t")).filter("_t is not null")
+    words = F.filter(tokens(F.col("_t")), lambda w: F.length(w) >= 2)
+    counts = texts.select("_i", F.explode(F.concat(words, grams(words, 2))).alias("term")).groupBy("_i", "term").agg(F.count("*").alias("n"))
+    terms = counts.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "term").limit(most)
+    total = df.filter(F.col(text_col).isNotNull()).agg(F.count("*").alias("texts"))
+    return terms.join(F.broadcast(total)).select("term", (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def tfidf_fitted(pairs: DataFrame, vocabulary: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
+    """(id, tfidf) of the two texts of each row by a vocabulary made before; 0 where either has none of its terms.
+
+    The vocabulary has as many rows as were asked for when it was made; Spark broadcasts it where it is small.
+    """
+
+    def terms(col: str, side: str) -> DataFrame:
+        words = F.filter(tokens(F.col(col)), lambda w: F.length(w) >= 2)
+        return pairs.select(F.col(id_col), F.explode(F.concat(words, grams(words, 2))).alias("term"), F.lit(side).alias("side"))
+
+    counts = terms(a, "a").unionByName(terms(b, "b")).groupBy(id_col, "term").agg(F.count_if(F.col("side") == "a").alias("ta"), F.count_if(F.col("side") == "b").alias("tb"))
+    weighed = counts.join(vocabulary, "term").select(id_col, (F.col("ta") * F.col("idf")).alias("wa"), (F.col("tb") * F.col("idf")).alias("wb"))
+    sums = weighed.groupBy(id_col).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.sum(F.col("wa") ** 2).alias("na"), F.sum(F.col("wb") ** 2).alias("nb"))
+    scored = sums.select(id_col, F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("dot") / F.sqrt(F.col("na") * F.col("nb"))).otherwise(0.0).alias("tfidf"))
+    return pairs.select(id_col).join(scored, id_col, "left").fillna(0.0, ["tfidf"])
+
+
 def overlap_scores(pairs: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
     """(id, minhash, simhash, tfidf, jaccard, overall): four similarities of the two texts of each row and the largest."""
     x, y = tokens(F.col(a)), tokens(F.col(b))

@@ -64,6 +64,10 @@ def sentences(spark, sf):
     return with_text(spark, sf).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sentence_index", "sentence"))
 
 
+def document_sentences(spark, sf):
+    return with_text(spark, sf).select("doc_id", F.posexplode(tx.document_sentences(F.col("text"))).alias("sentence_index", "sentence"))
+
+
 def paragraphs(spark, sf):
     return with_text(spark, sf).select("doc_id", F.posexplode(tx.paragraphs(F.col("text"))).alias("paragraph_index", "paragraph"))
 
@@ -182,6 +186,11 @@ def tfidf_cosine(spark, sf):
     return si.tfidf_cosine(table(spark, sf, "evidence").filter("source_text is not null and submitted_text is not null"), "evidence_id", "submitted_text", "source_text")
 
 
+def tfidf_fitted(spark, sf):
+    """Quotes and their sources by a vocabulary of all documents."""
+    return si.tfidf_fitted(_pairs(spark, sf), si.tfidf_vocabulary(docs(spark, sf)), "evidence_id", "submitted_text", "source_text")
+
+
 def overlap_scores(spark, sf):
     return si.overlap_scores(_pairs(spark, sf), "evidence_id", "submitted_text", "source_text")
 
@@ -366,6 +375,10 @@ def fusion_report(spark, sf):
     return fusion.fuse(_latest_findings(spark, sf), table(spark, sf, "evidence"))
 
 
+def shown_findings(spark, sf):
+    return fusion.shown_findings(_latest_findings(spark, sf)).select("doc_id", "rank", "finding_id", "severity", "confidence")
+
+
 def findings_by_type(spark, sf):
     return fusion.by_type(_latest_findings(spark, sf))
 
@@ -394,12 +407,12 @@ def _detector(name):
 
 
 _NAMED = (
-    clean_text, word_counts, tokens_topk, ngram_freq, sentences, paragraphs, headings, chunks_200_40, document_keys, references_section, inline_citations, citation_issues, citation_coverage,
+    clean_text, word_counts, tokens_topk, ngram_freq, sentences, document_sentences, paragraphs, headings, chunks_200_40, document_keys, references_section, inline_citations, citation_issues, citation_coverage,
     uncited_claims, reference_fields, reference_scores, script_detect, language_detect, lang_agreement, jaccard5_pairs, jaccard5_classes, containment5_sources, exact_spans8, longest_span,
-    minhash_signatures, minhash_similarity, simhash, simhash_similarity, simhash_pairs, tfidf_cosine, overlap_scores, levenshtein_ratio, jaro_winkler, sentence_match, knn_batch, source_discovery, semantic_best_match,
+    minhash_signatures, minhash_similarity, simhash, simhash_similarity, simhash_pairs, tfidf_cosine, tfidf_fitted, overlap_scores, levenshtein_ratio, jaro_winkler, sentence_match, knn_batch, source_discovery, semantic_best_match,
     batch_pairs, batch_clusters, collusion_edges, compare_documents, vectors_of_documents, paragraph_chunks, term_variance, shown_evidence, synonym_density, voice_change, nominalization, word_order, structure_similarity, paraphrase_score, writing_signals, tool_marks,
     style_fingerprint, style_deviation, common_phrases, repeated_blocks, web_queries, evidence_domains, html_text, store_upsert_latest, latest_runs, store_stats, store_cascade_delete,
-    fusion_report, findings_by_type, top_evidence,
+    fusion_report, shown_findings, findings_by_type, top_evidence,
 )
 
 

@@ -288,6 +288,15 @@ SELECT doc_id, paragraph_index::BIGINT AS paragraph_index, row_number() OVER (PA
     terms = {"artificial intelligence": "ai", "machine learning": "ml", "deep learning": "dl", "neural network": "nn", "natural language processing": "nlp"}
     times = lambda w: f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}"
     out["term_variance"] = f"WITH added AS (SELECT doc_id, text FROM {DOCS} UNION ALL SELECT * FROM (VALUES {values_sql()}) v(doc_id, text) WHERE doc_id NOT IN (SELECT doc_id FROM documents)) " + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS term, '{x}' AS short, {times(t)} AS term_count, {times(x)} AS short_count FROM added WHERE {times(t)} >= 3 AND {times(x)} >= 3" for t, x in terms.items())
+    terms_of = lambda src, key, c: f"(SELECT {key} AS id, unnest(list_concat(w, {grams('w', 2)})) AS t FROM (SELECT {key}, {term(c)} AS w FROM {src}))"
+    out["tfidf_fitted"] = f"""WITH c AS (SELECT id, t, count(*) AS n FROM {terms_of(DOCS, 'doc_id', 'text')} GROUP BY ALL), v AS (SELECT t, ln((1 + (SELECT count(*) FROM {DOCS}))::DOUBLE / (1 + count(*))) + 1 AS idf FROM c GROUP BY t ORDER BY sum(n) DESC, t LIMIT 10000),
+a AS (SELECT id, t, count(*) * any_value(idf) AS x FROM {terms_of(PAIRS, 'evidence_id', 'submitted_text')} JOIN v USING (t) GROUP BY id, t), b AS (SELECT id, t, count(*) * any_value(idf) AS y FROM {terms_of(PAIRS, 'evidence_id', 'source_text')} JOIN v USING (t) GROUP BY id, t),
+d AS (SELECT id, sum(x * y) AS d FROM a JOIN b USING (id, t) GROUP BY id), p AS (SELECT id, sum(x * x) AS p FROM a GROUP BY id), r AS (SELECT id, sum(y * y) AS r FROM b GROUP BY id)
+SELECT evidence_id, round(coalesce(d / sqrt(p * r), 0), 6)::DOUBLE AS tfidf FROM {PAIRS} e LEFT JOIN d ON d.id = evidence_id LEFT JOIN p ON p.id = evidence_id LEFT JOIN r ON r.id = evidence_id"""
+    flat = f"regexp_replace(text, '{W}+', ' ', 'g')"
+    out["document_sentences"] = f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({flat}, '([.!?]) +([A-Z])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda x: {trim('x')}), lambda x: length(x) > 20) AS s FROM {DOCS})
+SELECT doc_id, unnest(range(len(s))) AS sentence_index, unnest(s) AS sentence FROM p"""
+    out["shown_findings"] = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_position(['critical', 'high', 'medium'], severity), confidence DESC NULLS LAST, finding_id) AS rank, finding_id, severity, round(confidence, 6) AS confidence FROM {FINDINGS} WHERE severity IN ('critical', 'high', 'medium')"
     out["shown_evidence"] = "SELECT evidence_id, substring(submitted_text, 1, 300) AS submitted_text, substring(source_text, 1, 300) AS source_text, round(similarity, 4) AS similarity FROM evidence"
 
     out["overlap_scores"] = f"""SELECT evidence_id, m.similarity AS minhash, s.similarity AS simhash, t.tfidf_cosine AS tfidf, j.jaccard, round(greatest(m.similarity, s.similarity, t.tfidf_cosine, j.jaccard), 6) AS overall FROM ({out['minhash_similarity']}) m JOIN ({out['simhash_similarity']}) s USING (evidence_id) JOIN ({out['tfidf_cosine']}) t USING (evidence_id)
