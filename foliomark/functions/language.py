@@ -16,14 +16,18 @@ SCRIPTS = {
 }
 # Marker words.
 ARABIC_SCRIPT = {
-    "ur": "ہے کی کا کو میں اور سے نے پر یہ کیا نہیں ہیں تھا تھی کے ایک بھی",
-    "ar": "في من على إلى هذا هذه التي الذي كان هو هي أن لا ما مع عن كل",
-    "fa": "است که را این آن برای با از می شود",
+    "ur": ("ہے", "کی", "کا", "کو", "میں", "اور", "سے", "نے", "پر", "یہ", "کیا", "نہیں", "ہیں", "تھا", "تھی", "کے", "ایک", "بھی"),
+    "ar": ("في", "من", "على", "إلى", "هذا", "هذه", "التي", "الذي", "كان", "هو", "هي", "أن", "لا", "ما", "مع", "عن", "كل"),
+    "fa": ("است", "که", "را", "این", "آن", "برای", "با", "از", "می", "شود"),
 }
 LATIN_SCRIPT = {
-    "en": "the is and of to in a", "fr": "le la les et est un une", "es": "el la los y es un una",
-    "de": "der die das und ist ein", "it": "il la e è un una di", "pt": "o a os e é um uma",
-}
+    "en": ("the", "is", "and", "of", "to", "in", "a"),
+    "fr": ("le", "la", "les", "et", "est", "un", "une"),
+    "es": ("el", "la", "los", "y", "es", "un", "una"),
+    "de": ("der", "die", "das", "und", "ist", "ein"),
+    "it": ("il", "la", "e", "è", "un", "una", "di"),
+    "pt": ("o", "a", "os", "e", "é", "um", "uma"),
+}
 # Names of languages.
 NAMES = {
     "en": "English", "ur": "Urdu", "hi": "Hindi", "ar": "Arabic", "fa": "Persian", "zh": "Chinese", "ja": "Japanese", "ko": "Korean", "ru": "Russian", "he": "Hebrew", "th": "Thai",
@@ -60,14 +64,14 @@ def _first_best(scores: dict[str, Column], none: str) -> Column:
 def detect_language(c: Column) -> Column:
     """Language code: the script's language, refined by marker words in Arabic and Latin script."""
     def arabic(words: Column) -> Column:
-        return _first_best({lang: F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in marks.split())))) for lang, marks in ARABIC_SCRIPT.items()}, "ur")
+        return _first_best({lang: F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in marks)))) for lang, marks in ARABIC_SCRIPT.items()}, "ur")
 
     def hits(padded: Column, word: str) -> Column:
         mark = f" {word} "
         return ((F.length(padded) - F.length(F.replace(padded, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
 
     def latin(padded: Column) -> Column:
-        return _first_best({lang: sum((hits(padded, w) for w in marks.split()), F.lit(0)) for lang, marks in LATIN_SCRIPT.items()}, "en")
+        return _first_best({lang: sum((hits(padded, w) for w in marks), F.lit(0)) for lang, marks in LATIN_SCRIPT.items()}, "en")
 
     direct = F.create_map(*(F.lit(x) for name, (_, lang) in SCRIPTS.items() for x in (name, lang)))
 

@@ -22,12 +22,18 @@ KNOWN_JOURNALS = (
     "ieee transactions on pattern analysis and machine intelligence", "acm transactions on graphics", "artificial intelligence", "neural networks",
     "pattern recognition", "computer vision and image understanding", "journal of artificial intelligence research", "machine learning", "data mining and knowledge discovery",
 )
-KNOWN_PUBLISHERS = tuple("elsevier springer wiley taylor francis sage oxford cambridge ieee acm nature science plos frontiers mdpi emerald lippincott bmj jama lancet cell american royal iospress".split())
+KNOWN_PUBLISHERS = (
+    "elsevier", "springer", "wiley", "taylor", "francis", "sage", "oxford", "cambridge", "ieee", "acm", "nature", "science", "plos", "frontiers", "mdpi", "emerald",
+    "lippincott", "bmj", "jama", "lancet", "cell", "american", "royal", "iospress",
+)
 TEMPLATE_WORDS = (
     "advanced", "innovative", "cutting-edge", "emerging", "breakthrough", "revolutionary", "next-generation", "modern", "contemporary",
     "international journal of", "global journal of", "world journal of", "american journal of", "european journal of",
 )
-COMMON_NAMES = tuple("j john james smith doe johnson williams brown jones garcia miller davis rodriguez martinez hernandez lopez gonzalez wilson anderson thomas".split())
+COMMON_NAMES = (
+    "j", "john", "james", "smith", "doe", "johnson", "williams", "brown", "jones", "garcia", "miller", "davis", "rodriguez", "martinez", "hernandez", "lopez",
+    "gonzalez", "wilson", "anderson", "thomas",
+)
 TEMPLATES = (
     r"(?i)\bJournal of (?:Advanced|Modern|Emerging|Innovative|Cutting-Edge|Next-Generation)\s+\w+\s+(?:Research|Studies|Science|Technology)\b",
     r"(?i)\bInternational Journal of (?:Advanced|Modern|Emerging)\b",

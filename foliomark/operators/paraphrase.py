@@ -8,60 +8,66 @@ from pyspark.sql import functions as F
 from ..functions.text import bound, tokens
 
 # Groups of words of like meaning, verbs with their nouns, and word classes.
-SYNONYMS = """
-big large huge enormous massive gigantic
-small tiny little minute miniature
-fast quick rapid swift speedy
-slow sluggish gradual leisurely
-good excellent great fine superb wonderful
-bad poor awful terrible dreadful
-important significant crucial vital essential
-improve enhance better upgrade boost
-change alter modify transform adjust
-use utilize employ apply leverage
-make create produce generate build
-show demonstrate display reveal indicate
-help assist aid support facilitate
-begin start commence initiate launch
-end finish conclude complete terminate
-problem issue difficulty challenge obstacle
-answer response reply solution resolution
-method approach technique procedure way
-result outcome consequence effect conclusion
-study research investigation analysis examination
-data information facts figures statistics
-model framework structure system scheme
-cancer carcinoma malignancy tumor
-doctor physician clinician
-disease illness ailment condition disorder
-treatment therapy intervention care remedy
-diagnosis identification detection recognition
-patient sufferer client case
-medicine medication drug pharmaceutical
-health wellness wellbeing fitness
-climate weather atmosphere environment
-increase rise grow expand escalate
-decrease reduce decline diminish lessen
-predict forecast project estimate anticipate
-affect influence impact shape determine
-cause trigger produce
-danger threat risk hazard peril
-"""
-VERB_NOUN = "decide:decision conclude:conclusion analyze:analysis implement:implementation evaluate:evaluation assess:assessment apply:application perform:performance explain:explanation develop:development create:creation define:definition describe:description measure:measurement improve:improvement maintain:maintenance"
+SYNONYMS = (
+    ("big", "large", "huge", "enormous", "massive", "gigantic"),
+    ("small", "tiny", "little", "minute", "miniature"),
+    ("fast", "quick", "rapid", "swift", "speedy"),
+    ("slow", "sluggish", "gradual", "leisurely"),
+    ("good", "excellent", "great", "fine", "superb", "wonderful"),
+    ("bad", "poor", "awful", "terrible", "dreadful"),
+    ("important", "significant", "crucial", "vital", "essential"),
+    ("improve", "enhance", "better", "upgrade", "boost"),
+    ("change", "alter", "modify", "transform", "adjust"),
+    ("use", "utilize", "employ", "apply", "leverage"),
+    ("make", "create", "produce", "generate", "build"),
+    ("show", "demonstrate", "display", "reveal", "indicate"),
+    ("help", "assist", "aid", "support", "facilitate"),
+    ("begin", "start", "commence", "initiate", "launch"),
+    ("end", "finish", "conclude", "complete", "terminate"),
+    ("problem", "issue", "difficulty", "challenge", "obstacle"),
+    ("answer", "response", "reply", "solution", "resolution"),
+    ("method", "approach", "technique", "procedure", "way"),
+    ("result", "outcome", "consequence", "effect", "conclusion"),
+    ("study", "research", "investigation", "analysis", "examination"),
+    ("data", "information", "facts", "figures", "statistics"),
+    ("model", "framework", "structure", "system", "scheme"),
+    ("cancer", "carcinoma", "malignancy", "tumor"),
+    ("doctor", "physician", "clinician"),
+    ("disease", "illness", "ailment", "condition", "disorder"),
+    ("treatment", "therapy", "intervention", "care", "remedy"),
+    ("diagnosis", "identification", "detection", "recognition"),
+    ("patient", "sufferer", "client", "case"),
+    ("medicine", "medication", "drug", "pharmaceutical"),
+    ("health", "wellness", "wellbeing", "fitness"),
+    ("climate", "weather", "atmosphere", "environment"),
+    ("increase", "rise", "grow", "expand", "escalate"),
+    ("decrease", "reduce", "decline", "diminish", "lessen"),
+    ("predict", "forecast", "project", "estimate", "anticipate"),
+    ("affect", "influence", "impact", "shape", "determine"),
+    ("cause", "trigger", "produce"),
+    ("danger", "threat", "risk", "hazard", "peril"),
+)
+VERB_NOUN = (
+    ("decide", "decision"), ("conclude", "conclusion"), ("analyze", "analysis"), ("implement", "implementation"), ("evaluate", "evaluation"), ("assess", "assessment"),
+    ("apply", "application"), ("perform", "performance"), ("explain", "explanation"), ("develop", "development"), ("create", "creation"), ("define", "definition"),
+    ("describe", "description"), ("measure", "measurement"), ("improve", "improvement"), ("maintain", "maintenance"),
+)
 _BE = "is|are|was|were|be|been|being"
 PASSIVE = rf"(?i)\b(?:{_BE})\s+(?:\w+ed|\w+en|written|done|made|seen|taken|given|shown|known|found|used|called|considered|regarded)\b"
 ACTIVE = (r"(?i)\b(?:I|we|they|he|she|it|you)\s+\w+", r"(?i)\b[A-Z][a-z]+\s+(?:conducted|found|showed|identified|demonstrated|reported|investigated|analyzed|examined)\b")
 CLASSES = (
-    ("D", "the a an this that these those"), ("C", "and or but yet so for"), ("P", "in on at by with from to"), ("B", "is are was were be been"),
-)
+    ("D", ("the", "a", "an", "this", "that", "these", "those")),
+    ("C", ("and", "or", "but", "yet", "so", "for")),
+    ("P", ("in", "on", "at", "by", "with", "from", "to")),
+    ("B", ("is", "are", "was", "were", "be", "been")),
+)
 
 
 def synonym_map() -> dict[str, list[str]]:
     found: dict[str, set[str]] = {}
-    for line in SYNONYMS.split("\n"):
-        group = set(line.split())
+    for group in SYNONYMS:
         for word in group:
-            found.setdefault(word, set()).update(group - {word})
+            found.setdefault(word, set()).update(set(group) - {word})
     return {w: sorted(s) for w, s in sorted(found.items())}
 
 
@@ -93,8 +99,7 @@ def voice_changed(a: Column, b: Column) -> Column:
 def nominalization(a: Column, b: Column) -> Column:
     """Of the verbs in ``a`` and nouns in ``b`` that are listed together, the share present on both sides."""
     either, both = F.lit(0), F.lit(0)
-    for pair in VERB_NOUN.split():
-        verb, noun = pair.split(":")
+    for verb, noun in VERB_NOUN:
         has_verb, has_noun = F.lower(a).rlike(rf"\b{verb}").cast("int"), F.lower(b).rlike(rf"\b{noun}").cast("int")
         either, both = either + F.greatest(has_verb, has_noun), both + has_verb * has_noun
     return F.when(either == 0, 0.0).otherwise(both / either)
@@ -130,7 +135,7 @@ def structure_code(c: Column, most: int = 30) -> Column:
     def letter(w: Column) -> Column:
         out = F
         for code, words in CLASSES:
-            out = out.when(w.isin(*words.split()), code)
+            out = out.when(w.isin(*words), code)
         out = out.when(w.endswith("ly"), "A").when(w.endswith("ing") | w.endswith("ed"), "V").when(w.endswith("tion") | w.endswith("ment") | w.endswith("ness"), "N")
         return out.when(F.length(w) > 3, "W").otherwise("S")
 

@@ -24,8 +24,14 @@ STYLE_PATTERNS = (
     r"(?:^|\n)\s*#{1,4}\s+", r"\n\s*1\.\s+.{20,}\n\s*2\.\s+", r"\n\s*[-•]\s+.{20,}\n\s*[-•]\s+", r"\bin conclusion\b", r"\bto summarize\b", r"\bin summary\b",
     r"\bmoreover\b.{10,}\bfurthermore\b", r"\btruly\b.{1,50}\btruly\b", r"\bvery\b.{1,50}\bvery\b.{1,50}\bvery\b",
 )
-FUNCTION_WORDS = tuple("the a an and or but if of to in on at by for with from as is are was were be been being have has had do does did will would should could can may might must this that these those i you he she it we they them their our your his her its my me us".split())
-SUBORDINATORS = tuple("because although while since if when whereas unless until though that which who".split())
+FUNCTION_WORDS = (
+    "the", "a", "an", "and", "or", "but", "if", "of", "to", "in", "on", "at", "by", "for", "with", "from", "as", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "should", "could", "can", "may", "might", "must", "this", "that", "these", "those", "i", "you", "he",
+    "she", "it", "we", "they", "them", "their", "our", "your", "his", "her", "its", "my", "me", "us",
+)
+SUBORDINATORS = (
+    "because", "although", "while", "since", "if", "when", "whereas", "unless", "until", "though", "that", "which", "who",
+)
 #: Weights of the six signals.
 WEIGHTS = {"perplexity": 0.25, "burstiness": 0.20, "vocabulary": 0.15, "uniformity": 0.15, "phrases": 0.20, "punctuation": 0.05}
 CUTS = {"perplexity": (0.65, 0.40), "burstiness": (0.6, 0.35), "vocabulary": (0.6, 0.35), "uniformity": (0.6, 0.35), "phrases": (0.6, 0.3), "punctuation": (0.6, 0.35)}

@@ -204,8 +204,8 @@ SELECT doc_id, entry_index, {_round(names)}, CASE WHEN probability >= 0.65 THEN
 byscript AS (SELECT doc_id, CASE {case} ELSE 'other' END AS script, count(*) AS k, min(n) AS first FROM letters GROUP BY ALL),
 best AS (SELECT doc_id, arg_max(script, k * 100000000 - first) AS script FROM byscript GROUP BY doc_id)"""
     out["script_detect"] = f"WITH {script} SELECT d.doc_id, coalesce(script, 'unknown') AS script FROM documents d LEFT JOIN best USING (doc_id)"
-    arabic = {k: "len(list_intersect(ws, [" + ", ".join(q(w) for w in v.split()) + "]))" for k, v in ARABIC_SCRIPT.items()}
-    latin = {k: " + ".join(f"((length(p) - length(replace(p, {q(' ' + w + ' ')}, ''))) // {len(w) + 2})" for w in v.split()) for k, v in LATIN_SCRIPT.items()}
+    arabic = {k: "len(list_intersect(ws, [" + ", ".join(q(w) for w in v) + "]))" for k, v in ARABIC_SCRIPT.items()}
+    latin = {k: " + ".join(f"((length(p) - length(replace(p, {q(' ' + w + ' ')}, ''))) // {len(w) + 2})" for w in v) for k, v in LATIN_SCRIPT.items()}
     names_case = "CASE detected " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items()) + " ELSE detected END"
     latin_select = ", ".join(f"({v}) AS l_{k}" for k, v in latin.items())
     latin_top = "greatest(" + ", ".join(f"l_{k}" for k in latin) + ")"
@@ -308,7 +308,7 @@ JOIN (SELECT evidence_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE l
     pas, act = lambda c: f"regexp_matches({c}, {q(whole(pa.PASSIVE))})", lambda c: f"(regexp_matches({c}, {q(whole(pa.ACTIVE[0]))}) OR regexp_matches({c}, {q(whole(pa.ACTIVE[1]))}))"
     changed = f"(({pas('a')} AND {act('b')}) OR ({act('a')} AND {pas('b')}))"
     out["voice_change"] = f"WITH {base} SELECT evidence_id, {pas('b')} AS passive, {act('b')} AS active, {changed} AS changed FROM e"
-    verbs = [p.split(":") for p in pa.VERB_NOUN.split()]
+    verbs = pa.VERB_NOUN
     either = " + ".join(f"greatest(regexp_matches(lower(a), {q(whole(chr(92) + "b" + v))})::INT, regexp_matches(lower(b), {q(whole(chr(92) + "b" + n))})::INT)" for v, n in verbs)
     twice = " + ".join(f"regexp_matches(lower(a), {q(whole(chr(92) + "b" + v))})::INT * regexp_matches(lower(b), {q(whole(chr(92) + "b" + n))})::INT" for v, n in verbs)
     nom = f"(CASE WHEN ({either}) = 0 THEN 0.0 ELSE ({twice})::DOUBLE / ({either}) END)"
@@ -318,7 +318,7 @@ JOIN (SELECT evidence_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE l
 cut AS (SELECT evidence_id, least(len(p), len(r)) AS n, list_slice(p, 1, least(len(p), len(r))) AS p, list_slice(r, 1, least(len(p), len(r))) AS r FROM places),
 orders AS (SELECT evidence_id, CASE WHEN n < 2 THEN 0.0 ELSE list_sum(list_transform(range(1, n + 1), lambda i: abs(p[i]::DOUBLE / CASE WHEN list_max(p) = 0 THEN 1 ELSE list_max(p) END - r[i]::DOUBLE / CASE WHEN list_max(r) = 0 THEN 1 ELSE list_max(r) END))) / n END AS change FROM cut)"""
     out["word_order"] = f"WITH {base}, {order} SELECT evidence_id, round(change, 6) AS change FROM orders"
-    classes = " ".join(f"WHEN w IN ({', '.join(q(x) for x in ws.split())}) THEN '{c}'" for c, ws in pa.CLASSES)
+    classes = " ".join(f"WHEN w IN ({', '.join(q(x) for x in ws)}) THEN '{c}'" for c, ws in pa.CLASSES)
     letter = f"CASE {classes} WHEN ends_with(w, 'ly') THEN 'A' WHEN ends_with(w, 'ing') OR ends_with(w, 'ed') THEN 'V' WHEN ends_with(w, 'tion') OR ends_with(w, 'ment') OR ends_with(w, 'ness') THEN 'N' WHEN length(w) > 3 THEN 'W' ELSE 'S' END"
     code = lambda c: f"array_to_string(list_transform(list_slice({toks(c)}, 1, 30), lambda w: {letter}), '')"
     structure = f"codes AS (SELECT evidence_id, {code('a')} AS code_a, {code('b')} AS code_b FROM e), structures AS (SELECT *, CASE WHEN code_a = '' OR code_b = '' THEN 0.0 ELSE 1 - levenshtein(code_a, code_b)::DOUBLE / greatest(length(code_a), length(code_b)) END AS similarity FROM codes)"
