@@ -27,8 +27,12 @@ from .textform import Model, normalize
 
 ROWS, WIDTH, PARTS, NEGATIVE, WEIGHT = 1 << 14, 16, 16, 48, 2
 # Glyphs as they are misread, and what stands there in truth.
-_GLYPHS = "c:e @:a !:i ri:n f:t 0:o 5:s 1:l 1:i ii:u cl:d 9:g rn:m b:h h:li vv:w 6:é 6:b 8:b $:s |:l |:i l:i i:l h:b e:c o:c c:o t:f m:rn d:cl w:vv u:ii n:ri li:h nn:m in:m q:g q:9 j:i ni:m ll:u ii:ü b:ß 6:ó 6:ö c:é 0:ö 0:ó a:á 4:a"
-EDITS = tuple(tuple(pair.split(":")) for pair in _GLYPHS.split())
+EDITS = (
+    ("c", "e"), ("@", "a"), ("!", "i"), ("ri", "n"), ("f", "t"), ("0", "o"), ("5", "s"), ("1", "l"), ("1", "i"), ("ii", "u"), ("cl", "d"), ("9", "g"), ("rn", "m"),
+    ("b", "h"), ("h", "li"), ("vv", "w"), ("6", "é"), ("6", "b"), ("8", "b"), ("$", "s"), ("|", "l"), ("|", "i"), ("l", "i"), ("i", "l"), ("h", "b"), ("e", "c"),
+    ("o", "c"), ("c", "o"), ("t", "f"), ("m", "rn"), ("d", "cl"), ("w", "vv"), ("u", "ii"), ("n", "ri"), ("li", "h"), ("nn", "m"), ("in", "m"), ("q", "g"), ("q", "9"),
+    ("j", "i"), ("ni", "m"), ("ll", "u"), ("ii", "ü"), ("b", "ß"), ("6", "ó"), ("6", "ö"), ("c", "é"), ("0", "ö"), ("0", "ó"), ("a", "á"), ("4", "a"),
+)
 _ODD = frozenset("@!|$")
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[̀-ًͯ-ٕऀ-ःऺ-ॏ@!|$]|[-'’](?=[^\W_]))*(?:[@$](?=\W|$))?|[@$|!][^\W\d_](?:[^\W_]|[@!|$])*")
 _STRAY = re.compile(r"(?:^|(?<=\s))[|¦~•^_`]+(?=\s|$)")
