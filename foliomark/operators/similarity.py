@@ -241,7 +241,7 @@ def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: st
         whole = whole.join(simhash(used, key, "_text").withColumnRenamed("simhash", f"_s{side}"), key)
         long = F.filter(words, lambda w: F.length(w) >= 2)
         terms = used.select(key, F.explode(F.concat(long, grams(long, 2))).alias("_term")).groupBy(key, "_term").agg(F.count("*").alias(f"_t{side}"))
-        return staged(whole, f"whole_{side}"), staged(terms, f"terms_{side}")
+        return whole, terms
 
     (a, ta), (b, tb) = features(left, left_id, "a"), features(right, right_id, "b")
     norms = [t.groupBy(key).agg(F.sum(F.col(c) * F.col(c)).alias(n)) for t, key, c, n in ((ta, left_id, "_ta", "_na"), (tb, right_id, "_tb", "_nb"))]
