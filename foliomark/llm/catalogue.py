@@ -160,6 +160,10 @@ x AS ({windows('evidence', 'evidence_id', 'submitted_text')}), y AS ({windows('e
 SELECT 'source' AS record_kind, id AS record_id, a::BIGINT AS span_start, b::BIGINT AS span_end FROM own UNION ALL SELECT 'document', id, a::BIGINT, b::BIGINT FROM other UNION ALL SELECT 'evidence', id, a::BIGINT, b::BIGINT FROM quoted"""
 
 
+_P3_SHARES_SQL = f"""WITH found AS ({_p3_sql()}), covered AS (SELECT record_id, sum(span_end - span_start)::BIGINT AS c FROM found WHERE record_kind <> 'evidence' GROUP BY record_id)
+SELECT doc_id, length(text) AS n_chars, coalesce(c, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(c, 0)::DOUBLE / length(text) ELSE 0.0 END::DOUBLE AS shared_share FROM documents LEFT JOIN covered ON record_id = doc_id WHERE text IS NOT NULL"""
+
+
 def _p7_sql() -> str:
     """Words of every text and the runs met before, without hashing, scores or cutoffs; of the one form only what changes words here."""
     unspaced = r"\x{0E00}-\x{0E7F}\x{3005}-\x{3007}\x{3041}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3134F}"
@@ -176,4 +180,4 @@ SELECT doc_id FROM inside JOIN w USING (doc_id) WHERE n >= 0.4 * len(w)"""
 _P10_SQL = "SELECT doc_id FROM documents, size_limits WHERE limit_name = 'piece_limit' AND strlen(text) > 4 * max_tokens"
 
 #: SQL can express these; the rest is tested against brute force, round trips or held-out accuracy.
-ORACLE: dict[str, str] = {"p3_found": _p3_sql(), "p7_found": _p7_sql(), "p10_found": _P10_SQL}
+ORACLE: dict[str, str] = {"p3_found": _p3_sql(), "p3_shares": _P3_SHARES_SQL, "p7_found": _p7_sql(), "p10_found": _P10_SQL}
