@@ -48,9 +48,9 @@ def jaccard_join(df: DataFrame, least: float = 0.8, n: int = 5, id_col: str = "d
     exploded = classes.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     frequency = exploded.groupBy("gram").agg(F.count("*").alias("df"))
     # grams of one text alone come first in the order and never match, so only their number counts
-    own = Window.partitionBy("id")
-    shared = exploded.join(frequency.filter("df > 1"), "gram").withColumn("n_shared", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "gram")))
-    prefix = shared.filter(F.col("rank") + F.col("size") - F.col("n_shared") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("id", "size", "gram")
+    shared = exploded.join(frequency.filter("df > 1"), "gram").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    prefix = shared.withColumn("length", (F.size("grams") - F.ceil(F.col("size") * least) + 1).cast("int")).filter("length > 0")
+    prefix = prefix.select("id", "size", F.explode(F.slice("grams", 1, F.col("length"))).alias("x")).select("id", "size", "x.gram")
     a, b = prefix.select(F.col("id").alias("class_a"), F.col("size").alias("size_a"), "gram"), prefix.select(F.col("id").alias("class_b"), F.col("size").alias("size_b"), "gram")
     candidates = a.join(b, "gram").filter((F.col("class_a") < F.col("class_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least)).select("class_a", "class_b").distinct()
     full = classes.select("id", "grams")
