@@ -70,20 +70,25 @@ THAI_ON = tuple(_THAI_ON.split())
 
 
 
-def _class_of(pattern: str) -> str:
-    """A character class of all characters that a property pattern matches."""
-    return "".join(map(re.escape, regex.findall(pattern, "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)])))))
+def _matching(pattern: str) -> str:
+    """All characters that a property pattern matches."""
+    return "".join(regex.findall(pattern, "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))))
+
+
+def _class(chars: str) -> str:
+    return "[" + "".join(map(re.escape, chars)) + "]"
 
 
 #: Terminators that need a space after them, as they also stand inside numbers, names and addresses.
 _SPACED = ".!?…‼⁇⁈⁉‽․"
-TERMINATORS = "…།༎" + _class_of(r"[\p{SB=STerm}\p{SB=ATerm}]")
-_TERM = re.compile(f"[{_SPACED}]+|[{''.join(c for c in TERMINATORS if c not in _SPACED)}]+")
+TERMINATORS = "…།༎" + _matching(r"[\p{SB=STerm}\p{SB=ATerm}]")
+_UNSPACED = "".join(c for c in TERMINATORS if c not in _SPACED)
+_TERM = re.compile(f"{_class(_SPACED)}+|{_class(_UNSPACED)}+")
 #: The same for texts within the basic plane, which a table of characters decides.
-_BASIC_TERM = re.compile(f"[{_SPACED}]+|[{''.join(c for c in TERMINATORS if c not in _SPACED and c <= '\uffff')}]+")
+_BASIC_TERM = re.compile(f"{_class(_SPACED)}+|{_class(''.join(c for c in _UNSPACED if c <= '\uffff'))}+")
 _BEYOND = re.compile("[\U00010000-\U0010ffff]")
-_CLOSE = re.compile("[\"'“«「" + _class_of(r"[\p{Pe}\p{Pf}]") + "]*")
-_OPEN_END = re.compile(f"[{TERMINATORS}][\"'”’»)\\]」“]*$")
+_CLOSE = re.compile(_class("\"'“«「" + _matching(r"[\p{Pe}\p{Pf}]")) + "*")
+_OPEN_END = re.compile(f"{_class(TERMINATORS)}[\"'”’»)\\]」“]*$")
 _NEXT = re.compile("[\\s\u200b\u200c\u200d\u2060\ufeff\u00ad]*[“„«\"'(\\[¿¡‘「『（”–—-]*[\\s\u200b\u2060\ufeff\u00ad]*")
 _WORD = regex.compile("(?:[\\p{L}\\p{M}\u00ad\u200b\u2060\ufeff]+(?:[.]\\s?|-))*[\\p{L}\\p{M}\\p{N}\u00ad\u200b\u2060\ufeff]+$")
 _PLAIN = re.compile("[A-Za-z]{8}$")

@@ -342,6 +342,13 @@ def test_terminators_of_all_scripts(text):
     assert len(sentences.units(text)) == 2
 
 
+def test_no_other_mark_ends_a_sentence():
+    marks = "\\/^-_|~#*+=<>@$%&`\"'()[]{}:;,"
+    assert not set(marks) & set(sentences.TERMINATORS) and all(not sentences._TERM.match(c) and not sentences._BASIC_TERM.match(c) for c in marks)
+    text = "The folder C:\\Temp\\New is here. So it is."
+    assert sentences.units(text) == [text.index(".") + 1, len(text)]
+
+
 @pytest.mark.parametrize("text, n", [("He said no. Then he left.", 2), ("I studied art. Then I left.", 2), ("She reached the cap. Then she stopped.", 2), ("He ate a fig. Then he left.", 2), ("See No. 5 and Fig. 3 in vol. II of the set.", 1), ("El art. 5 de la ley y el cap. IV de la norma dicen eso. Es así.", 2), ("Dr. Smith met Prof. Lee. They spoke.", 2), ("Das gilt vgl. Abb. 3 und z.B. Berlin.", 1), ("Il sig. Rossi non è qui per la riunione di oggi. Torna domani.", 2), ("The sig. Rossi noted it in the book and that was it.", 2)])
 def test_abbreviations_follow_the_language(text, n):
     assert len(sentences.units(text)) == n
