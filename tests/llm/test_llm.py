@@ -500,6 +500,34 @@ def test_cutoffs_decide_what_is_rejected(spark, model):
     assert 0 < strict.filter("certain").count() < bad
 
 
+def test_cutoffs_come_from_all_documents(spark):
+    rng = random.Random(28)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=30)) for _ in range(2600)]
+    block = "one two three four five six seven"
+    texts += [f"{block} {block} " + " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(60)]  # high scores, acceptable
+    texts += [" ".join([block] * 5)] * 40
+    df = documents(spark, texts)
+    expected = [("latin", *(f(t.split(), 6) for f in (lambda w, n: repetition.measured(w, n)[0], lambda w, n: repetition.repeated_words_exactly(w, n) >= 0.4 * len(w)))) for t in texts]
+    assert sum(bad for _, _, bad in expected) == 40
+    chosen = repetition.choose_cutoffs(expected, [k / 100 for k in range(1, 101)], 0.02, 0.05)
+    for table in (df, df.union(df)):
+        found = {r.stratum: tuple(r)[1:] for r in repetition.repetitive(table)[1].collect()}
+        assert found == chosen and found["latin"][2] == 2660
+
+
+def test_labels_compare_words_where_hashes_collide(monkeypatch):
+    tokens_ = prose(random.Random(5), 12).split()
+    assert repetition.is_bad(tokens_ * 2, 6, 0.4, len(tokens_)) and not repetition.is_bad([], 6, 0.4, 0)
+    monkeypatch.setattr(repetition, "_gram_hashes", lambda words_, run: np.zeros(max(0, len(words_) - run + 1), np.uint64))
+    again = repetition.measured(tokens_, 6)[1]
+    assert again >= 0.4 * len(tokens_) and not repetition.is_bad(tokens_, 6, 0.4, again)
+    assert repetition.is_bad(tokens_ * 2, 6, 0.4, repetition.measured(tokens_ * 2, 6)[1])
+
+
+def test_binomial_bound_of_many_texts():
+    assert repetition.binomial_upper(160_000, 8_000_000, 0.05 / 3) == pytest.approx(0.02 + 2.128 * (0.02 * 0.98 / 8e6) ** 0.5, abs=1e-6)
+
+
 # --- problems 8, 9, 10
 
 
