@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -132,12 +134,21 @@ def minhash_similarity(a: Column, b: Column) -> Column:
 
 def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
     """(id, simhash): 64 votes of the MD5 bits of all runs of n words; 0 without a run. Null texts count as empty."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def voted(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            words = text.split(" ")
+            digests = [hashlib.md5(" ".join(run).encode()).digest()[:8] for run in zip(*(words[k:] for k in range(n)))] if text else []
+            bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8), bitorder="little").reshape(-1, 64)
+            out.append(np.append(bits.sum(axis=0, dtype=np.int64), len(bits)))
+        return pd.Series(out)
+
     source = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    h = F.conv(F.concat(*(F.substring(F.md5(F.col("_g")), i, 2) for i in range(15, 0, -2))), 16, 10).cast("decimal(20,0)")
-    half, whole = F.expr("CAST(9223372036854775808 AS DECIMAL(20,0))"), F.expr("CAST(18446744073709551616 AS DECIMAL(20,0))")
-    signed = F.when(h >= half, h - whole).otherwise(h).cast("bigint")
-    rows = source.select(id_col, F.explode(grams(tokens(F.col("_t")), n)).alias("_g")).select(id_col, signed.alias("_h"))
-    votes = rows.groupBy(id_col).agg(F.count("*").alias("_n"), *(F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1))).alias(f"_v{i}") for i in range(64)))
+    rows = source.select(id_col, voted(F.array_join(tokens(F.col("_t")), " ")).alias("_v"))  # words hold no blank
+    votes = rows.groupBy(id_col).agg(F.sum(F.col("_v")[64]).alias("_n"), *(F.sum(F.col("_v")[i]).alias(f"_v{i}") for i in range(64)))
     value = F.lit(0).cast("bigint")
     for i in range(64):
         value = value.bitwiseOR(F.when(2 * F.col(f"_v{i}") > F.col("_n"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
@@ -148,27 +159,67 @@ def simhash_similarity(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64.0
 
 
-def simhash_pairs(signatures: DataFrame, most: int = 9, id_col: str = "doc_id", hash_col: str = "simhash", together: int = 3) -> DataFrame:
+def simhash_pairs(signatures: DataFrame, most: int = 9, id_col: str = "doc_id", hash_col: str = "simhash", together: int = 3, rows_per_tile: int = 1 << 17) -> DataFrame:
     """(a, b, distance) of all pairs of different signatures at most ``most`` bits apart, between class representatives.
 
     Exact by the pigeonhole principle: of ``most`` + ``together`` pieces of the bits such a pair has ``together`` in
     common, so signatures meet on every choice of so many pieces (220 keys of 15 to 18 bits for nine bits and three
     pieces; more pieces together give more and longer keys). Equal signatures are one class, named by its smallest id.
+
+    Only the signatures are sent, to each pair of tiles that theirs is part of; the keys are made and sorted within it,
+    so that no table of all keys is written, joined or broadcast.
     """
-    classes = signatures.groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"))
+    spark = signatures.sparkSession
+    ship(spark)
+    kind = signatures.schema[id_col].dataType.simpleString()
+    classes = staged(signatures.groupBy(F.col(hash_col).cast("bigint").alias("h")).agg(F.min(id_col).alias("id")).filter("h is not null and id is not null"), "signatures")
     n = min(64, most + together)
     edges = [round(64 * i / n) for i in range(n + 1)]
-    piece = [F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-    keys = []
-    for number, chosen in enumerate(itertools.combinations(range(n), min(together, n - most) if n > most else 1)):
-        key = F.lit(number).cast("bigint")
-        for i in chosen:
-            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(piece[i])
-        keys.append(key)
-    rows = classes.select("id", "h", F.explode(F.array(*keys)).alias("key"))
-    left, right = rows.select(F.col("id").alias("a"), F.col("h").alias("ha"), "key"), rows.select(F.col("id").alias("b"), F.col("h").alias("hb"), "key")
-    near = left.join(right, "key").filter("a < b").withColumn("distance", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))).filter(F.col("distance") <= most)
-    return near.select("a", "b", "distance").distinct()
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    choices = list(itertools.combinations(range(n), max(0, min(together, n - most))))
+    count, cores = classes.count(), spark.sparkContext.defaultParallelism
+    tiles = max(1, math.ceil(count / rows_per_tile), min(math.ceil(math.sqrt(8 * cores)), math.ceil(count / 2048)))
+
+    def near(one: np.ndarray, two: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for chosen in choices:
+            mask = np.uint64(sum(masks[i] for i in chosen))
+            before = [np.uint64(masks[i]) for i in range(chosen[-1] if chosen else 0) if i not in chosen]
+            left = np.argsort(one & mask, kind="stable")
+            right = left if same else np.argsort(two & mask, kind="stable")
+            ha, hb = one[left], two[right]
+            begin, end = np.searchsorted(hb & mask, ha & mask, "left"), np.searchsorted(hb & mask, ha & mask, "right")
+            if same:
+                begin = np.arange(1, len(ha) + 1)
+            total = np.concatenate([[0], np.cumsum(end - begin)])
+            at = 0
+            while at < len(ha):  # about a million pairs at a time, and the matches of one signature at most beyond
+                stop = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 20), "right")) - 1)
+                times = end[at:stop] - begin[at:stop]
+                x = np.repeat(np.arange(at, stop), times)
+                y = np.arange(total[at], total[stop]) + np.repeat(begin[at:stop] - total[at:stop], times)
+                apart = ha[x] ^ hb[y]
+                kept = np.flatnonzero(np.bitwise_count(apart) <= most)
+                for other in before:  # a pair is taken at the first choice of pieces it has in common
+                    kept = kept[apart[kept] & other != 0]
+                if len(kept):
+                    yield left[x[kept]], right[y[kept]], np.bitwise_count(apart[kept])
+                at = stop
+
+    def run(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, high = key
+        pdf = pd.concat(pdfs)
+        one, two = pdf[pdf.tile == low], pdf[pdf.tile == high]
+        a, b = one.id.to_numpy(), two.id.to_numpy()
+        for x, y, d in near(one.h.to_numpy().view(np.uint64), two.h.to_numpy().view(np.uint64), low == high):
+            i, j = a[x], b[y]
+            differ = i != j
+            yield pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j), "distance": d.astype(np.int32)})[differ]
+
+    placed = classes.withColumn("tile", F.pmod(F.xxhash64("h"), F.lit(tiles)).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    # a stated number of partitions: the few bytes would be put into one task, but its work is that of all pairs
+    sent = sent.drop("other").repartition(min(tiles * (tiles + 1) // 2, 8 * cores + tiles), "low", "high")
+    return sent.groupBy("low", "high").applyInPandas(run, f"a {kind}, b {kind}, distance int")
 
 
 def tfidf_cosine(pairs: DataFrame, id_col: str, a: str, b: str) -> DataFrame:

@@ -196,6 +196,21 @@ def test_simhash_pairs_are_exact(spark):
     assert got == want
 
 
+def test_simhash_pairs_join_no_table_of_keys(spark):
+    random.seed(5)
+    base = [random.getrandbits(64) - 2**63 for _ in range(40)]
+    near = [h ^ sum(1 << b for b in random.sample(range(63), k)) for k in range(4, 14) for h in base[:4]]
+    far = [5, -6]  # differ in every bit but one
+    hashes = [*base, *near, *far, base[3]]
+    df = spark.createDataFrame(list(enumerate(hashes)), "doc_id bigint, simhash bigint")
+    least = {h: i for i, h in reversed(list(enumerate(hashes)))}
+    for most, rows in ((9, 1 << 17), (9, 7), (3, 7), (64, 7)):
+        pairs = si.simhash_pairs(df, most, rows_per_tile=rows)
+        assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+        apart = {(min(i, j), max(i, j)): ((g ^ h) & (2**64 - 1)).bit_count() for g, i in least.items() for h, j in least.items() if i != j}
+        assert sorted((r.a, r.b, r.distance) for r in pairs.collect()) == sorted((a, b, d) for (a, b), d in apart.items() if d <= most)
+
+
 def test_vector_index(spark, tmp_path):
     from foliomark.operators.vector_store import VectorIndex
 
