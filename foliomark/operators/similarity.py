@@ -489,3 +489,100 @@ def pairs_above(vectors: DataFrame, least: float, id_col: str = "vec_id", vec_co
 
     kind = vectors.schema[id_col].dataType.simpleString()
     return sent.groupBy("low", "high").applyInPandas(run, f"a {kind}, b {kind}, score double")
+
+
+def clusters_above(vectors: DataFrame, least: float, k: int, id_col: str = "vec_id", vec_col: str = "embedding", rows_per_tile: int = 20_480) -> DataFrame:
+    """(link, a, b, score, matches): what clusters of the pairs of ``pairs_above`` need, without a row for each pair.
+
+    Rows with ``link`` connect what the pairs connect, and their ``matches`` add up to the number of pairs; the others
+    hold, among more, the k pairs of the largest score (to twelve decimals; ties go to the smaller ids as text) of every
+    cluster. Exact: all pairs are scored, each pair of tiles sums up its own. The work grows with the square of the
+    rows; what is sent grows with the rows as long as a few tiles of at most ``rows_per_tile`` hold them.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    kind = vectors.schema[id_col].dataType.simpleString()
+    base = staged(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).filter("id is not null and v is not null"), "vectors")
+    count, cores = base.count(), spark.sparkContext.defaultParallelism
+    tiles = max(1, math.ceil(count / rows_per_tile), min(math.ceil(math.sqrt(8 * cores)), math.ceil(count / 1024)))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = key
+        one, two = pdf[pdf.tile == low], pdf[pdf.tile == high]
+        ids, others = one.id.to_numpy(), two.id.to_numpy()
+        left, right = (np.stack(x.v.to_numpy()) if len(x) else np.zeros((0, 0), np.float32) for x in (one, two))
+        empty = pd.DataFrame({"link": np.zeros(0, bool), "a": pdf.id.to_numpy()[:0], "b": pdf.id.to_numpy()[:0], "score": np.zeros(0), "matches": np.zeros(0, np.int64)})
+        if not len(ids) or not len(others):
+            return empty
+        right = right.astype(np.float64).T
+        step = max(16, (1 << 22) // len(others))
+
+        def scored(rows: np.ndarray) -> np.ndarray:
+            scores = left[rows].astype(np.float64) @ right
+            if low == high:  # each pair once
+                scores[(np.arange(len(others)) <= rows[:, None]) | (others == ids[rows, None])] = -np.inf
+            return scores
+
+        # columns that a row joins get one label; a row keeps one of its columns
+        label, column = np.arange(len(others)), np.full(len(ids), -1)
+        number, top = np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
+        for begin in range(0, len(ids), step):
+            scores = scored(rows := np.arange(begin, min(begin + step, len(ids))))
+            near = scores >= least
+            number[rows], top[rows] = near.sum(axis=1), scores.max(axis=1)
+            for r in np.flatnonzero(number[rows]):
+                cols = np.flatnonzero(near[r])
+                column[begin + r], labels = cols[0], label[cols]
+                first = labels.min()
+                if (labels != first).any():
+                    joined = np.zeros(len(others), bool)
+                    joined[labels] = True
+                    label[joined[label]] = first
+        used = np.flatnonzero(column >= 0)
+        if not len(used):
+            return empty
+        group = np.full(len(ids), -1)
+        group[used] = label[column[used]]
+        # links: a star of each label around its column; the number of pairs stands at one of its rows
+        total = np.bincount(group[used], number[used], len(others)).astype(np.int64)
+        shown = np.zeros(len(used), np.int64)
+        names, where = np.unique(group[used], return_index=True)
+        shown[where] = total[names]
+        inner = np.flatnonzero(label != np.arange(len(others)))
+        a, b = np.concatenate([ids[used], others[inner]]), np.concatenate([others[group[used]], others[label[inner]]])
+        links = pd.DataFrame({"link": True, "a": a, "b": b, "score": 0.0, "matches": np.concatenate([shown, np.zeros(len(inner), np.int64)])})
+        # a pair among the k best of its label lies in a row whose best is not below the k-th best of the rows
+        order = used[np.lexsort((-top[used], group[used]))]
+        start = np.searchsorted(group[order], names)
+        size = np.append(start[1:], len(order)) - start
+        floor = np.full(len(others), least)
+        full = size >= k
+        floor[names[full]] = np.maximum(least, top[order[start[full] + k - 1]] - 1e-11)
+        chosen = np.sort(order[top[order] >= floor[group[order]]])
+        text = np.concatenate([ids, others]).astype(str)
+        place = np.unique(text, return_inverse=True)[1]
+        place_one, place_two = place[: len(ids)], place[len(ids) :]
+
+        def best(x: np.ndarray, y: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ahead = ids[x] < others[y]
+            first, second = np.where(ahead, place_one[x], place_two[y]), np.where(ahead, place_two[y], place_one[x])
+            at = np.lexsort((second, first, -score, group[x]))
+            begun = np.searchsorted(group[x][at], group[x][at])
+            at = at[np.arange(len(at)) - begun < k]
+            return x[at], y[at], score[at]
+
+        pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for begin in range(0, len(chosen), step):
+            rows = chosen[begin : begin + step]
+            scores = scored(rows)
+            x, y = np.nonzero(scores >= floor[group[rows]][:, None])
+            found = np.round(scores[x, y], 12)
+            pool = best(*(np.concatenate(p) for p in zip(pool, (rows[x], y, found))))
+        x, y, score = pool
+        pairs = pd.DataFrame({"link": False, "a": np.minimum(ids[x], others[y]), "b": np.maximum(ids[x], others[y]), "score": score, "matches": 0})
+        return pd.concat([links, pairs])
+
+    placed = base.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    sent = sent.drop("other").repartition(min(tiles * (tiles + 1) // 2, 8 * cores + tiles), "low", "high")
+    return sent.groupBy("low", "high").applyInPandas(run, f"link boolean, a {kind}, b {kind}, score double, matches bigint")

@@ -184,6 +184,50 @@ def test_detectors_run_and_one_failure_is_contained(spark):
     assert ("exact_copy", 11) in kinds and ("self_plagiarism", 11) in kinds and ("exact_copy", 12) not in kinds
 
 
+@pytest.mark.parametrize("rows", [20_480, 40])
+def test_clusters_need_no_row_for_each_pair(spark, rows):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(6, 12))[rng.integers(0, 6, 200)] + rng.normal(size=(200, 12)) * rng.uniform(0.1, 1.0, (200, 1))
+    v[:60] = v[0]  # a class of equal texts has a pair for each two
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(v)] + [(1000, None), (None, v[0].tolist())], "vec_id bigint, embedding array<float>")
+    got, want = si.clusters_above(df, 0.8, 5, rows_per_tile=rows).collect(), si.pairs_above(df, 0.8).collect()
+    assert sum(r.matches for r in got if r.link) == len(want)
+    components = lambda rs: {r.node: r.component for r in graph.connected_components(spark.createDataFrame([(r.a, r.b) for r in rs], "a bigint, b bigint")).collect()}
+    part = components(want)
+    assert components([r for r in got if r.link]) == part
+    best = lambda rs: {c: sorted((-round(r.score, 12), str(r.a), str(r.b)) for r in rs if part[r.a] == c)[:5] for c in set(part.values())}
+    assert best([r for r in got if not r.link]) == best(want)
+    if rows > 200:
+        assert len(got) < len(want) / 3
+
+
+def test_batch_counts_all_pairs_of_a_cluster(spark, monkeypatch):
+    text = "The weighted survey confirms the regional trend in the northern districts."
+    docs = spark.createDataFrame([(i, text if i < 7 else text + f" Number {i}." if i < 9 else f"{i} quite other words {i}") for i in range(10)], "doc_id bigint, text string")
+    monkeypatch.setattr(si, "pairs_above", None)
+    found = de.REGISTRY["batch"](de.Inputs(docs, classroom=docs)).collect()
+    assert [(r.doc_id, r.severity, r.confidence, len(r.evidence)) for r in found] == [(0, "high", 0.9, 10)] and '[0,1,2,3,4,5,6,7,8]' in found[0].metadata
+    assert [(e.submitted, e.source) for e in found[0].evidence] == sorted((str(a), str(b)) for a in range(7) for b in range(a + 1, 7))[:10]
+
+
+def test_hashed_vectors_add_in_order(spark):
+    from foliomark.operators.encoder import hashed_vectors
+
+    lines = ["The weighted (survey) confirms the trend, the TREND.", "", " . ", "x" * 90 + " survey"]
+    import xxhash
+
+    want = np.zeros((4, 384), np.float32)
+    for row, line in enumerate(lines):
+        for word in line.lower().split():
+            word = word.strip(".,;:!?()")
+            for part, weight in [(word, 1.0), *((f"#{word}#"[i : i + 3], 0.3) for i in range(len(word)))]:
+                h = xxhash.xxh32_intdigest(part)
+                want[row, h % 384] += weight if h & 0x80000000 else -weight
+    norms = np.linalg.norm(want, axis=1, keepdims=True)
+    assert (hashed_vectors(lines) == want / np.where(norms == 0, 1, norms)).all()
+
+
 def test_simhash_pairs_are_exact(spark):
     random.seed(4)
     base = [random.getrandbits(63) for _ in range(20)]
