@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
@@ -305,6 +306,70 @@ def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: st
     return scored.withColumn("overall", F.greatest("minhash", "simhash", "tfidf", "jaccard"))
 
 
+def group_tiles(left: DataFrame, right: DataFrame, within: str, left_id: str, right_id: str, left_rows: int, right_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(left id, _g, _r, _nc) and (right id, _g, _c, _nr): rows of two tables in tiles of buckets of the groups ``within``.
+
+    Rows of one group and side are in one bucket, and a bucket's rows of either side in tiles by their ids, so that
+    each two rows of a group meet in just one (_g, _r, _c), whatever part of all rows a group has.
+    """
+    buckets = max(4 * left.sparkSession.sparkContext.defaultParallelism, math.ceil(right.count() / right_rows))
+    g = F.pmod(F.xxhash64(F.col(within).cast("string")), F.lit(buckets)).cast("int")
+    a, b = (df.filter(F.col(within).isNotNull() & F.col(i).isNotNull()).select(i, g.alias("_g")) for df, i in ((left, left_id), (right, right_id)))
+    size = lambda df, n, name: df.groupBy("_g").agg(F.ceil(F.count("*") / F.lit(n)).cast("int").alias(name))
+    sizes = staged(size(a, left_rows, "_nr").join(size(b, right_rows, "_nc"), "_g"), "sizes")
+    tile = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
+    one = a.join(sizes, "_g").select(left_id, "_g", tile(left_id, "_nr").alias("_r"), "_nc").dropDuplicates([left_id])
+    two = b.join(sizes, "_g").select(right_id, "_g", tile(right_id, "_nc").alias("_c"), "_nr").dropDuplicates([right_id])
+    return one, two
+
+
+def text_features(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, words, m, s) of each text: its words joined by blanks, its MinHash signature (-1 without a run) and its SimHash."""
+    words = tokens(F.col(text_col))
+    signed = F.transform(minhash(words), lambda x: F.when(x > MINHASH_MODULUS, -1).otherwise(x).cast("int"))
+    whole = df.select(id_col, F.coalesce(F.array_join(words, " "), F.lit("")).alias("words"), F.coalesce(signed, F.array_repeat(F.lit(-1), MINHASH_WIDTH)).alias("m"))
+    return whole.join(simhash(df, id_col, text_col).select(id_col, F.col("simhash").alias("s")), id_col)
+
+
+def feature_scores(one: pd.DataFrame, two: pd.DataFrame, ia: np.ndarray, ib: np.ndarray) -> dict[str, np.ndarray]:
+    """The scores of ``pair_scores`` for pairs of rows of two tables of ``text_features``."""
+    codes: dict = {}
+    alone = (math.log(1.5) + 1) ** 2
+
+    def coded(words: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w = words.split(" ") if words else []
+        runs = {codes.setdefault(x, len(codes)) for x in zip(*(w[k:] for k in range(5)))}
+        long = [x for x in w if len(x) >= 2]
+        terms = Counter([codes.setdefault(x, len(codes)) for x in long])
+        terms.update([codes.setdefault(x, len(codes)) for x in zip(long, long[1:])])
+        return np.fromiter(runs, np.int64, len(runs)), np.fromiter(terms.keys(), np.int64, len(terms)), np.fromiter(terms.values(), np.float64, len(terms))
+
+    fa, fb = [coded(x) for x in one["words"]], [coded(x) for x in two["words"]]
+    ma, mb, sa, sb = np.stack(one["m"].to_numpy()), np.stack(two["m"].to_numpy()), one["s"].to_numpy(np.int64), two["s"].to_numpy(np.int64)
+    n = len(ia)
+    same, both, dot, ca, cb = (np.zeros(n) for _ in range(5))
+    for begin in range(0, n, 8192):
+        same[begin : begin + 8192] = (ma[ia[begin : begin + 8192]] == mb[ib[begin : begin + 8192]]).sum(axis=1)
+    held, weight, at_a = np.zeros(len(codes), bool), np.zeros(len(codes)), -1
+    for at in np.argsort(ia, kind="stable"):
+        if ia[at] != at_a:
+            if at_a >= 0:
+                held[fa[at_a][0]], weight[fa[at_a][1]] = False, 0
+            at_a = ia[at]
+            held[fa[at_a][0]], weight[fa[at_a][1]] = True, fa[at_a][2]
+        r, t, c = fb[ib[at]]
+        both[at], w = np.count_nonzero(held[r]), weight[t]
+        dot[at], ca[at], cb[at] = w @ c, w @ w, c[w > 0] @ c[w > 0]
+    size_a, size_b = (np.array([len(f[0]) for f in fs], float) for fs in (fa, fb))
+    norm_a, norm_b = (np.array([f[2] @ f[2] for f in fs], float) for fs in (fa, fb))
+    lengths = np.sqrt(alone * (norm_a[ia] - ca) + ca) * np.sqrt(alone * (norm_b[ib] - cb) + cb)
+    jac, tfidf = np.zeros(n), np.zeros(n)
+    np.divide(both, size_a[ia] + size_b[ib] - both, out=jac, where=(size_a[ia] > 0) & (size_b[ib] > 0))
+    np.divide(dot, lengths, out=tfidf, where=lengths > 0)
+    out = {"minhash": same / MINHASH_WIDTH, "simhash": 1 - np.bitwise_count((sa[ia] ^ sb[ib]).view(np.uint64)) / 64.0, "tfidf": tfidf, "jaccard": jac}
+    return out | {"overall": np.maximum.reduce(list(out.values()))}
+
+
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)

@@ -353,6 +353,35 @@ def test_exact_copy_and_own_earlier_work(spark):
     assert own[0].severity == "high" and {e.method for e in own[0].evidence} == {"exact_self_copy", "self_plagiarism"} and own[0].evidence[0].similarity == 1.0
 
 
+def test_own_earlier_work_is_settled_in_tiles(spark, monkeypatch):
+    random.seed(8)
+    sentence = lambda n: " ".join(random.choice(WORDS) for _ in range(n)).capitalize() + "."
+    pool = [sentence(12) for _ in range(30)]
+    big = 2**38  # ids that a double would hold, times 2^24 for their sentences not
+    rows = [(big + i, " ".join(random.sample(pool, 4)) + " " + sentence(9), "ab"[i % 7 == 0], "en") for i in range(40)]
+    columns = "doc_id bigint, text string, author_key string, lang string"
+    mine = spark.createDataFrame([*rows[:20], (5, None, "a", "en"), (6, "x", "nobody", "en"), (7, pool[0], None, "en")], columns)
+    past = spark.createDataFrame([*rows[18:], (8, None, "a", "en"), (9, pool[0], None, "en")], columns)
+    pairs = si.pair_scores(mine.select("doc_id", "author_key").join(past.select(F.col("doc_id").alias("source_id"), "author_key"), "author_key"), mine, past.select(F.col("doc_id").alias("source_id"), "text"), "doc_id", "source_id")
+    want = {(r.doc_id, r.source_id): [round(r[n], 4) for n in ("minhash", "simhash", "jaccard", "tfidf", "overall")] for r in pairs.collect()}
+    monkeypatch.setattr(de, "pair_scores", None)  # which sends the terms of both texts to every pair
+    import json
+
+    found = de.REGISTRY["self_plagiarism"](de.Inputs(mine, history=past, options={"self_plagiarism_min": 0.4})).collect()
+    author = {r[0]: r[2] for r in rows}
+    assert len(found) > 100 and len({(r.doc_id, r.source_id) for r in found}) == len(found)
+    for r in found:
+        assert r.doc_id != r.source_id and author[r.doc_id] == author[r.source_id]
+        assert list(json.loads(r.metadata)["scores"].values()) == pytest.approx(want[r.doc_id, r.source_id], abs=1.1e-4)
+        alike = [e for e in r.evidence if e.method == "self_plagiarism"]
+        text = {x[0]: x[1] for x in rows}
+        places = [text[r.doc_id].find(e.submitted) for e in alike]
+        assert len(alike) <= 5 and places == sorted(places) and min(places, default=0) >= 0 and all(e.source in text[r.source_id] for e in alike)
+    # a shared sentence of another's own text is found whatever tile it is in
+    shared = {(a[0], b[0]) for a in rows[:20] for b in rows[18:] if a[0] != b[0] and a[2] == b[2] and any(x in a[1] and x in b[1] for x in pool)}
+    assert shared <= {(r.doc_id, r.source_id) for r in found}
+
+
 def test_store_appends_without_rewriting_and_never_lacks_a_pointer(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "store"))
     rows = lambda *ks: spark.createDataFrame([(k, 1) for k in ks], "k string, v int")
